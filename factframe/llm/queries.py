@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factframe.llm import ecoc, kneser_ney, resample
+from factframe.llm import chat, decontaminate, ecoc, kneser_ney, packing, resample
 from factframe.llm.common import fold
 
 
@@ -29,10 +29,61 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql("select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_chat(chat.canonical_turns(rows))
+    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
     "op7_importance_resampling": op7_importance_resampling,
+    "op8_decontamination": op8_decontamination,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|<?/?SYS>>|/?INST\])', '\1\2\\\3', 'g')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_formatting": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op8_decontamination": r"""
+WITH w AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ') AS h FROM documents),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(h) - 3), lambda i: array_to_string(h[i:i+4], ' '))) AS s FROM w WHERE len(h) >= 5),
+v AS (
+  SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ') AS h FROM benchmark),
+b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(h) - 3), lambda i: array_to_string(h[i:i+4], ' '))) AS s FROM v WHERE len(h) >= 5),
+n AS (SELECT item_id, count(*) AS size FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) / any_value(size) AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) / any_value(size) >= 0.8""",
+}
