@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factframe.llm import chat, decontaminate, ecoc, kneser_ney, packing, resample
+from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample
 from factframe.llm.common import fold
 
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.fit(docs, _read(spark, sf_dir, "labels"))
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
     "op3_toxicity": op3_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
