@@ -31,6 +31,8 @@ from factframe.llm.hashing import Tokens, chunks, mix, pair
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
 REJECT_ODDS = 100.0
+#: Pseudo-counts for each bucket of the target model, spread as the raw model.
+PRIOR = 50.0
 _SCALE = float(1 << 20)
 
 
@@ -74,8 +76,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int
         raw[bucket], target[bucket] = r, t
     if target.sum() == 0:
         return Ratio(np.zeros(buckets))
-    smooth = lambda x: (x + 0.5) / (x.sum() + 0.5 * buckets)
-    return Ratio(np.log(smooth(target)) - np.log(smooth(raw)))
+    p_raw = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
+    prior = PRIOR * buckets * p_raw  # pulls sparse buckets towards no evidence
+    return Ratio(np.log((target + prior) / (target.sum() + prior.sum())) - np.log(p_raw))
 
 
 def with_log_weight(docs: DataFrame, ratio: Ratio, column: str = "log_weight") -> DataFrame:
