@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample
+from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample, warc
 from factframe.llm.common import fold
 
 
@@ -13,6 +13,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    # the table has no capture time: one second after another, by id
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyyMMddHHmmss")
+    return warc.archive(pages.select("page_id", "url", stamp.alias("timestamp"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_order_minhash": op2_order_minhash,
     "op3_toxicity": op3_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
