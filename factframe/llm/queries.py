@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample, warc
+from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample, tokenids, warc
 from factframe.llm.common import fold
 
 
@@ -59,6 +59,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenids.encode_corpus(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_decontamination": op8_decontamination,
+    "op9_token_ids": op9_token_ids,
     "op10_packing": op10_packing,
 }
 
