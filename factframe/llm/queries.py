@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample, tokenids, warc
+from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample, tokenids, warc, webp
 from factframe.llm.common import fold
 
 
@@ -40,6 +40,10 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
 
+def op4_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read_features(webp.store(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -73,6 +77,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_order_minhash": op2_order_minhash,
     "op3_toxicity": op3_toxicity,
+    "op4_lossless_webp": op4_lossless_webp,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
     "op7_importance_resampling": op7_importance_resampling,
