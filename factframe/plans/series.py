@@ -22,12 +22,10 @@ def screen_revenue(spark, sf_dir):
 
 
 @query(f"""WITH {FACTS_SQL}
-SELECT company_id, value, period, CAST(row_number() OVER (ORDER BY value, company_id) AS INTEGER) AS place FROM (
-  SELECT company_id, max_by(total_debt - cash, period) AS value, max(period) AS period FROM f WHERE total_debt - cash IS NOT NULL GROUP BY company_id) ORDER BY place LIMIT 50""")
+SELECT company_id, max_by(total_debt - cash, period) AS value, max(period) AS period FROM f WHERE total_debt - cash IS NOT NULL GROUP BY company_id ORDER BY value, company_id""")
 def screen_net_debt_low_is_better(spark, sf_dir):
     wide = snapshots(spark, sf_dir).withColumn("net_debt", derived()["net_debt"])
-    best = S.screen(S.latest_value(wide, "net_debt", COMPANY), F.lit(True), higher_is_better=False).limit(50)  # a top-50 report
-    return best.withColumn("place", F.row_number().over(Window.orderBy("value", "company_id")))
+    return S.screen(S.latest_value(wide, "net_debt", COMPANY), F.lit(True), higher_is_better=False)
 
 
 @query(f"""WITH {FACTS_SQL}, p AS (SELECT company_id, period, total_debt AS value, lag(total_debt) OVER (PARTITION BY company_id ORDER BY period) AS prior FROM f)
