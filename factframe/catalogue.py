@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factframe.plans import events, text  # noqa: F401  (they register queries)
+from factframe.plans import events, passages, series, text  # noqa: F401  (they register queries)
 from factframe.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
