@@ -2,8 +2,9 @@
 
 Tokenising runs once: ids are stored as compressed columns in the shared
 folder, global counts are taken from them, and one code over all ids (at most
-MOST_BITS bits a code, package-merge) is agreed. Documents are then sorted by
-id and each task writes one file of independent blocks of BLOCK ids; a block
+MOST_BITS bits a code) is agreed. Documents are encoded where they lie, then
+dealt by ranges of their ids and sorted, so the shuffle moves coded bytes only;
+each range becomes a file of independent blocks of BLOCK ids. A block
 begins at a byte and its bit offset is its checkpoint, so any block can be
 decoded alone. Decoding looks MOST_BITS bits up in one table and advances all
 blocks of a task together.
@@ -15,7 +16,7 @@ points. Texts with apostrophes or characters beyond the table of classes go to
 the library as a whole; results are the library's either way.
 
 Defined results: a null text is empty; every document ends with the end id; rows
-that repeat an id are adjacent documents in an order fixed by their ids' bytes;
+that repeat an id are adjacent documents in an order fixed by their coded bytes;
 null ids come first; an empty table writes no file.
 """
 
@@ -29,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
         self.classes = np.full(0x3000, 255, np.uint8)
         self.classes[:0x250] = [_class(c) for c in range(0x250)]
         self.forget()
@@ -79,7 +86,8 @@ class Encoder:
         self.flat = np.zeros(0, np.uint16)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        tokenize, letters = self.model.tokenize, self.letters
+        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
         count = np.array([*map(len, found)], np.int64)
         flat = np.array([*chain.from_iterable(found)], np.uint16)
         first = len(self.flat) + np.cumsum(count) - count
@@ -172,14 +180,15 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (deflated 16-bit, low bytes then high bytes), n: ids with the end id, whole texts."""
+    """doc_id, ids (compressed 16-bit, low bytes then high bytes), n: ids with the end id, whole texts."""
 
     def encode(batches: Iterator[pa.RecordBatch]):
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch, texts in chunks(batches, limit=1 << 20):
             packed, sizes = [], []
             for ids in encoder(path).encode(texts):
                 ids = np.append(ids, np.uint16(END_ID))
-                packed.append(zlib.compress(ids.view(np.uint8).reshape(-1, 2).T.tobytes(), 1))
+                packed.append(squeeze.compress(ids.view(np.uint8).reshape(-1, 2).T.tobytes()))
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "ids", "n"])
 
@@ -187,7 +196,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return raw.reshape(2, -1).T.copy().view(np.uint16).ravel()
 
 
@@ -197,8 +206,8 @@ def global_counts(tokens: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(unpack(x.as_py()), minlength=1 << 16)
+            for begin in range(0, len(batch), 500):
+                total += np.bincount(np.concatenate([unpack(x.as_py()) for x in batch.column(0).slice(begin, 500)]), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
@@ -258,22 +267,30 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_blocks(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bytes of all blocks of one document, and the byte offset at which each block begins."""
+def encode_blocks(documents: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """For each document the bytes of its blocks, and the byte offset at which each block begins."""
+    sizes = np.fromiter(map(len, documents), np.int64, len(documents))
+    ids = np.concatenate(documents)
+    blocks = -(-sizes // BLOCK)
+    owner = np.repeat(np.arange(len(documents)), blocks)
+    order = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first = np.repeat(np.cumsum(sizes) - sizes, blocks) + order * BLOCK  # of each block
+    held = np.minimum(BLOCK, sizes[owner] - order * BLOCK)
     width = lengths[ids].astype(np.int64)
-    block = np.arange(len(ids)) // BLOCK
-    per_block = np.add.reduceat(width, np.arange(0, len(ids), BLOCK))
-    size = (per_block + 7) // 8
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    before = np.cumsum(width) - width
-    at = before - before[np.arange(0, len(ids), BLOCK)][block] + begin[block] * 8  # first bit of each code
-    out = np.zeros(int(size.sum()) + 4, np.uint32)
+    total = np.concatenate(([0], np.cumsum(width)))
+    size = (total[first + held] - total[first] + 7) // 8
+    begin = np.cumsum(size) - size
+    at = total[:-1] + np.repeat(begin * 8 - total[first], held)  # first bit of each code
+    out = np.zeros(int(size.sum()) + 3, np.uint8)
     # a code of at most 16 bits lies within 3 bytes: place it in a 24-bit window and add by byte
-    window = codes[ids].astype(np.uint32) << (24 - (at & 7) - width).astype(np.uint32)
+    window = codes[ids] << (24 - (at & 7) - width).astype(np.uint32)
     byte = at >> 3
     for k, shift in enumerate((16, 8, 0)):
-        out += np.bincount(byte + k, weights=(window >> np.uint32(shift)) & np.uint32(255), minlength=len(out)).astype(np.uint32)
-    return out[:-4].astype(np.uint8).tobytes(), begin
+        out += np.bincount(byte + k, weights=(window >> np.uint32(shift)) & np.uint32(255), minlength=len(out)).astype(np.uint8)
+    data = out.tobytes()
+    cut = np.concatenate(([0], np.cumsum(blocks)))
+    edge = np.append(begin, len(data) - 3)
+    return [(data[edge[a] : edge[b]], begin[a:b] - edge[a]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def decoding_table(lengths: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -309,36 +326,49 @@ def decode_blocks(data: bytes, begin: np.ndarray, count: np.ndarray, table: tupl
 
 
 def write_files(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
-    """One file for each range of ids, in order; returns a row per document: file, byte offset, size, ids, and its block checkpoints."""
-    shared = tokens.sparkSession.sparkContext.broadcast((canonical_codes(lengths), lengths))
+    """A file for each range of ids, in order; returns a row per document: file, byte offset, size, ids, and its block checkpoints.
+
+    Ranges are quantiles of the ids. They are a column of the coded rows, so
+    that dealing them out does not run the coding a second time to sample it.
+    """
     total = tokens.agg(F.sum("n")).first()[0] or 0
     files = max(1, -(-total // FILE_IDS))
+    edges = tokens.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else None
+    shared = tokens.sparkSession.sparkContext.broadcast((canonical_codes(lengths), lengths, np.unique(np.array(edges or [], np.int64))))
     shape = "part int, line long, doc_id long, file string, offset long, size long, n long, checkpoints array<long>"
 
-    def write(batches: Iterator[pa.RecordBatch]):
-        from pyspark import TaskContext
+    def code(batches: Iterator[pa.RecordBatch]):
+        codes, lengths, edges = shared.value
+        for batch in batches:
+            for begin in range(0, len(batch), 200):
+                some = batch.slice(begin, 200)
+                documents = [unpack(x.as_py()) for x in some.column(1)]
+                packed = encode_blocks(documents, codes, lengths)
+                known = some.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+                part = np.where(known == np.iinfo(np.int64).min, 0, np.searchsorted(edges, known, side="right")).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), some.column(0), pa.array([p[0] for p in packed], pa.binary()), pa.array([(p[1] * 8).tolist() for p in packed], pa.list_(pa.int64())), pa.array([len(d) for d in documents], pa.int64())], names=["part", "doc_id", "data", "checkpoints", "n"])
 
-        codes, lengths = shared.value
-        out, at, line = None, 0, 0
-        part = TaskContext.get().partitionId()
+    def write(batches: Iterator[pa.RecordBatch]):
+        out, name, at, line, last = None, "", 0, 0, None
         for batch in batches:
             rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if out is None:
-                    name, out = Folder(folder).create(".ids")
-                ids = unpack(data.as_py())
-                packed, begin = encode_blocks(ids, codes, lengths)
-                out.write(packed)
-                rows.append((part, line, doc_id, name, at, len(packed), len(ids), (begin * 8).tolist()))
-                at, line = at + len(packed), line + 1
+            for r in batch.to_pylist():
+                if r["part"] != last:
+                    if out is not None:
+                        out.close()
+                    (name, out), at, line, last = Folder(folder).create(".ids"), 0, 0, r["part"]
+                out.write(r["data"])
+                rows.append((r["part"], line, r["doc_id"], name, at, len(r["data"]), r["n"], r["checkpoints"]))
+                at, line = at + len(r["data"]), line + 1
             if rows:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in shape.split(", ")])
         if out is not None:
             out.close()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return written(ordered.mapInArrow(write, shape), "id-files")
+    coded = tokens.select("doc_id", "ids").mapInArrow(code, "part int, doc_id long, data binary, checkpoints array<long>, n long")
+    dealt = coded.repartition(files, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "data")
+    return written(dealt.mapInArrow(write, shape), "id-files")
 
 
 def read_files(manifest: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
