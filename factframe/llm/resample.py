@@ -31,7 +31,7 @@ from factframe.llm.hashing import Tokens, chunks, mix, pair
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
 REJECT_ODDS = 100.0
-#: Pseudo-counts for each bucket of the target model, spread as the raw model.
+#: Pseudo-counts for each bucket of the target model, at most as many as it has counts, spread as the raw model.
 PRIOR = 50.0
 _SCALE = float(1 << 20)
 
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int
     if target.sum() == 0:
         return Ratio(np.zeros(buckets))
     p_raw = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
-    prior = PRIOR * buckets * p_raw  # pulls sparse buckets towards no evidence
+    prior = min(PRIOR * buckets, target.sum()) * p_raw  # pulls sparse buckets towards no evidence
     return Ratio(np.log((target + prior) / (target.sum() + prior.sum())) - np.log(p_raw))
 
 
