@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,24 +47,17 @@ def overlap_free(ranked: DataFrame, key: str, k: int, per_document: int | None =
     """The first k passages of each question by (order desc, doc_id, start) that don't overlap a chosen one of the same document.
 
     Only a document's own slices overlap, so each (question, document) is first
-    thinned by itself; then the k best of a question are taken. A document
-    contributes at most k, whatever its length.
+    thinned by itself, a fold over its ranked slices; then the k best of a
+    question are taken. A document contributes at most k, whatever its length.
     """
-    shape = f"{key} long, doc_id long, start long, {order} long"
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        rows = []
-        for row in pdf.sort_values([order, "start"], ascending=[False, True]).itertuples(index=False):
-            if all(abs(row.start - s) >= WINDOW for s in chosen):
-                chosen.append(row.start)
-                rows.append(row)
-                if len(rows) == (per_document or k):
-                    break
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    thinned = ranked.select(key, "doc_id", "start", F.col(order).cast("long").alias(order)).groupBy(key, "doc_id").applyInPandas(thin, shape)
-    return thinned.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("_r"), "doc_id", "start"))), 1, k).alias("_top")).select(key, F.posexplode("_top").alias("_p", "_t")).select(key, (F.col("_p") + 1).alias("place"), "_t.doc_id", "_t.start", (-F.col("_t._r")).alias(order))
+    most = per_document or k
+    rank = F.struct((-F.col(order)).cast("long").alias("r"), F.col("start").cast("long").alias("s"))
+    mine = ranked.groupBy(key, "doc_id").agg(F.array_sort(F.collect_list(rank)).alias("_all"))
+    free = lambda acc, x: (F.size(acc) < most) & F.forall(acc, lambda c: F.abs(c["s"] - x["s"]) >= WINDOW)
+    chosen = F.aggregate("_all", F.array().cast("array<struct<r:bigint,s:bigint>>"), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    thinned = mine.select(key, "doc_id", F.explode(chosen).alias("_c"))
+    top = thinned.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("_c.r", "doc_id", "_c.s"))), 1, k).alias("_top"))
+    return top.select(key, F.posexplode("_top").alias("_p", "_t")).select(key, (F.col("_p") + 1).alias("place"), "_t.doc_id", F.col("_t.s").alias("start"), (-F.col("_t.r")).alias(order))
 
 
 # Intents in order of precedence, with their cue words.
