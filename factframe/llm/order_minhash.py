@@ -4,20 +4,21 @@ A text's five-word shingles are labelled with their occurrence number. Each of
 BANDS hash functions takes the LENGTH labelled shingles of least hash and keeps
 them in text order; texts with an equal ordered tuple meet in a bucket. Unlike
 plain MinHash this is sensitive to the order of the text, hence to edit
-similarity. A pair with shingle similarity 0.8 meets in some bucket with
-probability above 0.99998.
+similarity. A pair is a candidate if it agrees in at least AGREE tuples, which
+a pair of shingle similarity 0.8 misses with probability about 1e-5, and if its
+sizes allow that similarity.
 
 Candidates are verified: at least SIMILARITY of the labelled shingles are shared
 (Jaccard), and a banded alignment of the words, a bit-parallel longest common
 subsequence within the band that this similarity allows, covers at least
 SIMILARITY of both texts. Verified links are closed into classes.
 
-Exact copies are collapsed first. Within a bucket not all pairs are tried: one
-member is tried against all members of other classes, classes are closed, and
-so on with another member, until no bucket holds two classes or the pairs left
-between different classes are few (a multiple of the number of texts), when all
-of those are tried. Every pair that shares a bucket is so either tried or
-already in one class; no candidate is capped.
+Exact copies are collapsed first. Then (STARS times) one member of each bucket
+is tried against all others and the classes are closed, which joins large
+groups with few pairs. Last, the tuples of every two members of a
+bucket that are still of different classes are compared, and all candidates
+among them are verified. So every candidate is either tried or already within
+one class; none is capped, and a pair is tried in its first common bucket only.
 
 Defined results: null and empty texts, and texts without a word, are classes by
 equality of the text only; a text of fewer than five words is one shingle; the
@@ -37,9 +38,8 @@ from factframe.llm.common import bounded, written
 from factframe.llm.hashing import Tokens, chunks, mix, pair, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, LENGTH = 16, 3
-#: Pairs left between different classes are all tried once they are at most so many per text.
-FEW = 4
+BANDS, LENGTH, AGREE = 32, 4, 3
+STARS = 1
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -145,6 +145,33 @@ def buckets(docs: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["node", "band", "key"])
 
 
+def crossing_pairs(members: DataFrame) -> DataFrame:
+    """a, b: candidates of different labels in each bucket of (band, key, node, n, label, tuples).
+
+    Members are compared by their tuples, in order of size and within the sizes
+    that SIMILARITY allows; only candidates leave the task.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        band = table.column("band")[0].as_py()
+        tuples = np.stack(table.column("tuples").to_numpy()) if len(table) else np.zeros((0, BANDS))
+        n = table.column("n").to_numpy()
+        label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
+        last = np.searchsorted(n, n / SIMILARITY + 1e-9, side="right")
+        left, right = [], []
+        for i in range(len(n)):
+            equal = tuples[i] == tuples[i + 1 : last[i]]
+            hit = np.flatnonzero((equal.sum(1) >= AGREE) & (equal.argmax(1) == band) & (label[i + 1 : last[i]] != label[i]))
+            left.append(np.full(len(hit), i))
+            right.append(hit + i + 1)
+        nodes = table.column("node")
+        x, y = (nodes.take(pa.array(np.concatenate(v).astype(np.int64))) for v in (left, right))
+        return pa.table([x, y], names=["a", "b"])
+
+    return members.groupBy("band", "key").applyInArrow(compare, "a binary, b binary")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, ok for each pair; texts are looked up by two joins."""
 
@@ -169,19 +196,15 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node that links reach. Labels spread to neighbours and then jump to their label's label."""
     both = written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "links")
-    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"))
     while True:
+        labels = written(labels, "labels")
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        spread = written(spread.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        labels = spread.select("node", "label")
         if spread.where("old != label").isEmpty():
             return labels
-
-
-def _ordered_pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = spread.join(jump, "label").select("node", F.least("label", "far").alias("label"))
 
 
 def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
@@ -192,40 +215,34 @@ def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame | None, DataFrame |
     members = written(everyone.join(shared, ["band", "key"]), "members")
     if members.isEmpty():
         return None, None
-    involved = members.select("node").distinct()
+    involved = written(members.select("node").distinct(), "involved")
     keyed = docs.select(text_key().alias("node"), "text")
     texts = written(keyed.join(bounded(involved), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    allowed = max(200_000, FEW * texts.count())
     tested = spark.createDataFrame([], "a binary, b binary, ok boolean")
     labels = spark.createDataFrame([], "node binary, label binary")
-    close = F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n")
-    round_ = 0
-    while True:
+    for round_ in range(STARS + 1):
+        # members of buckets that still hold several classes
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = now.groupBy("band", "key", "label").agg(F.count("*").alias("_s"), F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(round_), "node")).alias("_one"), F.min(F.xxhash64(F.lit(round_), "node")).alias("_rank"))
-        mixed = sizes.groupBy("band", "key").agg(F.sum("_s").alias("_all"), F.sum(F.col("_s") * F.col("_s")).alias("_same"), F.count("*").alias("_classes"), F.min(F.struct("_rank", "_one", "label")).alias("_centre")).where("_classes > 1")
-        mixed = written(mixed.select("band", "key", "_all", "_same", F.col("_centre._one.node").alias("_node"), F.col("_centre._one.n").alias("_n"), F.col("_centre.label").alias("_label")), "mixed")
-        crossing = mixed.agg(F.sum((F.col("_all") * F.col("_all") - F.col("_same")) / 2)).first()[0]
-        if not crossing:
+        pick = F.struct(F.xxhash64(F.lit(round_), "node").alias("rank"), "node", "n", "label")
+        mixed = now.groupBy("band", "key").agg(F.min(pick).alias("_one"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high")
+        mixed = mixed.select("band", "key", F.col("_one.node").alias("_node"), F.col("_one.n").alias("_n"), F.col("_one.label").alias("_label"))
+        inside = written(now.join(mixed, ["band", "key"]), "inside")
+        if inside.isEmpty():
             break
-        last = crossing <= allowed
-        inside = written(now.join(mixed.drop("_all", "_same"), ["band", "key"]), "inside")
-        if last:
-            left = inside.select("band", "key", "node", "n", "label")
-            right = left.select("band", "key", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("label").alias("_label"))
-            found = left.join(right, ["band", "key"]).where((F.col("label") != F.col("_label")) & (F.col("node") < F.col("_node")) & close)
+        if round_ < STARS:
+            close = F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n")
+            found = inside.where((F.col("label") != F.col("_label")) & close).select(F.col("node").alias("a"), F.col("_node").alias("b"))
+            members = inside.where(F.col("node") != F.col("_node")).select("node", "band", "key", "n")
         else:
-            found = inside.where((F.col("label") != F.col("_label")) & close)
-        fresh = found.select(*_ordered_pair(F.col("node"), F.col("_node"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            mine = inside.select("node").distinct()
+            tuples = everyone.join(bounded(mine), "node", "left_semi").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("tuples"))
+            found = crossing_pairs(inside.select("band", "key", "node", "n", "label").join(tuples, "node"))
+        fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = written(verify(written(fresh, "pairs"), texts), "checked")
-        tested = written(tested.unionByName(checked), "tested")
+        tested = tested.unionByName(checked)
         links = tested.where("ok").select("a", "b")
-        if not links.isEmpty():
+        if not checked.where("ok").isEmpty():
             labels = components(links)
-        if last:
-            break
-        members = written(inside.where(F.col("node") != F.col("_node")).select("node", "band", "key", "n"), "members")
-        round_ += 1
     return tested.where("ok").select("a", "b"), labels
 
 
@@ -237,15 +254,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> DataFrame:
-    """rows (doc_id, node) with class_id and n_links. Least ids are taken by text, then by class, so copies collapse before any join."""
+    """rows (doc_id, node) with label, class_id and n_links. Least ids are taken by text, then by class, so copies collapse before any join."""
     least = written(rows.groupBy("node").agg(F.min("doc_id").alias("class_id")), "least")
     if labels is None:
-        by_node = least.withColumn("n_links", F.lit(0).cast("long"))
+        by_node = least.select("node", F.col("node").alias("label"), "class_id", F.lit(0).cast("long").alias("n_links"))
     else:
         by_label = labels.join(least, "node").groupBy("label").agg(F.min("class_id").alias("_class"))
         degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-        linked = labels.join(by_label, "label").join(degree, "node").select("node", "_class", "n_links")
-        by_node = least.join(linked, "node", "left").select("node", F.coalesce("_class", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        linked = labels.join(by_label, "label").join(degree, "node").select("node", "label", "_class", "n_links")
+        by_node = least.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("_class", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.join(by_node, "node")
 
 
@@ -255,15 +272,12 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_key().alias("node"))
     marked = written(_classes(rows, links, labels), "classes")
     same = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    dropped = marked.where(~same).select("doc_id", "node").distinct()
-    # texts that are not the class's own but carry its id (repeated ids) go too
-    kept = marked.where(same).groupBy("class_id").agg(F.min("node").alias("_first"), F.count("*").alias("_rows"))
-    repeated = kept.where("_rows > 1")
+    dropped = bounded(written(marked.where(~same).select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")).distinct(), "dropped"))
     survivors = docs.withColumn("_node", text_key())
-    gone = bounded(written(dropped.select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")), "dropped"))
-    survivors = survivors.join(gone, (F.col("_node") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    if repeated.isEmpty():
-        return survivors.select(*docs.columns)
-    first = kept.select(F.col("class_id").alias("_id"), "_first")
-    survivors = survivors.join(first, (F.col("_node") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return survivors.dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
+    survivors = survivors.join(dropped, (F.col("_node") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    # several rows of a class may carry its id: repeated rows, and repeated ids with other text
+    kept = marked.where(same).groupBy("label").agg(F.min("node").alias("_first"), F.count("*").alias("_rows"))
+    if not kept.where("_rows > 1").isEmpty():
+        first = kept.select("_first")
+        survivors = survivors.join(first, F.col("_node") == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "_node"])
+    return survivors.select(*docs.columns)

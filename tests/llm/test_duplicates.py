@@ -104,3 +104,9 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4, 5, 6]  # null and empty texts are equal; the repeated row stays once
     assert O.near_duplicates(no_documents).count() == 0 and O.keep_one_of_each(no_documents).count() == 0
+
+
+def test_repeated_and_null_ids_with_other_texts(spark):
+    rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (7, "red green blue black white grey"), (7, "cat dog cow hen pig goat"), (7, "cat dog cow hen pig goat")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in O.keep_one_of_each(df).collect()) == sorted(set(t for _, t in rows))
