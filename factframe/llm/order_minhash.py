@@ -6,16 +6,18 @@ them in text order; texts with an equal ordered tuple meet in a bucket. Unlike
 plain MinHash this is sensitive to the order of the text, hence to edit
 similarity. A pair is a candidate if it agrees in at least AGREE tuples, which
 a pair of shingle similarity 0.8 misses with probability about 1e-5, and if its
-sizes allow that similarity.
+sizes allow that similarity; between what is left of large groups also a
+signature of 512 bytes must be near that similarity.
 
 Candidates are verified: at least SIMILARITY of the labelled shingles are shared
 (Jaccard), and a banded alignment of the words, a bit-parallel longest common
 subsequence within the band that this similarity allows, covers at least
 SIMILARITY of both texts. Verified links are closed into classes.
 
-Exact copies are collapsed first. Then (STARS times) one member of each bucket
-is tried against all others and the classes are closed, which joins large
-groups with few pairs. Last, the tuples of every two members of a
+Exact copies are collapsed first. Then one member of each bucket, the one that
+meets most others, is tried against the rest and the classes are closed; then
+each member is tried against the one of another class that it is most alike,
+and classes are closed again. This joins large groups with few pairs. Last, the tuples of every two members of a
 bucket that are still of different classes are compared, and all candidates
 among them are verified. So every candidate is either tried or already within
 one class; none is capped, and a pair is tried in its first common bucket only.
@@ -39,8 +41,11 @@ from factframe.llm.hashing import Tokens, chunks, mix, pair, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, LENGTH, AGREE = 32, 4, 3
-STARS = 1
+#: A pair's signatures agree in at least this share of their bytes; a pair of similarity 0.8 misses it with probability about 1e-6.
+SIGNATURE, ALIKE = 512, 0.72
+BLOCK = 1024
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+_SIGNS = mix(np.arange(1001, 1001 + SIGNATURE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
 def labelled(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -75,6 +80,12 @@ def sketch(labels: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return out
 
 
+def minhash(labels: np.ndarray) -> np.ndarray:
+    """One byte of the least hash under each of SIGNATURE functions."""
+    parts = np.array_split(_SIGNS, min(SIGNATURE, 1 + len(labels) * SIGNATURE // 500_000))
+    return np.concatenate([mix(labels[None, :] ^ seeds).min(axis=1) for seeds in parts]).astype(np.uint8)
+
+
 def banded_lcs(x: np.ndarray, y: np.ndarray, band: int) -> int:
     """Longest common subsequence with matches at most `band` off the diagonal, one bit for each word of x."""
     n = min(len(x), len(y))
@@ -145,31 +156,66 @@ def buckets(docs: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["node", "band", "key"])
 
 
-def crossing_pairs(members: DataFrame) -> DataFrame:
-    """a, b: candidates of different labels in each bucket of (band, key, node, n, label, tuples).
+def signatures(texts: DataFrame) -> DataFrame:
+    """node, tuples (one for each band), signature (SIGNATURE bytes of plain MinHash) of each text with a word."""
+
+    def sign(batches):
+        for batch, part in chunks(batches):
+            tokens = Tokens(part)
+            offsets = tokens.per_doc()
+            kept, tuples, bytes_ = [], [], []
+            for i in range(len(part)):
+                if offsets[i + 1] > offsets[i]:
+                    labels = labelled(tokens.hash[offsets[i] : offsets[i + 1]])
+                    kept.append(i)
+                    tuples.append(sketch(labels).view(np.int64))
+                    bytes_.append(minhash(labels).tobytes())
+            if kept:
+                flat = pa.array(np.concatenate(tuples))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), lists, pa.array(bytes_, pa.binary())], names=["node", "tuples", "signature"])
+
+    return texts.select("node", "text").mapInArrow(sign, "node binary, tuples array<long>, signature binary")
+
+
+def crossing_pairs(members: DataFrame, best: bool = False) -> DataFrame:
+    """a, b: candidates of different labels in each bucket of (band, key, node, n, label, tuples, signature, blocks).
 
-    Members are compared by their tuples, in order of size and within the sizes
-    that SIMILARITY allows; only candidates leave the task.
+    A bucket is dealt into blocks of about BLOCK members, and each pair of
+    blocks is one group, so no group grows with its bucket. Members are compared
+    by tuples and signatures, in order of size and within the sizes that
+    SIMILARITY allows; only candidates leave the task. With best, each member
+    gives the candidate that it is most alike only.
     """
+    other, home = F.col("_other"), F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cells = members.withColumn("home", home).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.withColumn("low", F.least("home", other)).withColumn("high", F.greatest("home", other)).drop("_other", "blocks")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("n")
-        band = table.column("band")[0].as_py()
-        tuples = np.stack(table.column("tuples").to_numpy()) if len(table) else np.zeros((0, BANDS))
-        n = table.column("n").to_numpy()
+        band, apart = table.column("band")[0].as_py(), table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        tuples = np.stack(table.column("tuples").to_numpy())
+        signature = np.stack([np.frombuffer(x, np.uint8) for x in table.column("signature").to_pylist()])
+        n, home = table.column("n").to_numpy(), table.column("home").to_numpy()
         label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
         last = np.searchsorted(n, n / SIMILARITY + 1e-9, side="right")
         left, right = [], []
         for i in range(len(n)):
-            equal = tuples[i] == tuples[i + 1 : last[i]]
-            hit = np.flatnonzero((equal.sum(1) >= AGREE) & (equal.argmax(1) == band) & (label[i + 1 : last[i]] != label[i]))
-            left.append(np.full(len(hit), i))
-            right.append(hit + i + 1)
+            near = np.flatnonzero((label[i + 1 : last[i]] != label[i]) & ((home[i + 1 : last[i]] != home[i]) | (not apart))) + i + 1
+            alike = (signature[near] == signature[i]).sum(1)
+            equal = tuples[near] == tuples[i]
+            fit = (alike >= ALIKE * SIGNATURE) & (equal.sum(1) >= AGREE)
+            if best:
+                near = near[fit][np.argsort(-alike[fit], kind="stable")[:1]]
+            else:
+                near = near[fit & (equal.argmax(1) == band)]
+            left.append(np.full(len(near), i))
+            right.append(near)
         nodes = table.column("node")
         x, y = (nodes.take(pa.array(np.concatenate(v).astype(np.int64))) for v in (left, right))
         return pa.table([x, y], names=["a", "b"])
 
-    return members.groupBy("band", "key").applyInArrow(compare, "a binary, b binary")
+    return cells.groupBy("band", "key", "low", "high").applyInArrow(compare, "a binary, b binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -211,32 +257,34 @@ def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame | None, DataFrame |
     """Verified links (a, b) between distinct texts, and their components (node, label); None if no texts meet."""
     spark = docs.sparkSession
     everyone = written(buckets(docs), "buckets")
-    shared = everyone.groupBy("band", "key").agg(F.count("*").alias("_c")).where("_c > 1").select("band", "key")
+    shared = everyone.groupBy("band", "key").agg(F.count("*").alias("_c")).where("_c > 1")
     members = written(everyone.join(shared, ["band", "key"]), "members")
     if members.isEmpty():
         return None, None
-    involved = written(members.select("node").distinct(), "involved")
+    involved = written(members.groupBy("node").agg(F.sum("_c").alias("weight")), "involved")
     keyed = docs.select(text_key().alias("node"), "text")
-    texts = written(keyed.join(bounded(involved), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = written(keyed.join(bounded(involved.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts")
     tested = spark.createDataFrame([], "a binary, b binary, ok boolean")
     labels = spark.createDataFrame([], "node binary, label binary")
-    for round_ in range(STARS + 1):
+    mine = None
+    for step in ("star", "best", "all"):
         # members of buckets that still hold several classes
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pick = F.struct(F.xxhash64(F.lit(round_), "node").alias("rank"), "node", "n", "label")
-        mixed = now.groupBy("band", "key").agg(F.min(pick).alias("_one"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high")
-        mixed = mixed.select("band", "key", F.col("_one.node").alias("_node"), F.col("_one.n").alias("_n"), F.col("_one.label").alias("_label"))
+        now = members.join(involved, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # the star's centre is the member that meets most others, as the origin of a group of near copies does
+        pick = F.struct((-F.col("weight")).alias("rank"), "node", "n", "label")
+        mixed = now.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min(pick).alias("_one"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high")
+        mixed = mixed.select("band", "key", "blocks", F.col("_one.node").alias("_node"), F.col("_one.n").alias("_n"), F.col("_one.label").alias("_label"))
         inside = written(now.join(mixed, ["band", "key"]), "inside")
         if inside.isEmpty():
             break
-        if round_ < STARS:
+        if step == "star":
             close = F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n")
             found = inside.where((F.col("label") != F.col("_label")) & close).select(F.col("node").alias("a"), F.col("_node").alias("b"))
             members = inside.where(F.col("node") != F.col("_node")).select("node", "band", "key", "n")
         else:
-            mine = inside.select("node").distinct()
-            tuples = everyone.join(bounded(mine), "node", "left_semi").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda x: x["key"]).alias("tuples"))
-            found = crossing_pairs(inside.select("band", "key", "node", "n", "label").join(tuples, "node"))
+            if mine is None:
+                mine = written(signatures(texts.join(bounded(inside.select("node").distinct()), "node", "left_semi")), "signatures")
+            found = crossing_pairs(inside.select("band", "key", "node", "n", "label", "blocks").join(mine, "node"), best=step == "best")
         fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = written(verify(written(fresh, "pairs"), texts), "checked")
         tested = tested.unionByName(checked)
