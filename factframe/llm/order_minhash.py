@@ -41,7 +41,7 @@ from factframe.llm.hashing import Tokens, chunks, mix, pair, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, LENGTH, AGREE = 32, 4, 3
-#: A pair's signatures agree in at least this share of their bytes; a pair of similarity 0.8 misses it with probability about 1e-6.
+#: A pair's signatures agree in at least this share of their bytes; a pair of similarity 0.8 misses it with probability about 5e-6.
 SIGNATURE, ALIKE = 512, 0.72
 BLOCK = 1024
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
