@@ -38,6 +38,23 @@ def test_toxicity_held_out(toy):
     assert len(rows) > 40 and all((r.toxic_score >= 0.5) == (r.toxic == 1) for r in rows)
 
 
+def test_toxicity_learns_from_all_rows_below_the_bound(toy, monkeypatch):
+    """A rare class does not cut the other one down to its size."""
+    docs, labels = toy
+    learned, written = {}, kneser_ney.written
+
+    def spy(df, name):
+        out = written(df, name)
+        learned[name] = out
+        return out
+
+    monkeypatch.setattr(kneser_ney, "written", spy)
+    kneser_ney.fit(docs, labels)
+    got = {r["label"]: r["count"] for r in learned["toxic-sample"].groupBy("label").count().collect()}
+    assert got == {r.toxic: r["count"] for r in labels.where(fold("doc_id") != 0).groupBy("toxic").count().collect()}
+    assert got[0] > 2 * got[1]
+
+
 def test_toxicity_odd_rows(toy, odd_documents, no_documents):
     docs, labels = toy
     model = kneser_ney.fit(docs, labels)
