@@ -12,8 +12,9 @@ blocks of a task together.
 Pretokens: text is split by the byte-level tokenizer's published pattern with
 array operations over code points; each distinct pretoken is encoded by the
 tokenizers library once per task and remembered by a 64-bit hash of its code
-points. Texts with apostrophes or characters beyond the table of classes go to
-the library as a whole; results are the library's either way.
+points. Texts with apostrophes, the content of an added token or characters
+beyond the table of classes go to the library as a whole; results are those of
+its encode(text, add_special_tokens=False) either way.
 
 Defined results: a null text is empty; every document ends with the end id; rows
 that repeat an id are adjacent documents in an order fixed by their coded bytes;
@@ -69,8 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -111,11 +112,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [np.zeros(0, np.uint16)] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and "'" not in t]
+        whole = [bool(t) and ("'" in t or any(a in t for a in self.added)) for t in texts]
+        plain = [i for i, t in enumerate(texts) if t and not whole[i]]
         for i, ids in zip(plain, self._encode([texts[i] for i in plain]) if plain else [], strict=True):
             out[i] = ids
         for i, t in enumerate(texts):
-            if t and ("'" in t or out[i] is None):  # contractions and characters beyond the table
+            if t and (whole[i] or out[i] is None):  # contractions, added tokens and characters beyond the table
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16)
         return out
 

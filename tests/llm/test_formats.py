@@ -241,6 +241,17 @@ def test_encoder_equals_library(path):
     assert [x.tolist() for x in e.encode(texts)] == want == [x.tolist() for x in e.encode(texts)]
 
 
+def test_encoder_finds_added_tokens_as_a_fresh_library_does(path):
+    from tokenizers import Tokenizer
+
+    fresh, e = Tokenizer.from_file(path), tokenids.Encoder(path)
+    assert "<|endoftext|>" in e.added
+    texts = ["<|endoftext|> x", "a b<|endoftext|><|endoftext|>c", "日 <|endoftext|>", "it's <|endoftext|>", "<|endoftext|", "<|endoftext| >", "plain text"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256, 2124]
+    assert [x.tolist() for x in e.encode(texts)] == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(list(" \n\tabé1½.!—'日")), max_size=25))
 def test_encoder_equals_library_on_any_text(path, text):
