@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factframe.functions.text import keywords, numbers
@@ -56,8 +56,9 @@ def overlap_free(ranked: DataFrame, key: str, k: int, per_document: int | None =
     free = lambda acc, x: (F.size(acc) < most) & F.forall(acc, lambda c: F.abs(c["s"] - x["s"]) >= WINDOW)
     chosen = F.aggregate("_all", F.array().cast("array<struct<r:bigint,s:bigint>>"), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
     thinned = mine.select(key, "doc_id", F.explode(chosen).alias("_c"))
-    top = thinned.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("_c.r", "doc_id", "_c.s"))), 1, k).alias("_top"))
-    return top.select(key, F.posexplode("_top").alias("_p", "_t")).select(key, (F.col("_p") + 1).alias("place"), "_t.doc_id", F.col("_t.s").alias("start"), (-F.col("_t.r")).alias(order))
+    # the row number's limit holds within each map task too, so k rows of a question leave it
+    placed = thinned.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_c.r", "doc_id", "_c.s"))).where(F.col("place") <= k)
+    return placed.select(key, "place", "doc_id", F.col("_c.s").alias("start"), (-F.col("_c.r")).alias(order))
 
 
 # Intents in order of precedence, with their cue words.

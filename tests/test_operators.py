@@ -72,6 +72,15 @@ def test_overlap_free_top_k(spark):
     assert [(r.place, r.doc_id, r.start) for r in sorted(got, key=lambda r: r.place)] == [(1, 1, 450), (2, 2, 0)]
 
 
+def test_overlap_free_top_k_of_many_documents_is_limited_before_the_shuffle(spark):
+    rows = [(i % 3, i, 0, i * 7919 % 101) for i in range(3000)]
+    top = retrieval.overlap_free(spark.createDataFrame(rows, "item_id long, doc_id long, start long, score long"), "item_id", 5)
+    want = [(q, n + 1, r[1], r[3]) for q in range(3) for n, r in enumerate(sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1]))[:5])]
+    assert sorted((r.item_id, r.place, r.doc_id, r.score) for r in top.collect()) == want
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("(1,234.5)",), ("—",), ("₹20,160",), ("abc",)], "raw string")
     assert [r[0] for r in df.select(X.parse_number(F.col("raw"))).collect()] == [-1234.5, 0.0, 20160.0, None]
