@@ -56,6 +56,11 @@ def fix_ocr_numbers(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=\d),(?=,)", "")
 
 
+def number_runs(text: Column) -> Column:
+    """Number-like runs in order: digits, separators, and what fix_ocr_numbers mends between them (letters read for digits, blanks around a separator)."""
+    return F.regexp_extract_all(text, F.lit(r"[0-9](?:[0-9,.]|(?<=[0-9])[oOlI](?=[0-9,.])|(?<=[0-9]) +(?=[,.][0-9])|(?<=[0-9oOlI][,.]) +(?=[0-9]))*"), F.lit(0))
+
+
 def garbled_share(text: Column, most: int = 8000) -> Column:
     """Share of tokens that look like broken encoding, over the part of the text that the score is defined on."""
     words = F.filter(F.split(F.substring(text, 1, most), r"\s+"), lambda w: w != "")

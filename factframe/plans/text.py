@@ -105,10 +105,11 @@ def find_guidance(spark, sf_dir):
 
 @query()
 def ocr_number_fix(spark, sf_dir):
+    """One row for each number-like run of each document, with its position among them."""
     sample = spark.sql("select * from values (1L, '1O,240'), (2L, '2 ,445.1'), (3L, '3, 240'), (4L, '(1,234.5)'), (5L, '—'), (6L, '4l,000') as t(doc_id, raw)")
-    fixed = X.fix_ocr_numbers(F.col("raw"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"[0-9][0-9lIoO,. ]*", 0).alias("raw")).where("raw != ''")
-    return sample.unionByName(docs).select("doc_id", "raw", fixed.alias("fixed"), X.parse_number(fixed).alias("value"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.number_runs(F.col("text"))).alias("position", "raw"))
+    fixed = F.regexp_replace(X.fix_ocr_numbers(F.col("raw")), "(?<=[0-9])[,.]+$", "")
+    return sample.withColumn("position", F.lit(0)).unionByName(docs).select("doc_id", "position", "raw", fixed.alias("fixed"), X.parse_number(fixed).alias("value"))
 
 
 _RULES = (("license", "license_notice"), (r"[0-9]{3}[-. ][0-9]{4}", "contact"), ("\\|", "table"), (r"https?://", "web"))

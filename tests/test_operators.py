@@ -1,6 +1,8 @@
 """Literal fixtures: expected answers written out by hand."""
 
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -86,6 +88,24 @@ def test_numbers(spark):
     assert [r[0] for r in df.select(X.parse_number(F.col("raw"))).collect()] == [-1234.5, 0.0, 20160.0, None]
 
 
+def test_every_number_of_a_document_is_repaired_and_parsed(spark, tmp_path):
+    from factframe.plans.text import ocr_number_fix
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["1", "27", "903", "O", "l", "I", ",", ".", " ", " ", "of", "(", "-", "x", "\n"], k=rng.randint(0, 40))) for _ in range(400)]
+    texts += ["paid 1O,240 to 12 of 30. Then 2 ,445.1 and 3, 240.", None]
+    spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in sorted(ocr_number_fix(spark, str(tmp_path)).where("doc_id >= 100").collect(), key=lambda r: (r.doc_id, r.position)):
+        assert r.position == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id].append((r.fixed, r.value))
+    for i, text in enumerate(texts, 100):
+        for pattern, to in ((r"(?<=\d)[oO](?=[\d,.])", "0"), (r"(?<=\d)[lI](?=[\d,.])", "1"), (r"(?<=\d) +(?=[,.]\d)", ""), (r"(?<=\d[,.]) +(?=\d)", ""), (r"(?<=\d),(?=,)", "")):
+            text = re.sub(pattern, to, text or "")  # over the whole text, then its numbers
+        assert [f for f, _ in got.get(i, [])] == re.findall(r"\d+(?:[,.]+\d+)*", text), texts[i - 100]
+    assert [v for _, v in got[500]] == [10240.0, 12.0, 30.0, 2445.1, 3240.0]
+
+
 def test_normalised_keeps_accents(spark):
     df = spark.createDataFrame([("Étion,  RISK—of\tfire",)], "t string")
     assert df.select(X.normalised(F.col("t"))).first()[0] == "étion risk of fire"
