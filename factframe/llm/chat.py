@@ -2,8 +2,8 @@
 
 The nested field paths of a table, as far as any known layout uses them, are
 hashed; the fingerprint selects a declarative mapping to canonical turns
-(conversation, turn, role, text). A table that mixes layouts is fingerprinted
-row by row, by which of its known columns are not null. Canonical turns are
+(conversation, turn, role, text). In a table that mixes layouts each row is
+mapped by the layout whose marking columns are not null. Canonical turns are
 then written in a template
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
@@ -17,8 +17,10 @@ meet in one task; nothing else does.
 
 Defined results: null texts and roles are empty; turns are ordered by turn
 (null first), then role, then text, and repeated rows are turns of their own;
-a null conversation id is one conversation; records of no known layout are
-left out by canonical_turns and can be counted with `fingerprints`.
+a null conversation id is one conversation; a record with one side null (a
+prompt without a response) keeps both turns; records that no layout or more than
+one layout marks are left out by canonical_turns and returned by
+unmatched_records.
 """
 
 from __future__ import annotations
@@ -87,22 +89,54 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return df.withColumn("_fingerprint", F.sha2(present, 256))
 
 
-def canonical_turns(df: DataFrame, record: str = "conv_id") -> DataFrame:
-    """conv_id, turn, role, text: one row per turn, whatever the layout."""
+def _marks(layouts: list[Layout]) -> dict[str, Column]:
+    """For each layout, whether it marks a row: any of its columns but conv_id and turn is not null."""
+    out = {}
+    for x in layouts:
+        tops = sorted({_top(p) for p in x.paths} - {"conv_id", "turn"})
+        out[x.name] = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in tops], F.lit(False))
+    if "turn_rows" in out:  # a turn may have neither role nor text
+        others = [m for n, m in out.items() if n != "turn_rows"]
+        out["turn_rows"] = out["turn_rows"] | (F.col("turn").isNotNull() & ~F.greatest(F.lit(False), *others))
+    return out
+
+
+def _matched(marks: dict[str, Column]) -> Column:
+    """Whether exactly one layout marks a row."""
+    return sum((m.cast("int") for m in marks.values()), F.lit(0)) == 1
+
+
+def _layouts(df: DataFrame) -> list[Layout]:
     layouts = known_layouts(df.schema)
     if not layouts:
         raise ValueError(f"no known layout among {sorted(set(field_paths(df.schema)))}")
+    return layouts
+
+
+def unmatched_records(df: DataFrame) -> DataFrame:
+    """The rows, whole, that canonical_turns leaves out: marked by no layout, or by more than one."""
+    layouts = _layouts(df)
+    return df.where(F.lit(False)) if [x.turns for x in layouts] == [None] else df.where(~_matched(_marks(layouts)))
+
+
+def canonical_turns(df: DataFrame, record: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role, text: one row per turn, whatever the layout."""
+    layouts = _layouts(df)
     shape = lambda x: x.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    if layouts[0].turns is None:
+    if [x.turns for x in layouts] == [None]:
         return shape(df)
-    marked, turns = fingerprints(df), None
+    marks = _marks(layouts)
+    turns, conversation = None, F.col(record)
     for layout in layouts:
-        chosen = F.col("_fingerprint") == fingerprint(layout.paths)
-        if layout.name == "instruction":  # `input` may be null
-            chosen = chosen | (F.col("_fingerprint") == fingerprint(("instruction", "output")))
-        turns = F.when(chosen, F.expr(layout.turns)) if turns is None else turns.when(chosen, F.expr(layout.turns))
-    exploded = marked.select(F.col(record).alias("conv_id"), F.posexplode(turns).alias("turn", "_m"))
-    return shape(exploded.select("conv_id", "turn", F.col("_m.role").alias("role"), F.col("_m.text").alias("text")))
+        if layout.turns is None:
+            made = F.array(F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))
+            if record != "conv_id":
+                conversation = F.when(marks[layout.name], F.col("conv_id")).otherwise(F.col(record))
+        else:
+            made = F.transform(F.expr(layout.turns), lambda m, i: F.struct(i.cast("long").alias("turn"), m["role"].cast("string").alias("role"), m["text"].cast("string").alias("text")))
+        turns = F.when(marks[layout.name], made) if turns is None else turns.when(marks[layout.name], made)
+    exploded = df.where(_matched(marks)).select(conversation.alias("conv_id"), F.explode(turns).alias("_m"))
+    return shape(exploded.select("conv_id", "_m.turn", "_m.role", "_m.text"))
 
 
 def escape(text: Column) -> Column:

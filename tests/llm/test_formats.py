@@ -221,6 +221,26 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.range(1))
 
 
+def test_chat_keeps_records_of_tables_that_mix_turn_rows(spark):
+    kind = "conv_id long, turn long, role string, text string, messages array<struct<role string, content string>>"
+    rows = [(1, 0, "user", "a", None), (1, 1, None, None, None), (2, None, None, None, [("user", "hi"), ("assistant", None)]), (3, None, None, None, None), (4, 0, "user", "x", [("user", "y")]), (5, 7, None, None, [("user", "z")])]
+    df = spark.createDataFrame(rows, kind)
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(df).collect())
+    assert got == [(1, 0, "user", "a"), (1, 1, "", ""), (2, 0, "user", "hi"), (2, 1, "assistant", ""), (5, 0, "user", "z")]
+    left = chat.unmatched_records(df)
+    assert left.columns == df.columns and sorted(r.conv_id for r in left.collect()) == [3, 4]
+
+
+def test_chat_keeps_records_with_one_side_null(spark):
+    pairs = spark.createDataFrame([(1, "p", None), (2, None, "r"), (3, None, None)], "conv_id long, prompt string, response string")
+    got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.canonical_turns(pairs).collect()}
+    assert got == {(1, 0): ("user", "p"), (1, 1): ("assistant", ""), (2, 0): ("user", ""), (2, 1): ("assistant", "r")}
+    assert [r.conv_id for r in chat.unmatched_records(pairs).collect()] == [3]
+    tasks = spark.createDataFrame([(1, "do", None, None), (2, None, "this", "done")], "conv_id long, instruction string, input string, output string")
+    got = {(r.conv_id, r.turn): r.text for r in chat.canonical_turns(tasks).collect()}
+    assert got == {(1, 0): "do", (1, 1): "", (2, 0): "this", (2, 1): "done"}
+
+
 def test_chat_odd_rows(spark):
     rows = [(None, None, None, None), (1, 0, "user", "same"), (1, 0, "user", "same"), (1, None, "assistant", "x" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("_n", F.lit(1))
