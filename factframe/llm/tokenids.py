@@ -1,30 +1,28 @@
 """Token ids in files under a canonical, length-limited Huffman code.
 
 Tokenising runs once: ids are stored as compressed columns in the shared
-folder, global counts are taken from them, and one code over all ids (at most
-MOST_BITS bits a code) is agreed. Documents are encoded where they lie, then
-dealt by ranges of their ids and sorted, so the shuffle moves coded bytes only;
-each range becomes a file of independent blocks of BLOCK ids. A block
-begins at a byte and its bit offset is its checkpoint, so any block can be
+folder, each task with its counts beside them, and one code over all ids (at
+most MOST_BITS bits a code) is agreed. Documents are dealt by ranges of their
+ids and sorted, still compressed; each range becomes a file of independent
+blocks of BLOCK ids. A block begins at a byte and its bit offset is its checkpoint, so any block can be
 decoded alone. Decoding looks MOST_BITS bits up in one table and advances all
 blocks of a task together.
 
 Pretokens: text is split by the byte-level tokenizer's published pattern with
 array operations over code points; each distinct pretoken is encoded by the
-tokenizers library once per task and remembered by a 64-bit hash of its code
-points. Texts with apostrophes, the content of an added token or characters
-beyond the table of classes go to the library as a whole; results are those of
-its encode(text, add_special_tokens=False) either way.
+tokenizers library once per worker and remembered by 128 bits of two hashes of
+its code points. Classes of characters are asked of the library's own splitting.
+Texts with the content of an added token go to the library as a whole; results
+are those of its encode(text, add_special_tokens=False) either way.
 
 Defined results: a null text is empty; every document ends with the end id; rows
-that repeat an id are adjacent documents in an order fixed by their coded bytes;
+that repeat an id are adjacent documents in an order fixed by their ids' bytes;
 null ids come first; an empty table writes no file.
 """
 
 from __future__ import annotations
 
 import heapq
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,10 +30,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factframe.llm.common import fresh_path, written
+from factframe.llm.common import bounded, fresh_path, written
 from factframe.llm.files import Folder
 from factframe.llm.hashing import chunks, mix
 
@@ -44,20 +43,53 @@ BLOCK = 1_024
 MOST_BITS = 16
 FILE_IDS = 8_000_000
 REMEMBERED = 1_200_000
+#: Ids coded or decoded at a time, and files to a section of the running sum.
+TASK_IDS = 400_000
+SECTION = 4_096
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
-_BASE = 0xD1342543DE82EF95
-_UNBASE = pow(_BASE, -1, 1 << 64)
-
-
-def _class(c: int) -> int:
-    """The pattern's class of a code point: white space, letter, number, or other."""
-    s = chr(c)
-    kind = unicodedata.category(s)[0]
-    if kind == "L":
-        return _LETTER
-    if kind == "N":
-        return _DIGIT
-    return _SPACE if s.isspace() and not 0x1C <= c <= 0x1F else _OTHER
+_UNKNOWN = 255
+_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+# Fixed values of the published byte-level pattern: what may follow an apostrophe as a token of its own.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+class Memory:
+    """An open-addressing table from two hashes of a pretoken to its place among those remembered."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.n = bits, 0
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.keys, self.checks = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it is not known."""
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.slots[slot]
+        left = np.flatnonzero((found >= 0) & ((self.keys[found] != keys) | (self.checks[found] != checks)))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
+            found[left] = here = self.slots[slot[left]]
+            left = left[(here >= 0) & ((self.keys[here] != keys[left]) | (self.checks[here] != checks[left]))]
+        return found
+
+    def add(self, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Keys not known yet and all different; they take the next places."""
+        end = self.n + len(keys)
+        if end > len(self.keys):
+            self.keys, self.checks = (np.resize(x, 1 << int(end).bit_length()) for x in (self.keys, self.checks))
+        self.keys[self.n : end], self.checks[self.n : end] = keys, checks
+        first, self.n = self.n, end
+        if 2 * end > len(self.slots):
+            self.bits = int(2 * end).bit_length()
+            self.slots = np.full(1 << self.bits, -1, np.int32)
+            first = 0
+        place = np.arange(first, end, dtype=np.int32)
+        slot = (self.keys[first:end] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(place):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = place[free]
+            lost = self.slots[slot] != place
+            place, slot = place[lost], (slot[lost] + 1) & (len(self.slots) - 1)
 
 
 class Encoder:
@@ -76,101 +108,116 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
-        self.classes = np.full(0x3000, 255, np.uint8)
-        self.classes[:0x250] = [_class(c) for c in range(0x250)]
+        self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
         self.forget()
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+        self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * len(_BASES)
 
     def forget(self) -> None:
-        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memory = Memory()
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _class(self, point: int) -> int:
+        """The pattern's class of a code point, as the library's own splitting shows it: does it join a letter, a digit, a mark?"""
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        for kind, beside in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")):
+            if len(split(beside + chr(point))) == 1:
+                return kind
+        return _SPACE
+
+    def _learn(self, hashes: list[np.ndarray], words: list[str]) -> None:
         tokenize, letters = self.model.tokenize, self.letters
         found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
         count = np.array([*map(len, found)], np.int64)
         flat = np.array([*chain.from_iterable(found)], np.uint16)
-        first = len(self.flat) + np.cumsum(count) - count
-        at = np.searchsorted(self.keys, hashes)  # both sorted
-        self.keys, self.first, self.count = np.insert(self.keys, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
-        self.flat = np.concatenate([self.flat, flat])
+        self.memory.add(*hashes)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, flat])
 
     def _spans(self, points: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Where pretokens begin: texts' begins, changes of class, and how spaces go with what follows."""
+        """Where pretokens begin: texts' begins, changes of class, how spaces go with what follows, and contractions."""
         n = len(points)
-        start = np.zeros(n + 1, bool)
-        start[begins] = True
-        start[n] = True
+        first = np.zeros(n + 3, bool)
+        first[begins] = True
+        first[n:] = True
+        start = first[: n + 1].copy()
         start[1:n] |= kinds[1:] != kinds[:-1]
         # the last of a run of white space stands alone, or joins what follows if it is a blank
         space = kinds == _SPACE
-        last = np.flatnonzero(space[:-1] & ~space[1:] & ~start_of_text(begins, n)[1:-1])
+        last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])
         start[last] = True
         start[last[points[last] == 32] + 1] = False
+        quote = np.flatnonzero((points == 39) & start[:n])
+        if len(quote):
+            padded = np.concatenate([points, np.zeros(3, np.uint32)])
+            for tail in CONTRACTIONS:
+                fits = np.ones(len(quote), bool)
+                for k, c in enumerate(tail, 1):
+                    fits &= (padded[quote + k] == ord(c)) & ~first[quote + k]
+                at = quote[fits]
+                start[at + 1] = False
+                start[at + 1 + len(tail)] = True
         return np.flatnonzero(start)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [np.zeros(0, np.uint16)] * len(texts)
-        whole = [bool(t) and ("'" in t or any(a in t for a in self.added)) for t in texts]
+        whole = [bool(t) and any(a in t for a in self.added) for t in texts]
         plain = [i for i, t in enumerate(texts) if t and not whole[i]]
         for i, ids in zip(plain, self._encode([texts[i] for i in plain]) if plain else [], strict=True):
             out[i] = ids
         for i, t in enumerate(texts):
-            if t and (whole[i] or out[i] is None):  # contractions, added tokens and characters beyond the table
+            if whole[i]:
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16)
         return out
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Ids of texts without apostrophes; None where a character is beyond the table of classes."""
+    def _hashes(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of each span, of different polynomials."""
+        out, values = [], points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(12345)
+        for k, base in enumerate(_BASES):
+            if len(self.powers[k][0]) <= len(points):
+                pair = []
+                for step in (base, pow(base, -1, 1 << 64)):
+                    steps = np.full(len(points) + 1, step, np.uint64)
+                    steps[0] = 1
+                    pair.append(np.cumprod(steps, dtype=np.uint64))
+                self.powers[k] = tuple(pair)
+            up, down = self.powers[k]
+            total = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum(values * up[: len(points)], out=total[1:])
+            out.append(mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        wide = np.maximum.reduceat(points, begins) >= len(self.classes)
-        if wide.any():
-            rest = iter(self._encode([t for t, w in zip(texts, wide, strict=True) if not w]) if not wide.all() else [])
-            return [None if w else next(rest) for w in wide]
-        unseen = np.unique(points[self.classes[points] == 255])
-        self.classes[unseen] = [_class(int(c)) for c in unseen]
-        edges = self._spans(points, self.classes[points], begins)
+        kinds = self.classes[points]
+        if (kinds == _UNKNOWN).any():
+            for c in np.unique(points[kinds == _UNKNOWN]).tolist():
+                self.classes[c] = self._class(c)
+            kinds = self.classes[points]
+        edges = self._spans(points, kinds, begins)
         start, end = edges[:-1], edges[1:]
-        if len(self.up) <= len(points):
-            for name, base in (("up", _BASE), ("down", _UNBASE)):
-                steps = np.full(len(points) + 1, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(12345)) * self.up[: len(points)], out=total[1:])
-        hashes = mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
-        at = np.searchsorted(self.keys, hashes)
-        known = np.zeros(len(hashes), bool)
-        if len(self.keys):
-            at = np.minimum(at, len(self.keys) - 1)
-            known = self.keys[at] == hashes
-        if not known.all():
-            if len(self.keys) > REMEMBERED:
-                self.forget()
-                known[:] = False
-            fresh, where = np.unique(hashes[~known], return_index=True)
-            where = np.flatnonzero(~known)[where]
+        hashes = self._hashes(points, start, end)
+        if self.memory.n > REMEMBERED:
+            self.forget()
+        at = self.memory.find(*hashes)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            _, where = np.unique(hashes[0][missing] ^ (hashes[1][missing] << np.uint64(1)), return_index=True)
+            where = missing[where]
             whole = "".join(texts)
-            self._learn(fresh, [whole[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, hashes)  # the new keys have moved the old ones
+            self._learn([h[where] for h in hashes], [whole[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            at[missing] = self.memory.find(*(h[missing] for h in hashes))
         count = self.count[at]
         stop = np.cumsum(count)
         index = np.repeat(self.first[at] - (stop - count), count) + np.arange(stop[-1])
         ids = self.flat[index]
-        begin_word = np.searchsorted(start, begins)
-        cuts = np.concatenate(([0], stop))[np.append(begin_word, len(start))]
+        cuts = np.concatenate(([0], stop))[np.append(np.searchsorted(start, begins), len(start))]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def start_of_text(begins: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n + 1, bool)
-    out[begins] = True
-    return out
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -182,19 +229,30 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (compressed 16-bit, low bytes then high bytes), n: ids with the end id, whole texts."""
+    """doc_id, ids (compressed 16-bit, low bytes then high bytes), n: ids with the end id, whole texts.
+
+    Each task ends with one row of `counts`, how often it has met each id; ids is null there.
+    """
+    counted = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
 
     def encode(batches: Iterator[pa.RecordBatch]):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch, texts in chunks(batches, limit=1 << 20):
-            packed, sizes = [], []
-            for ids in encoder(path).encode(texts):
-                ids = np.append(ids, np.uint16(END_ID))
-                packed.append(squeeze.compress(ids.view(np.uint8).reshape(-1, 2).T.tobytes()))
-                sizes.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "ids", "n"])
+        squeeze, names = zstandard.ZstdCompressor(level=1), ["doc_id", "ids", "n", "counts"]
+        total = np.zeros(1 << 16, np.int64)
+        end = np.array([END_ID], np.uint16)
+        for batch, texts in chunks(batches, limit=1 << 18):
+            found = encoder(path).encode(texts)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
+            together = np.concatenate([x for ids in found for x in (ids, end)])
+            total += np.bincount(together, minlength=1 << 16)
+            planes = np.ascontiguousarray(together.view(np.uint8).reshape(-1, 2).T)
+            cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
+            packed = [squeeze.compress(planes[:, a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(sizes), pa.nulls(len(sizes), counted)], names=names)
+        used = np.flatnonzero(total)
+        row = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pa.StructArray.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"]))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), row], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, n long, counts array<struct<id:int,n:long>>")
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -204,17 +262,9 @@ def unpack(data: bytes) -> np.ndarray:
 
 def global_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs in the whole corpus; 65,536 numbers at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for begin in range(0, len(batch), 500):
-                total += np.bincount(np.concatenate([unpack(x.as_py()) for x in batch.column(0).slice(begin, 500)]), minlength=1 << 16)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
-
     out = np.zeros(1 << 16, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    each = tokens.where("counts is not null").select(F.explode("counts").alias("c")).select("c.id", "c.n")
+    for r in each.groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -328,49 +378,40 @@ def decode_blocks(data: bytes, begin: np.ndarray, count: np.ndarray, table: tupl
 
 
 def write_files(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
-    """A file for each range of ids, in order; returns a row per document: file, byte offset, size, ids, and its block checkpoints.
+    """A file for each range of ids, in order; returns a row per document: part, ids of the part before it, file, byte offset, size, ids, and its block checkpoints.
 
-    Ranges are quantiles of the ids. They are a column of the coded rows, so
-    that dealing them out does not run the coding a second time to sample it.
+    Rows are dealt by ranges of (id, hash of the ids), so rows that repeat an id
+    or have none spread over files too.
     """
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    files = max(1, -(-total // FILE_IDS))
-    edges = tokens.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else None
-    shared = tokens.sparkSession.sparkContext.broadcast((canonical_codes(lengths), lengths, np.unique(np.array(edges or [], np.int64))))
-    shape = "part int, line long, doc_id long, file string, offset long, size long, n long, checkpoints array<long>"
-
-    def code(batches: Iterator[pa.RecordBatch]):
-        codes, lengths, edges = shared.value
-        for batch in batches:
-            for begin in range(0, len(batch), 200):
-                some = batch.slice(begin, 200)
-                documents = [unpack(x.as_py()) for x in some.column(1)]
-                packed = encode_blocks(documents, codes, lengths)
-                known = some.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-                part = np.where(known == np.iinfo(np.int64).min, 0, np.searchsorted(edges, known, side="right")).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), some.column(0), pa.array([p[0] for p in packed], pa.binary()), pa.array([(p[1] * 8).tolist() for p in packed], pa.list_(pa.int64())), pa.array([len(d) for d in documents], pa.int64())], names=["part", "doc_id", "data", "checkpoints", "n"])
+    rows = tokens.where("counts is null").select("doc_id", "ids", "n", F.xxhash64("ids").alias("_h"))
+    files = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // FILE_IDS))
+    shared = tokens.sparkSession.sparkContext.broadcast((canonical_codes(lengths), lengths))
+    shape = "part int, before long, doc_id long, file string, offset long, size long, n long, checkpoints array<long>"
+    names = [c.split()[0] for c in shape.split(", ")]
 
     def write(batches: Iterator[pa.RecordBatch]):
-        out, name, at, line, last = None, "", 0, 0, None
+        codes, lengths = shared.value
+        part, out, name, at, before = TaskContext.get().partitionId(), None, "", 0, 0
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["part"] != last:
-                    if out is not None:
-                        out.close()
-                    (name, out), at, line, last = Folder(folder).create(".ids"), 0, 0, r["part"]
-                out.write(r["data"])
-                rows.append((r["part"], line, r["doc_id"], name, at, len(r["data"]), r["n"], r["checkpoints"]))
-                at, line = at + len(r["data"]), line + 1
-            if rows:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in shape.split(", ")])
+            sizes, begin = batch.column(2).to_numpy(), 0
+            while begin < len(batch):
+                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), TASK_IDS, side="right")))
+                documents = [unpack(x) for x in batch.column(1).slice(begin, end - begin).to_pylist()]
+                packed = encode_blocks(documents, codes, lengths)
+                if out is None:
+                    name, out = Folder(folder).create(".ids")
+                out.write(b"".join(p[0] for p in packed))
+                held, n = np.array([len(p[0]) for p in packed], np.int64), sizes[begin:end]
+                ends, ids = np.cumsum(held), np.cumsum(n)
+                columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(before + ids - n), batch.column(0).slice(begin, end - begin), pa.array([name] * len(n)), pa.array(at + ends - held), pa.array(held), pa.array(n), pa.array([(p[1] * 8).tolist() for p in packed], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at, before, begin = at + int(ends[-1]), before + int(ids[-1]), end
         if out is not None:
             out.close()
 
-    coded = tokens.select("doc_id", "ids").mapInArrow(code, "part int, doc_id long, data binary, checkpoints array<long>, n long")
-    dealt = coded.repartition(files, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "data")
-    return written(dealt.mapInArrow(write, shape), "id-files")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("ids")]
+    dealt = rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
+    return written(dealt.select("doc_id", "ids", "n").mapInArrow(write, shape), "id-files")
 
 
 def read_files(manifest: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
@@ -380,10 +421,10 @@ def read_files(manifest: DataFrame, lengths: np.ndarray, folder: str) -> DataFra
     def read(batches: Iterator[pa.RecordBatch]):
         source = Folder(folder)
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for i in range(0, len(rows), 500):
-                some = rows[i : i + 500]
+            rows, sizes, i = batch.to_pylist(), batch.column(batch.schema.get_field_index("n")).to_numpy(), 0
+            while i < len(rows):
+                some = rows[i : i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), TASK_IDS, side="right")))]
+                i += len(some)
                 data, begin, count, base = [], [], [], 0
                 for r in some:
                     data.append(source.read(r["file"], r["offset"], r["size"]))
@@ -392,16 +433,18 @@ def read_files(manifest: DataFrame, lengths: np.ndarray, folder: str) -> DataFra
                     base += r["size"]
                 ids = decode_blocks(b"".join(data), np.array(begin, np.int64), np.array(count, np.int64), shared.value).astype("<u4")
                 cut = np.cumsum([0] + [r["n"] for r in some])
-                out += [(r["doc_id"], r["part"], r["line"], r["n"], zlib.crc32(ids[a:b].tobytes())) for r, a, b in zip(some, cut[:-1], cut[1:], strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "part", "line", "n_tokens", "ids_crc32"])
-
-    found = manifest.mapInArrow(read, "doc_id long, part int, line long, n_tokens long, ids_crc32 long")
-    # ids before a document: those of earlier files (one row each) and those before it in its own file
-    parts = manifest.groupBy("part").agg(F.sum("n").alias("_n"))
-    earlier = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_earlier"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("line")) - F.col("n_tokens")
-    return found.withColumn("_inside", inside).join(F.broadcast(earlier), "part").select("doc_id", (F.col("_earlier") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32")
+                out = [(r["doc_id"], r["part"], r["before"], r["n"], zlib.crc32(ids[a:b].tobytes())) for r, a, b in zip(some, cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
+
+    found = manifest.mapInArrow(read, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+    # ids of earlier files: one row a file, summed up within sections of files and then over the sections
+    section = F.floor(F.col("part") / SECTION)
+    parts = manifest.groupBy("part").agg(F.sum("n").alias("_n")).withColumn("_section", section)
+    sections = parts.groupBy("_section").agg(F.sum("_n").alias("_all"))
+    sections = sections.select("_section", (F.sum("_all").over(Window.orderBy("_section")) - F.col("_all")).alias("_outer"))
+    inner = F.sum("_n").over(Window.partitionBy("_section").orderBy("part")) - F.col("_n")
+    earlier = parts.withColumn("_inner", inner).join(sections, "_section").select("part", (F.col("_outer") + F.col("_inner")).alias("_earlier"))
+    return found.join(bounded(earlier), "part").select("doc_id", (F.col("_earlier") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_corpus(docs: DataFrame, path: str) -> DataFrame:

@@ -254,17 +254,23 @@ def path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_encoder_equals_library(path):
+@pytest.fixture(scope="module")
+def fresh(path):
+    """The library by itself, not the encoder's."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def test_encoder_equals_library(path, fresh):
     e = tokenids.Encoder(path)
-    texts = ["", None, "a  b\n\n c \n", "it's 'll don't", "x\t\ty  \n", "日本 a", "12 34a!? ..   x", " ", "\n", "é 1½ ‘ok’", "<|endoftext|> x", "   x", "end  "]
-    want = [e.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts = ["don't we've I'M they'll he'd 's 't", "''s .'s 1're \n'll  've\t'd", "'", "'s", "x'", "o'clock 'tis ''", "a  b\n\n c \n", "it's 'll don't", "x\t\ty  \n", "日本 a", "12 34a!? ..   x", " ", "\n", "é 1½ ‘ok’", "<|endoftext|> x", "   x", "end  "]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in e.encode(texts)] == want == [x.tolist() for x in e.encode(texts)]
 
 
-def test_encoder_finds_added_tokens_as_a_fresh_library_does(path):
-    from tokenizers import Tokenizer
-
-    fresh, e = Tokenizer.from_file(path), tokenids.Encoder(path)
+def test_encoder_finds_added_tokens_as_a_fresh_library_does(path, fresh):
+    e = tokenids.Encoder(path)
     assert "<|endoftext|>" in e.added
     texts = ["<|endoftext|> x", "a b<|endoftext|><|endoftext|>c", "日 <|endoftext|>", "it's <|endoftext|>", "<|endoftext|", "<|endoftext| >", "plain text"]
     want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
@@ -273,10 +279,10 @@ def test_encoder_finds_added_tokens_as_a_fresh_library_does(path):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from(list(" \n\tabé1½.!—'日")), max_size=25))
-def test_encoder_equals_library_on_any_text(path, text):
+@given(st.text(st.sampled_from(list(" \n\tabstrevmldé1½.!—''日本\u00a0\u3000\U0001f600")), max_size=25))
+def test_encoder_equals_library_on_any_text(path, fresh, text):
     e = tokenids.encoder(path)
-    assert e.encode([text])[0].tolist() == e.library.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in e.encode([text, "s", text])] == [fresh.encode(t, add_special_tokens=False).ids for t in (text, "s", text)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -299,14 +305,26 @@ def test_blocks_decode_alone():
         assert (last == ids[1024 * (len(begin) - 1) :]).all()
 
 
-def test_token_files(spark, path, odd_documents, no_documents, monkeypatch):
+def test_memory_of_pretokens():
+    rng = np.random.default_rng(2)
+    memory, known = tokenids.Memory(3), {}
+    for _ in range(40):
+        keys, checks = (rng.integers(0, 50, 30).astype(np.uint64) << np.uint64(s) for s in (59, 0))  # many equal slots
+        found = memory.find(keys, checks)
+        pairs = list(zip(keys.tolist(), checks.tolist()))
+        assert found.tolist() == [known.get(p, -1) for p in pairs]
+        fresh = sorted({p for p in pairs if p not in known})
+        memory.add(*(np.array(c, np.uint64) for c in (zip(*fresh) if fresh else ([], []))))
+        known |= {p: len(known) + i for i, p in enumerate(fresh)}
+
+
+def test_token_files(spark, path, fresh, odd_documents, no_documents, monkeypatch):
     monkeypatch.setattr(tokenids, "FILE_IDS", 50_000)
     got = sorted(tokenids.encode_corpus(odd_documents, path).collect(), key=lambda r: r.start)
-    library = tokenids.Encoder(path).library
     texts = sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in odd_documents.collect())
     at = 0
     for r, (doc_id, text) in zip(got, texts, strict=True):
-        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*fresh.encode(text, add_special_tokens=False).ids, 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert tokenids.encode_corpus(no_documents, path).count() == 0
