@@ -6,7 +6,7 @@ edges): the log odds of the n-gram among the languages whose bit is 1 against
 those whose bit is 0, counted over every training document. A document's margin
 for a bit is the mean log odds of its n-grams. Decoding takes the codeword of
 least loss, where a bit's logistic loss is weighted by how well that bit
-separated the training documents; a small lead over the second codeword is
+separated the training n-grams; a small lead over the second codeword is
 flagged as ambiguous.
 
 Defined results: `und` with score 0 where the text is null, empty or has no
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factframe.llm.common import fold
-from factframe.llm.hashing import Tokens, chunks, mix
+from factframe.llm.hashing import CLASS, WORD, chunks
 
 SLOTS = 1 << 15
 ORDERS = (2, 3, 4)
@@ -47,26 +47,35 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def ngram_slots(texts: list[str | None], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document index, slot) of every n-gram, and whether each document has a letter."""
-    tokens = Tokens(texts)
-    docs, found = [], []
-    length = tokens.end - tokens.start
-    for n in ORDERS:
-        # an n-gram may take one space on either side, so prefixes and suffixes have features of their own
-        count = np.maximum(length + 3 - n, 0)
-        count[(tokens.start == 0)] = np.maximum(length + 2 - n, 0)[tokens.start == 0]
-        first = np.where(tokens.start > 0, tokens.start - 1, tokens.start)
-        at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        inside = at + n <= len(tokens.buf)
-        at = at[inside]
-        window = np.zeros(len(at), np.uint64)
-        for i in range(n):
-            window = (window << np.uint64(8)) | tokens.buf[at + i].astype(np.uint64)
-        found.append((mix(window + np.uint64(n << 40)) % np.uint64(slots)).astype(np.int64))
-        docs.append(np.repeat(tokens.doc, count)[inside])
+def _slot(window: np.ndarray, slots: int) -> np.ndarray:
+    """The upper bits of a product, for a power of two of slots."""
+    return ((window * np.uint32(0x9E3779B1)) >> np.uint32(33 - slots.bit_length())).astype(np.int32)
+
+
+def ngram_slots(texts: list[str | None], slots: int = SLOTS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the slots of all n-grams in order of place; where each document's begin, (orders, documents + 1); whether each has a letter.
+
+    An n-gram has word bytes only, but may take one blank on either side, so
+    that prefixes and suffixes have features of their own.
+    """
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    buf = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n\n\n\n", np.uint8)
+    word = CLASS[buf] == WORD
+    byte = np.where(word, buf, np.uint8(32)).astype(np.uint32)
+    n = int(ends[-1])  # an n-gram belongs to the document of its second byte
+    window, found, begins = byte[:n], [], []
+    for order in ORDERS:
+        window = (window << np.uint32(8)) | byte[order - 1 : n + order - 1]
+        if order == 2:
+            inside = word[:n] | word[1 : n + 1]
+        else:
+            inside = word[1 : n + 1] if order == 3 else inside & word[2 : n + 2]
+        at = np.flatnonzero(inside)
+        found.append(_slot(window[at] + np.uint32(order), slots))
+        begins.append(np.searchsorted(at, ends))
     letter = np.fromiter((any(c.isalpha() for c in t) if t else False for t in texts), dtype=bool, count=len(texts))
-    return np.concatenate(docs), np.concatenate(found), letter
+    return found, np.array(begins), letter
 
 
 @dataclass(frozen=True)
@@ -80,10 +89,15 @@ class Codebook:
     scale: np.ndarray
 
     def margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        doc, slot, letter = ngram_slots(texts, self.odds.shape[1])
-        n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-        out = np.stack([np.bincount(doc, weights=o[slot], minlength=len(texts)) / n for o in self.odds], axis=1)
-        return out, letter
+        """(documents, bits) of mean log odds, and whether each document has a letter."""
+        found, begins, letter = ngram_slots(texts, self.odds.shape[1])
+        total = np.zeros((len(texts), len(self.odds)))
+        for slot, begin in zip(found, begins, strict=True):
+            some = np.flatnonzero(begin[1:] > begin[:-1])
+            if len(some):
+                for bit, odds in enumerate(self.odds):
+                    total[some, bit] += np.add.reduceat(odds[slot], begin[some])
+        return total / np.maximum((begins[:, 1:] - begins[:, :-1]).sum(0), 1)[:, None], letter
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         loss = np.log1p(np.exp(-np.clip((margins * self.scale)[:, None, :] * self.code[None], -30, 30)))
@@ -93,39 +107,40 @@ class Codebook:
 def fit(docs: DataFrame, slots: int = SLOTS) -> Codebook | None:
     """Count n-grams by language over all training documents (fold not 0, lang not null); (languages x slots) numbers reach the driver."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0)).select("text", "lang")
-    schema = pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("n", pa.float64()), ("s", pa.float64())])
+    schema = pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch, texts in chunks(batches):
-            doc, slot, _ = ngram_slots(texts, slots)
-            size = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-            langs = batch.column(1).to_pylist()
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for lang in set(langs):
-                mine = np.fromiter((x == lang for x in langs), dtype=bool, count=len(langs))[doc]
-                table = held.setdefault(lang, np.zeros((2, slots)))
-                table[0] += np.bincount(slot[mine], minlength=slots)
-                table[1] += np.bincount(slot[mine], weights=1 / size[doc[mine]], minlength=slots)
+                found, _, _ = ngram_slots([t for t, x in zip(texts, langs, strict=True) if x == lang], slots)
+                held[lang] = held.get(lang, 0) + np.bincount(np.concatenate(found), minlength=slots)
         for lang, table in held.items():
-            used = np.flatnonzero(table[0])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(table[0, used]), pa.array(table[1, used])], schema=schema)
+            used = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(table[used])], schema=schema)
 
-    counted = train.mapInArrow(count, "lang string, slot int, n double, s double").groupBy("lang", "slot").agg(F.sum("n"), F.sum("s")).collect()
+    counted = train.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n")).collect()
     if not counted:
         return None
     languages = sorted({r[0] for r in counted})
     place = {lang: i for i, lang in enumerate(languages)}
-    counts, even = np.zeros((len(languages), slots)), np.zeros((len(languages), slots))
-    for lang, slot, n, s in counted:
-        counts[place[lang], slot], even[place[lang], slot] = n, s
+    counts = np.zeros((len(languages), slots))
+    for lang, slot, n in counted:
+        counts[place[lang], slot] = n
+    return codebook(languages, counts)
+
+
+def codebook(languages: list[str], counts: np.ndarray) -> Codebook:
+    """The binary classifiers of each bit, from (languages, slots) counts."""
+    slots = counts.shape[1]
     code = codewords(len(languages))
-    share = lambda x: (x + 1) / (x.sum() + slots)
-    dist = np.stack([share(c) for c in counts])
+    dist = (counts + 1) / (counts.sum(1, keepdims=True) + slots)
     odds, weight, scale = [], [], []
     for bit in code.T:
         yes, no = dist[bit > 0], dist[bit < 0]
         o = np.log(yes.mean(0)) - np.log(no.mean(0)) if len(no) else np.zeros(slots)
-        means = (even @ o) / np.maximum(even.sum(1), 1e-9)  # mean margin of each language's documents
+        means = (counts @ o) / np.maximum(counts.sum(1), 1)  # mean log odds of each language's n-grams
         middle = (means[bit > 0].min() + means[bit < 0].max()) / 2 if len(no) else 0.0
         gap = max(1e-3, (means[bit > 0].min() - means[bit < 0].max()) / 2) if len(no) else 1.0
         odds.append(o - middle)
