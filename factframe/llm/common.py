@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +15,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir. Where that is unset, one of our own, but only where driver and executors are one process on one machine."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        existing = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        found = existing or "file://" + os.path.join(tempfile.gettempdir(), "factframe-checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "factframe-checkpoints")
     return found.rstrip("/")
 
 
@@ -31,17 +32,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read that back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+class Scratch:
+    """Tables of the shared folder that an operator needs until its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete them all; nothing that is still to run may read them."""
+        for path in self.paths:
+            system, place = fs.FileSystem.from_uri(path)
+            system.delete_dir(place)
+        self.paths = []
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,17 +72,28 @@ def unit_hash(*columns: Column | str) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def label_sample(labels: DataFrame, label: str, per_class: int, training_only: bool = True) -> DataFrame:
-    """Ids of about `per_class` labelled rows of each class, chosen by a hash of the id.
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label of every labelled id whose fold is not 0: one row for each id, the largest label where they differ."""
+    rows = labels.select("doc_id", F.col(label).alias("label")).where((fold("doc_id") != 0) & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def label_sample(rows: DataFrame, per_class: int) -> DataFrame:
+    """About `per_class` of the training labels of each class, chosen by a hash of the id.
 
     The bound holds at every size: a class with n rows keeps each with
-    probability min(1, per_class / n). Null ids and null labels are left out.
+    probability min(1, per_class / n).
     """
-    rows = labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
-    if training_only:
-        rows = rows.where(fold("doc_id") != 0)
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     keep = F.lit(False)
     for value, n in sizes.items():
         keep = keep | ((F.col("label") == value) & (unit_hash(F.lit("sample"), F.col("doc_id")) < min(1.0, per_class / n)))
     return rows.where(keep)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -4,10 +4,9 @@ A text's five-word shingles are labelled with their occurrence number. Each of
 BANDS hash functions takes the LENGTH labelled shingles of least hash and keeps
 them in text order; texts with an equal ordered tuple meet in a bucket. Unlike
 plain MinHash this is sensitive to the order of the text, hence to edit
-similarity. A pair is a candidate if it agrees in at least AGREE tuples, which
-a pair of shingle similarity 0.8 misses with probability about 1e-5, and if its
-sizes allow that similarity; between what is left of large groups also a
-signature of 512 bytes must be near that similarity.
+similarity. Every two texts that meet in a bucket, and whose sizes allow it,
+are a candidate pair; a pair of shingle similarity 0.8 in equal order meets in
+no bucket with probability (1 - 0.8**4)**32, below 1e-7.
 
 Candidates are verified: at least SIMILARITY of the labelled shingles are shared
 (Jaccard), and a banded alignment of the words, a bit-parallel longest common
@@ -15,12 +14,15 @@ subsequence within the band that this similarity allows, covers at least
 SIMILARITY of both texts. Verified links are closed into classes.
 
 Exact copies are collapsed first. Then one member of each bucket, the one that
-meets most others, is tried against the rest and the classes are closed; then
-each member is tried against the one of another class that it is most alike,
-and classes are closed again. This joins large groups with few pairs. Last, the tuples of every two members of a
-bucket that are still of different classes are compared, and all candidates
-among them are verified. So every candidate is either tried or already within
-one class; none is capped, and a pair is tried in its first common bucket only.
+meets most others, is verified against the rest and the classes are closed:
+this joins large groups with as many pairs as members. Buckets that still hold
+several classes are dealt into blocks of bounded size, and every pair of blocks
+is one group: in it all pairs of different classes are compared exactly, classes
+are merged as links are found, and only links that merged two classes leave the
+task, fewer than it has members. A pair is compared in its first common bucket
+only. So every candidate is either verified or already within one class; none
+is capped. The comparing itself is quadratic in the members of one bucket that
+stay apart after the first step; its output and memory are not.
 
 Defined results: null and empty texts, and texts without a word, are classes by
 equality of the text only; a text of fewer than five words is one shingle; the
@@ -36,16 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factframe.llm.common import bounded, written
+from factframe.llm.common import Scratch, bounded, written
 from factframe.llm.hashing import Tokens, chunks, mix, pair, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, LENGTH, AGREE = 32, 4, 3
-#: A pair's signatures agree in at least this share of their bytes; a pair of similarity 0.8 misses it with probability about 5e-6.
-SIGNATURE, ALIKE = 512, 0.72
-BLOCK = 1024
+BANDS, LENGTH = 32, 4
+#: Shingles in a block of a bucket.
+BLOCK_SHINGLES = 400_000
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-_SIGNS = mix(np.arange(1001, 1001 + SIGNATURE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
 def labelled(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -80,12 +80,6 @@ def sketch(labels: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return out
 
 
-def minhash(labels: np.ndarray) -> np.ndarray:
-    """One byte of the least hash under each of SIGNATURE functions."""
-    parts = np.array_split(_SIGNS, min(SIGNATURE, 1 + len(labels) * SIGNATURE // 500_000))
-    return np.concatenate([mix(labels[None, :] ^ seeds).min(axis=1) for seeds in parts]).astype(np.uint8)
-
-
 def banded_lcs(x: np.ndarray, y: np.ndarray, band: int) -> int:
     """Longest common subsequence with matches at most `band` off the diagonal, one bit for each word of x."""
     n = min(len(x), len(y))
@@ -114,16 +108,19 @@ def banded_lcs(x: np.ndarray, y: np.ndarray, band: int) -> int:
     return head + tail + len(x) - row.bit_count()
 
 
+def aligned(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+    """The words that align within the band are at least that share of both texts."""
+    longest = max(len(x), len(y))
+    return 2 * banded_lcs(x, y, int((1 - least) * longest) + abs(len(x) - len(y)) + 1) >= least * (len(x) + len(y))
+
+
 def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
     """Both at least: Jaccard similarity of labelled shingles, and aligned words of both texts."""
     if not len(x) or not len(y):
         return False
     a, b = labelled(x), labelled(y)
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    if shared < least * (len(a) + len(b) - shared):
-        return False
-    longest = max(len(x), len(y))
-    return 2 * banded_lcs(x, y, int((1 - least) * longest) + abs(len(x) - len(y)) + 1) >= least * (len(x) + len(y))
+    return shared >= least * (len(a) + len(b) - shared) and aligned(x, y, least)
 
 
 def text_key(text: str = "text") -> Column:
@@ -131,61 +128,96 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def buckets(docs: DataFrame) -> DataFrame:
-    """node (text key), band, key, n (shingles): one row for each distinct text and band."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """node (text key), n (shingles), tuples (one hash for each band): one row for each distinct text with a word."""
 
-    def sketches(batches):
+    def sketch_all(batches):
         for batch, texts in chunks(batches):
             tokens = Tokens(texts)
             offsets = tokens.per_doc()
-            nodes = batch.column(0)
             kept, keys, sizes = [], [], []
             for i in range(len(texts)):
                 if offsets[i + 1] > offsets[i]:
                     labels = labelled(tokens.hash[offsets[i] : offsets[i + 1]])
                     kept.append(i)
-                    keys.append(sketch(labels))
+                    keys.append(sketch(labels).view(np.int64))
                     sizes.append(len(labels))
             if kept:
-                yield pa.RecordBatch.from_arrays(
-                    [nodes.take(pa.array(np.repeat(kept, BANDS))), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(kept))), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(sizes, BANDS).astype(np.int64))],
-                    names=["node", "band", "key", "n"],
-                )
+                flat = pa.array(np.concatenate(keys))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(sizes, pa.int64()), lists], names=["node", "n", "tuples"])
 
-    rows = docs.select(text_key().alias("node"), "text").mapInArrow(sketches, "node binary, band int, key long, n long")
-    return rows.dropDuplicates(["node", "band", "key"])
+    return docs.select(text_key().alias("node"), "text").mapInArrow(sketch_all, "node binary, n long, tuples array<long>").distinct()
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """node, tuples (one for each band), signature (SIGNATURE bytes of plain MinHash) of each text with a word."""
+def word_hashes(texts: DataFrame) -> DataFrame:
+    """node, words: the hashes of a text's words in order, eight bytes each."""
 
-    def sign(batches):
+    def hashes(batches):
         for batch, part in chunks(batches):
             tokens = Tokens(part)
             offsets = tokens.per_doc()
-            kept, tuples, bytes_ = [], [], []
-            for i in range(len(part)):
-                if offsets[i + 1] > offsets[i]:
-                    labels = labelled(tokens.hash[offsets[i] : offsets[i + 1]])
-                    kept.append(i)
-                    tuples.append(sketch(labels).view(np.int64))
-                    bytes_.append(minhash(labels).tobytes())
-            if kept:
-                flat = pa.array(np.concatenate(tuples))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), lists, pa.array(bytes_, pa.binary())], names=["node", "tuples", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokens.hash[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["node", "words"])
+
+    return texts.select("node", "text").mapInArrow(hashes, "node binary, words binary")
+
+
+def _words(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar; words are looked up by two joins."""
 
-    return texts.select("node", "text").mapInArrow(sign, "node binary, tuples array<long>, signature binary")
+    def check(batches):
+        for batch in batches:
+            for begin in range(0, len(batch), 256):
+                part = batch.slice(begin, 256)
+                ok = pa.array([similar(x, y) for x, y in zip(_words(part.column(2)), _words(part.column(3)), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(ok)
+
+    left = words.select(F.col("node").alias("a"), F.col("words").alias("_x"))
+    right = words.select(F.col("node").alias("b"), F.col("words").alias("_y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(check, "a binary, b binary")
 
 
-def crossing_pairs(members: DataFrame, best: bool = False) -> DataFrame:
-    """a, b: candidates of different labels in each bucket of (band, key, node, n, label, tuples, signature, blocks).
+def merging_links(words: list[np.ndarray], tuples: np.ndarray, group: np.ndarray, home: np.ndarray, band: int, apart: bool) -> list[tuple[int, int]]:
+    """Links between members of different groups, each merging two groups: as many as it takes to merge all that are linked.
 
-    A bucket is dealt into blocks of about BLOCK members, and each pair of
-    blocks is one group, so no group grows with its bucket. Members are compared
-    by tuples and signatures, in order of size and within the sizes that
-    SIMILARITY allows; only candidates leave the task. With best, each member
-    gives the candidate that it is most alike only.
+    Members come in order of their number of shingles. With `apart`, only pairs
+    of different homes count. A pair counts in the first band where its tuples agree.
+    """
+    shingled = [labelled(w) for w in words]
+    n = np.fromiter(map(len, shingled), np.int64, len(shingled))
+    offset = np.concatenate(([0], np.cumsum(n)))
+    ids = np.unique(np.concatenate(shingled), return_inverse=True)[1].astype(np.int32)
+    mine = np.zeros(len(ids), bool)
+    last = np.searchsorted(n, n / SIMILARITY + 1e-9, side="right")
+    group, links = group.copy(), []
+    for i in range(len(n)):
+        near = np.flatnonzero((group[i + 1 : last[i]] != group[i]) & ((home[i + 1 : last[i]] != home[i]) | (not apart))) + i + 1
+        if len(near):
+            near = near[(tuples[near] == tuples[i]).argmax(1) == band]
+        if not len(near):
+            continue
+        own = ids[offset[i] : offset[i + 1]]
+        mine[own] = True
+        first = np.cumsum(n[near]) - n[near]
+        at = np.repeat(offset[near] - first, n[near]) + np.arange(int(n[near].sum()))
+        shared = np.add.reduceat(mine[ids[at]].astype(np.int32), first)
+        mine[own] = False
+        fit = np.flatnonzero(shared >= SIMILARITY * (n[i] + n[near] - shared))
+        for j in near[fit[np.argsort(-shared[fit], kind="stable")]].tolist():
+            if group[j] != group[i] and aligned(words[i], words[j]):
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def links_within_buckets(members: DataFrame) -> DataFrame:
+    """a, b: links that merge classes, in each bucket of (band, key, node, n, label, tuples, words, blocks).
+
+    Each pair of a bucket's blocks is one group, so no group grows with its bucket.
     """
     other, home = F.col("_other"), F.pmod(F.xxhash64("node"), F.col("blocks"))
     cells = members.withColumn("home", home).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -194,138 +226,92 @@ def crossing_pairs(members: DataFrame, best: bool = False) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("n")
         band, apart = table.column("band")[0].as_py(), table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        tuples = np.stack(table.column("tuples").to_numpy())
-        signature = np.stack([np.frombuffer(x, np.uint8) for x in table.column("signature").to_pylist()])
-        n, home = table.column("n").to_numpy(), table.column("home").to_numpy()
-        label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-        last = np.searchsorted(n, n / SIMILARITY + 1e-9, side="right")
-        left, right = [], []
-        for i in range(len(n)):
-            near = np.flatnonzero((label[i + 1 : last[i]] != label[i]) & ((home[i + 1 : last[i]] != home[i]) | (not apart))) + i + 1
-            alike = (signature[near] == signature[i]).sum(1)
-            equal = tuples[near] == tuples[i]
-            fit = (alike >= ALIKE * SIGNATURE) & (equal.sum(1) >= AGREE)
-            if best:
-                near = near[fit][np.argsort(-alike[fit], kind="stable")[:1]]
-            else:
-                near = near[fit & (equal.argmax(1) == band)]
-            left.append(np.full(len(near), i))
-            right.append(near)
+        group = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
+        links = merging_links(_words(table.column("words")), np.stack(table.column("tuples").to_numpy()), group, table.column("home").to_numpy(), band, apart) if group.any() else []
         nodes = table.column("node")
-        x, y = (nodes.take(pa.array(np.concatenate(v).astype(np.int64))) for v in (left, right))
+        x, y = (nodes.take(pa.array([link[k] for link in links], pa.int64())) for k in (0, 1))
         return pa.table([x, y], names=["a", "b"])
 
     return cells.groupBy("band", "key", "low", "high").applyInArrow(compare, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, ok for each pair; texts are looked up by two joins."""
-
-    def check(batches):
-        for batch in batches:
-            for begin in range(0, len(batch), 64):
-                part = batch.slice(begin, 64)
-                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
-                ok = []
-                for x, y in zip(left, right, strict=True):
-                    tokens = Tokens([x, y])
-                    middle = tokens.per_doc()[1]
-                    ok.append(similar(tokens.hash[:middle], tokens.hash[middle:]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok)], names=["a", "b", "ok"])
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("_x"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("_y"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_x", "_y")
-    return joined.mapInArrow(check, "a binary, b binary, ok boolean")
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node that links reach. Labels spread to neighbours and then jump to their label's label."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "links")
+    scratch = Scratch(links.sparkSession)
+    both = scratch.written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "links")
     labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"))
     while True:
-        labels = written(labels, "labels")
+        labels = scratch.written(labels, "labels")
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         if spread.where("old != label").isEmpty():
-            return labels
+            found = written(labels, "components")
+            scratch.clear()
+            return found
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         labels = spread.join(jump, "label").select("node", F.least("label", "far").alias("label"))
 
 
-def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links (a, b) between distinct texts, and their components (node, label); None if no texts meet."""
-    spark = docs.sparkSession
-    everyone = written(buckets(docs), "buckets")
-    shared = everyone.groupBy("band", "key").agg(F.count("*").alias("_c")).where("_c > 1")
-    members = written(everyone.join(shared, ["band", "key"]), "members")
-    if members.isEmpty():
-        return None, None
-    involved = written(members.groupBy("node").agg(F.sum("_c").alias("weight")), "involved")
-    keyed = docs.select(text_key().alias("node"), "text")
-    texts = written(keyed.join(bounded(involved.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    tested = spark.createDataFrame([], "a binary, b binary, ok boolean")
-    labels = spark.createDataFrame([], "node binary, label binary")
-    mine = None
-    for step in ("star", "best", "all"):
-        # members of buckets that still hold several classes
-        now = members.join(involved, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # the star's centre is the member that meets most others, as the origin of a group of near copies does
-        pick = F.struct((-F.col("weight")).alias("rank"), "node", "n", "label")
-        mixed = now.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min(pick).alias("_one"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high")
-        mixed = mixed.select("band", "key", "blocks", F.col("_one.node").alias("_node"), F.col("_one.n").alias("_n"), F.col("_one.label").alias("_label"))
-        inside = written(now.join(mixed, ["band", "key"]), "inside")
-        if inside.isEmpty():
-            break
-        if step == "star":
-            close = F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n")
-            found = inside.where((F.col("label") != F.col("_label")) & close).select(F.col("node").alias("a"), F.col("_node").alias("b"))
-            members = inside.where(F.col("node") != F.col("_node")).select("node", "band", "key", "n")
-        else:
-            if mine is None:
-                mine = written(signatures(texts.join(bounded(inside.select("node").distinct()), "node", "left_semi")), "signatures")
-            found = crossing_pairs(inside.select("band", "key", "node", "n", "label", "blocks").join(mine, "node"), best=step == "best")
-        fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        checked = written(verify(written(fresh, "pairs"), texts), "checked")
-        tested = tested.unionByName(checked)
-        links = tested.where("ok").select("a", "b")
-        if not checked.where("ok").isEmpty():
-            labels = components(links)
-    return tested.where("ok").select("a", "b"), labels
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links (verified links of its text to others), keep (it has the class id)."""
-    links, labels = near_duplicate_links(docs.select("doc_id", "text"))
+def classes(docs: DataFrame) -> DataFrame | None:
+    """node, label of all distinct texts that have a link; None if no texts meet."""
+    scratch = Scratch(docs.sparkSession)
+    everyone = scratch.written(sketches(docs), "sketches")
+    exploded = everyone.select("node", "n", F.posexplode("tuples").alias("band", "key"))
+    shared = exploded.groupBy("band", "key").agg(F.count("*").alias("meet")).where("meet > 1")
+    # one row for each text that meets another, with its buckets: BANDS at most
+    meeting = exploded.join(shared, ["band", "key"]).groupBy("node", "n").agg(F.collect_list(F.struct("band", "key", "meet")).alias("buckets"))
+    meeting = scratch.written(meeting.withColumn("weight", F.aggregate("buckets", F.lit(0).cast("long"), lambda total, b: total + b["meet"])), "meeting")
+    if meeting.isEmpty():
+        scratch.clear()
+        return None
+    texts = docs.select(text_key().alias("node"), "text").join(bounded(meeting.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    words = scratch.written(word_hashes(texts), "words")
+    members = meeting.select("node", "n", "weight", F.explode("buckets").alias("_b")).select("node", "n", "weight", "_b.band", "_b.key")
+
+    # the star's centre is the member that meets most others, as the origin of a group of near copies does
+    centre = members.groupBy("band", "key").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "node", "n")).alias("_c")).select("band", "key", F.col("_c.node").alias("_node"), F.col("_c.n").alias("_n"))
+    close = (F.col("node") != F.col("_node")) & (F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n"))
+    star = members.join(centre, ["band", "key"]).where(close).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    links = scratch.written(verify(scratch.written(star, "pairs"), words), "star-links")
+    labels = components(links)
+
+    now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = now.groupBy("band", "key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("band", "key", "blocks")
+    inside = scratch.written(now.join(mixed, ["band", "key"]).select("band", "key", "node", "n", "label", "blocks"), "inside")
+    more = scratch.written(links_within_buckets(inside.join(everyone.select("node", "tuples"), "node").join(words, "node")), "bucket-links")
+    labels = labels if more.isEmpty() else components(links.union(more))
+    scratch.clear()
+    return labels
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, node, label, class_id of every row. Least ids are taken by text, then by class, so copies collapse before any join."""
     rows = docs.select("doc_id", text_key().alias("node"))
-    return _classes(rows, links, labels).select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
-
-
-def _classes(rows: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> DataFrame:
-    """rows (doc_id, node) with label, class_id and n_links. Least ids are taken by text, then by class, so copies collapse before any join."""
+    labels = classes(docs)
     least = written(rows.groupBy("node").agg(F.min("doc_id").alias("class_id")), "least")
     if labels is None:
-        by_node = least.select("node", F.col("node").alias("label"), "class_id", F.lit(0).cast("long").alias("n_links"))
+        by_node = least.select("node", F.col("node").alias("label"), "class_id")
     else:
-        by_label = labels.join(least, "node").groupBy("label").agg(F.min("class_id").alias("_class"))
-        degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-        linked = labels.join(by_label, "label").join(degree, "node").select("node", "label", "_class", "n_links")
-        by_node = least.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("_class", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        linked = labels.join(least, "node").groupBy("label").agg(F.min("class_id").alias("_class"))
+        by_node = least.join(labels, "node", "left").join(linked, "label", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("_class", "class_id").alias("class_id"))
     return rows.join(by_node, "node")
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id, keep (it has the class id)."""
+    return _classes(docs.select("doc_id", "text")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one of each class, with their own columns: the one of least doc_id (one row of it where rows repeat)."""
-    links, labels = near_duplicate_links(docs.select("doc_id", "text"))
-    rows = docs.select("doc_id", text_key().alias("node"))
-    marked = written(_classes(rows, links, labels), "classes")
+    marked = written(_classes(docs.select("doc_id", "text")), "classes")
     same = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    dropped = bounded(written(marked.where(~same).select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")).distinct(), "dropped"))
-    survivors = docs.withColumn("_node", text_key())
-    survivors = survivors.join(dropped, (F.col("_node") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    key, gone = "node of a row", "node that goes"  # names that no column of a table is likely to have
+    dropped = bounded(written(marked.where(~same).select(F.col("doc_id").alias("id that goes"), F.col("node").alias(gone)).distinct(), "dropped"))
+    survivors = docs.withColumn(key, text_key())
+    survivors = survivors.join(dropped, (F.col(key) == F.col(gone)) & docs["doc_id"].eqNullSafe(dropped["id that goes"]), "left_anti")
     # several rows of a class may carry its id: repeated rows, and repeated ids with other text
-    kept = marked.where(same).groupBy("label").agg(F.min("node").alias("_first"), F.count("*").alias("_rows"))
+    kept = marked.where(same).groupBy("label").agg(F.min("node").alias(gone), F.count("*").alias("_rows"))
     if not kept.where("_rows > 1").isEmpty():
-        first = kept.select("_first")
-        survivors = survivors.join(first, F.col("_node") == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "_node"])
+        survivors = survivors.join(kept.select(gone), F.col(key) == F.col(gone), "left_semi").dropDuplicates(["doc_id", key])
     return survivors.select(*docs.columns)

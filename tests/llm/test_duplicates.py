@@ -1,6 +1,7 @@
 """Order MinHash against brute force, and its parts."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -84,6 +85,99 @@ def test_classes_equal_brute_force(copies):
     assert len(set(got.values())) < len(rows)
 
 
+def plain_shingles(text):
+    """Occurrence-labelled runs of five words, without the operator's code."""
+    words, seen, out = re.findall(r"\w+", text.lower()), {}, set()
+    for i in range(max(1, len(words) - 4)):
+        run = tuple(words[i : i + 5])
+        seen[run] = seen.get(run, 0) + 1
+        out.add((run, seen[run]))
+    return out
+
+
+def plain_classes(texts, links):
+    """Class of each text, the least number of its class, after Jaccard similarities counted over an inverted index and `links` on those pairs."""
+    holders = {}
+    for i, t in enumerate(texts):
+        for s in plain_shingles(t):
+            holders.setdefault(s, []).append(i)
+    shared = np.zeros((len(texts), len(texts)), np.int16)
+    for who in holders.values():
+        if len(who) > 1:
+            shared[np.ix_(who, who)] += 1
+    n = np.array([len(plain_shingles(t)) for t in texts])
+    close = shared >= 0.8 * (n[:, None] + n[None] - shared) - 1e-9
+    label = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in np.flatnonzero(close[i, :i]):
+            if label[i] != label[j] and links(texts[i], texts[j]):
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return label, close
+
+
+def plain_alignment(x, y):
+    x, y = x.split(), y.split()
+    return 2 * slow_lcs(x, y, max(len(x), len(y))) >= 0.8 * (len(x) + len(y))
+
+
+def test_a_large_bucket_of_near_copies_equals_brute_force(spark, monkeypatch):
+    """5,000 texts of similarities from 0.2 to 0.9 to one origin: buckets of many classes, dealt into many blocks."""
+    monkeypatch.setattr(O, "BLOCK_SHINGLES", 15_000)
+    rng = random.Random(11)
+    origin = [f"o{i}" for i in range(60)]
+    texts = []
+    for _ in range(5000):
+        copy = list(origin)
+        for at in rng.sample(range(60), rng.randint(1, 9)):
+            copy[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(copy))
+    want, close = plain_classes(texts, lambda x, y: True)  # words are only replaced, so texts of similarity 0.8 align
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+    sizes = np.bincount(want)
+    assert sizes.max() > 100 and (sizes > 0).sum() > 500 and close.sum() > 3 * len(texts)
+
+
+def test_moved_and_cut_texts_equal_brute_force(spark, monkeypatch):
+    """Classes by shingles and by alignment, from plain code; many pairs share shingles but not their order."""
+    monkeypatch.setattr(O, "BLOCK_SHINGLES", 1_000)
+    rng, texts = random.Random(12), []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(10):
+            copy = list(base)
+            kind = rng.randrange(4)
+            if kind == 0:  # the two halves change places, or a third moves to the end
+                cut = rng.choice([30, 20])
+                copy = copy[cut:] + copy[:cut]
+            elif kind == 1:
+                copy = copy[rng.randint(0, 8) : 60 - rng.randint(0, 8)]
+            elif kind == 2:
+                copy[rng.randrange(60)] = f"n{rng.randrange(1000)}"
+            texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    want, close = plain_classes(texts, plain_alignment)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+    assert want.tolist() != plain_classes(texts, lambda x, y: True)[0].tolist()
+
+
+def test_recall_of_buckets_against_all_pairs(spark, sf_dir):
+    """Every document whose id is divisible by 5 against all: pairs of similarity 0.8 are in one class."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingled = {i: plain_shingles(t) for i, t in rows}
+    found = missed = 0
+    for i, t in rows:
+        for j, u in rows if i % 5 == 0 else []:
+            a, b = shingled[i], shingled[j]
+            if i != j and re.search(r"\w", t) and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                found, missed = found + (got[i] == got[j]), missed + (got[i] != got[j])
+    assert found > 20 and missed <= 0.1 * (found + missed)
+
+
 def test_one_of_each_stays(copies):
     df, rows = copies
     kept = {r.doc_id for r in O.keep_one_of_each(df).collect()}
