@@ -5,12 +5,13 @@ all documents. A document's log weight is the sum of log(p_target / p_raw) over
 its hashed n-grams (words, runs of marks, and pairs of neighbours; a pair of
 equal neighbours has one bucket of its own, so stutter counts as such). The
 sample is the k largest of log weight + Gumbel noise, which is sampling without
-replacement in proportion to the weights. By default k is the number of
-documents that the raw model does not find REJECT_ODDS times likelier than the
-target model does, so that the noise decides only among doubtful ones.
+replacement in proportion to the weights. k is a parameter, as a number or as a
+share of all documents; by default it is the share of good ones among the
+training labels.
 
 Defined results: a null or empty text has log weight 0; a null id takes the
-noise of id null; repeated rows get equal noise and are taken or left together;
+noise of id null; repeated rows get equal noise and are taken or left together,
+so that more than k are taken where the last of them repeats;
 an empty table gives an empty result; without any good label all weights are 0
 and every row is taken.
 """
@@ -25,12 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factframe.llm.common import bounded, label_sample, unit_hash, written
+from factframe.llm.common import bounded, free_name, label_sample, training_labels, unit_hash, written
 from factframe.llm.hashing import Tokens, chunks, mix, pair
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
-REJECT_ODDS = 100.0
 #: Pseudo-counts for each bucket of the target model, at most as many as it has counts, spread as the raw model.
 PRIOR = 50.0
 _SCALE = float(1 << 20)
@@ -48,15 +48,17 @@ def ngram_buckets(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np
 
 @dataclass(frozen=True)
 class Ratio:
-    """log(p_target / p_raw) by bucket."""
+    """log(p_target / p_raw) by bucket, and the share of good ones among the training labels."""
 
     log_ratio: np.ndarray
+    share: float = 1.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> Ratio:
     """Count both models: raw over every document, target over a hash sample of at most about `target_rows` good ones."""
-    rows = labels.where(f"doc_id is not null and {label} is not null")
-    good = label_sample(rows, label, target_rows).where("label = 1").select("doc_id", F.lit(1).alias("_target"))
+    known = training_labels(labels, label)
+    share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
+    good = label_sample(known.where("label = 1"), target_rows).select("doc_id", F.lit(1).alias("_target"))
     marked = docs.select("doc_id", "text").join(bounded(good), "doc_id", "left").select("text", "_target")
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
@@ -78,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", buckets: int
         return Ratio(np.zeros(buckets))
     p_raw = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
     prior = min(PRIOR * buckets, target.sum()) * p_raw  # pulls sparse buckets towards no evidence
-    return Ratio(np.log((target + prior) / (target.sum() + prior.sum())) - np.log(p_raw))
+    return Ratio(np.log((target + prior) / (target.sum() + prior.sum())) - np.log(p_raw), share)
 
 
 def with_log_weight(docs: DataFrame, ratio: Ratio, column: str = "log_weight") -> DataFrame:
@@ -121,14 +123,15 @@ def radix_threshold(keys: DataFrame, column: str, k: int) -> tuple[int, int]:
     return prefix - (1 << 63), left
 
 
-def selection(scored: DataFrame, ratio: Ratio, k: int | None = None, seed: int = 1) -> Column:
-    """A Boolean column expression over doc_id and log_weight: is the row among the k sampled?
+def selection(scored: DataFrame, ratio: Ratio, k: int | float | None = None, seed: int = 1, weight: str = "log_weight") -> Column:
+    """A Boolean column expression over doc_id and the weight's column: is the row among the k (a number, or a share below 1) sampled?
 
     `scored` is read five or six times and should be a written table of (doc_id, log_weight).
     """
-    keyed = scored.select("doc_id", gumbel_key(seed=seed).alias("_key"), F.xxhash64(F.lit(~seed), "doc_id").alias("_tie"), (F.col("log_weight") >= -np.log(REJECT_ODDS)).alias("_good"))
-    n, good = keyed.agg(F.count("*"), F.count_if("_good")).first()
-    k = min(n, good if k is None else k) if ratio.log_ratio.any() else n
+    keyed = scored.select("doc_id", gumbel_key(seed=seed).alias("_key"), F.xxhash64(F.lit(~seed), "doc_id").alias("_tie"))
+    n = keyed.count()
+    k = ratio.share if k is None else k
+    k = (round(k * n) if isinstance(k, float) else min(n, k)) if ratio.log_ratio.any() else n
     if k <= 0:
         return F.lit(False)
     if k >= n:
@@ -136,19 +139,20 @@ def selection(scored: DataFrame, ratio: Ratio, k: int | None = None, seed: int =
     key, left = radix_threshold(keyed, "_key", k)
     equal = keyed.where(F.col("_key") == F.lit(key))
     tie = radix_threshold(equal, "_tie", left)[0] if equal.count() > left else -(1 << 63)
-    mine = gumbel_key(seed=seed)
+    mine = gumbel_key(weight, seed)
     return (mine > F.lit(key)) | ((mine == F.lit(key)) & (F.xxhash64(F.lit(~seed), "doc_id") >= F.lit(tie)))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1, **options) -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 1, **options) -> DataFrame:
     """One row per document: doc_id, log_weight and selected (among the k drawn)."""
     ratio = fit(docs, labels, **options)
     scored = written(with_log_weight(docs.select("doc_id", "text"), ratio).select("doc_id", "log_weight"), "resample")
     return scored.withColumn("selected", selection(scored, ratio, k, seed))
 
 
-def keep_resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1, **options) -> DataFrame:
+def keep_resampled(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 1, **options) -> DataFrame:
     """The drawn documents, with their own columns. Weights are computed again in the last pass, which is cheaper than a join of whole texts."""
     ratio = fit(docs, labels, **options)
     scored = written(with_log_weight(docs.select("doc_id", "text"), ratio).select("doc_id", "log_weight"), "resample")
-    return with_log_weight(docs, ratio).where(selection(scored, ratio, k, seed)).drop("log_weight")
+    weight = free_name(docs, "log_weight")
+    return with_log_weight(docs, ratio, weight).where(selection(scored, ratio, k, seed, weight)).select(*docs.columns)

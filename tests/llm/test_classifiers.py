@@ -1,6 +1,8 @@
 """Toxicity, language identification and importance resampling."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factframe.llm import ecoc, kneser_ney, resample
 from factframe.llm.common import fold
+from factframe.llm.hashing import Tokens
 
 ORDINARY = "river stone garden window morning paper bridge music letter market summer winter train coffee table mountain".split()
 BAD = "grumpf zonkle blarg".split()
@@ -55,6 +58,63 @@ def test_toxicity_learns_from_all_rows_below_the_bound(toy, monkeypatch):
     assert got[0] > 2 * got[1]
 
 
+def test_toxicity_never_learns_from_held_out_labels(toy):
+    """Turning every label of fold 0 changes no score."""
+    docs, labels = toy
+    turned = labels.withColumn("toxic", F.when(fold("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    score = lambda given: {r.doc_id: r.toxic_score for r in kneser_ney.with_toxicity(docs, kneser_ney.fit(docs, given)).collect()}
+    assert score(labels) == score(turned) and labels.where(fold("doc_id") == 0).count() > 40
+
+
+def test_kneser_ney_probabilities_equal_brute_force(spark, monkeypatch):
+    """p(w | v) of both classes from plain counts over plain words; every distribution sums to one."""
+    monkeypatch.setattr(kneser_ney, "unit_hash", lambda *a: F.lit(0.0))  # all rows are counted
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    texts = [[rng.choice(words[: 6 + 6 * (i % 2)]) for _ in range(rng.randint(1, 9))] for i in range(30)]
+    rows = [(i, " ".join(t), i % 2) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = kneser_ney.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+
+    pairs = [Counter(), Counter()]
+    for _, text, toxic in rows:
+        t = text.split()
+        pairs[toxic].update(zip([None, *t], t))
+    d = lambda counts: min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if (n1 := sum(c == 1 for c in counts)) + (n2 := sum(c == 2 for c in counts)) else 0.5
+    every = {w for c in pairs for _, w in c}
+    known = len(every)
+    both = Counter(w for v, w in pairs[0] if (v, w) in pairs[1])
+    d0, total = d(both.values()), sum(both.values())
+    shared = lambda w: (max(both[w] - d0, 0) + d0 * len(both) / (known + 1)) / total
+
+    def word(c, w):
+        k = Counter(x for _, x in pairs[c])
+        return (max(k[w] - d(k.values()), 0) + d(k.values()) * len(k) * shared(w)) / sum(k.values())
+
+    def conditional(c, v, w, strength):
+        after = {x: n for (u, x), n in pairs[c].items() if u == v}
+        n, dd = sum(after.values()), d(pairs[c].values())
+        return (max(after.get(w, 0) - dd, 0) + (strength + dd * len(after)) * word(c, w)) / (n + strength)
+
+    assert abs(sum(word(1, w) for w in [*every, "?"]) - 1) < 1e-9
+    assert abs(sum(conditional(0, "w1", w, 100.0) for w in [*every, "?"]) - 1) < 1e-9
+    for text in ["w1 w2 w3", "w11 w0", "nowhere w1 seen", *(r[1] for r in rows[:6])]:
+        got, t = model.log_p(Tokens([text]), 100.0), text.split()
+        for i, (v, w) in enumerate(zip([None, *t], t)):
+            for c in (0, 1):
+                assert abs(np.exp(got[i, c]) - conditional(c, v, w, 100.0)) < 1e-6
+
+
+def test_toxicity_of_conflicting_labels_and_repeated_rows(spark, toy):
+    """The largest label of an id counts, whatever the order; null ids and labels count for nothing."""
+    docs, labels = toy
+    more = spark.createDataFrame([(3, 0, 1), (3, 1, 1), (None, 1, 1), (5, None, 1), (6, 7, 1)], "doc_id long, toxic int, quality int")
+    rows = {r.doc_id: r.label for r in kneser_ney.training_labels(labels.unionByName(more), "toxic").collect()}
+    assert rows.get(3, 1) == 1 and None not in rows and len(rows) == labels.where(fold("doc_id") != 0).count()
+    scores = kneser_ney.with_toxicity(docs, kneser_ney.fit(docs, labels.unionByName(more))).collect()
+    assert len(scores) == docs.count()
+
+
 def test_toxicity_odd_rows(toy, odd_documents, no_documents):
     docs, labels = toy
     model = kneser_ney.fit(docs, labels)
@@ -70,7 +130,9 @@ def test_resampling_keeps_good_and_drops_junk(toy):
     docs, labels = toy
     got = resample.importance_resample(docs, labels).join(labels, "doc_id").collect()
     assert len(got) == 400
-    assert all(r.selected == (r.quality == 1) for r in got)
+    # k is the share of good ones among the training labels: all but a few at the border are taken as they are labelled
+    assert abs(sum(r.selected for r in got) - 0.8 * 400) < 12
+    assert sum(r.selected != (r.quality == 1) for r in got) < 12
     kept = resample.keep_resampled(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.selected}
 
@@ -81,6 +143,25 @@ def test_resampling_draws_exactly_k(toy):
         assert resample.importance_resample(docs, labels, k=k).where("selected").count() == min(k, 400)
 
 
+def test_log_weights_equal_brute_force(toy):
+    """Counts of hashed n-grams document by document, in plain Python."""
+    docs, labels = toy
+    texts, quality = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    raw, target, buckets = Counter(), Counter(), 500
+    grams = {i: resample.ngram_buckets([t], buckets)[1].tolist() for i, t in texts.items()}
+    for i, g in grams.items():
+        raw.update(g)
+        target.update(g if quality[i] == 1 and zlib.crc32(str(i).encode()) % 5 else [])
+    p = {b: (raw[b] + 0.5) / (sum(raw.values()) + 0.5 * buckets) for b in range(buckets)}
+    mass = min(resample.PRIOR * buckets, sum(target.values()))
+    ratio = {b: np.log((target[b] + mass * p[b]) / (sum(target.values()) + mass * sum(p.values()))) - np.log(p[b]) for b in range(buckets)}
+    got = resample.importance_resample(docs, labels, buckets=buckets).collect()
+    assert all(abs(r.log_weight - sum(ratio[b] for b in grams[r.doc_id])) < 1e-6 for r in got)
+    # the k drawn are those of the largest weight and noise
+    share = sum(q == 1 for i, q in quality.items() if zlib.crc32(str(i).encode()) % 5) / sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in quality)
+    assert sum(r.selected for r in got) == round(share * len(got))
+
+
 def test_radix_threshold_against_sorting(spark):
     values = [5, -3, 5, 2**62, -(2**62), 0, 7, 7, 7, -1]
     df = spark.createDataFrame([(v,) for v in values], "v long")
@@ -112,8 +193,33 @@ def test_languages(spark, sf_dir, odd_documents, no_documents):
     assert all(r.lang_pred == "und" for r in ecoc.identify(odd_documents, ecoc.fit(no_documents)).collect())
 
 
-def test_fold_is_the_same_in_python(spark):
-    import zlib
+def test_language_margins_equal_brute_force():
+    """n-grams of words with their edges and mean log odds, character by character; decoding as the least weighted loss."""
+    rng = np.random.default_rng(4)
+    slots = 64
+    book = ecoc.codebook(["a", "b", "c"], rng.integers(0, 50, (3, slots)).astype(float))
+    texts = ["ab, cde f", "x", "", "one  two-three", None, "é_1 ÀB"]
+    got, letter = book.margins(texts)
+    assert letter.tolist() == [True, True, False, True, False, True]
+    for i, t in enumerate(texts):
+        raw = b" " + bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in (t or "").lower().encode()) + b" "
+        sums, n = np.zeros(len(book.odds)), 0
+        for order in (2, 3, 4):
+            for at in range(len(raw) - order + 1):
+                gram = raw[at : at + order]
+                inner = gram[1:-1] if order > 2 else (gram.replace(b" ", b"") or b" ")
+                if 32 in inner or gram == b"  ":
+                    continue
+                value = (int.from_bytes(gram, "big") + order) * 0x9E3779B1 & 0xFFFFFFFF
+                sums, n = sums + book.odds[:, value >> (32 - 6)], n + 1
+        assert np.allclose(got[i], sums / max(n, 1))
+    losses = book.losses(got)
+    for i in range(len(texts)):
+        for k in range(3):
+            each = [np.log(1 + np.exp(-np.clip(m * s * c, -30, 30))) * w for m, s, c, w in zip(got[i], book.scale, book.code[k], book.weight)]
+            assert abs(losses[i, k] - sum(each) / sum(book.weight)) < 1e-9
 
+
+def test_fold_is_the_same_in_python(spark):
     df = spark.range(50).select(F.col("id").alias("doc_id"), fold(F.col("id")).alias("f"))
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in df.collect())
