@@ -3,11 +3,15 @@
 Test items are short and documents long, so a MinHash of the document would be
 drowned by its other text (40 words in 20,000 words are a Jaccard similarity of
 0.002). Containment is estimated from the short side: items are partitioned by
-size, each item's bottom-k MinHash sketch (its k shingles of least hash, k by
-partition) is looked up among all shingles of every document, and pairs with
-enough of the sketch present become candidates. Candidates are verified by
+size, each item's bottom-k MinHash sketch (its k shingles of least hash, k grows
+with the partition) is looked up among all shingles of every document, and pairs
+with enough of the sketch present become candidates. Candidates are verified by
 exact shingle containment. Everything is DataFrame operations.
 
+Documents' shingles are never shuffled before they are looked up: items are cut
+into slices small enough to broadcast, and every slice is looked up in a pass
+over the documents. One benchmark takes one pass.
+
 A shingle is five consecutive words (letters, digits and underscores, case
 folded); an item of fewer words is one shingle of all its words and is looked
 up among runs of that many words.
@@ -19,6 +23,8 @@ one more; repeated items are each reported under their own item_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +32,12 @@ from factframe.llm.common import bounded, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-SKETCH = 32
+#: Shingles in the sketch of an item of 2**part to 2**(part + 1) - 1 shingles.
+SKETCH = {part: 8 * (part + 1) for part in range(3, 32)} | {0: 8, 1: 8, 2: 8}
 #: Share of the sketch that a candidate must hold; a pair at containment 0.8 misses it with probability below 1e-6.
 CANDIDATE = 0.35
+#: Shingles of items in a slice.
+SLICE_ROWS = 200_000
 
 
 def words(text: str) -> Column:
@@ -56,16 +65,27 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return hashed.select("item_id", F.least(n, F.lit(SHINGLE)).alias("k"), F.explode(F.array_distinct(shingles)).alias("shingle")).distinct()
 
 
-def sketches(shingles: DataFrame, sketch: int = SKETCH) -> DataFrame:
+def sketches(shingles: DataFrame) -> DataFrame:
     """item_id, size, part (power of two of the size), need (hits that make a candidate), shingle: the bottom-k sketch."""
-    ranked = shingles.groupBy("item_id").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit("sketch"), "shingle").alias("rank"), "shingle"))), 1, sketch).alias("least"))
-    return ranked.select(
-        "item_id",
-        "size",
-        F.floor(F.log2("size")).cast("int").alias("part"),
-        F.greatest(F.lit(1), F.floor(F.least("size", F.lit(sketch)) * CANDIDATE)).cast("long").alias("need"),
-        F.explode("least.shingle").alias("shingle"),
-    )
+    rank = F.struct(F.xxhash64(F.lit("sketch"), "shingle").alias("rank"), "shingle")
+    sized = shingles.groupBy("item_id").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(rank)).alias("all"))
+    part = F.floor(F.log2("size")).cast("int")
+    k = F.least(F.col("size"), F.element_at(F.create_map(*[F.lit(x) for p in sorted(SKETCH) for x in (p, SKETCH[p])]), part))
+    chosen = sized.withColumn("part", part).withColumn("k", k.cast("int"))
+    need = F.greatest(F.lit(1), F.floor(F.col("k") * CANDIDATE)).cast("long").alias("need")
+    return chosen.select("item_id", "size", "part", need, F.explode(F.slice("all.shingle", 1, F.col("k"))).alias("shingle"))
+
+
+def _sliced(table: DataFrame) -> list[DataFrame]:
+    """The table in slices of about SLICE_ROWS rows, whole items each, to broadcast one at a time."""
+    n = -(-table.count() // SLICE_ROWS) or 1
+    return [table if n == 1 else table.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _looked_up(docs: DataFrame, lengths: list[int], table: DataFrame) -> DataFrame:
+    """Shingles of documents joined with the table's rows of the same shingle, slice by slice."""
+    found = [_document_shingles(docs, lengths).join(F.broadcast(part), "shingle") for part in _sliced(table)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
@@ -74,21 +94,21 @@ def _document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return hashed.select("doc_id", F.size("_h").alias("words"), F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("shingle"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, sketch: int = SKETCH) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, containment: every pair whose document holds at least that share of the item's shingles."""
     docs = docs.select("doc_id", "text")
     whole = written(item_shingles(items), "item-shingles")
     lengths = sorted(r["k"] for r in whole.select("k").distinct().collect()) or [SHINGLE]
-    least = written(sketches(whole, sketch), "item-sketches")
+    least = written(sketches(whole), "item-sketches")
 
     # a document of too few words cannot hold enough of an item of this size partition
-    hits = _document_shingles(docs, lengths).join(bounded(least), "shingle").where(F.col("words") >= F.floor(F.pow(F.lit(2.0), "part") * containment))
+    hits = _looked_up(docs, lengths, least).where(F.col("words") >= F.floor(F.pow(F.lit(2.0), "part") * containment))
     pairs = hits.groupBy("doc_id", "item_id", "need", "size").agg(F.count_distinct("shingle").alias("hits")).where("hits >= need")
     candidates = written(pairs.select("doc_id", "item_id", "size"), "contained")
 
     suspects = candidates.select(F.col("doc_id").alias("_id")).distinct()
     again = docs.join(bounded(suspects), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = _document_shingles(again, lengths).select("doc_id", "shingle").join(bounded(whole.select("item_id", "shingle")), "shingle")
+    found = _looked_up(again, lengths, whole.select("item_id", "shingle"))
     held = found.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("held"))
     same = held["doc_id"].eqNullSafe(candidates["doc_id"]) & (held["item_id"] == candidates["item_id"])
     share = F.col("held") / F.col("size")

@@ -1,13 +1,14 @@
 """Packing into optimal length buckets.
 
-A dynamic program over the global length histogram chooses the bucket
+A dynamic program over the global histogram of exact lengths chooses the bucket
 boundaries that minimise padding; batches of at most a token budget then form
-inside each bucket. Lengths are exact up to 1,024 and rounded up to 512 steps
-an octave beyond, so the histogram stays small whatever the corpus holds; only
-the histogram reaches the driver.
+inside each bucket. A layer of the program is a lower envelope of lines, so it
+takes time in proportion to the number of different lengths. Only the histogram
+reaches the driver, one row for each different length.
 
 Rows are numbered inside a bucket without gathering it in one task: row numbers
-within (bucket, shard), plus the counts of the shards before.
+within (bucket, shard), plus the counts of the shards before. Shards are drawn
+row by row when lengths are written, so repeated rows spread as others do.
 
 Defined results: a null or empty text has length 0; a text longer than the
 budget is a batch of its own; null ids and repeated rows are packed like any
@@ -26,7 +27,6 @@ BUCKETS = 16
 TOKEN_BUDGET = 16_384
 SHARD_ROWS = 50_000
 LEAST_SHARDS = 64
-_EXACT, _STEPS = 1_024, 512
 
 
 def word_count(text: str = "text") -> Column:
@@ -34,46 +34,51 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def rounded(length: Column) -> Column:
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - int(np.log2(_STEPS)))
-    return F.when(length <= _EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
-
-
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of at most `buckets` buckets with the least total padded length."""
+    """Upper bounds of at most `buckets` buckets with the least total padded length.
+
+    With i the last length of the bucket before, the least cost up to length j is
+    the minimum over i < j of cost(i) + length_j (rows_j - rows_i): for each i a
+    line in length_j, of falling slope. Whole numbers, so the result is exact.
+    """
     order = np.argsort(lengths)
-    lengths, counts = np.asarray(lengths)[order], np.asarray(counts, dtype=float)[order]
-    n = len(lengths)
+    x, rows = np.asarray(lengths)[order].tolist(), np.cumsum(np.asarray(counts)[order]).tolist()
+    n = len(x)
     if n == 0:
         return []
-    below = np.concatenate(([0.0], np.cumsum(counts)))
-    best = lengths * below[1:]  # one bucket up to each length
-    came = [np.zeros(n, int)]
-    costs = [best]
+    costs, came = [a * b for a, b in zip(x, rows, strict=True)], []
     for _ in range(1, min(buckets, n)):
-        previous, now, origin = costs[-1], costs[-1].copy(), np.full(n, -1)
+        now, origin, hull, front = costs[:], [-1] * n, [], 0
         for j in range(1, n):
-            total = previous[:j] + lengths[j] * (below[j + 1] - below[1 : j + 1])
-            i = int(total.argmin())
-            if total[i] < now[j]:
-                now[j], origin[j] = total[i], i
-        costs.append(now)
+            i = j - 1  # a line more to choose from
+            while len(hull) - front > 1:
+                p, q = hull[-2], hull[-1]
+                if (costs[i] - costs[p]) * (rows[q] - rows[p]) > (costs[q] - costs[p]) * (rows[i] - rows[p]):
+                    break
+                hull.pop()
+            hull.append(i)
+            while front + 1 < len(hull) and costs[hull[front + 1]] - x[j] * rows[hull[front + 1]] <= costs[hull[front]] - x[j] * rows[hull[front]]:
+                front += 1
+            total = costs[hull[front]] + x[j] * (rows[j] - rows[hull[front]])
+            if total < now[j]:
+                now[j], origin[j] = total, hull[front]
+        costs = now
         came.append(origin)
-    bounds, j, k = [], n - 1, len(costs) - 1
-    while j >= 0:
-        while k > 0 and came[k][j] < 0:
-            k -= 1
-        bounds.append(int(lengths[j]))
-        if k == 0:
-            break
-        j, k = int(came[k][j]), k - 1
+    bounds, j = [], n - 1
+    for origin in [*came[::-1], None]:
+        if origin is None:
+            bounds.append(int(x[j]))
+        elif origin[j] >= 0:
+            bounds.append(int(x[j]))
+            j = origin[j]
     return bounds[::-1]
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
     """One row per document: doc_id, length, bucket, bucket_length, batch_id, slot, padding."""
-    sized = written(docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("length")), "lengths")
-    histogram = sized.groupBy(rounded(F.col("length")).alias("v")).count().collect()
+    sized = docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("length"))
+    sized = written(sized.withColumn("_draw", F.xxhash64("doc_id", "length", F.monotonically_increasing_id())), "lengths")
+    histogram = sized.groupBy(F.col("length").alias("v")).count().collect()
     values, counts = np.array([r[0] for r in histogram], dtype=np.int64), np.array([r[1] for r in histogram], dtype=np.int64)
     bounds = optimal_boundaries(values, counts, buckets) or [0]
     room = [max(1, token_budget // max(1, b)) for b in bounds]
@@ -81,14 +86,13 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     first_batch = np.concatenate(([0], np.cumsum(-(-inside // np.array(room)))))[:-1]
     shards = max(LEAST_SHARDS, -(-int(counts.sum()) // SHARD_ROWS))
 
-    # the bucket of a length: how many boundaries lie below it (both sides rounded alike)
-    bucket = sum((F.lit(b) < rounded(F.col("length"))).cast("int") for b in bounds)
-    order = F.xxhash64("doc_id", "length")
-    placed = sized.withColumn("bucket", bucket).withColumn("_shard", F.pmod(order, F.lit(shards)))
+    # the bucket of a length: how many boundaries lie below it
+    bucket = sum((F.lit(b) < F.col("length")).cast("int") for b in bounds)
+    placed = sized.withColumn("bucket", bucket).withColumn("_shard", F.pmod("_draw", F.lit(shards)))
     within = Window.partitionBy("bucket", "_shard")
     held = placed.groupBy("bucket", "_shard").count()
     before = held.select("bucket", "_shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("count")).alias("_before"))
-    numbered = placed.withColumn("_row", F.row_number().over(within.orderBy(order, "doc_id", "length"))).join(bounded(before), ["bucket", "_shard"])
+    numbered = placed.withColumn("_row", F.row_number().over(within.orderBy("_draw", "doc_id", "length"))).join(bounded(before), ["bucket", "_shard"])
 
     def by_bucket(numbers) -> Column:
         return F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("bucket") + 1).cast("long")

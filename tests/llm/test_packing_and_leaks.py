@@ -31,6 +31,26 @@ def test_boundaries_are_optimal():
             assert cost == brute_padding(lengths, counts, buckets)
 
 
+def test_boundaries_of_many_lengths_equal_the_plain_program():
+    """Exact lengths up to 100,000, against the program without the envelope."""
+    rng = np.random.default_rng(3)
+    lengths = np.unique(np.concatenate([np.arange(300), rng.integers(1, 100_000, 400)]))
+    counts = rng.integers(1, 10_000, len(lengths))
+    rows, best = np.cumsum(counts), lengths * np.cumsum(counts)
+    for buckets in range(1, 9):
+        bounds = packing.optimal_boundaries(lengths, counts, buckets)
+        at = np.searchsorted(bounds, lengths)
+        assert len(bounds) <= buckets and int((np.array(bounds)[at] * counts).sum()) == best[-1]
+        best = np.array([min([best[j], *(best[:j] + lengths[j] * (rows[j] - rows[:j]))]) for j in range(len(lengths))])
+
+
+def test_repeated_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 10)
+    df = spark.range(2000).selectExpr("cast(null as long) as doc_id", "'a b c' as text")
+    rows = packing.pack(df, token_budget=30).collect()
+    assert len(rows) == 2000 and len({(r.batch_id, r.slot) for r in rows}) == 2000 and max(r.batch_id for r in rows) == 199
+
+
 def test_batches_keep_the_budget(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = packing.pack(docs, buckets=6, token_budget=4096).collect()
@@ -117,6 +137,34 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.count() == last and packed.select("doc_id").distinct().count() == last
 
 
+def test_pipeline_of_odd_tables(spark, odd_documents, no_documents, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names, empty tables: each stage gives its defined rows."""
+    import corpus_pipeline as P
+
+    def tables(name, labels, items):
+        where = f"{tmp_path}/{name}"
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        return where
+
+    clash = odd_documents
+    for name in ("toxic_score", "_toxic", "log_weight", "_node", "_id"):
+        clash = clash.withColumn(name, F.lit("mine"))
+    labels = [(i, int(i % 3 > 0), i % 2) for i in range(8)] + [(None, 1, 1), (1, None, None)]
+    some, none = tables("some", labels, [(1, "fox jumps over the lazy dog near the river"), (None, None)]), tables("none", [], [])
+    for where in (some, none):
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, clash, where)
+            assert out.columns == clash.columns and out.count() <= clash.count(), name
+            assert stage(spark, no_documents, where).count() == 0, name
+        assert P.pack(spark, clash, where).count() == clash.count() and P.pack(spark, no_documents, where).count() == 0
+    # without labels and items, only repeated and equal texts go
+    kept = clash
+    for name, stage in P.STAGES[:-1]:
+        kept = P.written(stage(spark, kept, none), f"odd-{name}")
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4, 5, 6]
+
+
 def test_queries_return_contract_columns(spark, sf_dir):
     from factframe.llm.queries import QUERIES
 
