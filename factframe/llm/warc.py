@@ -5,13 +5,16 @@ largest id is the response and the others revisit it. Each task writes
 compressed archives (one gzip member a record) into the shared folder and
 returns its captures as a run sorted by URL key, timestamp and id.
 
-Index: splitters from a bounded sample cut every run into ranges; the pieces of
-a range, still sorted, meet in one task and a loser tree merges them. Ranges
-are cut by the full key, so a URL with very many captures spans several of
-them; range after range is one global order.
+Index: splitters from a sample of SPLITTERS captures a range cut every run into
+ranges; the pieces of a range, still sorted, meet in one task and a loser tree
+merges them. Ranges are cut by the full key, so a URL with very many captures
+spans several of them; range after range is one global order.
 
-Reading: records are fetched by offset and parsed; the payload's digest is
-computed again from what was read.
+Reading: records are fetched by offset and parsed; the digest of a response is
+computed again from the body that was read, and that of a revisit is the one
+computed from a response's body; a record that disagrees raises an error.
+
+A record's id is made of the page's id and the payload's digest.
 
 Defined results: a null payload is empty; a null URL has an empty key and no
 target header; a null id is a response unless another row of its group has an
@@ -33,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factframe.llm.common import fresh_path, written
+from factframe.llm.common import bounded, fresh_path, unit_hash, written
 from factframe.llm.files import Folder
 
 ARCHIVE_BYTES = 32 << 20
 RUN_ROWS = 20_000
-RANGE_ROWS = 20_000
-SPLITTER_SAMPLE = 20_000
+RANGE_ROWS = 50_000
+#: Captures sampled for each range.
+SPLITTERS = 20
 _KEYS = ["url_key", "timestamp", "page_id"]
 _CAPTURE = "url_key string, timestamp string, page_id long, file string, offset long, length long"
 
@@ -57,17 +61,27 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(labels)) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}>"
+
+
+def page_of(name: str | None) -> int | None:
+    """The page's id in a record's id."""
+    number = name.split(":")[2] if name else ""
+    return int(number) if number else None
+
+
 def record(page_id: int | None, url: str | None, stamp: str, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record: a response with the payload, or a revisit with the HTTP header only."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}"]
     if url:
         lines.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~-._"))
     lines += [f"WARC-Date: {stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:14]}Z", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -89,11 +103,11 @@ def _gzip(data: bytes) -> bytes:
 
 def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Append _response: the id that a row's payload is stored under, null for rows that are responses themselves."""
-    digest = F.sha1(F.coalesce(F.col("payload"), F.lit("").cast("binary")))
-    rows = pages.withColumn("_digest", digest)
-    groups = rows.groupBy(F.col("_digest").alias("_d")).agg(F.max("page_id").alias("_largest"))
+    rows = pages.withColumn("_digest", F.unhex(F.sha1(F.coalesce(F.col("payload"), F.lit("").cast("binary")))))
+    # only payloads that occur more than once are joined, and payloads move only where those are too many to broadcast
+    groups = rows.groupBy(F.col("_digest").alias("_d")).agg(F.max("page_id").alias("_largest"), F.count("*").alias("_n")).where("_n > 1")
     small = F.coalesce(F.octet_length("payload"), F.lit(0)) < least_bytes
-    joined = rows.join(groups, F.col("_digest") == F.col("_d"))
+    joined = rows.join(bounded(groups.select("_d", "_largest")), F.col("_digest") == F.col("_d"), "left")
     return joined.withColumn("_response", F.when(small | F.col("page_id").eqNullSafe(F.col("_largest")), F.lit(None)).otherwise(F.col("_largest"))).drop("_digest", "_d", "_largest")
 
 
@@ -173,7 +187,8 @@ def merge_index(captures: DataFrame) -> DataFrame:
     """range, position and the capture: globally ordered by url_key, timestamp, page_id over (range, position)."""
     n = captures.count()
     ranges = -(-n // RANGE_ROWS)
-    sample = captures.select(*_KEYS).where(F.rand(11) < min(1.0, SPLITTER_SAMPLE / max(1, n))).collect() if ranges > 1 else []
+    drawn = unit_hash("file", "offset") < min(1.0, SPLITTERS * ranges / max(1, n))
+    sample = captures.where(drawn).select(*_KEYS).collect() if ranges > 1 else []
     ordered = sorted((r[0], r[1], -1 if r[2] is None else r[2]) for r in sample)
     splitters = sorted({ordered[len(ordered) * i // ranges] for i in range(1, ranges)}) if ordered else []
     shared = captures.sparkSession.sparkContext.broadcast(splitters)
@@ -209,28 +224,33 @@ def merge_index(captures: DataFrame) -> DataFrame:
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Fetch and parse every indexed record: the id, record type, digest and size as stored, the digest of what was read, and refers_to."""
-    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, range int, position int, intact boolean"
+    """Fetch and parse every indexed record: the id, record type, refers_to, and size and digest of the payload as read."""
+    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, range int, position int"
 
     def read(batches: Iterator[pa.RecordBatch]):
         source = Folder(folder)
-        number = lambda s: int(s.rpartition(":")[2].rstrip(">")) if s and s.rpartition(":")[2] != ">" else None
         for batch in batches:
-            rows = batch.to_pylist()
             out = []
-            for r in sorted(rows, key=lambda r: (r["file"], r["offset"])):
+            for r in sorted(batch.to_pylist(), key=lambda r: (r["file"], r["offset"])):
                 warc, http, body = parse(zlib.decompress(source.read(r["file"], r["offset"], r["length"]), 31))
                 stored = warc["warc-payload-digest"].removeprefix("sha1:")
                 revisit = warc["warc-type"] == "revisit"
-                intact = revisit or base64.b32encode(hashlib.sha1(body).digest()).decode() == stored
-                size = int(http["content-length"]) if revisit else len(body)
-                out.append((number(warc["warc-record-id"]), size, stored, warc["warc-type"], number(warc.get("warc-refers-to")), r["url_key"], r["timestamp"], r["range"], r["position"], intact))
+                if not revisit and (base64.b32encode(hashlib.sha1(body).digest()).decode() != stored or len(body) != int(http["content-length"])):
+                    raise ValueError(f"the body of {warc['warc-record-id']} is not the one that was written")
+                out.append((page_of(warc["warc-record-id"]), int(http["content-length"]), stored, warc["warc-type"], page_of(warc.get("warc-refers-to")), r["url_key"], r["timestamp"], r["range"], r["position"]))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
-                names = [c.split()[0] for c in shape.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return index.select("range", "position", *_KEYS, "file", "offset", "length").mapInArrow(read, shape)
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in shape.split(", ")])
+
+    read_back = written(index.select("range", "position", *_KEYS, "file", "offset", "length").mapInArrow(read, shape), "records")
+    # what a revisit says of its payload is held against the body of the response that it refers to
+    revisits = read_back.where("record_type = 'revisit'")
+    wanted = revisits.select(F.col("refers_to").alias("_to"), F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n")).distinct()
+    found = read_back.where("record_type = 'response'").select(F.col("page_id").alias("_to"), F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n")).distinct()
+    lost = wanted.join(found, ["_to", "_d", "_n"], "left_anti").limit(1).collect()
+    if lost:
+        raise ValueError(f"no response holds the payload {lost[0]['_d']} of page {lost[0]['_to']}")
+    return read_back
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
