@@ -2,15 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each as Parquet in the shared folder and hands the rows read back to the next.
-All but the last return the columns of `documents`.
+All but the last return the columns of `documents`, whatever their names.
+
+Defined results: rows with null or empty texts stay until near duplicates, where
+they are one class by their equal (empty) text; of repeated rows one stays;
+without labels of both classes nothing is rejected as toxic unless most training
+labels are, and without good labels nothing is rejected for quality; an empty
+benchmark rejects nothing; an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factframe.llm import decontaminate, kneser_ney, order_minhash, packing, resample
-from factframe.llm.common import written
+from factframe.llm.common import free_name, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +26,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half stay."""
-    model = kneser_ney.fit(docs, _table(spark, sf_dir, "labels"))
-    return kneser_ney.with_toxicity(docs, model, "_toxic").where("_toxic < 0.5").select(*docs.columns)
+    model, score = kneser_ney.fit(docs, _table(spark, sf_dir, "labels")), free_name(docs, "toxic_score")
+    return kneser_ney.with_toxicity(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling stay; k leaves out those that the raw model finds far likelier."""
-    return resample.keep_resampled(docs, _table(spark, sf_dir, "labels")).select(*docs.columns)
+    """Documents drawn by importance resampling stay: as large a share as is good among the training labels."""
+    return resample.keep_resampled(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
