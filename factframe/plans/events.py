@@ -149,7 +149,7 @@ def fiscal_labels(spark, sf_dir):
     return out.withColumn("label", F.concat(F.lit("Q"), F.col("quarter").cast("string"), F.lit(" FY"), F.right(F.col("fiscal_year").cast("string"), F.lit(2)))).withColumn("year_end", F.make_date("fiscal_year", F.lit(3), F.lit(31)))
 
 
-_TOKENS_SQL = "array_to_string(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('mr', 'mrs', 'ms', 'dr', 'shri', 'smt', '')), '|')"
+_TOKENS_SQL = "array_to_string(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('mr', 'mrs', 'ms', 'dr', 'shri', 'smt', 'sri', 'prof', '')), '|')"
 
 
 @query(f"SELECT {_TOKENS_SQL.format('p_name')} AS entity_key, count(*) AS n, min(p_partkey) AS first_id, min_by(p_name, p_partkey) AS canonical_name FROM part GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factframe.functions import filings as L
 from factframe.functions import text as X
 from factframe.registry import query
 from factframe.sources.tables import table
@@ -35,22 +36,58 @@ def risk_recurrence(spark, sf_dir):
     return grouped.where("n_sources >= 2")
 
 
-_BOILER = r"(?i)licensed under|all rights reserved|copyright|cookie|terms of use"
+def _risks(spark, sf_dir):
+    """Lines of documents stand for risk texts, sources for the periods that state them."""
+    return _lines(spark, sf_dir).select("doc_id", "source", "i", F.col("line").alias("text"))
 
 
-@query(rf"""SELECT doc_id, length(trim(text)) AS n_chars, len(list_distinct(regexp_extract_all(lower(text), 'lawsuit|default|fraud|stupid|idiot|trash|loser'))) AS n_terms FROM documents
-WHERE length(trim(text)) >= 50 AND NOT regexp_matches(text, '{_BOILER}')""")
+_RISKS_SQL = f"{_LINES_SQL}, r AS (SELECT doc_id, source, i - 1 AS i, line AS text FROM l)"
+_PLAUSIBLE_SQL = f"length(trim(text)) >= 50 AND NOT regexp_matches(trim(text), '{X.BOILERPLATE}')"
+
+
+@query(f"WITH {_RISKS_SQL} SELECT doc_id, i, length(text) AS n_chars FROM r WHERE {_PLAUSIBLE_SQL}")
 def risk_plausible(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("lawsuit|default|fraud|stupid|idiot|trash|loser"), F.lit(0)))
-    return docs.where((F.length(F.trim("text")) >= 50) & ~F.col("text").rlike(_BOILER)).select("doc_id", F.length(F.trim("text")).cast("long").alias("n_chars"), F.size(terms).cast("long").alias("n_terms"))
+    return _risks(spark, sf_dir).where(X.plausible_risk(F.col("text"))).select("doc_id", "i", F.length("text").cast("long").alias("n_chars"))
+
+
+_GROUPED_SQL = f"""{_RISKS_SQL}, p AS (SELECT *, lower(trim(text)) AS risk_key FROM r WHERE {_PLAUSIBLE_SQL}),
+k AS (SELECT risk_key, count(DISTINCT source) AS recurrence, min(source) AS earliest, max(source) AS latest FROM p GROUP BY risk_key)"""
+
+
+def _grouped_risks(spark, sf_dir):
+    """risk_key (hash of the text), recurrence, earliest and latest statement, and one text of each: whole texts are no shuffle keys."""
+    rows = _risks(spark, sf_dir).where(X.plausible_risk(F.col("text"))).withColumn("text", F.lower(F.trim("text")))
+    return rows.groupBy(F.md5("text").alias("risk_key")).agg(F.count_distinct("source").alias("recurrence"), F.min("source").alias("earliest"), F.max("source").alias("latest"), F.any_value("text").alias("text"))
+
+
+@query(f"WITH {_GROUPED_SQL} SELECT md5(risk_key) AS risk_key, recurrence, earliest, latest FROM k WHERE recurrence >= 2")
+def recurring_risks(spark, sf_dir):
+    """Plausible risks stated in two periods or more, with the first and the last of them."""
+    return _grouped_risks(spark, sf_dir).where("recurrence >= 2").select("risk_key", "recurrence", "earliest", "latest")
+
+
+_CONFIDENT_SQL = f"(recurrence >= 2 OR regexp_matches(risk_key, '{X.STRONG_RISK}') OR len(list_distinct(list_transform(regexp_extract_all(risk_key, '{X.WEAK_RISK}', 1), lambda x: lower(x)))) >= 2)"
+
 
+@query(f"WITH {_GROUPED_SQL} SELECT md5(risk_key) AS risk_key, {_CONFIDENT_SQL} AS confident, recurrence, latest FROM k ORDER BY 2 DESC, 3 DESC, 4 DESC, 1")
+def report_risks(spark, sf_dir):
+    """All plausible risks: those to rely on first, then by recurrence, then by recency."""
+    marked = _grouped_risks(spark, sf_dir).select("risk_key", X.high_confidence_risk(F.col("text"), F.col("recurrence")).alias("confident"), "recurrence", "latest")
+    return marked.orderBy(F.desc("confident"), F.desc("recurrence"), F.desc("latest"), "risk_key")
 
-@query(r"""WITH t AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'))) AS target FROM documents)
-SELECT target, count(DISTINCT source) AS n_sources, count(*) AS n FROM t GROUP BY target HAVING count(DISTINCT source) >= 2""")
+
+_STATED = ("Margin guidance stays at 26-28% for the year.", "We reiterate 26-28% and capex of 11,500 crores.", "Target: <2 tCO2e per tonne, 35 - 40 MTPA, 4x.", "Aiming for 26-28%, 26-28% and 35 - 40 mtpa.", "No number here but 12 pages.")
+_STATED_SQL = "s(id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_STATED)) + ")"
+_TARGETS_SQL = f"list_distinct(list_transform(regexp_extract_all(text, '{X.TARGET}'), lambda x: regexp_replace(lower(trim(x)), '\\s+', ' ', 'g')))"
+
+
+@query(rf"""WITH {_STATED_SQL}, d AS (SELECT doc_id, source, text FROM documents UNION ALL SELECT -1 - id, 'stated ' || CAST(id // 2 AS VARCHAR), text FROM s),
+t AS (SELECT doc_id, source, unnest({_TARGETS_SQL}) AS target FROM d) SELECT target, count(DISTINCT source) AS n_sources, count(*) AS n FROM t GROUP BY target HAVING count(DISTINCT source) >= 2""")
 def repeated_targets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))).alias("target"))
+    """Numbers with a unit that come back on another date, here in another source; each counts once an entry."""
+    stated = spark.createDataFrame([(-1 - i, f"stated {i // 2}", t) for i, t in enumerate(_STATED)], "doc_id long, source string, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").unionByName(stated)
+    found = docs.select("doc_id", "source", F.explode(X.target_tokens(F.col("text"))).alias("target"))
     return found.groupBy("target").agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n")).where("n_sources >= 2")
 
 
@@ -78,10 +115,17 @@ def tokenize_keywords(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.tokens(c)).cast("long").alias("n_tokens"), F.size(X.keywords(c)).cast("long").alias("n_keywords"), F.size(X.numbers(c)).cast("long").alias("n_numbers"))
 
 
-@query()
+_EDGES = r"""[.,;:!?"''()/\[\]{}|\\-]+"""
+
+
+@query(rf"""WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS n, greatest(1, ceil(length(text) / 3000)) AS pages, list_filter(regexp_split_to_array(substr(coalesce(text, ''), 1, 8000), '[\s\p{{Z}}]+'), lambda x: x <> '') AS words FROM documents),
+c AS (SELECT *, list_filter(list_transform(words, lambda x: regexp_replace(x, '^{_EDGES}|{_EDGES}$', '', 'g')), lambda x: length(x) >= 2) AS core FROM p),
+g AS (SELECT doc_id, n, pages, len(words) AS words, len(list_filter(core, lambda x: regexp_matches(x, '[^\x00-\x7F₹–—‘’“”…\x{{00A0}}]') OR (regexp_matches(x, '[A-Za-z][0-9][A-Za-z]') AND regexp_matches(x, '[a-z]')) OR regexp_matches(x, '^l[A-Z]'))) AS garbled FROM c)
+SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(garbled AS INTEGER) AS garbled, CASE WHEN n = 0 THEN 0.0 ELSE round(0.4 * least(1.0, n / pages / 200.0) + 0.6 * greatest(0.0, 1 - 50.0 * coalesce(garbled / nullif(words, 0), 0.0)), 4) END AS score FROM g""")
 def text_quality(spark, sf_dir):
     pages = F.greatest(F.lit(1), F.ceil(F.length("text") / 3000))
-    return table(spark, sf_dir, "documents").select("doc_id", X.quality_score(F.col("text"), pages).alias("score"), X.garbled_share(F.col("text")).alias("garbled"))
+    counts = X.garbled_words(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", counts["words"].alias("words"), counts["garbled"].alias("garbled"), X.quality_score(F.col("text"), pages).alias("score"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_ascii,
@@ -93,35 +137,86 @@ def script_share(spark, sf_dir):
     return out.withColumn("script", F.when(F.col("n_letters") >= 50, F.when(F.col("n_indian") > 0.3 * F.col("n_letters"), "other").otherwise("en")))
 
 
-_CUE = r"(?:will|license|version|email|call|id)[^.\n]{0,80}[0-9][^.\n]{0,40}"
+_SAID = (
+    "We are targeting a margin of 26 to 28 percent. Our guidance is 11500 crores of capex.\nGuidance  is 11500 crores of capex. The stated range of 3x holds, aiming to achieve 40 by next year.",
+    "Our aspiration\nis 20 percent growth and we intend to increase capacity to 35 million tonnes",
+    "No outlook is given here for 2025",
+)
+_SAID_SQL = "UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{t}')" for i, t in enumerate(_SAID)) + ") v(doc_id, text)"
 
 
-@query(rf"""SELECT doc_id, list_extract(s, 1) AS first, len(s) AS n FROM (
-  SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i){_CUE}'), lambda x: lower(x))))[1:3] AS s FROM documents) WHERE len(s) > 0""")
+@query(rf"""WITH d AS (SELECT doc_id, text FROM documents {_SAID_SQL}),
+g AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '\n', ' ', 'g'), '{X.GUIDANCE}', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS s FROM d),
+u AS (SELECT doc_id, s, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM g), f AS (SELECT doc_id, min(i) AS i FROM u GROUP BY doc_id, lower(x))
+SELECT u.doc_id, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.i) - 1 AS place, x AS statement FROM u JOIN f ON u.doc_id = f.doc_id AND u.i = f.i QUALIFY place < 3""")
 def find_guidance(spark, sf_dir):
-    found = F.slice(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"(?i){_CUE}"), F.lit(0)), F.lower))), 1, 3)
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("s")).where(F.size("s") > 0).select("doc_id", F.get("s", F.lit(0)).alias("first"), F.size("s").cast("long").alias("n"))
+    said = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_SAID)], "doc_id long, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(said)
+    return docs.select("doc_id", F.posexplode(X.guidance_statements(F.col("text"))).alias("place", "statement")).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
-def ocr_number_fix(spark, sf_dir):
-    """One row for each number-like run of each document, with its position among them."""
-    sample = spark.sql("select * from values (1L, '1O,240'), (2L, '2 ,445.1'), (3L, '3, 240'), (4L, '(1,234.5)'), (5L, '—'), (6L, '4l,000') as t(doc_id, raw)")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.number_runs(F.col("text"))).alias("position", "raw"))
-    fixed = F.regexp_replace(X.fix_ocr_numbers(F.col("raw")), "(?<=[0-9])[,.]+$", "")
-    return sample.withColumn("position", F.lit(0)).unionByName(docs).select("doc_id", "position", "raw", fixed.alias("fixed"), X.parse_number(fixed).alias("value"))
+_SCANNED = ("2.16,840.35 and 1.10.960.11", "58.216.04 (34.228 34)", "68.55L.81 - nil", "2,27.296.20 | 1,26,872", "5.6 apples, (1,234.5)")
 
 
-_RULES = (("license", "license_notice"), (r"[0-9]{3}[-. ][0-9]{4}", "contact"), ("\\|", "table"), (r"https?://", "web"))
+@query()
+def ocr_number_fix(spark, sf_dir):
+    """One row for each number of each document, with its position, after the text is repaired; look-arounds have no counterpart in the other engine, so a test holds it against plain code."""
+    scanned = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_SCANNED)], "doc_id long, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(scanned)
+    tokens = docs.select("doc_id", F.posexplode(X.number_tokens(X.fix_ocr_numbers(F.col("text")))).alias("position", "token"))
+    return tokens.withColumn("value", X.parse_number(F.col("token")))
+
+
+_ROWS = (
+    ("Revenue from operations\n 1,26,872 1,20,000.50 (340)\n - 5\nOther income\n 77", 24),
+    ("Note\n\n(3) Assets held for sale\n20,159.67] | 19,160.44\n7\n\n8\nTOTAL - ASSETS 9", 4),
+    ("Label 12 apart\nno number", 0),
+    ("a\n1 2 3 4 5 6 7 8", 1),
+)
+
+
+@query("""SELECT * FROM (VALUES (0, [126872.0, 120000.5, -340.0, 0.0, 5.0]), (1, [20159.67, 19160.44, 7.0, 8.0]), (2, CAST([] AS DOUBLE[])), (3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])) v(id, found)""")
+def values_after_label(spark, sf_dir):
+    """The first six numbers of the rows of figures that follow a label; the oracle is the answers worked out by hand."""
+    rows = spark.createDataFrame([(i, t, at) for i, (t, at) in enumerate(_ROWS)], "id int, text string, at int")
+    return rows.select("id", X.first_values(F.substr(F.col("text"), F.col("at") + 1)).alias("found"))
+
+
+_SUBJECTS = (
+    "Sub: Schedule of Analyst / Institutional Investor Meetings\n", "Sub - Submission of presentation\n", "SUB: Disclosure of Related Party Transactions pursuant to Regulation 23(9)\n", "Sub: disclosure nursuant to Resulation 23 ( 9 )\n",
+    "Sub: Intimation regarding the Annual Report\n", "Sub: Intimation under Regulation 30\n", "", "Sub:\n",
+)
+_CLAIMED = ("investor_presentation", "earnings_transcript", "annual_report", "brsr", "regulatory_filing", "financial_results")
+_FILED_SQL = f"""f AS (SELECT doc_id, list_extract({list(_CLAIMED)}, CAST(doc_id % 6 AS INTEGER) + 1) AS claimed, list_extract([{', '.join(f"'{x}'" for x in _SUBJECTS)}], CAST(doc_id // 6 % 8 AS INTEGER) + 1) || text AS text,
+  CASE WHEN doc_id % 11 > 0 THEN doc_id % 12 END AS pages FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, lower(trim(regexp_extract(substr(text, 1, 3000), '{L.SUBJECT}', 1))) AS subject FROM f),
+c AS (SELECT *, CASE WHEN claimed <> 'regulatory_filing' AND regexp_matches(subject, '{L.REGULATORY}') THEN 'reclassified'
+  WHEN regexp_matches(subject, '{L.NOTICE}') AND NOT regexp_matches(subject, CASE claimed {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SUBSTANTIVE.items())} ELSE '' END) THEN 'notice'
+  WHEN pages < CASE claimed {' '.join(f"WHEN '{k}' THEN {v}" for k, v in L.LEAST_PAGES.items())} END THEN 'too_short' ELSE 'passed' END AS rule FROM h)"""
+
+
+def _filed(spark, sf_dir):
+    """Documents under a subject line, a claimed kind and a count of pages."""
+    n = F.col("doc_id")
+    pick = lambda names, by: F.get(F.array(*[F.lit(x) for x in names]), by.cast("int"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", pick(_CLAIMED, n % 6).alias("claimed"), F.concat(pick(_SUBJECTS, F.floor(n / 6) % 8), "text").alias("text"), F.when(n % 11 > 0, n % 12).alias("pages"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN length(text) < 50 THEN 'stub' {' '.join(f"WHEN regexp_matches(substr(text, 1, 3000), '(?i){p}') THEN '{k}'" for p, k in _RULES)} ELSE 'report' END AS kind, length(text) >= 200 AS substantive FROM documents WHERE text IS NOT NULL""")
+@query(f"WITH {_FILED_SQL} SELECT doc_id, claimed, CASE rule WHEN 'reclassified' THEN 'regulatory_filing' ELSE claimed END AS kind, rule IN ('reclassified', 'passed') AS substantive, rule FROM c")
 def classify_document(spark, sf_dir):
-    """Ordered rules on the head of a document, first match wins; the rule itself is defined on the first 3,000 characters."""
-    rules = F.when(F.length("text") < 50, "stub")
-    for pattern, kind in _RULES:
-        rules = rules.when(F.substring("text", 1, 3000).rlike(f"(?i){pattern}"), kind)
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", rules.otherwise("report").alias("kind"), (F.length("text") >= 200).alias("substantive"))
+    verdict = L.classified(F.col("claimed"), F.col("text"), F.col("pages"))
+    return _filed(spark, sf_dir).select("doc_id", "claimed", verdict.alias("_v")).select("doc_id", "claimed", "_v.*")
+
+
+@query(f"""WITH {_FILED_SQL}, x AS (SELECT o_orderkey AS doc_id, o_orderstatus = 'F' AS parsed FROM orders)
+SELECT doc_id, claimed AS kind_before, 'regulatory_filing' AS kind_after FROM c JOIN x USING (doc_id) WHERE parsed AND rule = 'reclassified'""")
+def reclassify_documents(spark, sf_dir):
+    """The catalogue's documents that were parsed and whose subject line contradicts their kind."""
+    parsed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
+    verdict = L.classified(F.col("claimed"), F.col("text"), F.col("pages"))
+    marked = _filed(spark, sf_dir).join(parsed, "doc_id", "left_semi").select("doc_id", F.col("claimed").alias("kind_before"), verdict["kind"].alias("kind_after"))
+    return marked.where("kind_before <> kind_after")
 
 
 @query("""SELECT page_id, regexp_matches(lower(ltrim(substr(html, 1, 256))), '^(<!doctype html|<html)') AS is_shell, length(html) AS n_chars, length(trim(regexp_replace(html, '<[^>]*>', ' ', 'g'))) AS n_text FROM pages""")
