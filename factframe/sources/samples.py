@@ -1,0 +1,37 @@
+"""Short invented filings, for the extractors: the tables hold no filings."""
+
+DIVIDENDS = (
+    "The Board has recommended a final dividend of INR 12.50 per share and declared a special dividend of INR 3 per share. The Record Date fixed for the purpose is July 18, 2024. It will be paid on Friday, August 2, 2024.",
+    "An interim dividend of INR 7.25 goes to holders as on October 18, 2024, which is the Record Date.",
+    "The Board met and noted the accounts. No dividend is proposed.",
+)
+BUYBACKS = (
+    "Notice of Record Date  (i.e. Saturday, November 25, 2023) for the offer.\nTotal Number of Equity Shares Extinguished/ Destroyed (A + B)  1,20,34,567",
+    "The record date for this purpose is March 9, 2022. The Company has bought back 5,000 Equity Shares.",
+    "Extinguishment of a total of 40,500 Equity Shares was completed.",
+    "A buyback is under study.",
+)
+ACQUISITIONS = (
+    "The Company agreed to the acquisition of Northlight Systems Private Limited and its subsidiaries. Details are enclosed as Annexure A.\nAnnexure - A\nWhether cash consideration or share swap\nCash consideration as below\nEnterprise Value of the target is about USD 65.5 million\n80% of the shares\nThe deal is expected to be completed\nby March 31, 2025\nAnnexure – B\nList of directors\n",
+    "We propose to acquire Bluewater Foods Limited in first tranche.\nANNEXURE A\n  Share swap in the ratio 3:2\nEnterprise Value USD 1.25 billion, 100 % to be held\n",
+    "No annexure is attached to this letter.",
+)
+RATINGS = (
+    "Rating rationale of CRISIL\nRatings reaffirmed today\nLong-term bank facilities Rs. 1,250.50 Crore CRISIL AA+ (Stable)\nCommercial Paper INR 300 Crore CRISIL A1+\nThe view is unaltered\nTerm loan ₹ 75 Cr [ICRA] A- Negative, downgraded\nend",
+    "Letter of credit INR 10 Crore\nassigned and later upgraded",
+    "Moody's comments on care and growth",
+)
+VOTES = (
+    "Resolution (1) 98.1234 97.0000 Whether resolution is Pass or not 99.2500 98.7654 garble 0.7500 1.2346 Yes",
+    "Total 99.5000 0.5000 Whether resolution is Pass No",
+    "Total 60.0000 10.0000 Whether resolution is Pass 33.0000 20.0000 Yes",
+    "No table",
+)
+MEETINGS = (
+    "Minutes\nVOTING RESULTS OF THE MEETING\n1. \nAdoption of accounts\nfor the year\nOrdinary\nPassed with requisite majority\n2. \nAppointment with a special\nallowance\nSpecial \nNot carried\n3. \nNothing is said of its type\n",
+    "VOTING RESULTS OF THE MEETING\nnone",
+)
+HOLDINGS = (
+    '<x><Pct contextRef="D_MutualFunds_Context1">0.0412</Pct><Pct contextRef="D_ForeignPortfolioInvestors_Context2">0.1</Pct><Pct contextRef="D_ForeignPortfolioInvestors_Context2">0.1185</Pct><Pct contextRef="D_PromoterGroup_Context9">0.7177</Pct></x>',
+    '<x><Pct contextRef="D_InsuranceCompanies_Context1">5.5</Pct><Pct contextRef="D_OthersIndianShareholders_Context4">1.0</Pct><Pct contextRef="D_IndividualHoldingInExcessOfRsTwoLakh_Context7">0.9</Pct></x>',
+)
