@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no question content.
-STOP_WORDS = ("the", "and", "for", "that", "this", "with", "was", "are", "has", "have", "had", "from", "what", "which", "who", "how", "did", "does", "its", "about", "were", "been", "will", "would", "there", "their", "into", "over", "than", "then", "they", "you", "your", "our", "but", "not", "can", "all", "any")
+STOP_WORDS = (
+    "the", "for", "and", "are", "was", "were", "been", "being", "has", "have", "had", "this", "that", "these", "those", "with", "from", "its", "their", "they", "which", "what", "how",
+    "does", "did", "will", "would", "can", "could", "about", "over", "under", "than", "then", "not", "yes", "you", "your", "our", "she", "them", "his", "her", "there", "here", "such",
+    "any", "all", "but", "also",
+)
 # Titles dropped from names.
 HONORIFICS = ("mr", "mrs", "ms", "dr", "shri", "smt", "sri", "prof")
 
@@ -25,14 +29,19 @@ def name_tokens(name: Column) -> Column:
     return F.filter(plain, lambda t: ~t.isin("", *HONORIFICS))
 
 
+#: A word, with one apostrophe inside, or a number.
+TOKEN = r"[a-z]+(?:'[a-z]+)?|[0-9]+(?:\.[0-9]+)?"
+
+
 def tokens(text: Column) -> Column:
     """Words and numbers, lower case, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z]+(?:'[A-Za-z]+)?|[0-9]+(?:\.[0-9]+)?"), F.lit(0)), F.lower)
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def keywords(text: Column) -> Column:
     """Distinct words of three letters or more that are not stop words."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= 3) & t.rlike("^[a-z]") & ~t.isin(*STOP_WORDS)))
+    words = F.array_except(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.filter(words, lambda t: t.rlike("^[a-z].."))
 
 
 def numbers(text: Column) -> Column:

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factframe.functions.text import keywords, numbers
+from factframe.functions.text import keywords, numbers, tokens
 
 WINDOW, STRIDE = 900, 450
 
 
+#: What stands between paragraphs.
+BREAK = r"\n\s*\n"
+
+
 def windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, start, passage: paragraphs (blank lines between), sliced every STRIDE characters if longer than WINDOW.
+    """doc_id, start, passage: paragraphs, sliced every STRIDE characters if longer than WINDOW; blank ones are left out.
 
-    Paragraph starts come from the running length of the pieces, so a passage
-    can be found again in the original text.
+    Starts come from the running length of the paragraphs and of what stands
+    between them, so a passage can be found again in the original text.
     """
-    parts = F.split(F.col(text), "\n\n")
-    # start of paragraph i: the lengths of those before, and two characters for each blank line
-    before = F.aggregate(F.transform(parts, F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 2)))
-    paragraphs = docs.where(F.col(text).isNotNull()).select("doc_id", F.posexplode(parts).alias("_i", "_p"), before.alias("_b")).select("doc_id", F.get("_b", F.col("_i")).alias("_start"), "_p").where("_p != ''")
+    parts, between = F.split(F.col(text), BREAK), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))
+    sizes = F.zip_with(parts, between, lambda p, b: F.length(p) + F.coalesce(F.length(b), F.lit(0)))
+    before = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    paragraphs = docs.where(F.col(text).isNotNull()).select("doc_id", F.posexplode(parts).alias("_i", "_p"), before.alias("_b")).select("doc_id", F.get("_b", F.col("_i")).alias("_start"), "_p").where(F.col("_p") != "")
     cuts = F.when(F.length("_p") <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("_p") - 1, F.lit(STRIDE)))
     sliced = paragraphs.select("doc_id", "_start", "_p", F.explode(cuts).alias("_cut"))
     passage = F.when(F.length("_p") <= WINDOW, F.col("_p")).otherwise(F.substring(F.col("_p"), F.col("_cut") + 1, F.lit(WINDOW)))
-    return sliced.select("doc_id", (F.col("_start") + F.col("_cut")).cast("long").alias("start"), passage.alias("passage"))
+    return sliced.select("doc_id", (F.col("_start") + F.col("_cut")).cast("long").alias("start"), passage.alias("passage")).where(F.col("passage").rlike(r"\S"))
 
 
 def question_terms(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -32,20 +36,27 @@ def question_terms(questions: DataFrame, key: str, text: str = "text") -> DataFr
     return words.unionByName(questions.select(key, F.explode(numbers(F.col(text))).alias("term"), F.lit(2).alias("weight")))
 
 
+#: Fiscal periods as text states them, blanks and case aside.
+PERIOD = r"(?:q[1-4])?fy\d{4}"
+
+
 def candidates(passages: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """Passages with at least two word hits or a number hit for a question, with their score.
+    """Passages with at least two word hits or a number hit for a question, with their score and the periods that they name.
 
-    An inverted join on terms: only passages that share a term with a question
-    meet it, and hits are summed map-side.
+    An inverted join on terms: a passage is split into tokens once, and only
+    tokens that some question asks for are kept; hits are summed map-side.
     """
-    found = passages.select("doc_id", "start", F.explode(F.array_union(keywords(F.col("passage")), numbers(F.col("passage")))).alias("term"))
-    hits = found.join(terms, "term").groupBy(key, "doc_id", "start").agg(F.count_if(F.col("weight") == 1).alias("n_words"), F.count_if(F.col("weight") == 2).alias("n_numbers"))
+    named = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("passage", r"\s+", "")), F.lit(PERIOD), F.lit(0)))
+    found = passages.select("doc_id", "start", F.when(F.col("passage").rlike("(?i)fy"), named).alias("periods"), F.explode(F.array_distinct(tokens(F.col("passage")))).alias("term"))
+    hits = found.join(terms, "term").groupBy(key, "doc_id", "start").agg(F.count_if(F.col("weight") == 1).alias("n_words"), F.count_if(F.col("weight") == 2).alias("n_numbers"), F.any_value("periods").alias("periods"))
     return hits.where("n_words >= 2 or n_numbers >= 1").withColumn("score", F.col("n_words") + 2 * F.col("n_numbers"))
 
 
-def overlap_free(ranked: DataFrame, key: str, k: int, per_document: int | None = None, order: str = "score") -> DataFrame:
+def overlap_free(ranked: DataFrame, key: str, k: int, per_document: int | None = None, order: str = "score", limits: DataFrame | None = None) -> DataFrame:
     """The first k passages of each question by (order desc, doc_id, start) that don't overlap a chosen one of the same document.
 
+    limits (key, top_k) has a question's own number, k at most.
+
     Only a document's own slices overlap, so each (question, document) is first
     thinned by itself, a fold over its ranked slices; then the k best of a
     question are taken. A document contributes at most k, whatever its length.
@@ -58,30 +69,71 @@ def overlap_free(ranked: DataFrame, key: str, k: int, per_document: int | None =
     thinned = mine.select(key, "doc_id", F.explode(chosen).alias("_c"))
     # the row number's limit holds within each map task too, so k rows of a question leave it
     placed = thinned.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_c.r", "doc_id", "_c.s"))).where(F.col("place") <= k)
+    if limits is not None:
+        placed = placed.join(limits.select(key, "top_k"), key).where("place <= top_k")
     return placed.select(key, "place", "doc_id", F.col("_c.s").alias("start"), (-F.col("_c.r")).alias(order))
 
 
-# Intents in order of precedence, with their cue words.
-INTENTS = (
-    ("comparison", ("compare", "versus", "between", "than")),
-    ("trend", ("trend", "growth", "change", "over time")),
-    ("risk", ("risk", "litigation", "default")),
-    ("guidance", ("guidance", "outlook", "target", "expect")),
-    ("governance", ("director", "auditor", "board")),
-)
-
-
-def intent(question: Column) -> Column:
-    """The first intent one of whose cues the question has, else general."""
-    out = None
-    for name, cues in INTENTS:
-        hit = F.lower(question).rlike("|".join(rf"\b{c}\b" for c in cues))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("general")
-
-
-def boosted(found: DataFrame, docs: DataFrame, kinds: dict[str, int], recent: int = 10) -> DataFrame:
-    """total = score * 100 + document kind boost + newest-first recency boost."""
-    weight = F.coalesce(F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("kind")], F.lit(0)) if kinds else F.lit(0)
-    meta = docs.select("doc_id", weight.alias("_type"), F.greatest(F.lit(0), F.lit(recent) - F.floor(F.col("age") / 10)).alias("_recency"))
-    return found.join(meta, "doc_id").withColumn("total", F.col("score") * 100 + F.col("_type") + F.col("_recency"))
+# Intents in order of precedence with their cues; the kinds of document that each prefers, with their boosts.
+INTENTS = {
+    "governance": ("board", "director", "auditor", "remuneration", "appointment", "resignation", "independent director", "committee"),
+    "capital_action": ("dividend", "buyback", "acquisition", "acquire", "merger", "fundraise", "rights issue", "qip", "preferential allotment"),
+    "esg": ("esg", "brsr", "emission", "sustainability", "carbon", "diversity", "csr"),
+    "ownership": ("shareholding", "promoter", "pledge", "fii", "dii", "institutional holding", "stake"),
+    "risk": ("risk factor", "risk", "exposure", "litigation", "contingent liability", "regulatory action"),
+    "guidance": ("guidance", "outlook", "target", "forecast", "aspiration"),
+    "narrative": ("management said", "management's view", "management view", "what did management", "commentary", "management commentary", "strategy", "said about", "view on", "management believes"),
+    "financial_metric": ("revenue", "margin", "profit", "eps", "ebitda", "turnover", "net income", "growth rate", "debt", "earnings per share"),
+}
+PREFERRED = {
+    "financial_metric": {"financial_results": 60, "annual_report": 40, "investor_presentation": 20},
+    "guidance": {"earnings_transcript": 60, "investor_presentation": 45, "annual_report": 20},
+    "risk": {"annual_report": 60, "brsr": 25, "regulatory_filing": 20},
+    "governance": {"agm_notice": 55, "board_outcome": 50, "corporate_governance_report": 50, "annual_report": 25},
+    "capital_action": {"board_outcome": 55, "dividend": 50, "buyback": 50, "acquisition": 50},
+    "esg": {"brsr": 70, "annual_report": 30},
+    "ownership": {"shareholding_pattern": 70, "annual_report": 20},
+    "narrative": {"earnings_transcript": 55, "annual_report": 35, "investor_presentation": 25},
+}
+BROADEN = ("all", "every", "list", "various", "multiple")
+QUARTER, YEAR = r"\bQ([1-4])\s?-?\s?FY\s?(\d{2,4})\b", r"\bFY\s?(\d{2,4})\b"
+RULES = ("intent_keyword_match", "intent_fallback", "doc_type_boost_from_intent", "period_extraction", "top_k_broaden_list_query", "top_k_narrow_specific_metric", "top_k_default")
+
+
+def plans(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, intent, periods, top_k and rules: how each question is to be searched, by rules in order, and which of them fired."""
+    q = F.col(text)
+    intent = F.coalesce(*[F.when(F.exists(F.array(*[F.lit(c) for c in cues]), lambda c: F.lower(q).contains(c)), F.lit(name)) for name, cues in INTENTS.items()], F.lit("general"))
+    year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    capital = F.upper(q)
+    quarters = F.zip_with(F.regexp_extract_all(capital, F.lit(QUARTER), F.lit(1)), F.regexp_extract_all(capital, F.lit(QUARTER), F.lit(2)), lambda n, y: F.concat(F.lit("Q"), n, F.lit("FY"), year(y)))
+    years = F.transform(F.regexp_extract_all(F.regexp_replace(capital, QUARTER, " "), F.lit(YEAR), F.lit(1)), lambda y: F.concat(F.lit("FY"), year(y)))
+    planned = questions.select(key, q.alias("_q"), intent.alias("intent"), F.array_distinct(F.concat(quarters, years)).alias("periods"))
+    broad = F.arrays_overlap(F.split(F.lower("_q"), r"\s+"), F.array(*[F.lit(w) for w in BROADEN]))
+    narrow = (F.col("intent") == "financial_metric") & (F.size(numbers(F.col("_q"))) > 0) & (F.size(keywords(F.col("_q"))) <= 3)
+    general = F.col("intent") == "general"
+    rules = F.filter(
+        F.array(
+            F.when(general, "intent_fallback").otherwise("intent_keyword_match"),
+            F.when(~general, "doc_type_boost_from_intent"),
+            F.when(F.size("periods") > 0, "period_extraction"),
+            F.when(broad, "top_k_broaden_list_query").when(narrow, "top_k_narrow_specific_metric").otherwise("top_k_default"),
+        ),
+        lambda r: r.isNotNull(),
+    )
+    return planned.select(key, "intent", "periods", F.when(broad, 10).when(narrow, 3).otherwise(5).alias("top_k"), rules.alias("rules"))
+
+
+def boosted(found: DataFrame, plan: DataFrame, docs: DataFrame, key: str, prefer_recent: bool = False, prefer_numeric: bool = False) -> DataFrame:
+    """Each term of a candidate's total: score * 100, kind of document, period named, recency and number.
+
+    docs: doc_id, kind, and recency (rank by date, newest 0) where recent ones are preferred.
+    """
+    weights = F.lit(0)
+    for name, kinds in PREFERRED.items():
+        weights = F.when(F.col("intent") == name, F.coalesce(F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("kind")], F.lit(0))).otherwise(weights)
+    wanted = F.transform("_wanted", F.lower)
+    both = found.join(plan.select(key, "intent", F.col("periods").alias("_wanted")), key).join(docs, "doc_id")
+    out = both.withColumn("doc_type", weights).withColumn("period", F.when(F.exists(wanted, lambda w: F.exists("periods", lambda p: p.contains(w))), 40).otherwise(0))
+    out = out.withColumn("recency", F.greatest(F.lit(0), 30 - 3 * F.col("recency")) if prefer_recent else F.lit(0)).withColumn("numeric", F.when(F.lit(prefer_numeric) & (F.col("n_numbers") > 0), 20).otherwise(0))
+    return out.withColumn("total", F.col("score") * 100 + F.col("doc_type") + F.col("period") + F.col("recency") + F.col("numeric")).drop("_wanted", "intent")

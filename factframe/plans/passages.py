@@ -11,13 +11,15 @@ from factframe.plans.text import _KEYWORDS_SQL, _TOKEN
 from factframe.registry import query
 from factframe.sources.tables import table
 
-_WINDOWS_SQL = """pr AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-ps AS (SELECT doc_id, p, CAST(coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM pr),
-w AS (SELECT doc_id, b + c AS start, CASE WHEN length(p) <= 900 THEN p ELSE substr(p, c + 1, 900) END AS passage FROM (
-  SELECT doc_id, b, p, unnest(CASE WHEN length(p) <= 900 THEN [0] ELSE range(0, length(p), 450) END) AS c FROM ps WHERE p <> ''))"""
+_WINDOWS_SQL = r"""pr AS (SELECT doc_id, unnest(parts) AS p, unnest(list_concat(seps, [''])) AS sep, generate_subscripts(parts, 1) AS i FROM (
+  SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS parts, regexp_extract_all(text, '\n\s*\n') AS seps FROM documents WHERE text IS NOT NULL)),
+ps AS (SELECT doc_id, p, CAST(coalesce(sum(length(p) + length(sep)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM pr),
+w AS (SELECT * FROM (SELECT doc_id, b + c AS start, CASE WHEN length(p) <= 900 THEN p ELSE substr(p, c + 1, 900) END AS passage FROM (
+  SELECT doc_id, b, p, unnest(CASE WHEN length(p) <= 900 THEN [0] ELSE range(0, length(p), 450) END) AS c FROM ps WHERE p <> '')) WHERE regexp_matches(passage, '\S'))"""
+_NUMBERS_SQL = "list_filter(regexp_extract_all(lower({}), '" + _TOKEN + "'), lambda x: regexp_matches(x, '^[0-9]'))"
 _TERMS_SQL = rf"""q AS (SELECT item_id, term, CASE WHEN regexp_matches(term, '^[0-9]') THEN 2 ELSE 1 END AS weight FROM (
-  SELECT item_id, unnest(list_distinct({_KEYWORDS_SQL.format('text')} || list_filter(regexp_extract_all(text, '{_TOKEN}'), lambda x: regexp_matches(x, '^[0-9]')))) AS term FROM benchmark)),
-t AS (SELECT doc_id, start, unnest(list_distinct({_KEYWORDS_SQL.format('passage')} || list_filter(regexp_extract_all(passage, '{_TOKEN}'), lambda x: regexp_matches(x, '^[0-9]')))) AS term FROM w),
+  SELECT item_id, unnest(list_distinct({_KEYWORDS_SQL.format('text')} || {_NUMBERS_SQL.format('text')})) AS term FROM benchmark)),
+t AS (SELECT doc_id, start, unnest(list_distinct({_KEYWORDS_SQL.format('passage')} || {_NUMBERS_SQL.format('passage')})) AS term FROM w),
 c AS (SELECT item_id, doc_id, start, count(*) FILTER (weight = 1) AS n_words, count(*) FILTER (weight = 2) AS n_numbers FROM t JOIN q USING (term) GROUP BY ALL
   HAVING count(*) FILTER (weight = 1) >= 2 OR count(*) FILTER (weight = 2) >= 1)"""
 
@@ -35,7 +37,7 @@ def passage_windows(spark, sf_dir):
 
 @query(f"WITH {_WINDOWS_SQL}, {_TERMS_SQL} SELECT item_id, doc_id, start, n_words, n_numbers, n_words + 2 * n_numbers AS score FROM c")
 def passage_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir)
+    return _candidates(spark, sf_dir).drop("periods")
 
 
 @query()
@@ -43,11 +45,42 @@ def passage_topk(spark, sf_dir):
     return R.overlap_free(_candidates(spark, sf_dir), "item_id", 5)
 
 
+_DOC_KINDS = ("financial_results", "annual_report", "investor_presentation", "earnings_transcript", "brsr", "board_outcome", "regulatory_filing")
+
+
+def _planned(spark, sf_dir, baseline: bool = False):
+    """Ranked candidates of every question under its plan, with each term of the total; the baseline is a plan without preferences."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*[F.lit(k) for k in _DOC_KINDS]), (F.col("doc_id") % len(_DOC_KINDS)).cast("int")).alias("kind"))
+    plan = R.plans(table(spark, sf_dir, "benchmark"), "item_id")
+    if baseline:
+        plan = plan.withColumn("intent", F.lit("general")).withColumn("periods", F.array().cast("array<string>")).withColumn("top_k", F.lit(5))
+    return R.boosted(_candidates(spark, sf_dir), plan, docs, "item_id"), plan
+
+
 @query()
 def passage_topk_planned(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kind"), F.pmod("doc_id", F.lit(100)).alias("age"))
-    ranked = R.boosted(_candidates(spark, sf_dir), docs, {"src0": 12, "src1": 8, "src2": 4})
-    return R.overlap_free(ranked, "item_id", 5, per_document=2, order="total")
+    ranked, plan = _planned(spark, sf_dir)
+    return R.overlap_free(ranked, "item_id", 10, order="total", limits=plan)
+
+
+@query()
+def passage_topk_baseline(spark, sf_dir):
+    """The plan without preferences; a test holds it against unplanned retrieval."""
+    ranked, plan = _planned(spark, sf_dir, baseline=True)
+    return R.overlap_free(ranked, "item_id", 10, order="total", limits=plan)
+
+
+_PREFERRED_SQL = "CASE " + " ".join(f"WHEN intent = '{i}' AND kind = '{k}' THEN {w}" for i, ks in R.PREFERRED.items() for k, w in ks.items()) + " ELSE 0 END"
+_CUES_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{c.replace(chr(39), chr(39) * 2)}')" for c in cues) + f" THEN '{n}'" for n, cues in R.INTENTS.items()) + " ELSE 'general' END"
+
+
+@query(f"""WITH {_WINDOWS_SQL}, {_TERMS_SQL}, p AS (SELECT item_id, {_CUES_SQL} AS intent FROM benchmark), k AS (SELECT c.*, intent, list_extract({list(_DOC_KINDS)}, CAST(doc_id % {len(_DOC_KINDS)} AS INTEGER) + 1) AS kind FROM c JOIN p USING (item_id))
+SELECT item_id, count(*) AS candidates, CAST(sum({_PREFERRED_SQL}) AS BIGINT) AS boost, round(sum({_PREFERRED_SQL}) / sum(100 * (n_words + 2 * n_numbers) + {_PREFERRED_SQL}), 3) AS boost_share, count(DISTINCT kind) AS n_kinds FROM k GROUP BY item_id""")
+def retrieval_aggregate(spark, sf_dir):
+    """What the terms of the total add up to for each question: the share of boosts in it, and the kinds of document met."""
+    ranked, _ = _planned(spark, sf_dir)
+    boost = F.col("doc_type") + F.col("period") + F.col("recency") + F.col("numeric")
+    return ranked.groupBy("item_id").agg(F.count("*").alias("candidates"), F.sum(boost).cast("long").alias("boost"), F.round(F.sum(boost) / F.sum("total"), 3).alias("boost_share"), F.count_distinct("kind").alias("n_kinds"))
 
 
 @query(f"""WITH {_WINDOWS_SQL}, {_TERMS_SQL}, s AS (SELECT *, n_words + 2 * n_numbers AS score FROM c)
@@ -58,18 +91,36 @@ def best_excerpt_per_doc(spark, sf_dir):
 
 
 _QUESTIONS = (
-    "Compare revenue between FY24 and FY25", "What is the growth trend of margins?", "List litigation risk disclosures",
-    "What guidance was given for FY26?", "Which auditor signed?", "How much dividend was paid in 2024?",
+    "Compare revenue of Q3 FY24 and FY25", "What did management say about margins?", "List all litigation in Q1-FY2023 and q2fy23",
+    "What guidance was given for FY 26?", "Which auditor signed?", "Revenue margin in 2024?", "Was anything else reported?",
 )
-_INTENT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(chr(92) + 'b' + c + chr(92) + 'b' for c in cues)}') THEN '{n}'" for n, cues in R.INTENTS) + " ELSE 'general' END"
+_ASKED_SQL = "a AS (SELECT item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, '{t}')" for i, t in enumerate(_QUESTIONS)) + ") v(item_id, text))"
+_YEAR_SQL = "CASE WHEN length({0}) = 2 THEN '20' || {0} ELSE {0} END"
 
 
-@query(f"""WITH q AS (SELECT item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES {', '.join(f"({-i - 1}, '{t}')" for i, t in enumerate(_QUESTIONS))}) v(item_id, text))
-SELECT item_id, {_INTENT_SQL} AS intent, CASE WHEN {_INTENT_SQL} IN ('comparison', 'trend') THEN 8 WHEN {_INTENT_SQL} = 'general' THEN 3 ELSE 5 END AS top_k FROM q""")
+@query(rf"""WITH {_ASKED_SQL}, p AS (SELECT item_id, text, {_CUES_SQL} AS intent, regexp_extract_all(upper(text), '{R.QUARTER}', 1) AS qn, regexp_extract_all(upper(text), '{R.QUARTER}', 2) AS qy, regexp_extract_all(regexp_replace(upper(text), '{R.QUARTER}', ' ', 'g'), '{R.YEAR}', 1) AS ys FROM a),
+e AS (SELECT item_id, text, intent, list_transform(list_zip(qn, qy), lambda z: 'Q' || z[1] || 'FY' || {_YEAR_SQL.format('z[2]')}) || list_transform(ys, lambda y: 'FY' || {_YEAR_SQL.format('y')}) AS found FROM p),
+d AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS periods FROM e)
+SELECT item_id, intent, periods, CAST(CASE WHEN list_has_any(regexp_split_to_array(lower(text), '\s+'), {list(R.BROADEN)}) THEN 10 WHEN intent = 'financial_metric' AND len({_NUMBERS_SQL.format('text')}) > 0 AND len({_KEYWORDS_SQL.format('text')}) <= 3 THEN 3 ELSE 5 END AS INTEGER) AS top_k FROM d""")
 def plan_intent(spark, sf_dir):
-    extra = spark.sql("select * from values " + ", ".join(f"({-i - 1}L, '{t}')" for i, t in enumerate(_QUESTIONS)) + " as t(item_id, text)")
-    asked = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(extra).withColumn("intent", R.intent(F.col("text")))
-    return asked.select("item_id", "intent", F.when(F.col("intent").isin("comparison", "trend"), 8).when(F.col("intent") == "general", 3).otherwise(5).alias("top_k"))
+    return _asked_plans(spark, sf_dir).drop("rules")
+
+
+def _asked_plans(spark, sf_dir):
+    asked = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(_QUESTIONS)], "item_id long, text string")
+    return R.plans(table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(asked), "item_id")
+
+
+@query(rf"""WITH {_ASKED_SQL}, p AS (SELECT item_id, text, {_CUES_SQL} AS intent FROM a),
+f AS (SELECT CASE WHEN intent = 'general' THEN 'intent_fallback' ELSE 'intent_keyword_match' END AS rule FROM p UNION ALL SELECT 'doc_type_boost_from_intent' FROM p WHERE intent <> 'general' UNION ALL SELECT 'period_extraction' FROM p WHERE regexp_matches(upper(text), '{R.YEAR}') OR regexp_matches(upper(text), '{R.QUARTER}')
+  UNION ALL SELECT CASE WHEN list_has_any(regexp_split_to_array(lower(text), '\s+'), {list(R.BROADEN)}) THEN 'top_k_broaden_list_query' WHEN intent = 'financial_metric' AND len({_NUMBERS_SQL.format('text')}) > 0 AND len({_KEYWORDS_SQL.format('text')}) <= 3 THEN 'top_k_narrow_specific_metric' ELSE 'top_k_default' END FROM p),
+r AS (SELECT unnest({list(R.RULES)}) AS rule)
+SELECT r.rule, count(f.rule) AS fired, count(f.rule) = 0 AS dead FROM r LEFT JOIN f USING (rule) GROUP BY r.rule""")
+def planner_aggregate(spark, sf_dir):
+    """How often each rule fired over a suite of questions; a rule that never fires is dead."""
+    fired = _asked_plans(spark, sf_dir).select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("_n"))
+    declared = spark.createDataFrame([(r,) for r in R.RULES], "rule string")
+    return declared.join(fired, "rule", "left").select("rule", F.coalesce("_n", F.lit(0)).alias("fired"), F.col("_n").isNull().alias("dead"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS answer_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
@@ -98,7 +149,7 @@ def first_turn_per_speaker(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
 
 
-_NAMES = ("K S Rao", "Kumar S Rao", "Krishna S Rao", "Dr. K. S. Rao", "Anita Desai", "A Desai", "Mr. Anil Desai", "R. Mehta", "Rohan Mehta")
+_NAMES = ("T B Lund", "Tora B Lund", "Tim B Lund", "Dr. T. B. Lund", "Mira Olsen", "M Olsen", "Prof. Max Olsen", "P. Quist", "Pia Quist")
 
 
 @query()

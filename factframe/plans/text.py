@@ -103,13 +103,13 @@ def strategy_keyword(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.contains(low, F.lit("license"))).select("doc_id", "source", "lang", F.instr(low, "license").cast("long").alias("position"))
 
 
-_TOKEN = r"[A-Za-z]+(?:''[A-Za-z]+)?|[0-9]+(?:\.[0-9]+)?"
+_TOKEN = X.TOKEN.replace("'", "''")
 _STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-_KEYWORDS_SQL = rf"list_distinct(list_filter(list_transform(regexp_extract_all({{}}, '{_TOKEN}'), lambda x: lower(x)), lambda x: length(x) >= 3 AND regexp_matches(x, '^[a-z]') AND x NOT IN ({_STOP_SQL})))"
+_KEYWORDS_SQL = rf"list_distinct(list_filter(regexp_extract_all(lower({{}}), '{_TOKEN}'), lambda x: length(x) >= 3 AND regexp_matches(x, '^[a-z]') AND x NOT IN ({_STOP_SQL})))"
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS n_tokens, len({_KEYWORDS_SQL.format('text')}) AS n_keywords,
-len(list_distinct(list_filter(regexp_extract_all(text, '{_TOKEN}'), lambda x: regexp_matches(x, '^[0-9]')))) AS n_numbers FROM documents""")
+@query(rf"""SELECT doc_id, len(regexp_extract_all(lower(text), '{_TOKEN}')) AS n_tokens, len({_KEYWORDS_SQL.format('text')}) AS n_keywords,
+len(list_distinct(list_filter(regexp_extract_all(lower(text), '{_TOKEN}'), lambda x: regexp_matches(x, '^[0-9]')))) AS n_numbers FROM documents""")
 def tokenize_keywords(spark, sf_dir):
     c = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.tokens(c)).cast("long").alias("n_tokens"), F.size(X.keywords(c)).cast("long").alias("n_keywords"), F.size(X.numbers(c)).cast("long").alias("n_numbers"))
