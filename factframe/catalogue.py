@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factframe.plans import evaluation, events, filings, ingest, passages, provenance, series, text  # noqa: F401  (they register queries)
+from factframe.plans import claims, evaluation, events, filings, ingest, passages, provenance, scalars, series, text  # noqa: F401  (they register queries)
 from factframe.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

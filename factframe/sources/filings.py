@@ -39,7 +39,7 @@ def facts(spark: SparkSession, sf_dir: str, kinds: Sequence[str]) -> DataFrame:
     pick = lambda names, by: F.get(F.array(*[F.lit(n) for n in names]), by)
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("evidence_id"),
-        (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * F.lit(10**6) + F.col("l_suppkey")).alias("seq"),
+        (F.col("l_linenumber") * F.lit(10**17) + F.col("l_partkey") * F.lit(10**9) + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("seq"),
         pick(kinds, (F.col("l_partkey") % len(kinds)).cast("int")).alias("kind"),
         F.when((F.col("l_linestatus") == "F") | (F.col("l_discount") < 0.05), F.col("l_extendedprice")).alias("value"),
         F.concat(F.lit("text "), (F.col("l_suppkey") % 20).cast("string")).alias("text"),
@@ -60,7 +60,7 @@ def facts_sql(kinds: Sequence[str]) -> str:
     """The same projection for DuckDB."""
     return f"""facts AS (
   SELECT o_orderkey AS evidence_id, o_custkey AS company_id, {KIND_SQL} AS doc_kind, CAST(o_orderdate AS DATE) AS source_date,
-    l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq, list_extract({list(kinds)}, CAST(l_partkey % {len(kinds)} AS INTEGER) + 1) AS kind,
+    l_linenumber * 100000000000000000 + l_partkey * 1000000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq, list_extract({list(kinds)}, CAST(l_partkey % {len(kinds)} AS INTEGER) + 1) AS kind,
     CASE WHEN l_linestatus = 'F' OR l_discount < 0.05 THEN l_extendedprice END AS value, 'text ' || CAST(l_suppkey % 20 AS VARCHAR) AS text,
     CASE l_returnflag WHEN 'R' THEN 'USD_BILLION' ELSE 'CRORE_INR' END AS unit, list_extract({list(SECTIONS)}, CAST(l_suppkey % 4 AS INTEGER) + 1) AS section,
     CASE WHEN l_tax < 0.075 THEN last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) END AS period,
