@@ -25,8 +25,10 @@ def resolve_persons(mentions: DataFrame) -> DataFrame:
 
     Greedy in order of mention: a name joins the only entity that it fits, else
     founds one; a more specific name becomes canonical. Names fit only with the
-    same surname and number of tokens, so each such block is resolved by itself
-    and blocks are spread over the cluster.
+    same surname and the same initials of all given names, so each such block is
+    resolved by itself and blocks are spread over the cluster. Within a block the
+    order of mention decides, so a block is one group: it holds the mentions of
+    one surname with one set of initials.
     """
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -46,5 +48,6 @@ def resolve_persons(mentions: DataFrame) -> DataFrame:
         return pd.DataFrame([(m, n, e["id"], e["name"]) for m, n, e in out], columns=["mention_id", "name", "entity_id", "canonical"])
 
     tokened = mentions.select("mention_id", "name", name_tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0)
-    blocks = tokened.withColumn("_surname", F.element_at("tokens", -1)).withColumn("_n", F.size("tokens"))
-    return blocks.groupBy("_surname", "_n").applyInPandas(lambda pdf: block(pdf[["mention_id", "name", "tokens"]]), "mention_id long, name string, entity_id long, canonical string")
+    initials = F.array_join(F.transform(F.slice("tokens", 1, F.size("tokens") - 1), lambda t: F.left(t, F.lit(1))), " ")
+    blocks = tokened.withColumn("_surname", F.element_at("tokens", -1)).withColumn("_initials", initials)
+    return blocks.groupBy("_surname", "_initials").applyInPandas(lambda pdf: block(pdf[["mention_id", "name", "tokens"]]), "mention_id long, name string, entity_id long, canonical string")

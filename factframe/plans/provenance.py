@@ -63,9 +63,14 @@ def profile_diff(spark, sf_dir):
     return P.diff(side("l_linestatus = 'F'"), side("l_returnflag <> 'N'"), ["company_id", "period"], "value")
 
 
-@query()
+_DIGEST_SQL = " || '|' || ".join(f"coalesce(CAST({c if c in ('company_id', 'period') else f'CAST({c} AS DECIMAL(24,4))'} AS VARCHAR), '')" for c in sorted(("company_id", "period", *METRICS)))
+
+
+@query(f"""WITH {FACTS_SQL}, h AS (SELECT md5({_DIGEST_SQL}) AS h FROM f)
+SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS BIGINT) AS head, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS BIGINT) AS middle FROM h""")
 def profile_digest(spark, sf_dir):
-    return P.digest(snapshots(spark, sf_dir))
+    wide = snapshots(spark, sf_dir)
+    return P.digest(wide.select("company_id", "period", *[F.col(m).cast("decimal(24,4)").alias(m) for m in METRICS]))
 
 
 @query("""WITH RECURSIVE n AS (SELECT o_custkey AS subject, o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes FROM orders WHERE o_orderpriority = '1-URGENT'),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factframe.functions.dates import month_label
 from factframe.functions.finance import DERIVED_SQL, derived
 from factframe.operators import series as S
 from factframe.registry import query
@@ -87,11 +88,13 @@ def _winners(spark, sf_dir):
     """
     lines = fact_lines(spark, sf_dir).withColumn("priority", F.when(F.col("kind").isin("1-URGENT", "2-HIGH"), 1).otherwise(2))
     each = lines.groupBy("company_id", "period", "evidence_id", "source_date", "priority").agg(*_metrics())
-    facts = long_facts(each, ("company_id", "period", "evidence_id", "source_date", "priority")).where("value is not null")
     first = F.col("priority") == 1
     day, sign = F.datediff("source_date", F.lit("1970-01-01").cast("date")), F.when(first, 1).otherwise(-1)
     rank = F.struct(-F.col("priority"), sign * day, sign * F.col("evidence_id"))
-    return facts.groupBy("company_id", "period", "metric").agg(F.max_by(F.struct("value", "evidence_id", "priority"), rank).alias("w")).select("company_id", "period", "metric", "w.value", "w.evidence_id", "w.priority")
+    # one wide row for each piece of evidence, not one for each of its metrics, goes into the merge
+    best = [F.max_by(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), "evidence_id", "priority"), F.when(F.col(m).isNotNull(), rank)).alias(m) for m in METRICS]
+    merged = each.groupBy("company_id", "period").agg(*best)
+    return merged.select("company_id", "period", F.explode(F.array(*METRICS)).alias("w")).where("w is not null").select("company_id", "period", "w.metric", "w.value", "w.evidence_id", "w.priority")
 
 
 def _metrics():
@@ -246,3 +249,19 @@ def segment_concentration(spark, sf_dir):
 def thin_metrics(spark, sf_dir):
     counted = long_facts(snapshots(spark, sf_dir)).groupBy("company_id", "metric").agg(F.count("value").alias("n_points"))
     return counted.where("n_points between 1 and 26")
+
+
+@query(f"""WITH {LINES_SQL}, f AS (SELECT company_id, period, {METRICS_SQL} FROM lines WHERE l_linestatus = 'F' GROUP BY company_id, period), t AS (SELECT *, CASE WHEN month(period) = 3 THEN 'annual' ELSE 'quarterly' END AS period_type FROM f)
+SELECT company_id, period, period_type, revenue, revenue / nullif(total_income, 0) * 100 AS margin_pct FROM t WHERE period_type = 'quarterly'""")
+def revenue_standalone_quarterly(spark, sf_dir):
+    """Revenue of one basis and one type of period only."""
+    wide = snapshots(spark, sf_dir, basis="standalone").withColumn("period_type", F.when(F.month("period") == 3, "annual").otherwise("quarterly"))
+    return wide.where("period_type = 'quarterly'").select("company_id", "period", "period_type", "revenue", (F.col("revenue") / F.nullif("total_income", F.lit(0.0)) * 100).alias("margin_pct"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'undated' ELSE strftime(o_orderdate, '%b %Y') END AS label FROM orders""")
+def month_labels(spark, sf_dir):
+    """A date as 'Mon YYYY'; text that is no date is passed through."""
+    key = F.col("o_orderkey")
+    day = F.when(key % 10 > 0, F.to_date("o_orderdate"))
+    return table(spark, sf_dir, "orders").select(key.alias("id"), month_label(day, F.lit("undated")).alias("label"))

@@ -21,8 +21,10 @@ def _lines(spark, sf_dir):
 
 @query("""SELECT lower(trim(text)) AS risk_key, max_by(doc_id, (doc_id)) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
 def risks_dedup_latest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.groupBy(F.lower(F.trim("text")).alias("risk_key")).agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    """The newest of equal texts; texts are grouped by a hash of 128 bits, and only winners are looked up again."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lower(F.trim("text")).alias("risk_key"))
+    best = docs.groupBy(F.md5("risk_key").alias("_h")).agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return docs.withColumn("_h", F.md5("risk_key")).join(best, ["_h", "doc_id"]).select("risk_key", "doc_id", "n")
 
 
 _NORM_SQL = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -31,9 +33,11 @@ _NORM_SQL = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{
 @query(rf"""SELECT {_NORM_SQL.format('text')} AS risk_key, count(DISTINCT source) AS n_sources, count(*) AS n, max_by(text, (doc_id)) AS display FROM documents WHERE text IS NOT NULL
 GROUP BY ALL HAVING count(DISTINCT source) >= 2""")
 def risk_recurrence(spark, sf_dir):
+    """Texts that sources repeat, whatever their case and marks; grouped by a hash, shown in the wording of the newest."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    grouped = docs.groupBy(X.normalised(F.col("text")).alias("risk_key")).agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n"), F.max_by("text", "doc_id").alias("display"))
-    return grouped.where("n_sources >= 2")
+    keyed = docs.select("doc_id", "source", F.md5(X.normalised(F.col("text"))).alias("_h"))
+    best = keyed.groupBy("_h").agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n"), F.max("doc_id").alias("doc_id")).where("n_sources >= 2")
+    return docs.select("doc_id", X.normalised(F.col("text")).alias("risk_key"), F.col("text").alias("display")).join(best, "doc_id").select("risk_key", "n_sources", "n", "display")
 
 
 def _risks(spark, sf_dir):
@@ -227,12 +231,19 @@ def html_guard(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, source, length(text) AS n FROM documents), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used FROM d)
 SELECT doc_id, source, n, used FROM s WHERE used <= 20000""")
-def running_budget(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"))
-    return docs.withColumn("used", F.sum("n").over(w)).where("used <= 20000")
+def running_budget(spark, sf_dir, shard: int = 5_000):
+    """Each source's documents up to a budget of characters: running sums inside shards of ids, on top of the sums of the shards before, so a large source is many windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"), F.floor(F.col("doc_id") / shard).alias("_shard"))
+    sums = docs.groupBy("source", "_shard").agg(F.sum("n").alias("_n"))
+    before = sums.select("source", "_shard", (F.sum("_n").over(Window.partitionBy("source").orderBy("_shard")) - F.coalesce("_n", F.lit(0))).alias("_before")).where("_before <= 20000")
+    inside = F.sum("n").over(Window.partitionBy("source", "_shard").orderBy("doc_id"))
+    return docs.join(before, ["source", "_shard"]).select("doc_id", "source", "n", (inside + F.coalesce("_before", F.lit(0))).alias("used")).where("used <= 20000")
 
 
 @query(rf"""WITH {_LINES_SQL} SELECT line, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(*) >= 3""")
 def recurring_lines(spark, sf_dir):
-    return _lines(spark, sf_dir).where(F.length("line") >= 20).groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n >= 3")
+    """Lines that come back, grouped by a hash; a line's text is looked up for those that do."""
+    lines = _lines(spark, sf_dir).where(F.length("line") >= 20).select("doc_id", "i", "line", F.md5("line").alias("_h"))
+    seen = lines.groupBy("_h").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.min(F.struct("doc_id", "i")).alias("_at")).where("n >= 3")
+    shown = seen.select("_h", "n", "n_docs", F.col("_at.doc_id").alias("doc_id"), F.col("_at.i").alias("i"))
+    return lines.join(shown, ["_h", "doc_id", "i"]).select("line", "n", "n_docs", F.col("doc_id").alias("first_doc"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,12 +49,15 @@ def keep_latest(events: DataFrame, keys: Sequence[str], folder: str, checkpoint:
     spark = events.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
+        # the newest version before this batch's; a batch that is run again writes over its own
         try:
-            current = spark.read.parquet(f"{folder}/version={number - 1}") if number else None
-        except Exception as error:  # the table may have begun with a later batch
-            if "PATH_NOT_FOUND" not in str(error):
+            found = spark.read.parquet(folder).where(F.col("version") < number)
+            newest = found.agg(F.max("version")).first()[0]
+        except AnalysisException as error:  # nothing has been written yet
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            current = None
+            newest = None
+        current = None if newest is None else spark.read.parquet(f"{folder}/version={newest}")
         merge_latest(current, batch, keys).write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
