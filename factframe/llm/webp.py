@@ -1,20 +1,23 @@
-"""Lossless WebP (VP8L) columns: an encoder of literals and a full decoder.
+"""Lossless WebP (VP8L) columns: an encoder for payloads and a full decoder.
 
 The decoder reads RIFF containers and the whole lossless format: prefix codes
 (simple and normal, several groups by entropy image), back-references, colour
 cache, and the predictor, cross-colour, subtract-green and palette transforms.
 Streams with equal headers share their tables and are decoded in step, one
-pixel of each at a time, so array operations run over all images of a batch.
-
-The encoder stores bytes as RGB samples, WIDTH pixels a row and at most ROWS
-rows an image (longer payloads take several images), under one fixed prefix
-code that favours text; equal bytes give equal files.
+symbol of each at a time, so array operations run over all images of a batch;
+images of like size go together, so a long one does not hold up short ones.
+
+The encoder stores bytes as RGB samples, one file a payload, WIDTH pixels a row
+(more where the format's bound on rows asks for it; the last rows are then
+filled up, and cut off again by the payload's size). It repeats runs of MATCH
+pixels or more by back-references, subtracts green from red and blue where that
+makes a payload shorter, and gives payloads of at most 16 different pixels a
+palette. Prefix codes are fixed, so headers are shared; equal bytes give equal
+files.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,11 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factframe.llm.common import written
-from factframe.llm.hashing import chunks
+from factframe.llm.hashing import chunks, mix
 from factframe.llm.tokenids import canonical_codes, code_lengths
 
-WIDTH, ROWS = 64, 32
+WIDTH = 64
 PAD = WIDTH * 3
+#: Most rows and columns of an image.
+MOST_SIDE = 1 << 14
+#: Shortest and longest run of pixels that a back-reference repeats.
+MATCH, MOST_MATCH = 8, 4096
+SAMPLED = 8
 #: Widest code of the format.
 PEEK = 15
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
@@ -180,14 +188,35 @@ def read_header(bits: Bits, width: int, height: int) -> Header:
     return head
 
 
-def decode_pixels(data: bytes, at: np.ndarray, plans: list[Plan], width: np.ndarray, count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """ARGB pixels of several images that share one plan (one bit offset, width and pixel count each), and where each ends."""
+def windows(data: bytes) -> np.ndarray:
+    """The four bytes from each byte of a stream on, as one number."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(12, np.uint8)]).astype(np.uint32)
+    return raw[:-3] | (raw[1:-2] << 8) | (raw[2:-1] << 16) | (raw[3:] << 24)
+
+
+def decode_pixels(data: bytes, at: np.ndarray, plans: list[Plan], width: np.ndarray, count: np.ndarray, four: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """ARGB pixels of several images that share one plan (one bit offset, width and pixel count each), and where each ends; `four` are the data's windows."""
     plan = plans[0]
     order = np.argsort(-count, kind="stable")
     lanes, most = len(order), int(count.max())
     at, width, todo = at[order].astype(np.int64), width[order].astype(np.int64), count[order]
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint32)
-    four = raw[:-3] | (raw[1:-2] << 8) | (raw[2:-1] << 16) | (raw[3:] << 24)
+    four = windows(data) if four is None else four
+    near = np.array(NEAR, np.int64)
+    place = np.empty(lanes, np.int64)
+    place[order] = np.arange(lanes)
+
+    def number(who, prefix):
+        """Value of a length or distance prefix with its extra bits."""
+        prefix = np.asarray(prefix, np.int64)
+        extra = np.maximum((prefix - 2) >> 1, 0)
+        low = (four[at[who] >> 3] >> (at[who] & 7).astype(np.uint32)).astype(np.int64) & ((1 << np.minimum(extra, 24)) - 1)
+        low = np.where(extra > 0, low, 0)
+        at[who] += extra
+        return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + low + 1)
+
+    if plan.groups is None and not plan.cache_bits:
+        found, ends = _decode_symbols(plan, four, number, at, width, todo, near)
+        return [found[p] for p in place], ends[place]
     flat_symbols, flat_widths = plan.symbols.ravel(), plan.widths.ravel()
     free = [not plan.widths[k::5].any() for k in range(5)]
     only = [int(plan.symbols[k, 0]) for k in range(5)]
@@ -195,7 +224,6 @@ def decode_pixels(data: bytes, at: np.ndarray, plans: list[Plan], width: np.ndar
     copies, distance = np.zeros(lanes, np.int64), np.ones(lanes, np.int64)
     cache = np.zeros((1 << plan.cache_bits, lanes), np.uint32) if plan.cache_bits else None
     alive = np.searchsorted(-todo, -np.arange(1, most + 1), side="right")
-    near = np.array(NEAR, np.int64)
 
     def look(who, base, kind):
         if free[kind] and plan.groups is None:
@@ -205,23 +233,8 @@ def decode_pixels(data: bytes, at: np.ndarray, plans: list[Plan], width: np.ndar
         at[who] += flat_widths[index]
         return flat_symbols[index]
 
-    def number(who, prefix):
-        """Value of a length or distance prefix with its extra bits."""
-        prefix = np.asarray(prefix, np.int64)
-        extra = np.maximum((prefix - 2) >> 1, 0)
-        low = (four[at[who] >> 3] >> (at[who] & 7).astype(np.uint32)).astype(np.int64) & ((1 << np.minimum(extra, 24)) - 1)
-        low = np.where(extra > 0, low, 0)
-        at[who] += extra
-        return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + low + 1)
-
-    simple = plan.groups is None and not plan.cache_bits and not (plan.symbols[0][plan.widths[0] > 0] >= 256).any() and not (free[0] and only[0] >= 256)
     for step in range(most):
         k = int(alive[step])
-        if simple:
-            who = slice(0, k)
-            green, red, blue, alpha = look(who, 0, 0), look(who, 0, 1), look(who, 0, 2), look(who, 0, 3)
-            out[step, :k] = np.asarray(alpha, np.uint32) << 24 | np.asarray(red, np.uint32) << 16 | np.asarray(green, np.uint32) << 8 | np.asarray(blue, np.uint32)
-            continue
         copying = np.flatnonzero(copies[:k] > 0)
         who = np.flatnonzero(copies[:k] == 0)
         if len(who):
@@ -252,11 +265,82 @@ def decode_pixels(data: bytes, at: np.ndarray, plans: list[Plan], width: np.ndar
         if plan.cache_bits:
             slot = (out[step, :k] * np.uint32(0x1E35A7BD)) >> np.uint32(32 - plan.cache_bits)
             cache[slot, np.arange(k)] = out[step, :k]
-    place = np.empty(lanes, np.int64)
-    place[order] = np.arange(lanes)
     return [np.ascontiguousarray(out[: int(n), p]) for n, p in zip(count, place, strict=True)], at[place]
 
 
+def _decode_symbols(plan: Plan, four: np.ndarray, number, at: np.ndarray, width: np.ndarray, todo: np.ndarray, near: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pixels of images whose symbols don't depend on their place: first all symbols, in step, then the repeats of each image."""
+    lanes = len(todo)
+    seen, copies = np.zeros((int(todo.max()), lanes), np.uint32), {}
+    live, made, steps = np.arange(lanes), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    # a symbol and its width in one entry
+    green_of, red_of, blue_of, alpha_of, distance_of = ((plan.symbols[k] | plan.widths[k] << 16).astype(np.int32) for k in range(5))
+    peek, low = np.uint64((1 << PEEK) - 1), np.int32(0xFFFF)
+    opaque = not plan.widths[3].any()
+    solid = np.uint32(int(plan.symbols[3, 0]) << 24)
+    whole, step = True, 0  # as long as no lane has ended, a slice stands for all of them
+    while len(live):
+        who = slice(0, lanes) if whole else live
+        bits = at[who]
+        byte = bits >> 3
+        window = (four[byte].astype(np.uint64) | four[byte + 4].astype(np.uint64) << np.uint64(32)) >> (bits & 7).astype(np.uint64)
+        green = green_of[window & peek]
+        used = green >> 16
+        green &= low
+        red = red_of[(window >> used.astype(np.uint64)) & peek]
+        both = used + (red >> 16)
+        blue = blue_of[(window >> both.astype(np.uint64)) & peek]
+        end = both + (blue >> 16)
+        argb = (red & low) << 16 | green << 8 | (blue & low)
+        if opaque:
+            argb = argb.astype(np.uint32) | solid
+        else:
+            bits_alpha = bits + end
+            alpha = alpha_of[(four[bits_alpha >> 3] >> (bits_alpha & 7).astype(np.uint32)) & np.uint32((1 << PEEK) - 1)]
+            argb, end = argb.astype(np.uint32) | (alpha & low).astype(np.uint32) << np.uint32(24), end + (alpha >> 16)
+        if int(green.max()) < 256:
+            seen[step, who] = argb
+            at[who] = bits + end
+            made[who] += 1
+        else:
+            back = green >= 256
+            some, literal = live[back], live[~back]
+            seen[step, literal], at[literal] = argb[~back], (bits + end)[~back]
+            made[literal] += 1
+            at[some] = (bits + used)[back]
+            length = number(some, green[back] - 256)
+            start = at[some]
+            prefix = distance_of[(four[start >> 3] >> (start & 7).astype(np.uint32)) & np.uint32((1 << PEEK) - 1)]
+            at[some] += prefix >> 16
+            code = number(some, prefix & low)
+            x, y = near[np.minimum(code, 120) - 1].T
+            distance = np.where(code > 120, code - 120, np.maximum(x + y * width[some], 1))
+            for lane, n, d in zip(some.tolist(), length.tolist(), distance.tolist(), strict=True):
+                copies.setdefault(lane, []).append((step, n, d))
+            made[some] += length
+        step += 1
+        ended = made[who] >= todo[who]
+        if ended.any():
+            steps[live[ended]] = step
+            live, whole = live[~ended], False
+    out = []
+    for lane in range(lanes):
+        symbols, n = seen[: steps[lane], lane], int(todo[lane])
+        if lane not in copies:
+            out.append(np.ascontiguousarray(symbols[:n]))
+            continue
+        pixels, filled, last = np.zeros(n, np.uint32), 0, 0
+        for where, length, distance in [*copies[lane], (int(steps[lane]), 0, 1)]:
+            pixels[filled : filled + where - last] = symbols[last:where]
+            filled, last = filled + where - last, where + 1
+            length = min(length, n - filled)
+            if length > 0:
+                pixels[filled : filled + length] = np.resize(pixels[filled - distance : filled][:length], length)
+                filled += length
+        out.append(pixels)
+    return out, at
+
+
 def _clamp(x: int) -> int:
     return 0 if x < 0 else 255 if x > 255 else x
 
@@ -355,17 +439,17 @@ _headers: dict[int, dict[int, tuple[Header, int]]] = {}
 
 
 def _header(data: bytes, at: int, width: int, height: int) -> tuple[Header, int, object]:
-    """Header, its end in bits, and a key that equal headers share; headers without transforms or groups are remembered by their bits."""
+    """Header, its end in bits, and a key that equal headers share; headers without data of their own or groups are remembered by their bits."""
     for n, known in _headers.items():
         mask = Bits(data, at).read(n)
         if mask in known:
             head, plan_key = known[mask]
-            return Header(width, height, coded_width=width, plan=head.plan), at + n, plan_key
+            return Header(width, height, head.transforms, width, head.plan), at + n, plan_key
     bits = Bits(data, at)
     head = read_header(bits, width, height)
     n = bits.at - at
     key: object = (id(head), n)
-    if not head.transforms and head.plan.groups is None:
+    if all(kind == GREEN for kind, _, _ in head.transforms) and head.plan.groups is None:
         if sum(map(len, _headers.values())) > 64:
             _headers.clear()
         _headers.setdefault(n, {})[Bits(data, at).read(n)] = (head, (id(head), n))
@@ -387,11 +471,16 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
         by_key.setdefault(key, []).append(i)
         start += len(f)
     out: list = [None] * len(files)
-    for group in by_key.values():
-        heads = [found[i][0] for i in group]
-        pixels, _ = decode_pixels(data, np.array([found[i][1] for i in group]), [heads[0].plan], np.array([h.coded_width for h in heads]), np.array([h.coded_width * h.height for h in heads]))
-        for i, head, p in zip(group, heads, pixels, strict=True):
-            out[i] = invert(p, head).reshape(head.height, head.width)
+    four = windows(data)
+    for same in by_key.values():
+        sizes: dict[int, list[int]] = {}
+        for i in same:
+            sizes.setdefault((found[i][0].coded_width * found[i][0].height).bit_length(), []).append(i)
+        for group in sizes.values():
+            heads = [found[i][0] for i in group]
+            pixels, _ = decode_pixels(data, np.array([found[i][1] for i in group]), [heads[0].plan], np.array([h.coded_width for h in heads]), np.array([h.coded_width * h.height for h in heads]), four)
+            for i, head, p in zip(group, heads, pixels, strict=True):
+                out[i] = invert(p, head).reshape(head.height, head.width)
     return out
 
 
@@ -461,64 +550,203 @@ def text_code() -> np.ndarray:
     return code_lengths(counts, 12)
 
 
-def _prefix() -> tuple[int, int, np.ndarray, np.ndarray]:
-    lengths = text_code()
+def _copy_codes() -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths of the green alphabet with its 24 length prefixes, and of the 40 distance prefixes."""
+    counts = np.zeros(280, np.int64)
+    counts[:256] = (1 << 14 - text_code().astype(np.int64)) * 16
+    counts[256:] = 16
+    return code_lengths(counts, 14), code_lengths(np.ones(40, np.int64), 8)
+
+
+def _residual_code() -> np.ndarray:
+    """Code lengths for differences: the nearer to zero, the shorter."""
+    away = np.minimum(np.arange(256), 256 - np.arange(256))
+    return code_lengths(np.maximum(1, 20_000 // (1 + away) ** 2), 12)
+
+
+@dataclass(frozen=True)
+class Fixed:
+    """A header with its codes: bits, their number, and (code, width) of the green, red, blue and distance alphabets."""
+
+    value: int
+    bits: int
+    codes: tuple
+    widths: tuple
+
+
+def _fixed(subtract: bool) -> Fixed:
+    green, distance = _copy_codes()
+    side = _residual_code() if subtract else text_code()
     out = BitWriter()
-    out.put(0, 3)  # no transform, no colour cache, one group
-    put_code(out, np.append(lengths, np.zeros(24, np.uint8)))
-    put_code(out, lengths)
-    put_code(out, lengths)
+    if subtract:
+        out.put(1 | GREEN << 1, 3)
+    out.put(0, 3)  # no more transforms, no colour cache, one group
+    for lengths in (green, side, side):
+        put_code(out, lengths)
     put_one(out, 255)
-    put_one(out, 0)
-    return out.value, out.n, reversed_codes(lengths), lengths.astype(np.int64)
+    put_code(out, distance)
+    alphabets = (green, side, side, distance)
+    return Fixed(out.value, out.n, tuple(reversed_codes(x) for x in alphabets), tuple(x.astype(np.int64) for x in alphabets))
+
+
+_PLAIN, _SUBTRACTED = _fixed(False), _fixed(True)
 
 
-_PREFIX = _prefix()
+def prefix_number(value: int) -> tuple[int, int, int]:
+    """(prefix, extra bits' value, extra bits) of a length or a distance."""
+    value -= 1
+    if value < 4:
+        return value, 0, 0
+    extra = value.bit_length() - 2
+    return 2 * (extra + 1) + ((value >> extra) & 1), value & ((1 << extra) - 1), extra
+
+
+def repeats(pixels: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs that stand earlier in the same payload, from left to right; places among all pixels.
+
+    begin and end are the bounds of each payload, owner the payload of each
+    pixel. One run of MATCH pixels in SAMPLED, chosen by its hash, is looked for;
+    what is found grows to both sides.
+    """
+    if len(pixels) < MATCH:
+        return []
+    run = pixels.astype(np.uint64)
+    for step in (1, 2, 4):  # of two, four and eight pixels
+        run = mix(run[:-step] * np.uint64(0x9E3779B97F4A7C15) + run[step:])
+    inside = np.flatnonzero((owner[: len(run)] == owner[MATCH - 1 :]) & (run % np.uint64(SAMPLED) == 0))
+    key = mix(run[inside] + owner[inside].astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = dict(zip(inside[order[again + 1]].tolist(), inside[order[again]].tolist(), strict=True))
+    found, free = [], 0
+    for at in sorted(before):
+        if at < free:
+            continue
+        source, first = before[at], int(begin[owner[at]])
+        left = min(at - max(free, first), source - first)
+        differ = np.flatnonzero(pixels[at - left : at] != pixels[source - left : source])
+        left = left - 1 - int(differ[-1]) if len(differ) else left
+        at, source = at - left, source - left
+        room = min(MOST_MATCH, int(end[owner[at]]) - at)
+        differ = np.flatnonzero(pixels[at : at + room] != pixels[source : source + room])
+        length = int(differ[0]) if len(differ) else room
+        if length >= MATCH:
+            found.append((at, length, at - source))
+            free = at + length
+    return found
+
+
+def _shape(pixels: int) -> tuple[int, int]:
+    """Width and height that hold so many pixels: a multiple of WIDTH for one row, more where there would be too many rows."""
+    width = WIDTH * -(-pixels // (WIDTH * MOST_SIDE))
+    return width, -(-pixels // width)
+
+
+def _riff(body: bytes) -> bytes:
+    pad = len(body) & 1
+    return b"RIFF" + (len(body) + pad + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + b"\0" * pad
+
+
+def with_palette(pixels: np.ndarray, width: int, height: int) -> bytes:
+    """A file of at most 16 different pixels: a palette and packed indices under flat codes."""
+    colours, index = np.unique(pixels, return_inverse=True)
+    packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+    out = BitWriter()
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(0, 4)
+    out.put(1 | PALETTE << 1, 3)
+    out.put(len(colours) - 1, 8)
+    flat = np.full(256, 8, np.uint8)
+    codes = reversed_codes(flat)
+
+    def image(parts: np.ndarray, channels: int, main: bool) -> None:
+        out.put(0, 2 if main else 1)
+        put_code(out, np.append(flat, np.zeros(24, np.uint8)))
+        for k in (1, 2):
+            put_code(out, flat) if channels > k else put_one(out, 0)
+        put_one(out, 255)
+        put_one(out, 0)
+        for value in parts.ravel().tolist():
+            out.put(int(codes[value]), 8)
+
+    deltas = np.diff(colours.view(np.uint8).reshape(-1, 4)[:, [1, 2, 0]], axis=0, prepend=np.zeros((1, 3), np.uint8))  # green, red, blue; alpha is held below
+    # alpha of the first colour is 255 and does not change, so its differences are 255 and then 0: the palette's first entry is spelled by itself
+    out_alpha = len(colours) > 1
+    if out_alpha:
+        out.put(0, 1)
+        put_code(out, np.append(flat, np.zeros(24, np.uint8)))
+        put_code(out, flat)
+        put_code(out, flat)
+        two = np.zeros(256, np.uint8)
+        two[[0, 255]] = 1
+        put_code(out, two)
+        put_one(out, 0)
+        alpha = reversed_codes(two)
+        for k, row in enumerate(deltas.tolist()):
+            for value in row:
+                out.put(int(codes[value]), 8)
+            out.put(int(alpha[0 if k else 255]), 1)
+    else:
+        image(deltas, 3, main=False)
+    out.put(0, 1)  # no more transforms
+    each, per = 8 >> packed, 1 << packed
+    rows = np.zeros((height, -(-width // per) * per), np.uint32)
+    rows[:, :width] = index.reshape(height, width)
+    image((rows.reshape(height, -1, per) << (np.arange(per) * each).astype(np.uint32)).sum(2), 1, main=True)
+    return _riff(b"\x2f" + out.value.to_bytes((out.n + 7) // 8 + 1, "little"))
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """Files of payloads whose sizes are positive multiples of PAD: one after another for each payload."""
-    prefix, prefix_bits, codes, widths = _PREFIX
-    step = PAD * ROWS
-    sizes = np.array([len(p) for p in payloads])
-    images = -(-sizes // step)
-    image_sizes = np.concatenate([np.append(np.full(n - 1, step), s - step * (n - 1)) for n, s in zip(images, sizes, strict=True)])
-    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3)[:, [1, 0, 2]].ravel()  # green, red, blue
-    width = widths[samples]
-    ends = np.cumsum(image_sizes)
+    """One file for each payload; sizes are positive multiples of PAD."""
+    shapes = [_shape(len(p) // 3) for p in payloads]
+    sizes = np.array([w * h for w, h in shapes], np.int64)  # in pixels
+    end = np.cumsum(sizes)
+    begin = end - sizes
+    owner = np.repeat(np.arange(len(payloads)), sizes)
+    whole = np.frombuffer(b"".join(p + b"\0" * (3 * int(n) - len(p)) for p, n in zip(payloads, sizes, strict=True)), np.uint8).reshape(-1, 3)
+    pixels = np.uint32(0xFF000000) | whole[:, 0].astype(np.uint32) << 16 | whole[:, 1].astype(np.uint32) << 8 | whole[:, 2]
+    green, red, blue = whole[:, 1], whole[:, 0], whole[:, 2]
+    less_red, less_blue = red - green, blue - green
+    value, width = (np.stack([table[k][x] for k, x in enumerate((green, red, blue))], axis=1) for table in (_PLAIN.codes, _PLAIN.widths))
+    plain = np.add.reduceat(width.sum(1), begin) + _PLAIN.bits
+    subtract = np.add.reduceat(_SUBTRACTED.widths[0][green] + _SUBTRACTED.widths[1][less_red] + _SUBTRACTED.widths[2][less_blue], begin) + _SUBTRACTED.bits < plain
+    for i in np.flatnonzero(subtract):
+        part = slice(int(begin[i]), int(end[i]))
+        for k, x in enumerate((green, less_red, less_blue)):
+            value[part, k], width[part, k] = _SUBTRACTED.codes[k][x[part]], _SUBTRACTED.widths[k][x[part]]
+    for at, length, distance in repeats(pixels, owner, begin, end):
+        f = _SUBTRACTED if subtract[owner[at]] else _PLAIN
+        (a, x, n), (b, y, m) = prefix_number(length), prefix_number(distance + 120)
+        value[at : at + length], width[at : at + length] = 0, 0
+        # the four parts take the place of the first pixels' samples
+        value[at], width[at] = (f.codes[0][256 + a], x, f.codes[3][b]), (f.widths[0][256 + a], n, f.widths[3][b])
+        value[at + 1, 0], width[at + 1, 0] = y, m
+    value, width = value.ravel(), width.ravel()
     total = np.concatenate(([0], np.cumsum(width)))
-    bits = total[ends] - total[ends - image_sizes]
-    top = 28 + 4 + prefix_bits
-    stream = -(-(top + bits) // 8) + 1  # with the signature byte
+    bits = total[3 * end] - total[3 * begin]
+    top = 32 + np.where(subtract, _SUBTRACTED.bits, _PLAIN.bits)
+    stream = (top + bits + 7) // 8 + 1  # with the signature byte
     padded = stream + (stream & 1)
-    begin = np.concatenate(([0], np.cumsum(padded + 20)[:-1]))
-    first = np.repeat((begin + 21) * 8 + top - total[ends - image_sizes], image_sizes)
-    at = first + total[:-1]
-    spread = codes[samples].astype(np.uint32) << (at & 7).astype(np.uint32)
-    byte = at >> 3
-    out = np.zeros(int(begin[-1] + padded[-1] + 20) + 3, np.uint8)
-    for k in range(3):
-        part = (spread >> np.uint32(8 * k)) & np.uint32(255)
-        out += np.bincount(byte + k, weights=part, minlength=len(out)).astype(np.uint8)
-    for b, n, s in zip(begin.tolist(), stream.tolist(), image_sizes.tolist(), strict=True):
-        even = n + (n & 1)
+    first = np.concatenate(([0], np.cumsum(padded + 20)[:-1]))
+    at = total[:-1] + np.repeat((first + 21) * 8 + top - total[3 * begin], 3 * sizes)
+    spread, byte = value.astype(np.uint64) << (at & 7).astype(np.uint64), at >> 3
+    out = np.zeros(int(first[-1] + padded[-1] + 20) + 4, np.uint8)
+    for k in range(4):
+        part = (spread >> np.uint64(8 * k)) & np.uint64(255)
+        some = np.flatnonzero(part) if k == 3 else slice(None)
+        out += np.bincount(byte[some] + k, weights=part[some], minlength=len(out)).astype(np.uint8)
+    files, few = [], [len(p) <= 1 << 14 and len(np.unique(pixels[a:b])) <= 16 for p, a, b in zip(payloads, begin, end, strict=True)]
+    for i, (b, n, (w, h)) in enumerate(zip(first.tolist(), stream.tolist(), shapes, strict=True)):
+        if few[i]:
+            files.append(with_palette(pixels[begin[i] : end[i]], w, h))
+            continue
+        f, even = _SUBTRACTED if subtract[i] else _PLAIN, n + (n & 1)
         head = b"RIFF" + (even + 12).to_bytes(4, "little") + b"WEBPVP8L" + n.to_bytes(4, "little") + b"\x2f"
-        value = (WIDTH - 1) | (s // PAD - 1) << 14 | prefix << 32
-        lead = np.frombuffer(head + value.to_bytes((top + 7) // 8, "little"), np.uint8)
+        lead = np.frombuffer(head + ((w - 1) | (h - 1) << 14 | f.value << 32).to_bytes((int(top[i]) + 7) // 8, "little"), np.uint8)
         out[b : b + len(lead)] |= lead
-    cut = np.concatenate(([0], np.cumsum(np.add.reduceat(padded + 20, np.concatenate(([0], np.cumsum(images)[:-1]))))))
-    data = out.tobytes()
-    return [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-
-
-def split(media: bytes) -> list[bytes]:
-    """The files that stand one after another in a stored value."""
-    out, at = [], 0
-    while at < len(media):
-        n = int.from_bytes(media[at + 4 : at + 8], "little") + 8
-        out.append(media[at : at + n])
-        at += n
-    return out
+        files.append(out[b : b + even + 20].tobytes())
+    return files
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -536,31 +764,44 @@ def store(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, n_bytes long, media binary"), "webp")
 
 
-def read_features(stored: DataFrame) -> DataFrame:
-    """Decode every stored value and describe it: sizes, digests and a feature string (size, mean samples, rows' contrast)."""
-    shape = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def read_pixels(stored: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, height, width, samples (the red, green and blue of all pixels, row by row) of every stored value."""
+    shape = "doc_id long, n_bytes long, media binary, height int, width int, samples binary"
 
     def read(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            ids, sizes, column = batch.column(0), batch.column(1), batch.column(2)
-            begin = 0
+            column, begin = batch.column(2), 0
             while begin < len(batch):
                 media, held = [], 0
-                while begin + len(media) < len(batch) and held < 1 << 20:
+                while begin + len(media) < len(batch) and held < 12 << 20:
                     media.append(column[begin + len(media)].as_py())
                     held += len(media[-1])
-                files = [split(m) for m in media]
-                images = iter(decode([f for some in files for f in some]))
-                rows = []
-                for m, some in zip(media, files, strict=True):
-                    pixels = np.concatenate([next(images) for _ in some])
-                    samples = np.ascontiguousarray(pixels.view(np.uint8).reshape(*pixels.shape, 4)[:, :, 2::-1])
-                    payload = samples.tobytes()
-                    mean = "/".join(f"{v:.3f}" for v in samples.reshape(-1, 3).mean(0))
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{pixels.shape[1]}x{pixels.shape[0]} mean {mean} sd {samples.std():.3f}"))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(media)), sizes.slice(begin, len(media)), *arrays], names=[c.split()[0] for c in shape.split(", ")])
+                images = decode(media)
+                samples = [np.ascontiguousarray(p.view(np.uint8).reshape(*p.shape, 4)[:, :, 2::-1]).tobytes() for p in images]
+                part = batch.slice(begin, len(media))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p.shape[0] for p in images], pa.int32()), pa.array([p.shape[1] for p in images], pa.int32()), pa.array(samples, pa.binary())], names=[c.split()[0] for c in shape.split(", ")])
                 begin += len(media)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, shape)
+
+
+def read_features(stored: DataFrame) -> DataFrame:
+    """What the pixel arrays of every stored value hold: sizes, digests and a feature string (size of the image, blanks and the commonest samples' share).
+
+    The payload is the samples up to the padded size of the text.
+    """
+    size = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / PAD)) * PAD
+    payload = F.substr(F.col("samples"), F.lit(1), size.cast("int"))
+    rows = read_pixels(stored).withColumn("payload", payload)
+    blanks = F.length(F.regexp_replace(F.hex("payload"), "(?:20)+$", "")) / 2  # without the blanks at its end
+    feature = F.concat_ws(" ", F.concat_ws("x", "width", "height"), F.lit("text"), blanks.cast("long").cast("string"), F.lit("crc"), F.crc32("payload").cast("string"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substr(F.col("payload"), F.octet_length("payload") - 15, F.lit(16))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )

@@ -93,11 +93,31 @@ def samples(pixels):
     return np.ascontiguousarray(pixels.view(np.uint8).reshape(*pixels.shape, 4)[:, :, 2::-1]).tobytes()
 
 
-def test_webp_payloads():
+def test_webp_payloads(monkeypatch):
     rng = random.Random(5)
-    payloads = [bytes(rng.randrange(256) for _ in range(192 * n)) for n in (1, 2, 33)] + [b" " * 192, b"plain text " * 192]
-    for payload, media in zip(payloads, webp.encode(payloads)):
-        assert b"".join(samples(p) for p in webp.decode(webp.split(media))) == payload
+    payloads = [bytes(rng.randrange(256) for _ in range(192 * n)) for n in (1, 2, 33)] + [b" " * 192, b"plain text " * 192, b"ab" * 4800, b"xyz" * 576, bytes(range(192)), b"one line of many that come back\n" * 768]
+    payloads.append(b"".join(bytes([c]) * 3 for c in range(256)) * 8)  # grey: green subtracted
+    stored = webp.encode(payloads)
+    assert stored == webp.encode(payloads) and all(m == webp.encode([p])[0] for p, m in zip(payloads, stored))
+    for payload, pixels in zip(payloads, webp.decode(stored), strict=True):
+        assert samples(pixels) == payload
+    # what the encoder chooses: a palette, a subtraction, back-references
+    kinds = [[t[0] for t in webp._header(m, 21 * 8 + 32, 1, 1)[0].transforms] for m in stored]
+    assert kinds[3] == [webp.PALETTE] and kinds[-1] == [webp.GREEN] and kinds[8] == []
+    assert len(stored[8]) < len(payloads[8]) / 30 and len(stored[4]) < len(payloads[4]) / 4
+    # more rows than the format has: the image gets wider, and is cut again
+    monkeypatch.setattr(webp, "MOST_SIDE", 4)
+    (wide,) = webp.decode(webp.encode([payloads[2]]))
+    assert wide.shape[0] <= 4 and samples(wide)[: len(payloads[2])] == payloads[2]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"abcabcab", b"x", b"0123456789", b"   ", b"\xff\x00"]), min_size=1, max_size=120))
+def test_webp_any_payload(parts):
+    payload = b"".join(parts)
+    payload += b" " * (-len(payload) % 192)
+    (pixels,) = webp.decode(webp.encode([payload]))
+    assert samples(pixels) == payload
 
 
 class Stream:
@@ -179,6 +199,36 @@ def test_webp_long_lengths():
     assert flat(s.file()) == [0xFF010203] * 2000
 
 
+def spec_prediction(mode, left, top, corner, right):
+    """The format's predictions channel by channel, written from its text and apart from the decoder."""
+    split = lambda p: [p >> s & 255 for s in (24, 16, 8, 0)]
+    sides = list(zip(*map(split, (left, top, corner, right))))  # (L, T, TL, TR) of each channel
+    half = lambda a, b: (a + b) // 2
+    clip = lambda v: min(255, max(0, v))
+    if mode == 11:
+        by_left = sum(abs(t - c) for _, t, c, _ in sides)
+        by_top = sum(abs(x - c) for x, _, c, _ in sides)
+        return left if by_left < by_top else top
+    rule = {
+        0: lambda L, T, C, R: None, 1: lambda L, T, C, R: L, 2: lambda L, T, C, R: T, 3: lambda L, T, C, R: R, 4: lambda L, T, C, R: C,
+        5: lambda L, T, C, R: half(half(L, R), T), 6: lambda L, T, C, R: half(L, C), 7: lambda L, T, C, R: half(L, T), 8: lambda L, T, C, R: half(C, T),
+        9: lambda L, T, C, R: half(T, R), 10: lambda L, T, C, R: half(half(L, C), half(T, R)), 12: lambda L, T, C, R: clip(L + T - C),
+        13: lambda L, T, C, R: clip(half(L, T) + int((half(L, T) - C) / 2)),
+    }[mode]
+    if mode == 0:
+        return 0xFF000000
+    a, r, g, b = (rule(*s) for s in sides)
+    return a << 24 | r << 16 | g << 8 | b
+
+
+def test_webp_predictions_by_hand():
+    """One pixel of each rule, worked out on paper."""
+    left, top, corner, right = 0xFF0A1420, 0xFF1E0A10, 0xFF140A08, 0xFF280600
+    want = {0: 0xFF000000, 1: left, 2: top, 3: right, 4: corner, 5: 0xFF1B0B10, 6: 0xFF0F0F14, 7: 0xFF140F18, 8: 0xFF190A0C, 9: 0xFF230808, 10: 0xFF190B0E, 12: 0xFF141428, 13: 0xFF141120}
+    for mode, value in want.items():
+        assert webp.predict(mode, left, top, corner, right) == value == spec_prediction(mode, left, top, corner, right), mode
+
+
 @pytest.mark.parametrize("mode", range(14))
 def test_webp_predictor(mode):
     rng = random.Random(mode)
@@ -187,7 +237,7 @@ def test_webp_predictor(mode):
     residue = []
     for i, p in enumerate(want):
         y, x = divmod(i, width)
-        guess = (want[i - 1] if x else 0xFF000000) if y == 0 else want[i - width] if x == 0 else webp.predict(mode, want[i - 1], want[i - width], want[i - width - 1], want[i - width + 1])
+        guess = (want[i - 1] if x else 0xFF000000) if y == 0 else want[i - width] if x == 0 else spec_prediction(mode, want[i - 1], want[i - width], want[i - width - 1], want[i - width + 1])
         residue.append(webp._join((a - b) & 255 for a, b in zip(webp._parts(p), webp._parts(guess))))
     s = Stream(width, height)
     s.out.put(1, 1), s.out.put(webp.PREDICTOR, 2), s.out.put(0, 3)
@@ -230,12 +280,19 @@ def test_webp_cross_colour_green_and_palette():
 
 
 def test_webp_column(spark, odd_documents, no_documents):
+    """Every column against plain code, for nulls, empty, long and repeated texts."""
     got = webp.read_features(webp.store(odd_documents)).collect()
-    texts = sorted((r.text or "").encode() for r in odd_documents.collect())
     pad = lambda b: b + b" " * (-len(b) % 192 if b else 192)
-    assert sorted(r.payload_sha256 for r in got) == sorted(hashlib.sha256(pad(t)).hexdigest() for t in texts)
+    want = []
+    for r in odd_documents.collect():
+        raw = (r.text or "").encode()
+        p = pad(raw)
+        media = webp.encode([p])[0]
+        want.append((r.doc_id or -1, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"64x{len(p) // 192} text {len(p.rstrip())} crc {zlib.crc32(p)}"))
+    assert sorted((r.doc_id or -1, *r[1:]) for r in got) == sorted(want)
     assert webp.read_features(webp.store(no_documents)).count() == 0
-
+    pixels = webp.read_pixels(webp.store(odd_documents)).where("doc_id = 6").collect()[0]
+    assert (pixels.height, pixels.width) == (1, 64) and bytes(pixels.samples) == b"ok" + b" " * 190
 
 
 def test_chat_escapes_are_reversible(spark):
