@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factframe.llm.common import bounded, written
+from factframe.llm.tokenids import token_counts
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
@@ -30,7 +31,7 @@ LEAST_SHARDS = 64
 
 
 def word_count(text: str = "text") -> Column:
-    """Words between white space; pass another length column to pack by tokens."""
+    """Words between white space."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
@@ -74,9 +75,15 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
-    """One row per document: doc_id, length, bucket, bucket_length, batch_id, slot, padding."""
-    sized = docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("length"))
+def pack(docs: DataFrame, tokenizer: str | None = None, length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+    """One row per document: doc_id, length, bucket, bucket_length, batch_id, slot, padding.
+
+    Lengths are ids under the tokenizer of that path, or the given column, or words.
+    """
+    if tokenizer is None:
+        sized = docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("length"))
+    else:
+        sized = token_counts(docs, tokenizer)
     sized = written(sized.withColumn("_draw", F.xxhash64("doc_id", "length", F.monotonically_increasing_id())), "lengths")
     histogram = sized.groupBy(F.col("length").alias("v")).count().collect()
     values, counts = np.array([r[0] for r in histogram], dtype=np.int64), np.array([r[1] for r in histogram], dtype=np.int64)

@@ -13,6 +13,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer() -> str:
+    """The path of the tokenizer that op9 and op10 count with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     # the table has no capture time: one second after another, by id
@@ -64,13 +71,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return tokenids.encode_corpus(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenids.encode_corpus(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
 QUERIES = {

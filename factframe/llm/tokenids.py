@@ -255,6 +255,16 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, n long, counts array<struct<id:int,n:long>>")
 
 
+def token_counts(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, length: how many ids each whole text has; a null or empty text has none."""
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for batch, texts in chunks(batches, limit=1 << 18):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in encoder(path).encode(texts)], pa.int64())], names=["doc_id", "length"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, length long")
+
+
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return raw.reshape(2, -1).T.copy().view(np.uint16).ravel()

@@ -67,6 +67,15 @@ def test_batches_keep_the_budget(spark, sf_dir):
         assert sum(len(b) < max(1, 4096 // max(1, b[0].bucket_length)) for b in mine) <= 1
 
 
+def test_lengths_in_tokens_equal_the_library(odd_documents):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    want = sorted(((r.doc_id or -1), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in odd_documents.collect())
+    assert sorted(((r.doc_id or -1), r.length) for r in packing.pack(odd_documents, path).collect()) == want
+
+
 def test_packing_odd_rows(odd_documents, no_documents):
     rows = packing.pack(odd_documents).collect()
     assert len(rows) == odd_documents.count() and sorted(r.length for r in rows)[:3] == [0, 0, 1]
