@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from factframe.llm import decontaminate, kneser_ney, order_minhash, packing, resample
 from factframe.llm.common import free_name, written
+from factframe.llm.queries import tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document left gets its length bucket, batch and slot."""
-    return packing.pack(docs)
+    """Every document left gets its length bucket, batch and slot; lengths are token ids."""
+    return packing.pack(docs, tokenizer())
 
 
 STAGES = [
