@@ -49,11 +49,11 @@ def numbers(text: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Commas and blanks dropped, parentheses negative, a dash or nothing is zero; null if it is no number."""
+    """Commas and blanks dropped, parentheses negative, a dash or nothing is zero; null if it is no number, as a lone comma."""
     plain = F.regexp_replace(F.trim(text), "[, ]", "")
     negative = plain.rlike(r"^\(.*\)$")
     value = F.regexp_replace(plain, r"^\(|\)$", "").try_cast("double")
-    return F.when(plain.isin("-", ""), F.lit(0.0)).otherwise(F.when(negative, -value).otherwise(value))
+    return F.when(F.trim(text).isin("-", ""), F.lit(0.0)).otherwise(F.when(negative, -value).otherwise(value))
 
 
 # How OCR mangles grouped numbers, in the order of repair: a one read as L, then periods for commas.
