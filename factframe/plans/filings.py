@@ -129,3 +129,57 @@ def banking_filings(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(cover, "text").alias("text"))
     head = F.substring("text", 1, 15000)
     return docs.select("doc_id", (~F.lower(head).contains("revenue from operations") & (head.rlike(_BANK[0]) | F.substring("text", 1, 2000).rlike(_BANK[1]))).alias("banking"))
+
+
+@query("""SELECT * FROM (VALUES (0, 'annual', '2025-03-31', 'financial_revenue', CAST(4600.75 AS DOUBLE)), (0, 'annual', '2025-03-31', 'financial_other_income', 290), (0, 'annual', '2025-03-31', 'financial_finance_cost', 45),
+(1, 'quarterly', '2024-09-30', 'financial_revenue', 900), (1, 'quarterly', '2024-09-30', 'financial_profit_before_tax', 0), (1, 'quarterly', '2024-09-30', 'financial_trade_receivables', 310)) v(id, period_type, period, kind, value)""")
+def extract_results(spark, sf_dir):
+    filed = _texts(spark, samples.RESULTS).withColumn("_p", L.filing_period(F.col("text")))
+    return filed.select("id", "_p.*", F.explode(L.result_rows(F.col("text"), F.col("_p.period_type"))).alias("_r")).select("id", "period_type", "period", "_r.*")
+
+
+@query("""SELECT * FROM (VALUES (0, '2025-03-31', 'esg_ghg_scope1', CAST(12345.5 AS DOUBLE)), (0, '2025-03-31', 'esg_ghg_scope2', 188000), (1, '2024-03-31', 'esg_ghg_scope1', 77)) v(id, period, kind, value)""")
+def extract_sustainability(spark, sf_dir):
+    filed = F.lit("2026-06-01").cast("date")
+    return _texts(spark, samples.SUSTAINABILITY).select("id", L.report_year_end(F.col("text"), filed).alias("period"), F.explode(L.sustainability(F.col("text"))).alias("_r")).select("id", "period", "_r.*")
+
+
+@query("""SELECT * FROM (VALUES (0, ['Currency swings', 'Cyber attack on plants', 'Loss of key staff'], NULL, NULL), (1, [], CAST(1012.5 AS DOUBLE), CAST(12.6 AS DOUBLE))) v(id, risks, csr_spend, attrition)""")
+def extract_annual_reports(spark, sf_dir):
+    return _texts(spark, samples.ANNUALS).select("id", L.annual_report(F.col("text")).alias("_a")).select("id", "_a.*")
+
+
+@query("""SELECT * FROM (VALUES (0, '2025-03-31', 'annual', 'Our vision is to lead the market for safe water', ['Grow exports', 'Expand retail network']), (1, '2024-09-30', 'quarterly', NULL, []), (2, NULL, NULL, NULL, [])) v(id, period, period_type, aspiration, priorities)""")
+def extract_decks(spark, sf_dir):
+    return _texts(spark, samples.DECKS).select("id", L.deck(F.col("text")).alias("_d")).select("id", "_d.*")
+
+
+@query("""SELECT * FROM (VALUES (0, 'FY23', '10.5%'), (0, 'FY24', '11%'), (0, 'FY25', '12.25%'), (1, 'FY23', '4%'), (1, 'FY24', '5%')) v(id, year, value)""")
+def chart_values(spark, sf_dir):
+    chart = F.substr(F.col("text"), F.greatest(F.lit(1), F.locate("FY", F.col("text"))))
+    return _texts(spark, samples.DECKS).select("id", F.explode(L.year_values(chart)).alias("_p")).select("id", "_p.*")
+
+
+@query("""SELECT * FROM (VALUES (0, 'fundraise', 'QIP', NULL, CAST(3000 AS DOUBLE)), (0, 'fundraise', 'rights_issue', NULL, 3000), (0, 'appointment', 'Maya Lindqvist', 'Chief Financial Officer', NULL), (0, 'resignation', 'Otto Brandt', 'Independent Director', NULL), (1, 'reappointment', 'Maya Lindqvist', NULL, NULL)) v(id, topic, item, role, amount)""")
+def extract_board_outcomes(spark, sf_dir):
+    """A board's decisions, topic by topic, in one shape."""
+    text, none = F.col("text"), F.lit(None)
+    letters = _texts(spark, samples.BOARD)
+    funds = letters.select("id", F.explode(L.fundraises(text)).alias("_f")).select("id", F.lit("fundraise").alias("topic"), F.col("_f.fundraise_type").alias("item"), none.cast("string").alias("role"), "_f.amount")
+    people = letters.select("id", F.explode(L.office_changes(text)).alias("_c")).select("id", F.col("_c.change_type").alias("topic"), F.col("_c.name").alias("item"), "_c.role", none.cast("double").alias("amount"))
+    return funds.unionByName(people)
+
+
+@query("""SELECT * FROM (VALUES (2, CAST(4000000 AS DOUBLE), CAST(4150 AS DOUBLE), CAST(1660 AS DOUBLE))) v(id, shares_offered, price_per_share, amount)""")
+def extract_buyback_terms(spark, sf_dir):
+    return _texts(spark, samples.BOARD).select("id", L.buyback_terms(F.col("text")).alias("_b")).select("id", "_b.*").where("amount is not null")
+
+
+@query("""SELECT * FROM (VALUES ('annual_report', 'supported', 2), ('board_outcome', 'supported', 3), ('brsr', 'supported', 3), ('financial_results', 'supported', 3), ('investor_presentation', 'supported', 3), ('letter', 'no analyzer', 1)) v(kind, status, n)""")
+def dispatch_by_kind(spark, sf_dir):
+    """Documents to the extractor of their kind; a kind without one is an error row, not a lost document."""
+    kinds = {"financial_results": samples.RESULTS, "brsr": samples.SUSTAINABILITY, "annual_report": samples.ANNUALS, "investor_presentation": samples.DECKS, "board_outcome": samples.BOARD, "letter": ("Dear all",)}
+    docs = spark.createDataFrame([(k, t) for k, ts in kinds.items() for t in ts], "kind string, text string")
+    t, k = F.col("text"), F.col("kind")
+    facts = F.when(k == "financial_results", F.to_json(L.result_rows(t, L.filing_period(t)["period_type"]))).when(k == "brsr", F.to_json(L.sustainability(t))).when(k == "annual_report", F.to_json(L.annual_report(t))).when(k == "investor_presentation", F.to_json(L.deck(t))).when(k == "board_outcome", F.to_json(L.office_changes(t)))
+    return docs.select("kind", facts.alias("facts")).groupBy("kind", F.when(F.col("facts").isNull(), "no analyzer").otherwise("supported").alias("status")).agg(F.count("*").alias("n"))

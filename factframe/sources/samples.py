@@ -35,3 +35,27 @@ HOLDINGS = (
     '<x><Pct contextRef="D_MutualFunds_Context1">0.0412</Pct><Pct contextRef="D_ForeignPortfolioInvestors_Context2">0.1</Pct><Pct contextRef="D_ForeignPortfolioInvestors_Context2">0.1185</Pct><Pct contextRef="D_PromoterGroup_Context9">0.7177</Pct></x>',
     '<x><Pct contextRef="D_InsuranceCompanies_Context1">5.5</Pct><Pct contextRef="D_OthersIndianShareholders_Context4">1.0</Pct><Pct contextRef="D_IndividualHoldingInExcessOfRsTwoLakh_Context7">0.9</Pct></x>',
 )
+RESULTS = (
+    "Results for the quarter ended March 31, 2025 and for the year ended March 31, 2025.\nRevenue from operations 24\nRevenue from operations\n 1,200.50 1,100 1,000 4,600.75 4,100\nOther income\n 77 70 65 290 250\nFinance costs\n(12) (11) (10) 45 40\nTrade receivables\n0 0 0 0 0\n",
+    "Results for the quarter and half year ended September 30, 2024.\nRevenue from operations\n900 850 800\nProfit before tax\n - 5\nTrade receivables\n310\nend",
+    "A letter without a period.",
+)
+SUSTAINABILITY = (
+    "Report for the period from 1 April 2024 to 31 March 2025\nTotal Scope 1 emissions (tCO2e)\nUnit\n12,345.5\nTotal Scope 2 emissions\nMetric\n1,88,000\nTotal Scope 3 emissions\nnot measured\n",
+    "BRSR FY 2023-24\nTotal Scope 1 emissions 99\n 77 \n",
+    "nothing",
+)
+ANNUALS = (
+    "Report\nPrincipal Risks and mitigation\n1. Currency swings\n2) Cyber attack on plants\n• Rain\n- Loss of key staff\nText between\n",
+    "CSR expenditure for the year was Rs. 1,012.50 crore. Attrition in the last twelve months was 12.6 % in all.",
+)
+DECKS = (
+    "Quarter and financial year ended March 31, 2025\nOur vision is to lead the market for safe water. More text\nStrategic Priorities\n• Grow exports\nExpand retail network\ngrow exports\n• Grow Exports\n12 numbers\nFY23 FY24 FY25 10.5% 11% 12.25%",
+    "quarter and half year ended 30.09.2024. FY23 4% FY24 5% and then a long stretch of other text which ends the chart for good FY25 9%",
+    "FY22 1% FY22 2%",
+)
+BOARD = (
+    "The Board approved a Qualified Institutional Placement and a rights issue not exceeding INR 3,000 crore. It noted the appointment of Maya Lindqvist as Chief Financial Officer with effect from May 1 and the resignation of Otto Brandt as Independent Director of the Company.",
+    "Re-appointment of Maya Lindqvist, subject to approval. Appointment of Stock Exchange nominees. Resignation of Maya Lindqvist was noted.",
+    "Buyback of 40,00,000 fully paid-up equity shares at a price of ₹ 4,150 (Rupees four thousand) per equity share for an aggregate not exceeding ₹ 1,660 crore.",
+)
