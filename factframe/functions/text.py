@@ -38,14 +38,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def keywords_of(words: Column) -> Column:
+    """Of tokens the distinct words of three letters or more that are not stop words."""
+    return F.filter(F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS])), lambda t: t.rlike("^[a-z].."))
+
+
+def numbers_of(words: Column) -> Column:
+    return F.filter(F.array_distinct(words), lambda t: t.rlike("^[0-9]"))
+
+
 def keywords(text: Column) -> Column:
-    """Distinct words of three letters or more that are not stop words."""
-    words = F.array_except(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array(*[F.lit(w) for w in STOP_WORDS]))
-    return F.filter(words, lambda t: t.rlike("^[a-z].."))
+    return keywords_of(tokens(text))
 
 
 def numbers(text: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(text), lambda t: t.rlike("^[0-9]")))
+    return numbers_of(tokens(text))
 
 
 def parse_number(text: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from factframe.functions.text import keywords
 from factframe.plans.passages import _TERMS_SQL, _WINDOWS_SQL, _candidates
 from factframe.plans.text import _KEYWORDS_SQL
-from factframe.registry import query
+from factframe.plans import series as Q
+from factframe.registry import ORACLE_SQL, query
 from factframe.sources.tables import LINES_SQL, fact_lines, table
 
 _RANKED_SQL = f"""{_WINDOWS_SQL}, {_TERMS_SQL}, b AS (SELECT item_id, doc_id, max(n_words + 2 * n_numbers) AS score FROM c GROUP BY ALL),
@@ -155,10 +156,12 @@ def plan_diversity(spark, sf_dir):
     return plans.agg(F.count_distinct(F.array_join("dims", ",")).alias("n_plans"), F.round(F.avg(F.size("dims").cast("double")), 3).alias("mean_width"), F.max(F.size("dims")).cast("long").alias("max_width"), (F.count_distinct(F.array_join("dims", ",")) == 1).alias("checklist"))
 
 
-@query()
+@query(f"""WITH m AS ({ORACLE_SQL['margin_stability']}), g AS ({ORACLE_SQL['growth_cagr']}), c AS ({ORACLE_SQL['net_cash_trajectory']}), s AS ({ORACLE_SQL['segment_concentration']}), t AS ({ORACLE_SQL['top_movers']})
+SELECT 'business_quality' AS section, company_id, 1 AS place, concat_ws(' ', 'margin', band, format('{{:,.1f}}', spread)) AS text FROM m UNION ALL SELECT 'growth', company_id, 1, concat_ws(' ', 'CAGR', format('{{:,.1f}}', cagr_pct), 'up in', CAST(n_up AS VARCHAR)) FROM g
+UNION ALL SELECT 'balance_sheet', company_id, 1, concat_ws(' ', 'net cash', verdict) FROM c UNION ALL SELECT 'segments', company_id, 1, concat_ws(' ', 'largest', largest, format('{{:,.1f}}', share_pct)) FROM s
+UNION ALL SELECT 'movers_' || direction, company_id, place, concat_ws(' ', metric, format('{{:,.1f}}', magnitude)) FROM t""")
 def report_sections(spark, sf_dir):
     """The company report as one frame: section, company, place, text; built of other queries, rendered at the edge."""
-    from factframe.plans import series as Q
 
     company = F.col("company_id")
     text = lambda *parts: F.concat_ws(" ", *parts)

@@ -115,8 +115,10 @@ _KEYWORDS_SQL = rf"list_distinct(list_filter(regexp_extract_all(lower({{}}), '{_
 @query(rf"""SELECT doc_id, len(regexp_extract_all(lower(text), '{_TOKEN}')) AS n_tokens, len({_KEYWORDS_SQL.format('text')}) AS n_keywords,
 len(list_distinct(list_filter(regexp_extract_all(lower(text), '{_TOKEN}'), lambda x: regexp_matches(x, '^[0-9]')))) AS n_numbers FROM documents""")
 def tokenize_keywords(spark, sf_dir):
-    c = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.tokens(c)).cast("long").alias("n_tokens"), F.size(X.keywords(c)).cast("long").alias("n_keywords"), F.size(X.numbers(c)).cast("long").alias("n_numbers"))
+    """Counts of tokens, words and numbers; a text is split once, in a projection of its own."""
+    words, size = F.col("words"), lambda c: F.size(c).cast("long")
+    split = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("words"))
+    return split.select("doc_id", size(words).alias("n_tokens"), size(X.keywords_of(words)).alias("n_keywords"), size(X.numbers_of(words)).alias("n_numbers"))
 
 
 _EDGES = r"""[.,;:!?"''()/\[\]{}|\\-]+"""
