@@ -16,13 +16,13 @@ def _texts(spark, texts) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
 
 
-@query("""SELECT * FROM (VALUES (0, 'final', CAST(12.5 AS DOUBLE), '2024-07-18', '2024-08-02'), (0, 'special', 3, '2024-07-18', '2024-08-02'), (1, 'interim', 7.25, '2024-10-18', NULL)) v(id, dividend_type, per_share, record_date, payment_date)""")
+@query("""SELECT * FROM (VALUES (0, 'final', CAST(12.5 AS DOUBLE), '2024-07-18', '2024-08-02'), (0, 'special', 3, '2024-07-18', '2024-08-02'), (1, 'interim', 7.25, '2023-08-09', NULL)) v(id, dividend_type, per_share, record_date, payment_date)""")
 def extract_dividends(spark, sf_dir):
     text, dates = F.col("text"), L.dividend_dates(F.col("text"))
     return _texts(spark, samples.DIVIDENDS).select("id", F.explode(L.dividends(text)).alias("_d"), dates.alias("_w")).select("id", "_d.*", "_w.*")
 
 
-@query("""SELECT * FROM (VALUES (0, '2023-11-25', 12034567), (1, '2022-03-09', 5000), (2, NULL, 40500), (3, NULL, NULL)) v(id, record_date, shares_bought)""")
+@query("""SELECT * FROM (VALUES (0, '2024-06-03', 12034567), (1, '2022-03-09', 5000), (2, NULL, 40500), (3, NULL, NULL)) v(id, record_date, shares_bought)""")
 def extract_buybacks(spark, sf_dir):
     return _texts(spark, samples.BUYBACKS).select("id", L.buyback(F.col("text")).alias("_b")).select("id", "_b.*")
 
@@ -149,7 +149,7 @@ def extract_annual_reports(spark, sf_dir):
     return _texts(spark, samples.ANNUALS).select("id", L.annual_report(F.col("text")).alias("_a")).select("id", "_a.*")
 
 
-@query("""SELECT * FROM (VALUES (0, '2025-03-31', 'annual', 'Our vision is to lead the market for safe water', ['Grow exports', 'Expand retail network']), (1, '2024-09-30', 'quarterly', NULL, []), (2, NULL, NULL, NULL, [])) v(id, period, period_type, aspiration, priorities)""")
+@query("""SELECT * FROM (VALUES (0, '2025-03-31', 'annual', 'Our vision is to lead the market for safe water', ['Grow exports', 'Expand retail network']), (1, '2023-06-30', 'quarterly', NULL, []), (2, NULL, NULL, NULL, [])) v(id, period, period_type, aspiration, priorities)""")
 def extract_decks(spark, sf_dir):
     return _texts(spark, samples.DECKS).select("id", L.deck(F.col("text")).alias("_d")).select("id", "_d.*")
 
@@ -170,7 +170,7 @@ def extract_board_outcomes(spark, sf_dir):
     return funds.unionByName(people)
 
 
-@query("""SELECT * FROM (VALUES (2, CAST(4000000 AS DOUBLE), CAST(4150 AS DOUBLE), CAST(1660 AS DOUBLE))) v(id, shares_offered, price_per_share, amount)""")
+@query("""SELECT * FROM (VALUES (2, CAST(4000000 AS DOUBLE), CAST(3275 AS DOUBLE), CAST(1310 AS DOUBLE))) v(id, shares_offered, price_per_share, amount)""")
 def extract_buyback_terms(spark, sf_dir):
     return _texts(spark, samples.BOARD).select("id", L.buyback_terms(F.col("text")).alias("_b")).select("id", "_b.*").where("amount is not null")
 

@@ -2,11 +2,11 @@
 
 DIVIDENDS = (
     "The Board has recommended a final dividend of INR 12.50 per share and declared a special dividend of INR 3 per share. The Record Date fixed for the purpose is July 18, 2024. It will be paid on Friday, August 2, 2024.",
-    "An interim dividend of INR 7.25 goes to holders as on October 18, 2024, which is the Record Date.",
+    "An interim dividend of INR 7.25 goes to holders as on August 9, 2023, which is the Record Date.",
     "The Board met and noted the accounts. No dividend is proposed.",
 )
 BUYBACKS = (
-    "Notice of Record Date  (i.e. Saturday, November 25, 2023) for the offer.\nTotal Number of Equity Shares Extinguished/ Destroyed (A + B)  1,20,34,567",
+    "Notice of Record Date  (i.e. Monday, June 3, 2024) for the offer.\nTotal Number of Equity Shares Extinguished/ Destroyed (A + B)  1,20,34,567",
     "The record date for this purpose is March 9, 2022. The Company has bought back 5,000 Equity Shares.",
     "Extinguishment of a total of 40,500 Equity Shares was completed.",
     "A buyback is under study.",
@@ -51,11 +51,11 @@ ANNUALS = (
 )
 DECKS = (
     "Quarter and financial year ended March 31, 2025\nOur vision is to lead the market for safe water. More text\nStrategic Priorities\n• Grow exports\nExpand retail network\ngrow exports\n• Grow Exports\n12 numbers\nFY23 FY24 FY25 10.5% 11% 12.25%",
-    "quarter and half year ended 30.09.2024. FY23 4% FY24 5% and then a long stretch of other text which ends the chart for good FY25 9%",
+    "quarter and half year ended 30.06.2023. FY23 4% FY24 5% and then a long stretch of other text which ends the chart for good FY25 9%",
     "FY22 1% FY22 2%",
 )
 BOARD = (
     "The Board approved a Qualified Institutional Placement and a rights issue not exceeding INR 3,000 crore. It noted the appointment of Maya Lindqvist as Chief Financial Officer with effect from May 1 and the resignation of Otto Brandt as Independent Director of the Company.",
     "Re-appointment of Maya Lindqvist, subject to approval. Appointment of Stock Exchange nominees. Resignation of Maya Lindqvist was noted.",
-    "Buyback of 40,00,000 fully paid-up equity shares at a price of ₹ 4,150 (Rupees four thousand) per equity share for an aggregate not exceeding ₹ 1,660 crore.",
+    "Buyback of 40,00,000 fully paid-up equity shares at a price of ₹ 3,275 (Rupees in words) per equity share for an aggregate not exceeding ₹ 1,310 crore.",
 )

@@ -89,7 +89,7 @@ def test_every_number_of_a_document_is_repaired_and_parsed(spark, tmp_path):
 
     rng = random.Random(5)
     texts = ["".join(rng.choices(["1", "27", "903", "L", ",", ".", " ", " ", "of", "(", ")", "-", "x", "\n", "12.345.67", "5.123 45"], k=rng.randint(0, 40))) for _ in range(400)]
-    texts += ["paid 1.10.960.11 of 58.216.04, then (34.228 34) and 68.55L.81.", None]
+    texts += ["paid 2.21.071.22 of 69.327.15, then (45.339 45) and 79.66L.92.", None]
     spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {}
     for r in sorted(ocr_number_fix(spark, str(tmp_path)).where("doc_id >= 100").collect(), key=lambda r: (r.doc_id, r.position)):
@@ -100,7 +100,7 @@ def test_every_number_of_a_document_is_repaired_and_parsed(spark, tmp_path):
         for pattern, to in repairs:
             text = re.sub(pattern, to, text or "")
         assert [t for t, _ in got.get(i, [])] == re.findall(r"\([\d,]+(?:\.\d+)?\)|(?<!\w)-(?!\w)|[\d,]+(?:\.\d+)?", text), texts[i - 100]
-    assert [v for _, v in got[500]] == [110960.11, 58216.04, None, -34228.34, 68551.81]
+    assert [v for _, v in got[500]] == [221071.22, 69327.15, None, -45339.45, 79661.92]
 
 
 def test_normalised_keeps_accents(spark):

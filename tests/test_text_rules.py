@@ -19,14 +19,14 @@ def one(spark, column, *values):
 
 
 def test_ocr_repairs(spark):
-    given = ("2.16,840.35", "1.10.960.11", "58.216.04", "34.228 34", "68.55L.81", "2,27.296.20", "5.6", "L5", None)
-    assert one(spark, X.fix_ocr_numbers, *given) == ["2,16,840.35", "1,10,960.11", "58,216.04", "34,228.34", "68,551.81", "2,27,296.20", "5.6", "L5", None]
+    given = ("3.27,951.46", "2.21.071.22", "69.327.15", "45.339 45", "79.66L.92", "3,38.407.31", "5.6", "L5", None)
+    assert one(spark, X.fix_ocr_numbers, *given) == ["3,27,951.46", "2,21,071.22", "69,327.15", "45,339.45", "79,661.92", "3,38,407.31", "5.6", "L5", None]
 
 
 def test_numbers(spark):
-    assert one(spark, X.parse_number, "1,26,872.50", "(1,234.5)", "-", " ", "abc", "( 5 )", ",", None) == [126872.5, -1234.5, 0.0, 0.0, None, -5.0, None, None]
-    found = one(spark, X.number_tokens, "Profit (340) of 1,26,872.5 - and x-1 2-3", "")
-    assert found == [["(340)", "1,26,872.5", "-", "1", "2", "3"], []]
+    assert one(spark, X.parse_number, "2,37,983.50", "(1,234.5)", "-", " ", "abc", "( 5 )", ",", None) == [237983.5, -1234.5, 0.0, 0.0, None, -5.0, None, None]
+    found = one(spark, X.number_tokens, "Profit (340) of 2,37,983.5 - and x-1 2-3", "")
+    assert found == [["(340)", "2,37,983.5", "-", "1", "2", "3"], []]
 
 
 def test_number_tokens_equal_plain_code(spark):
@@ -37,14 +37,14 @@ def test_number_tokens_equal_plain_code(spark):
 
 
 def test_garbled_words(spark):
-    fine = "Revenue Q2FY26 ₹20,160 40–50 Tier2 CET1 SqlServer a€ 'quoted' (l) …"
-    bad = "lnt€resU lUnaudlledl oPe6tlonE été"
+    fine = "Sales Q3FY27 ₹31,270 60–70 Level4 AB12 SqlServer a€ 'quoted' (l) …"
+    bad = "pr€fitS lNcome sTa4emenT été"
     got = one(spark, X.garbled_words, fine, bad, "", None)
     assert [(r["words"], r["garbled"]) for r in got[:3]] == [(11, 1), (4, 4), (0, 0)]  # a€ is the one
 
 
 def test_risk_rules(spark):
-    long = "the impact of the one-time employee reward on cash flow is shown here"
+    long = "the impact of a new store layout on opening hours is shown on this page"
     rows = [(long, 1, False), (long, 2, True), (long + " and it may disrupt trade", 1, True), ("Litigation", 1, True), (long + " impact impact", 1, False)]
     frame = spark.createDataFrame(rows, "t string, n int, want boolean")
     assert all(r.got == r.want for r in frame.select("want", X.high_confidence_risk(F.col("t"), F.col("n")).alias("got")).collect())
@@ -52,7 +52,7 @@ def test_risk_rules(spark):
 
 
 def test_targets_and_guidance(spark):
-    assert one(spark, X.target_tokens, "26-28%, 26-28% and 35 - 40 MTPA, <2 tCO2e, 12 pages, 4x") == [["26-28%", "35 - 40 mtpa", "<2 tco2e", "4x"]]
+    assert one(spark, X.target_tokens, "31-33%, 31-33% and 50 - 60 MTPA, <3 tCO2e, 12 pages, 6x") == [["31-33%", "50 - 60 mtpa", "<3 tco2e", "6x"]]
     assert one(spark, X.guidance_statements, "Target of 5 now. TARGET of 5 now. guidance\nis 7. aspires to 8. targeting 9", "none") == [["Target of 5 now", "guidance is 7", "aspires to 8"], []]
 
 
