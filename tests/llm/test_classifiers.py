@@ -191,6 +191,7 @@ def test_languages(spark, sf_dir, odd_documents, no_documents):
     assert len(odd) == odd_documents.count()
     assert {r.lang_pred for r in odd if r.doc_id in (2, 3, 5)} == {"und"}
     assert all(r.lang_pred == "und" for r in ecoc.identify(odd_documents, ecoc.fit(no_documents)).collect())
+    assert ecoc.identify_languages(no_documents).count() == 0 and ecoc.identify_languages(odd_documents).count() == len(odd)
 
 
 def test_language_margins_equal_brute_force():
