@@ -2,9 +2,10 @@
 
 The nested field paths of a table, as far as any known layout uses them, are
 hashed; the fingerprint selects a declarative mapping to canonical turns
-(conversation, turn, role, text). In a table that mixes layouts each row is
-mapped by the layout whose marking columns are not null. Canonical turns are
-then written in a template
+(conversation, turn, role, text). In a table that mixes layouts each row has a
+fingerprint of its own, of the nested paths that hold a value in it, which
+selects its mapping: a layout is known by its own paths or any part of them.
+Canonical turns are then written in a template
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -18,15 +19,16 @@ meet in one task; nothing else does.
 Defined results: null texts and roles are empty; turns are ordered by turn
 (null first), then role, then text, and repeated rows are turns of their own;
 a null conversation id is one conversation; a record with one side null (a
-prompt without a response) keeps both turns; records that no layout or more than
-one layout marks are left out by canonical_turns and returned by
-unmatched_records.
+prompt without a response) keeps both turns; records of a mixed table without a
+value, with an empty list of turns, or with values of two layouts have no
+mapping: canonical_turns leaves them out and unmatched_records returns them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,32 +80,37 @@ def known_layouts(schema: T.StructType) -> list[Layout]:
     return [exact] if exact else sorted((x for x in LAYOUTS if have.issuperset(x.paths)), key=lambda x: -len(x.paths))
 
 
-def _top(path: str) -> str:
-    return path.split(".")[0].split("[")[0]
+#: Paths that any layout's rows may have beside its own.
+_NEUTRAL = {"conv_id", "turn"}
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """Append each row's fingerprint: the hash of the known paths under its columns that are not null."""
-    known = sorted({p for x in known_layouts(df.schema) for p in x.paths})
-    present = F.concat_ws("\n", *[F.when(F.col(_top(p)).isNotNull(), F.lit(p)) for p in known]) if known else F.lit("")
-    return df.withColumn("_fingerprint", F.sha2(present, 256))
+def _present(path: str) -> Column:
+    """Whether a row has a value at a nested path: in an array, in any of its elements."""
+    head, inside, field = path.partition("[].")
+    return F.coalesce(F.exists(F.col(head), lambda m: m[field].isNotNull()), F.lit(False)) if inside else F.col(head).isNotNull()
 
 
-def _marks(layouts: list[Layout]) -> dict[str, Column]:
-    """For each layout, whether it marks a row: any of its columns but conv_id and turn is not null."""
-    out = {}
+def row_mappings(layouts: list[Layout]) -> dict[str, str]:
+    """Fingerprint -> layout, for every part of each layout's own paths; a part of two layouts is neither's."""
+    owners: dict[str, set[str]] = {}
     for x in layouts:
-        tops = sorted({_top(p) for p in x.paths} - {"conv_id", "turn"})
-        out[x.name] = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in tops], F.lit(False))
-    if "turn_rows" in out:  # a turn may have neither role nor text
-        others = [m for n, m in out.items() if n != "turn_rows"]
-        out["turn_rows"] = out["turn_rows"] | (F.col("turn").isNotNull() & ~F.greatest(F.lit(False), *others))
-    return out
+        own = [p for p in x.paths if p not in _NEUTRAL]
+        for n in range(1, len(own) + 1):
+            for part in combinations(own, n):
+                owners.setdefault(fingerprint(part), set()).add(x.name)
+    return {f: next(iter(names)) for f, names in owners.items() if len(names) == 1}
 
 
-def _matched(marks: dict[str, Column]) -> Column:
-    """Whether exactly one layout marks a row."""
-    return sum((m.cast("int") for m in marks.values()), F.lit(0)) == 1
+def row_layout(layouts: list[Layout]) -> Column:
+    """The name of the layout that a row's fingerprint selects, null if none; a turn without role and text is told by its number."""
+    own = sorted({p for x in layouts for p in x.paths} - _NEUTRAL)
+    print_of_row = F.sha2(F.concat_ws("\n", *[F.when(_present(p), F.lit(p)) for p in own]).cast("binary"), 256)
+    mapping = F.create_map(*[F.lit(x) for pair in row_mappings(layouts).items() for x in pair])
+    chosen = mapping[print_of_row]
+    if any(x.name == "turn_rows" for x in layouts):
+        nothing = F.lit(fingerprint(()))
+        chosen = F.when((print_of_row == nothing) & F.col("turn").isNotNull(), F.lit("turn_rows")).otherwise(chosen)
+    return chosen
 
 
 def _layouts(df: DataFrame) -> list[Layout]:
@@ -114,9 +121,9 @@ def _layouts(df: DataFrame) -> list[Layout]:
 
 
 def unmatched_records(df: DataFrame) -> DataFrame:
-    """The rows, whole, that canonical_turns leaves out: marked by no layout, or by more than one."""
+    """The rows, whole, that canonical_turns leaves out: their fingerprint selects no mapping."""
     layouts = _layouts(df)
-    return df.where(F.lit(False)) if [x.turns for x in layouts] == [None] else df.where(~_matched(_marks(layouts)))
+    return df.where(F.lit(False)) if [x.turns for x in layouts] == [None] else df.where(row_layout(layouts).isNull())
 
 
 def canonical_turns(df: DataFrame, record: str = "conv_id") -> DataFrame:
@@ -125,17 +132,18 @@ def canonical_turns(df: DataFrame, record: str = "conv_id") -> DataFrame:
     shape = lambda x: x.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     if [x.turns for x in layouts] == [None]:
         return shape(df)
-    marks = _marks(layouts)
-    turns, conversation = None, F.col(record)
+    chosen, turns, conversation = F.col("layout of a row"), None, F.col(record)
     for layout in layouts:
+        mine = chosen == layout.name
         if layout.turns is None:
             made = F.array(F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))
             if record != "conv_id":
-                conversation = F.when(marks[layout.name], F.col("conv_id")).otherwise(F.col(record))
+                conversation = F.when(mine, F.col("conv_id")).otherwise(F.col(record))
         else:
             made = F.transform(F.expr(layout.turns), lambda m, i: F.struct(i.cast("long").alias("turn"), m["role"].cast("string").alias("role"), m["text"].cast("string").alias("text")))
-        turns = F.when(marks[layout.name], made) if turns is None else turns.when(marks[layout.name], made)
-    exploded = df.where(_matched(marks)).select(conversation.alias("conv_id"), F.explode(turns).alias("_m"))
+        turns = F.when(mine, made) if turns is None else turns.when(mine, made)
+    matched = df.withColumn("layout of a row", row_layout(layouts)).where(chosen.isNotNull())
+    exploded = matched.select(conversation.alias("conv_id"), F.explode(turns).alias("_m"))
     return shape(exploded.select("conv_id", "_m.turn", "_m.role", "_m.text"))
 
 

@@ -330,6 +330,20 @@ def test_chat_keeps_records_of_tables_that_mix_turn_rows(spark):
     assert left.columns == df.columns and sorted(r.conv_id for r in left.collect()) == [3, 4]
 
 
+def test_chat_fingerprints_of_rows_select_mappings(spark):
+    """Every part of a layout's paths selects it; parts of two layouts and nothing select none."""
+    layouts = [x for x in chat.LAYOUTS if x.name in ("prompt_response", "instruction", "messages")]
+    mappings = chat.row_mappings(layouts)
+    assert len(mappings) == 3 + 7 + 3 and mappings[chat.fingerprint(("output",))] == "instruction"
+    assert chat.fingerprint(("prompt", "output")) not in mappings and chat.fingerprint(()) not in mappings
+    kind = "conv_id long, prompt string, response string, messages array<struct<role string, content string>>"
+    rows = [(1, "p", None, None), (2, None, None, [("user", None)]), (3, None, None, []), (4, None, None, [(None, None)]), (5, "p", "r", [("user", "x")]), (6, None, None, None)]
+    df = spark.createDataFrame(rows, kind)
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(df).collect())
+    assert got == [(1, 0, "user", "p"), (1, 1, "assistant", ""), (2, 0, "user", "")]
+    assert sorted(r.conv_id for r in chat.unmatched_records(df).collect()) == [3, 4, 5, 6]
+
+
 def test_chat_keeps_records_with_one_side_null(spark):
     pairs = spark.createDataFrame([(1, "p", None), (2, None, "r"), (3, None, None)], "conv_id long, prompt string, response string")
     got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.canonical_turns(pairs).collect()}
