@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Widest table that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
+#: Most rows that reach Python at a time.
+ARROW_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,11 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).written(df, name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand whole texts to Python in small batches, which are held on both sides at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 class Scratch:
     """Tables of the shared folder that an operator needs until its result is written."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        small_batches(spark)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)

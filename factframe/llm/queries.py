@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample, tokenids, warc, webp
-from factframe.llm.common import fold
+from factframe.llm.common import bounded, fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,10 +21,16 @@ def tokenizer() -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of each page, and its place in the merged index."""
     pages = _read(spark, sf_dir, "pages")
     # the table has no capture time: one second after another, by id
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyyMMddHHmmss")
-    return warc.archive(pages.select("page_id", "url", stamp.alias("timestamp"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")))
+    rows = warc.archive(pages.select("page_id", "url", stamp.alias("timestamp"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")))
+    # one row for each range of the index
+    ranges = rows.groupBy("range").agg(F.count("*").alias("_n"))
+    before = ranges.select("range", (F.sum("_n").over(Window.orderBy("range")) - F.col("_n")).alias("_before"))
+    placed = rows.join(bounded(before), "range").withColumn("place", F.col("_before") + F.col("position"))
+    return placed.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "place")
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +99,16 @@ QUERIES = {
 
 _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|<?/?SYS>>|/?INST\])', '\1\2\\\3', 'g')"""
 
+# base32 of a digest in hex: five hex digits are four letters
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, lower(coalesce(url, '')) AS url, sha1(coalesce(html, '')) AS h, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y%m%d%H%M%S') AS timestamp FROM pages),
+k AS (SELECT *, regexp_extract(url, '^[a-z]+://(?:www\.)?([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query, max(page_id) OVER (PARTITION BY h) AS largest FROM p),
+u AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query AS url_key FROM k)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to,
+  url_key, timestamp, row_number() OVER (ORDER BY url_key, timestamp, page_id) - 1 AS place FROM u""",
     "op5_chat_formatting": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -42,7 +42,7 @@ END_ID = 0
 BLOCK = 1_024
 MOST_BITS = 16
 FILE_IDS = 8_000_000
-REMEMBERED = 1_200_000
+REMEMBERED, COUNTING = 1_200_000, 150_000
 #: Ids coded or decoded at a time, and files to a section of the running sum.
 TASK_IDS = 400_000
 SECTION = 4_096
@@ -93,15 +93,15 @@ class Memory:
 
 
 class Encoder:
-    """The library's ids for whole texts, with a bounded memory of pretokens."""
+    """The library's ids for whole texts, with a memory of at most about `remembered` pretokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.remembered = Tokenizer.from_file(path), remembered
         self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
@@ -114,7 +114,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.memory = Memory()
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint16)
 
     def _class(self, point: int) -> int:
@@ -131,8 +131,8 @@ class Encoder:
         count = np.array([*map(len, found)], np.int64)
         flat = np.array([*chain.from_iterable(found)], np.uint16)
         self.memory.add(*hashes)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-        self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, flat])
+        self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
+        self.count, self.flat = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.flat, flat])
 
     def _spans(self, points: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where pretokens begin: texts' begins, changes of class, how spaces go with what follows, and contractions."""
@@ -200,7 +200,7 @@ class Encoder:
         edges = self._spans(points, kinds, begins)
         start, end = edges[:-1], edges[1:]
         hashes = self._hashes(points, start, end)
-        if self.memory.n > REMEMBERED:
+        if self.memory.n > self.remembered:
             self.forget()
         at = self.memory.find(*hashes)
         missing = np.flatnonzero(at < 0)
@@ -210,7 +210,7 @@ class Encoder:
             whole = "".join(texts)
             self._learn([h[where] for h in hashes], [whole[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
             at[missing] = self.memory.find(*(h[missing] for h in hashes))
-        count = self.count[at]
+        count = self.count[at].astype(np.int64)
         stop = np.cumsum(count)
         index = np.repeat(self.first[at] - (stop - count), count) + np.arange(stop[-1])
         ids = self.flat[index]
@@ -256,11 +256,15 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, length: how many ids each whole text has; a null or empty text has none."""
+    """doc_id, length: how many ids each whole text has; a null or empty text has none.
+
+    Each task has an encoder of its own, of a small memory, so that nothing stays in the worker.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]):
-        for batch, texts in chunks(batches, limit=1 << 18):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in encoder(path).encode(texts)], pa.int64())], names=["doc_id", "length"])
+        mine = Encoder(path, COUNTING)
+        for batch, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in mine.encode(texts)], pa.int64())], names=["doc_id", "length"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, length long")
 
