@@ -40,15 +40,20 @@ def question_terms(questions: DataFrame, key: str, text: str = "text") -> DataFr
 PERIOD = r"(?:q[1-4])?fy\d{4}"
 
 
+def named_periods(passages: DataFrame) -> DataFrame:
+    """doc_id, start, periods: the fiscal periods that passages name, for those that name any."""
+    named = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("passage", r"\s+", "")), F.lit(PERIOD), F.lit(0)))
+    return passages.where(F.col("passage").rlike("(?i)f\\s*y")).select("doc_id", "start", named.alias("periods")).where(F.size("periods") > 0)
+
+
 def candidates(passages: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """Passages with at least two word hits or a number hit for a question, with their score and the periods that they name.
+    """Passages with at least two word hits or a number hit for a question, with their score.
 
     An inverted join on terms: a passage is split into tokens once, and only
     tokens that some question asks for are kept; hits are summed map-side.
     """
-    named = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("passage", r"\s+", "")), F.lit(PERIOD), F.lit(0)))
-    found = passages.select("doc_id", "start", F.when(F.col("passage").rlike("(?i)fy"), named).alias("periods"), F.explode(F.array_distinct(tokens(F.col("passage")))).alias("term"))
-    hits = found.join(terms, "term").groupBy(key, "doc_id", "start").agg(F.count_if(F.col("weight") == 1).alias("n_words"), F.count_if(F.col("weight") == 2).alias("n_numbers"), F.any_value("periods").alias("periods"))
+    found = passages.select("doc_id", "start", F.explode(F.array_distinct(tokens(F.col("passage")))).alias("term"))
+    hits = found.join(terms, "term").groupBy(key, "doc_id", "start").agg(F.count_if(F.col("weight") == 1).alias("n_words"), F.count_if(F.col("weight") == 2).alias("n_numbers"))
     return hits.where("n_words >= 2 or n_numbers >= 1").withColumn("score", F.col("n_words") + 2 * F.col("n_numbers"))
 
 
@@ -124,16 +129,16 @@ def plans(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
     return planned.select(key, "intent", "periods", F.when(broad, 10).when(narrow, 3).otherwise(5).alias("top_k"), rules.alias("rules"))
 
 
-def boosted(found: DataFrame, plan: DataFrame, docs: DataFrame, key: str, prefer_recent: bool = False, prefer_numeric: bool = False) -> DataFrame:
+def boosted(found: DataFrame, plan: DataFrame, docs: DataFrame, periods: DataFrame, key: str, prefer_recent: bool = False, prefer_numeric: bool = False) -> DataFrame:
     """Each term of a candidate's total: score * 100, kind of document, period named, recency and number.
 
-    docs: doc_id, kind, and recency (rank by date, newest 0) where recent ones are preferred.
+    docs: doc_id, kind, and recency (rank by date, newest 0) where recent ones are preferred. periods: of named_periods().
     """
     weights = F.lit(0)
     for name, kinds in PREFERRED.items():
         weights = F.when(F.col("intent") == name, F.coalesce(F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("kind")], F.lit(0))).otherwise(weights)
     wanted = F.transform("_wanted", F.lower)
-    both = found.join(plan.select(key, "intent", F.col("periods").alias("_wanted")), key).join(docs, "doc_id")
-    out = both.withColumn("doc_type", weights).withColumn("period", F.when(F.exists(wanted, lambda w: F.exists("periods", lambda p: p.contains(w))), 40).otherwise(0))
+    both = found.join(plan.select(key, "intent", F.col("periods").alias("_wanted")), key).join(docs, "doc_id").join(periods, ["doc_id", "start"], "left")
+    out = both.withColumn("doc_type", weights).withColumn("period", F.when(F.exists(wanted, lambda w: F.exists("periods", lambda p: p.contains(w))), 40).otherwise(0)).drop("periods")
     out = out.withColumn("recency", F.greatest(F.lit(0), 30 - 3 * F.col("recency")) if prefer_recent else F.lit(0)).withColumn("numeric", F.when(F.lit(prefer_numeric) & (F.col("n_numbers") > 0), 20).otherwise(0))
     return out.withColumn("total", F.col("score") * 100 + F.col("doc_type") + F.col("period") + F.col("recency") + F.col("numeric")).drop("_wanted", "intent")

@@ -37,7 +37,7 @@ def passage_windows(spark, sf_dir):
 
 @query(f"WITH {_WINDOWS_SQL}, {_TERMS_SQL} SELECT item_id, doc_id, start, n_words, n_numbers, n_words + 2 * n_numbers AS score FROM c")
 def passage_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).drop("periods")
+    return _candidates(spark, sf_dir)
 
 
 @query()
@@ -54,7 +54,8 @@ def _planned(spark, sf_dir, baseline: bool = False):
     plan = R.plans(table(spark, sf_dir, "benchmark"), "item_id")
     if baseline:
         plan = plan.withColumn("intent", F.lit("general")).withColumn("periods", F.array().cast("array<string>")).withColumn("top_k", F.lit(5))
-    return R.boosted(_candidates(spark, sf_dir), plan, docs, "item_id"), plan
+    periods = R.named_periods(R.windows(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return R.boosted(_candidates(spark, sf_dir), plan, docs, periods, "item_id"), plan
 
 
 @query()

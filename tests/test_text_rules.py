@@ -135,7 +135,7 @@ def test_boosts(spark):
     plan = R.plans(asked, "item_id")
     assert plan.first().asDict() == {"item_id": 7, "intent": "risk", "periods": ["Q3FY2024"], "top_k": 5, "rules": ["intent_keyword_match", "doc_type_boost_from_intent", "period_extraction", "top_k_default"]}
     found = R.candidates(R.windows(body), R.question_terms(asked, "item_id"), "item_id")
-    got = {r.doc_id: (r.doc_type, r.period, r.recency, r.numeric, r.total) for r in R.boosted(found, plan, docs, "item_id", prefer_recent=True, prefer_numeric=True).collect()}
+    got = {r.doc_id: (r.doc_type, r.period, r.recency, r.numeric, r.total) for r in R.boosted(found, plan, docs, R.named_periods(R.windows(body)), "item_id", prefer_recent=True, prefer_numeric=True).collect()}
     assert got == {1: (60, 40, 30, 20, 550), 2: (25, 0, 0, 0, 225)}  # the 3 of the quarter is a number hit
 
 
