@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, resample, tokenids, warc, webp
+from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, periodic, resample, tokenids, warc, webp
 from factframe.llm.common import bounded, fold
 
 
@@ -84,6 +84,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, a tenth of which are first made to repeat from some word on."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    # one part of the texts by a regular expression, the others as they are
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    words = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")).alias("w"))
+    at = words.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+    at = at.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)"
+    made = at.select("doc_id", F.expr(f"if(n > 0, array_join(concat(slice(w, 1, a), {tail}), ' '), text)").alias("text"))
+    found = periodic.periodic_runs(made)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return digest.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("m.s")).alias("start"),
+        F.col("m.l").alias("length"),
+        (-F.col("m.p")).alias("period"),
+        F.floor(1000 * F.col("m.l") / -F.col("m.p")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_order_minhash": op2_order_minhash,
@@ -95,6 +121,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|<?/?SYS>>|/?INST\])', '\1\2\\\3', 'g')"""
@@ -102,6 +129,10 @@ _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|<?/?SYS>
 # base32 of a digest in hex: five hex digits are four letters
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '')"
 
+# crc32 of the decimal digits of an id: a byte is taken in, eight steps follow
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": rf"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, lower(coalesce(url, '')) AS url, sha1(coalesce(html, '')) AS h, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y%m%d%H%M%S') AS timestamp FROM pages),
@@ -131,4 +162,21 @@ n AS (SELECT item_id, count(*) AS size FROM b GROUP BY item_id)
 SELECT doc_id, item_id, count(*) / any_value(size) AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) / any_value(size) >= 0.8""",
+    "op11_periodic_runs": rf"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC32} AS h FROM documents),
+c AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM c),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM d),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, first({{'s': start, 'l': length, 'p': period}} ORDER BY length DESC, start, period) AS m,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM x
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, m.s AS start, m.l AS length, m.p AS period, 1000 * m.l // m.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
