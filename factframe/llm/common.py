@@ -9,6 +9,7 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Widest table that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
@@ -107,3 +108,14 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def carried(df: DataFrame, *without: str) -> Column:
+    """The columns of the table as one struct `_row`, whatever their names, to be handed through Python tasks as it is."""
+    held = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.struct(*held, F.lit(1).alias(free_name(df, "_"))).alias("_row")
+
+
+def with_row(rows: DataFrame, rest: str) -> StructType:
+    """A schema of the struct `_row` and the columns that `rest` declares."""
+    return StructType([StructField("_row", rows.schema["_row"].dataType), *StructType.fromDDL(rest).fields])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factframe.llm.common import Scratch, free_name
+from factframe.llm.common import Scratch, carried, free_name, with_row
 
 MIN_EXP = 4
 LEAST_WORDS = 6
@@ -161,9 +161,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", min_exp: int = MIN_EXP, l
     names = {}
     for stem in ("n_words", "runs", "collapsed"):
         names[stem] = free_name(docs, stem)
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct(F.lit(1).alias("_"))
-    rows = docs.select(kept.alias("_row"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_text"))
-    shape = rows.select("_row").schema
+    rows = docs.select(carried(docs), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_text"))
     size = F.octet_length("_text")
 
     def whole(batches: Iterator[pa.RecordBatch]):
@@ -201,7 +199,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", min_exp: int = MIN_EXP, l
             joined = [collapse(w.split(), r) for w, r in zip(batch.column(1).to_pylist(), runs, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(joined, pa.binary())], names=["_row", "n_words", "runs", "collapsed"])
 
-    result = f"_row {shape['_row'].dataType.simpleString()}, n_words long, runs {RUNS}, collapsed binary"
+    result = with_row(rows, f"n_words long, runs {RUNS}, collapsed binary")
     short = rows.where(size <= WHOLE_BYTES).mapInArrow(whole, result)
     # few rows: each gets a key of its own, which stays as it is once written
     long = scratch.written(rows.where(size > WHOLE_BYTES).withColumn("_key", F.expr("uuid()")), "long-texts")
@@ -213,4 +211,4 @@ def periodic_runs(docs: DataFrame, text: str = "text", min_exp: int = MIN_EXP, l
     held = F.when(F.col("start").isNotNull(), F.struct("start", "length", "period"))
     together = each.groupBy("_key", "n_words").agg(F.sort_array(F.collect_list(held)).alias("runs"))
     rest = long.join(together, "_key").select("_row", "_text", "n_words", "runs").mapInArrow(finish, result)
-    return short.unionByName(rest).select("_row.*", F.col("n_words").alias(names["n_words"]), F.col("runs").alias(names["runs"]), F.col("collapsed").cast("string").alias(names["collapsed"]))
+    return short.unionByName(rest).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.col("n_words").alias(names["n_words"]), F.col("runs").alias(names["runs"]), F.col("collapsed").cast("string").alias(names["collapsed"]))

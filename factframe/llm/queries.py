@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factframe.llm import chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, periodic, resample, tokenids, warc, webp
+from factframe.llm import alignment, chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, periodic, resample, tokenids, warc, webp
 from factframe.llm.common import bounded, fold
 
 
@@ -110,6 +110,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.Alignment(docs, tokenizer(), public_tokenizers.path("piece_bpe_32k.model")).documents()
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_order_minhash": op2_order_minhash,
@@ -122,6 +129,7 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|<?/?SYS>>|/?INST\])', '\1\2\\\3', 'g')"""

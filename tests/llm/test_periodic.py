@@ -69,7 +69,7 @@ def test_long_texts_are_cut_into_ranges_of_shifts(spark, monkeypatch):
 
 
 def test_odd_tables(spark, odd_documents, no_documents):
-    taken = odd_documents.withColumnRenamed("node", "runs")
+    taken = odd_documents.withColumnRenamed("node", "runs").withColumnRenamed("n", "a.b")
     got = periodic.periodic_runs(taken)
     assert got.columns == [*taken.columns, "n_words", "runs_", "collapsed"]
     rows = got.collect()
