@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factframe.llm import alignment, chat, decontaminate, ecoc, kneser_ney, order_minhash, packing, periodic, resample, tokenids, warc, webp
+from factframe.llm import alignment, chat, decontaminate, ecoc, kneser_ney, mixing, order_minhash, packing, periodic, resample, tokenids, warc, webp
 from factframe.llm.common import bounded, fold
 
 
@@ -117,6 +117,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.Alignment(docs, tokenizer(), public_tokenizers.path("piece_bpe_32k.model")).documents()
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_order_minhash": op2_order_minhash,
@@ -130,6 +135,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|<?/?SYS>>|/?INST\])', '\1\2\\\3', 'g')"""
