@@ -21,7 +21,13 @@ class Folder:
         name = uuid.uuid4().hex + suffix
         return name, self.system.open_output_stream(f"{self.base}/{name}", compression=None)
 
+    def size(self, name: str) -> int:
+        return self._source(name).size()
+
     def read(self, name: str, offset: int, length: int) -> bytes:
+        return self._source(name).read_at(length, offset)
+
+    def _source(self, name: str):
         source = self._open.get(name)
         if source is None:
             if len(self._open) >= 8:
@@ -29,4 +35,4 @@ class Folder:
             source = self._open[name] = self.system.open_input_file(f"{self.base}/{name}")
         else:
             self._open.move_to_end(name)
-        return source.read_at(length, offset)
+        return source

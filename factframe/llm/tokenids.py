@@ -2,27 +2,34 @@
 
 Tokenising runs once: ids are stored as compressed columns in the shared
 folder, each task with its counts beside them, and one code over all ids (at
-most MOST_BITS bits a code) is agreed. Documents are dealt by ranges of their
-ids and sorted, still compressed; each range becomes a file of independent
-blocks of BLOCK ids. A block begins at a byte and its bit offset is its checkpoint, so any block can be
-decoded alone. Decoding looks MOST_BITS bits up in one table and advances all
-blocks of a task together.
+most MOST_BITS bits a code, optimal under that limit) is agreed. Documents are
+dealt by ranges of their ids and sorted, still compressed; each range becomes a
+file of independent blocks of BLOCK ids. A block begins at a byte and its bit
+offset is its checkpoint, so any block can be decoded alone. Decoding looks
+MOST_BITS bits up in one table and advances all blocks of a task together.
+
+A file can be read with nothing but itself: MAGIC, the code's lengths, the
+blocks, then a table of its documents (id, number of ids, place, checkpoints)
+whose place is the file's last eight bytes. A folder lists its files, in order,
+in `manifest`; files of retried tasks that it doesn't name are not read.
 
 Pretokens: text is split by the byte-level tokenizer's published pattern with
 array operations over code points; each distinct pretoken is encoded by the
-tokenizers library once per worker and remembered by 128 bits of two hashes of
-its code points. Classes of characters are asked of the library's own splitting.
-Texts with the content of an added token go to the library as a whole; results
-are those of its encode(text, add_special_tokens=False) either way.
+tokenizers library once per worker. Remembered ones are found by two hashes and
+then compared code point by code point; a text in which one differs goes to the
+library as a whole. Classes of characters are asked of the library's own
+splitting. Texts with the content of an added token go to the library as a whole
+too; results are those of its encode(text, add_special_tokens=False) either way.
 
 Defined results: a null text is empty; every document ends with the end id; rows
 that repeat an id are adjacent documents in an order fixed by their ids' bytes;
-null ids come first; an empty table writes no file.
+null ids come first; an empty table writes no file. Ids are below 65,536: a
+tokenizer with more raises an error.
 """
 
 from __future__ import annotations
 
-import heapq
+import io
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,10 +38,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factframe.llm.common import bounded, fresh_path, written
+from factframe.llm.common import fresh_path, written
 from factframe.llm.files import Folder
 from factframe.llm.hashing import chunks, mix
 
@@ -107,6 +114,8 @@ class Encoder:
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of 16 bits can't hold a vocabulary of more than 65,536")
         self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
         self.forget()
@@ -116,6 +125,8 @@ class Encoder:
         self.memory = Memory()
         self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint16)
+        # code points of those remembered, one after another
+        self.points, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _class(self, point: int) -> int:
         """The pattern's class of a code point, as the library's own splitting shows it: does it join a letter, a digit, a mark?"""
@@ -133,6 +144,10 @@ class Encoder:
         self.memory.add(*hashes)
         self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
         self.count, self.flat = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.flat, flat])
+        size = np.array([*map(len, words)], np.int64)
+        self.at = np.concatenate([self.at, len(self.points) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.points = np.concatenate([self.points, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)])
 
     def _spans(self, points: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where pretokens begin: texts' begins, changes of class, how spaces go with what follows, and contractions."""
@@ -203,19 +218,35 @@ class Encoder:
         if self.memory.n > self.remembered:
             self.forget()
         at = self.memory.find(*hashes)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
+        whole = None
+        while len(missing := np.flatnonzero(at < 0)):
             _, where = np.unique(hashes[0][missing] ^ (hashes[1][missing] << np.uint64(1)), return_index=True)
             where = missing[where]
-            whole = "".join(texts)
+            whole = whole or "".join(texts)
             self._learn([h[where] for h in hashes], [whole[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
             at[missing] = self.memory.find(*(h[missing] for h in hashes))
+        wrong = self._differ(points, start, end, at)
         count = self.count[at].astype(np.int64)
         stop = np.cumsum(count)
         index = np.repeat(self.first[at] - (stop - count), count) + np.arange(stop[-1])
         ids = self.flat[index]
         cuts = np.concatenate(([0], stop))[np.append(np.searchsorted(start, begins), len(start))]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i in np.unique(np.searchsorted(begins, start[wrong], side="right") - 1).tolist():
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint16)
+        return out
+
+    def _differ(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Spans that are not what they were found as: their hashes agree, their code points don't."""
+        size = end - start
+        short = self.size[at] != size
+        if short.any():
+            size = np.where(short, 0, size)
+            same = np.repeat(~short, end - start)
+            points = points[same]
+        place = np.cumsum(size) - size
+        other = np.flatnonzero(self.points[np.repeat(self.at[at] - place, size) + np.arange(len(points))] != points)
+        return np.union1d(np.flatnonzero(short), np.searchsorted(place, other, side="right") - 1) if len(other) else np.flatnonzero(short)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -284,40 +315,31 @@ def global_counts(tokens: DataFrame) -> np.ndarray:
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """Optimal code lengths of at most `most` bits: Huffman, then lengths are evened by the Kraft sum where the limit bites."""
+    """Optimal code lengths of at most `most` bits, by package-merge: 2n - 2 of the lightest items over `most` levels of coins."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
-    if len(used) <= 1:
+    n = len(used)
+    if n <= 1:
         lengths[used] = 1
         return lengths
-    parent: dict[int, int] = {}
-    heap = [(int(counts[i]), k) for k, i in enumerate(used)]
-    heapq.heapify(heap)
-    fresh = len(used)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[1]] = parent[b[1]] = fresh
-        heapq.heappush(heap, (a[0] + b[0], fresh))
-        fresh += 1
-    depth = {fresh - 1: 0}
-    for node in range(fresh - 2, -1, -1):
-        depth[node] = depth[parent[node]] + 1
-    found = np.minimum([depth[k] for k in range(len(used))], most)
-    # Kraft sum in units of 2**-most: lengthen the rarest short codes, then shorten the commonest where there is room
-    room = (1 << most) - int((1 << (most - found)).sum())
-    order = np.argsort(counts[used], kind="stable")
-    for length in range(most - 1, 0, -1):
-        for k in order:
-            if room >= 0:
-                break
-            if found[k] == length:
-                found[k] += 1
-                room += 1 << (most - length - 1)
-    for k in order[::-1]:
-        while found[k] > 1 and room >= 1 << (most - found[k]):
-            room -= 1 << (most - found[k])
-            found[k] -= 1
-    lengths[used] = found
+    if n > 1 << most:
+        raise ValueError("more ids than codes")
+    order = used[np.argsort(counts[used], kind="stable")]
+    weights = counts[order].astype(np.int64)
+    level, leaves = weights, []
+    for _ in range(most - 1):
+        packages = level[: len(level) // 2 * 2].reshape(-1, 2).sum(1)
+        both = np.concatenate([weights, packages])
+        rank = np.argsort(both, kind="stable")
+        level = both[rank]
+        leaves.append(rank < n)
+    take, found = 2 * n - 2, np.zeros(n, np.uint8)
+    for leaf in leaves[::-1]:
+        own = int(leaf[:take].sum())
+        found[:own] += 1
+        take = 2 * (take - own)
+    found[:take] += 1
+    lengths[order] = found
     return lengths
 
 
@@ -391,8 +413,40 @@ def decode_blocks(data: bytes, begin: np.ndarray, count: np.ndarray, table: tupl
     return out[rows, np.repeat(place, count)]
 
 
-def write_files(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
-    """A file for each range of ids, in order; returns a row per document: part, ids of the part before it, file, byte offset, size, ids, and its block checkpoints.
+MAGIC = b"IDS2"
+_TABLE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("checkpoints", pa.list_(pa.int64()))])
+
+
+def file_head(lengths: np.ndarray) -> bytes:
+    """MAGIC, the size of what follows, the compressed code lengths of all ids."""
+    packed = zstandard.ZstdCompressor(level=3).compress(lengths.tobytes())
+    return MAGIC + len(packed).to_bytes(4, "little") + packed
+
+
+def file_tail(batches: list[pa.RecordBatch], at: int) -> bytes:
+    """The table of documents, compressed, and the place `at` where it begins."""
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, _TABLE) as stream:
+        for batch in batches:
+            stream.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue()) + at.to_bytes(8, "little")
+
+
+def read_head(source: Folder, name: str) -> np.ndarray:
+    head = source.read(name, 0, 8)
+    if head[:4] != MAGIC:
+        raise ValueError(f"{name} is no file of ids")
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(source.read(name, 8, int.from_bytes(head[4:], "little"))), np.uint8)
+
+
+def read_tail(source: Folder, name: str) -> pa.Table:
+    size = source.size(name)
+    at = int.from_bytes(source.read(name, size - 8, 8), "little")
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(source.read(name, at, size - 8 - at))).read_all()
+
+
+def write_files(tokens: DataFrame, lengths: np.ndarray, folder: str) -> None:
+    """A file for each range of ids, in order, and the folder's manifest: part, file, ids and documents of it.
 
     Rows are dealt by ranges of (id, hash of the ids), so rows that repeat an id
     or have none spread over files too.
@@ -400,12 +454,10 @@ def write_files(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFram
     rows = tokens.where("counts is null").select("doc_id", "ids", "n", F.xxhash64("ids").alias("_h"))
     files = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // FILE_IDS))
     shared = tokens.sparkSession.sparkContext.broadcast((canonical_codes(lengths), lengths))
-    shape = "part int, before long, doc_id long, file string, offset long, size long, n long, checkpoints array<long>"
-    names = [c.split()[0] for c in shape.split(", ")]
 
     def write(batches: Iterator[pa.RecordBatch]):
         codes, lengths = shared.value
-        part, out, name, at, before = TaskContext.get().partitionId(), None, "", 0, 0
+        out, name, at, ids, table = None, "", 0, 0, []
         for batch in batches:
             sizes, begin = batch.column(2).to_numpy(), 0
             while begin < len(batch):
@@ -414,57 +466,97 @@ def write_files(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFram
                 packed = encode_blocks(documents, codes, lengths)
                 if out is None:
                     name, out = Folder(folder).create(".ids")
+                    head = file_head(lengths)
+                    out.write(head)
+                    at = len(head)
                 out.write(b"".join(p[0] for p in packed))
-                held, n = np.array([len(p[0]) for p in packed], np.int64), sizes[begin:end]
-                ends, ids = np.cumsum(held), np.cumsum(n)
-                columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(before + ids - n), batch.column(0).slice(begin, end - begin), pa.array([name] * len(n)), pa.array(at + ends - held), pa.array(held), pa.array(n), pa.array([(p[1] * 8).tolist() for p in packed], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                at, before, begin = at + int(ends[-1]), before + int(ids[-1]), end
+                held = np.array([len(p[0]) for p in packed], np.int64)
+                ends = np.cumsum(held)
+                n = batch.column(2).slice(begin, end - begin)
+                columns = [batch.column(0).slice(begin, end - begin), n, pa.array(at + ends - held), pa.array(held), pa.array([(p[1] * 8).tolist() for p in packed], pa.list_(pa.int64()))]
+                table.append(pa.RecordBatch.from_arrays(columns, schema=_TABLE))
+                at, ids, begin = at + int(ends[-1]), ids + int(sizes[begin:end].sum()), end
         if out is not None:
+            out.write(file_tail(table, at))
             out.close()
+            part = [[TaskContext.get().partitionId()], [name], [ids], [sum(map(len, table))]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(part, [pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], names=["part", "file", "n", "documents"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("ids")]
     dealt = rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
-    return written(dealt.select("doc_id", "ids", "n").mapInArrow(write, shape), "id-files")
+    dealt.select("doc_id", "ids", "n").mapInArrow(write, "part int, file string, n long, documents long").write.parquet(f"{folder}/manifest")
+
+
+def decoded(spark: SparkSession, folder: str) -> Iterator:
+    """The manifest of a folder, and a function that yields (table of documents, ids of all of them) of one of its files, some documents at a time."""
+    manifest = spark.read.schema("part int, file string, n long, documents long").parquet(f"{folder}/manifest")
+
+    def read(source: Folder, name: str):
+        table, rows = decoding_table(read_head(source, name)), read_tail(source, name)
+        sizes, begin = rows.column("n").to_numpy(), 0
+        while begin < len(rows):
+            end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), TASK_IDS, side="right")))
+            some = rows.slice(begin, end - begin)
+            offset, size = some.column("offset").to_numpy(), some.column("size").to_numpy()
+            data = source.read(name, int(offset[0]), int(offset[-1] + size[-1] - offset[0]))  # documents are adjacent
+            points = some.column("checkpoints").combine_chunks()
+            blocks = np.diff(points.offsets.to_numpy())
+            n = np.repeat(sizes[begin:end], blocks)
+            order = np.arange(len(n)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            bits = points.flatten().to_numpy() + 8 * np.repeat(offset - offset[0], blocks)
+            yield some, decode_blocks(data, bits, np.minimum(BLOCK, n - BLOCK * order), table)
+            begin = end
+
+    return manifest, read
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files of the folder alone."""
+    manifest, read = decoded(spark, folder)
+    # ids of earlier files: one row a file, summed up within sections of files and then over the sections
+    section = F.floor(F.col("part") / SECTION)
+    parts = manifest.withColumn("_section", section)
+    sections = parts.groupBy("_section").agg(F.sum("n").alias("_all"))
+    sections = sections.select("_section", (F.sum("_all").over(Window.orderBy("_section")) - F.col("_all")).alias("_outer"))
+    inner = F.sum("n").over(Window.partitionBy("_section").orderBy("part")) - F.col("n")
+    placed = parts.withColumn("_inner", inner).join(sections, "_section").select("part", "file", (F.col("_outer") + F.col("_inner")).alias("before"))
+    files = max(1, manifest.count())
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        source = Folder(folder)
+        for batch in batches:
+            for name, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for some, ids in read(source, name):
+                    raw, n = ids.astype("<u4"), some.column("n").to_numpy()
+                    cut = np.append(0, np.cumsum(n))
+                    sums = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id").combine_chunks(), pa.array(before + cut[:-1]), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    before += int(cut[-1])
+
+    dealt = placed.repartitionByRange(files, "part").select("part", "file", "before")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_files(manifest: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
-    shared = manifest.sparkSession.sparkContext.broadcast(decoding_table(lengths))
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, ids of every document."""
+    manifest, read = decoded(spark, folder)
 
-    def read(batches: Iterator[pa.RecordBatch]):
+    def run(batches: Iterator[pa.RecordBatch]):
         source = Folder(folder)
         for batch in batches:
-            rows, sizes, i = batch.to_pylist(), batch.column(batch.schema.get_field_index("n")).to_numpy(), 0
-            while i < len(rows):
-                some = rows[i : i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), TASK_IDS, side="right")))]
-                i += len(some)
-                data, begin, count, base = [], [], [], 0
-                for r in some:
-                    data.append(source.read(r["file"], r["offset"], r["size"]))
-                    begin += [base * 8 + c for c in r["checkpoints"]]
-                    count += [min(BLOCK, r["n"] - BLOCK * k) for k in range(len(r["checkpoints"]))]
-                    base += r["size"]
-                ids = decode_blocks(b"".join(data), np.array(begin, np.int64), np.array(count, np.int64), shared.value).astype("<u4")
-                cut = np.cumsum([0] + [r["n"] for r in some])
-                out = [(r["doc_id"], r["part"], r["before"], r["n"], zlib.crc32(ids[a:b].tobytes())) for r, a, b in zip(some, cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
-
-    found = manifest.mapInArrow(read, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
-    # ids of earlier files: one row a file, summed up within sections of files and then over the sections
-    section = F.floor(F.col("part") / SECTION)
-    parts = manifest.groupBy("part").agg(F.sum("n").alias("_n")).withColumn("_section", section)
-    sections = parts.groupBy("_section").agg(F.sum("_n").alias("_all"))
-    sections = sections.select("_section", (F.sum("_all").over(Window.orderBy("_section")) - F.col("_all")).alias("_outer"))
-    inner = F.sum("_n").over(Window.partitionBy("_section").orderBy("part")) - F.col("_n")
-    earlier = parts.withColumn("_inner", inner).join(sections, "_section").select("part", (F.col("_outer") + F.col("_inner")).alias("_earlier"))
-    return found.join(bounded(earlier), "part").select("doc_id", (F.col("_earlier") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+            for name in batch.column(0).to_pylist():
+                for some, ids in read(source, name):
+                    offsets = np.append(0, np.cumsum(some.column("n").to_numpy()))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id").combine_chunks(), lists], names=["doc_id", "ids"])
+
+    return manifest.repartitionByRange(max(1, manifest.count()), "part").select("file").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def encode_corpus(docs: DataFrame, path: str) -> DataFrame:
     """Tokenise, count, write and read back."""
     spark = docs.sparkSession
     tokens = written(tokenize(docs, path), "tokens")
-    lengths = code_lengths(global_counts(tokens))
     folder = fresh_path(spark, "ids")
-    return read_files(write_files(tokens, lengths, folder), lengths, folder)
+    write_files(tokens, code_lengths(global_counts(tokens)), folder)
+    return read_files(spark, folder)

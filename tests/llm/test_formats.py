@@ -441,3 +441,66 @@ def test_token_files(spark, path, fresh, odd_documents, no_documents, monkeypatc
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert tokenids.encode_corpus(no_documents, path).count() == 0
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_texts_whose_hashes_agree_keep_their_ids(path, fresh, n):
+    a, b = thue_morse(n)
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in (a, b, "and " + b + " so")]
+    for texts, ids in (([a, b, "and " + b + " so"], want), ([b, a], want[1::-1])):
+        e = tokenids.Encoder(path)
+        assert [x.tolist() for x in e.encode(texts)] == ids
+        assert [x.tolist() for t in texts for x in e.encode([t])] == ids
+
+
+def test_equal_hashes_of_all_pretokens_still_give_the_library_s_ids(path, fresh, monkeypatch):
+    monkeypatch.setattr(tokenids.Encoder, "_hashes", lambda self, points, start, end: [(end - start).astype(np.uint64) << np.uint64(60)] * 2)
+    texts = ["the cat sat on a mat", "one two six ten", None, "it's 12 o'clock"]
+    assert [x.tolist() for x in tokenids.Encoder(path).encode(texts)] == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def least_cost(weights, most):
+    """Least total length of any prefix code of at most `most` bits: all ways to fill the leaves, by depth."""
+    from functools import cache
+
+    ordered = sorted(weights, reverse=True)
+
+    @cache
+    def best(i, depth, free):
+        # `free` nodes are open at this depth; commonest ids take the shortest codes
+        if i == len(ordered):
+            return 0
+        if free <= 0 or depth > most:
+            return float("inf")
+        options = [best(i, depth + 1, 2 * free)] if free < len(ordered) else []
+        if free:
+            options.append(ordered[i] * depth + best(i + 1, depth, free - 1))
+        return min(options, default=float("inf"))
+
+    return best(0, 1, 2)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 200), min_size=2, max_size=8))
+def test_limited_codes_are_optimal(counts):
+    lengths = tokenids.code_lengths(np.array(counts), 4).astype(int)
+    assert int((lengths * counts).sum()) == least_cost(counts, 4)
+
+
+def test_a_folder_is_read_with_nothing_else(spark, path, fresh, odd_documents, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    tokens = tokenids.tokenize(odd_documents, path).cache()
+    tokenids.write_files(tokens, tokenids.code_lengths(tokenids.global_counts(tokens)), folder)
+    tokens.unpersist()
+    stray = tmp_path / "ids" / "of-a-retried-task.ids"
+    stray.write_bytes(b"half a file")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["ids"]) for r in tokenids.read_ids(spark.newSession(), folder).collect())
+    want = sorted((-1 if r.doc_id is None else r.doc_id, [*fresh.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in odd_documents.collect())
+    assert got == want
