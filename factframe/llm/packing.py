@@ -7,8 +7,11 @@ takes time in proportion to the number of different lengths. Only the histogram
 reaches the driver, one row for each different length.
 
 Rows are numbered inside a bucket without gathering it in one task: row numbers
-within (bucket, shard), plus the counts of the shards before. Shards are drawn
-row by row when lengths are written, so repeated rows spread as others do.
+within (bucket, shard), plus the counts of the shards before. Shards are drawn by
+a hash of id and length, so the same rows are packed alike however they are
+dealt. Rows that agree in both are interchangeable: they are counted first, a
+group takes as many places as it has rows, and its rows are made again from the
+count.
 
 Defined results: a null or empty text has length 0; a text longer than the
 budget is a batch of its own; null ids and repeated rows are packed like any
@@ -84,8 +87,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: Column | None =
         sized = docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("length"))
     else:
         sized = token_counts(docs, tokenizer)
-    sized = written(sized.withColumn("_draw", F.xxhash64("doc_id", "length", F.monotonically_increasing_id())), "lengths")
-    histogram = sized.groupBy(F.col("length").alias("v")).count().collect()
+    # rows that repeat id and length are one row with their number
+    sized = written(sized.groupBy("doc_id", "length").agg(F.count("*").alias("_rows")).withColumn("_draw", F.xxhash64("doc_id", "length")), "lengths")
+    histogram = sized.groupBy(F.col("length").alias("v")).agg(F.sum("_rows")).collect()
     values, counts = np.array([r[0] for r in histogram], dtype=np.int64), np.array([r[1] for r in histogram], dtype=np.int64)
     bounds = optimal_boundaries(values, counts, buckets) or [0]
     room = [max(1, token_budget // max(1, b)) for b in bounds]
@@ -97,14 +101,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: Column | None =
     bucket = sum((F.lit(b) < F.col("length")).cast("int") for b in bounds)
     placed = sized.withColumn("bucket", bucket).withColumn("_shard", F.pmod("_draw", F.lit(shards)))
     within = Window.partitionBy("bucket", "_shard")
-    held = placed.groupBy("bucket", "_shard").count()
-    before = held.select("bucket", "_shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("count")).alias("_before"))
-    numbered = placed.withColumn("_row", F.row_number().over(within.orderBy("_draw", "doc_id", "length"))).join(bounded(before), ["bucket", "_shard"])
+    held = placed.groupBy("bucket", "_shard").agg(F.sum("_rows").alias("_held"))
+    before = held.select("bucket", "_shard", (F.sum("_held").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("_held")).alias("_before"))
+    first = F.sum("_rows").over(within.orderBy("_draw", "doc_id", "length")) - F.col("_rows")
+    numbered = placed.withColumn("_first", first).join(bounded(before), ["bucket", "_shard"])
+    # a row for each that was counted, some thousands at a time
+    some, zero = F.lit(SHARD_ROWS).cast("long"), F.lit(0).cast("long")
+    numbered = numbered.withColumn("_part", F.explode(F.sequence(zero, F.floor((F.col("_rows") - 1) / some))))
+    numbered = numbered.withColumn("_each", F.explode(F.sequence(zero, F.least(some, F.col("_rows") - F.col("_part") * some) - 1)))
+    numbered = numbered.withColumn("_row", F.col("_first") + F.col("_part") * some + F.col("_each"))
 
     def by_bucket(numbers) -> Column:
         return F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("bucket") + 1).cast("long")
 
-    place = F.col("_before") + F.col("_row") - 1
+    place = F.col("_before") + F.col("_row")
     return numbered.select(
         "doc_id",
         "length",

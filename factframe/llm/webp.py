@@ -667,8 +667,7 @@ def with_palette(pixels: np.ndarray, width: int, height: int) -> bytes:
             put_code(out, flat) if channels > k else put_one(out, 0)
         put_one(out, 255)
         put_one(out, 0)
-        for value in parts.ravel().tolist():
-            out.put(int(codes[value]), 8)
+        out.put(int.from_bytes(codes[parts.ravel()].astype(np.uint8).tobytes(), "little"), 8 * parts.size)  # eight bits each
 
     deltas = np.diff(colours.view(np.uint8).reshape(-1, 4)[:, [1, 2, 0]], axis=0, prepend=np.zeros((1, 3), np.uint8))  # green, red, blue; alpha is held below
     # alpha of the first colour is 255 and does not change, so its differences are 255 and then 0: the palette's first entry is spelled by itself
@@ -736,7 +735,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         part = (spread >> np.uint64(8 * k)) & np.uint64(255)
         some = np.flatnonzero(part) if k == 3 else slice(None)
         out += np.bincount(byte[some] + k, weights=part[some], minlength=len(out)).astype(np.uint8)
-    files, few = [], [len(p) <= 1 << 14 and len(np.unique(pixels[a:b])) <= 16 for p, a, b in zip(payloads, begin, end, strict=True)]
+    files, few = [], [len(np.unique(pixels[a:b])) <= 16 for a, b in zip(begin, end, strict=True)]
     for i, (b, n, (w, h)) in enumerate(zip(first.tolist(), stream.tolist(), shapes, strict=True)):
         if few[i]:
             files.append(with_palette(pixels[begin[i] : end[i]], w, h))
@@ -786,15 +785,15 @@ def read_pixels(stored: DataFrame) -> DataFrame:
 
 
 def read_features(stored: DataFrame) -> DataFrame:
-    """What the pixel arrays of every stored value hold: sizes, digests and a feature string (size of the image, blanks and the commonest samples' share).
+    """What the pixel arrays of every stored value hold: sizes, digests and a feature string (the image's width and height, bytes of text before its blanks, the payload's crc32).
 
     The payload is the samples up to the padded size of the text.
     """
     size = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / PAD)) * PAD
     payload = F.substr(F.col("samples"), F.lit(1), size.cast("int"))
     rows = read_pixels(stored).withColumn("payload", payload)
-    blanks = F.length(F.regexp_replace(F.hex("payload"), "(?:20)+$", "")) / 2  # without the blanks at its end
-    feature = F.concat_ws(" ", F.concat_ws("x", "width", "height"), F.lit("text"), blanks.cast("long").cast("string"), F.lit("crc"), F.crc32("payload").cast("string"))
+    text = F.octet_length(F.rtrim(F.col("payload").cast("string")))  # bytes before the blanks at its end
+    feature = F.concat_ws(" ", F.concat_ws("x", "width", "height"), F.lit("text"), text.cast("string"), F.lit("crc"), F.crc32("payload").cast("string"))
     return rows.select(
         "doc_id",
         "n_bytes",

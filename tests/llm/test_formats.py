@@ -504,3 +504,23 @@ def test_a_folder_is_read_with_nothing_else(spark, path, fresh, odd_documents, t
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["ids"]) for r in tokenids.read_ids(spark.newSession(), folder).collect())
     want = sorted((-1 if r.doc_id is None else r.doc_id, [*fresh.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in odd_documents.collect())
     assert got == want
+
+
+def test_long_runs_of_blanks_are_quick(spark):
+    import time
+
+    rows = spark.createDataFrame([(1, "a" + " " * 80_000 + "b"), (2, "a" + " " * 100), (3, None)], "doc_id long, text string")
+    stored = webp.store(rows)
+    stored.count()
+    begin = time.time()
+    features = {r["doc_id"]: r["feature"].split(" crc")[0] for r in webp.read_features(stored).collect()}
+    assert time.time() - begin < 20  # with a worker's start
+    assert (features[1].split()[-1], features[2].split()[-1], features[3].split()[-1]) == ("80002", "1", "0")
+
+
+def test_a_palette_at_any_size():
+    payload = b"abcab" * 19_200
+    (large,) = webp.encode([payload])
+    assert len(large) < len(payload) / 3
+    pixels = webp.decode([large])[0]
+    assert np.ascontiguousarray(pixels.view(np.uint8).reshape(*pixels.shape, 4)[:, :, 2::-1]).tobytes()[: len(payload)] == payload

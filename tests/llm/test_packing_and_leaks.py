@@ -76,6 +76,39 @@ def test_lengths_in_tokens_equal_the_library(odd_documents):
     assert sorted(((r.doc_id or -1), r.length) for r in packing.pack(odd_documents, path).collect()) == want
 
 
+def test_packing_is_the_same_under_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 7)
+    rows = [(i % 90, "w " * (1 + i % 40)) for i in range(900)] + [(None, "w w w")] * 40 + [(5, "w w w")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(tuple, packing.pack(docs.repartition(n), token_budget=100).collect()), key=repr) for n in (1, 6))
+    assert one == two and len(one) == len(rows)
+
+
+def plain_packing(rows, buckets, budget):
+    """(doc_id, length) by bucket, in the order of the operator's draw, cut into batches."""
+    lengths = sorted({n for _, n, _ in rows})
+    counts = [sum(n == x for _, n, _ in rows) for x in lengths]
+    bounds = packing.optimal_boundaries(np.array(lengths), np.array(counts), buckets)
+    out, batch = [], 0
+    for k, bound in enumerate(bounds):
+        inside = sorted(((draw % 64, draw, i, n) for i, n, draw in rows if (bounds[k - 1] if k else -1) < n <= bound), key=lambda r: r)
+        room = max(1, budget // max(1, bound))
+        for j, (_, _, i, n) in enumerate(inside):
+            out.append((i, n, k, bound, batch + j // room, j % room, bound - n))
+        batch += -(-len(inside) // room)
+    return sorted(out)
+
+
+def test_whole_packing_against_a_plain_loop(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from factframe.llm.queries import op10_packing
+
+    got = sorted(map(tuple, op10_packing(spark, sf_dir).collect()))
+    rows = spark.createDataFrame([r[:2] for r in got], "doc_id long, length long").withColumn("draw", F.xxhash64("doc_id", "length")).collect()
+    assert got == plain_packing([tuple(r) for r in rows], packing.BUCKETS, packing.TOKEN_BUDGET)
+
+
 def test_packing_odd_rows(odd_documents, no_documents):
     rows = packing.pack(odd_documents).collect()
     assert len(rows) == odd_documents.count() and sorted(r.length for r in rows)[:3] == [0, 0, 1]
