@@ -5,13 +5,16 @@ BANDS hash functions takes the LENGTH labelled shingles of least hash and keeps
 them in text order; texts with an equal ordered tuple meet in a bucket. Unlike
 plain MinHash this is sensitive to the order of the text, hence to edit
 similarity. Every two texts that meet in a bucket, and whose sizes allow it,
-are a candidate pair; a pair of shingle similarity 0.8 in equal order meets in
-no bucket with probability (1 - 0.8**4)**32, below 1e-7.
+are a candidate pair. Two texts in which every tenth word differs share a third
+of their shingles and meet with probability 1 - (1 - 1/9)**32, 0.98; with every
+twentieth, 0.9999.
 
-Candidates are verified: at least SIMILARITY of the labelled shingles are shared
-(Jaccard), and a banded alignment of the words, a bit-parallel longest common
-subsequence within the band that this similarity allows, covers at least
-SIMILARITY of both texts. Verified links are closed into classes.
+A candidate is verified by a banded alignment of the words alone: a bit-parallel
+longest common subsequence, within the band that this similarity allows, whose
+words are at least SIMILARITY of the words of both texts together. Words that
+both texts hold at all, in any order, bound what can align, so pairs that share
+too few are not aligned; no pair that would be accepted is lost by that. Verified
+links are closed into classes.
 
 Exact copies are collapsed first. Then one member of each bucket, the one that
 meets most others, is verified against the rest and the classes are closed:
@@ -42,9 +45,11 @@ from factframe.llm.common import Scratch, bounded, written
 from factframe.llm.hashing import Tokens, chunks, mix, pair, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, LENGTH = 32, 4
-#: Shingles in a block of a bucket.
-BLOCK_SHINGLES = 400_000
+BANDS, LENGTH = 32, 2
+#: The shorter of two similar texts has at least this share of the longer one's words.
+SHORTER = SIMILARITY / (2 - SIMILARITY)
+#: Words in a block of a bucket.
+BLOCK_WORDS = 400_000
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -115,12 +120,11 @@ def aligned(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Both at least: Jaccard similarity of labelled shingles, and aligned words of both texts."""
+    """The aligned words are at least that share of both texts together; they are no more than the words both hold."""
     if not len(x) or not len(y):
         return False
-    a, b = labelled(x), labelled(y)
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= least * (len(a) + len(b) - shared) and aligned(x, y, least)
+    shared = len(np.intersect1d(labelled(x, 1), labelled(y, 1), assume_unique=True))
+    return 2 * shared >= least * (len(x) + len(y)) and aligned(x, y, least)
 
 
 def text_key(text: str = "text") -> Column:
@@ -129,7 +133,7 @@ def text_key(text: str = "text") -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """node (text key), n (shingles), tuples (one hash for each band): one row for each distinct text with a word."""
+    """node (text key), n (words), tuples (one hash for each band): one row for each distinct text with a word."""
 
     def sketch_all(batches):
         for batch, texts in chunks(batches):
@@ -138,10 +142,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             kept, keys, sizes = [], [], []
             for i in range(len(texts)):
                 if offsets[i + 1] > offsets[i]:
-                    labels = labelled(tokens.hash[offsets[i] : offsets[i + 1]])
                     kept.append(i)
-                    keys.append(sketch(labels).view(np.int64))
-                    sizes.append(len(labels))
+                    keys.append(sketch(labelled(tokens.hash[offsets[i] : offsets[i + 1]])).view(np.int64))
+                    sizes.append(offsets[i + 1] - offsets[i])
             if kept:
                 flat = pa.array(np.concatenate(keys))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
@@ -184,15 +187,15 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def merging_links(words: list[np.ndarray], tuples: np.ndarray, group: np.ndarray, home: np.ndarray, band: int, apart: bool) -> list[tuple[int, int]]:
     """Links between members of different groups, each merging two groups: as many as it takes to merge all that are linked.
 
-    Members come in order of their number of shingles. With `apart`, only pairs
+    Members come in order of their number of words. With `apart`, only pairs
     of different homes count. A pair counts in the first band where its tuples agree.
     """
-    shingled = [labelled(w) for w in words]
-    n = np.fromiter(map(len, shingled), np.int64, len(shingled))
+    counted = [labelled(w, 1) for w in words]
+    n = np.fromiter(map(len, counted), np.int64, len(counted))
     offset = np.concatenate(([0], np.cumsum(n)))
-    ids = np.unique(np.concatenate(shingled), return_inverse=True)[1].astype(np.int32)
+    ids = np.unique(np.concatenate(counted), return_inverse=True)[1].astype(np.int32)
     mine = np.zeros(len(ids), bool)
-    last = np.searchsorted(n, n / SIMILARITY + 1e-9, side="right")
+    last = np.searchsorted(n, n / SHORTER + 1e-9, side="right")
     group, links = group.copy(), []
     for i in range(len(n)):
         near = np.flatnonzero((group[i + 1 : last[i]] != group[i]) & ((home[i + 1 : last[i]] != home[i]) | (not apart))) + i + 1
@@ -206,7 +209,7 @@ def merging_links(words: list[np.ndarray], tuples: np.ndarray, group: np.ndarray
         at = np.repeat(offset[near] - first, n[near]) + np.arange(int(n[near].sum()))
         shared = np.add.reduceat(mine[ids[at]].astype(np.int32), first)
         mine[own] = False
-        fit = np.flatnonzero(shared >= SIMILARITY * (n[i] + n[near] - shared))
+        fit = np.flatnonzero(2 * shared >= SIMILARITY * (n[i] + n[near]))
         for j in near[fit[np.argsort(-shared[fit], kind="stable")]].tolist():
             if group[j] != group[i] and aligned(words[i], words[j]):
                 links.append((i, j))
@@ -270,13 +273,13 @@ def classes(docs: DataFrame) -> DataFrame | None:
 
     # the star's centre is the member that meets most others, as the origin of a group of near copies does
     centre = members.groupBy("band", "key").agg(F.min(F.struct((-F.col("weight")).alias("rank"), "node", "n")).alias("_c")).select("band", "key", F.col("_c.node").alias("_node"), F.col("_c.n").alias("_n"))
-    close = (F.col("node") != F.col("_node")) & (F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n"))
+    close = (F.col("node") != F.col("_node")) & (F.least("n", "_n") >= SHORTER * F.greatest("n", "_n") - 1e-9)
     star = members.join(centre, ["band", "key"]).where(close).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
     links = scratch.written(verify(scratch.written(star, "pairs"), words), "star-links")
     labels = components(links)
 
     now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = now.groupBy("band", "key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("band", "key", "blocks")
+    mixed = now.groupBy("band", "key").agg(F.ceil(F.sum("n") / BLOCK_WORDS).alias("blocks"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("band", "key", "blocks")
     inside = scratch.written(now.join(mixed, ["band", "key"]).select("band", "key", "node", "n", "label", "blocks"), "inside")
     more = scratch.written(links_within_buckets(inside.join(everyone.select("node", "tuples"), "node").join(words, "node")), "bucket-links")
     labels = labels if more.isEmpty() else components(links.union(more))
