@@ -13,7 +13,7 @@ pieces are looked through for one that does), so a cell has the same ids alone a
 in its text. Each distinct cell is encoded once a worker. A text that holds a
 cell whose tokens don't give back its bytes is encoded as a whole and compared.
 
-Documents are dealt in chunks of about CHUNK_BYTES; a chunk has a dictionary of
+Documents are dealt in chunks of about CHUNK_CHARS; a chunk has a dictionary of
 its cells and groups, and its documents keep the numbers of their cells. A group
 is one row a chunk in the shuffle by its key, however often it occurs, and the
 answers go back to the chunk, not to each document.
@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from factframe.llm.common import Scratch, bounded, carried, free_name, with_row
 from factframe.llm.hashing import chunks
 
-#: Bytes of text to a chunk; cells that a worker remembers between chunks.
-CHUNK_BYTES = 1 << 23
-REMEMBERED = 200_000
+#: Characters of text to a chunk; cells that a worker remembers between chunks.
+CHUNK_CHARS = 1 << 23
+REMEMBERED = 400_000
 PART_CHARS = 1 << 18
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 _WIDE = re.compile(r"\s ")
@@ -59,22 +59,6 @@ def cells_of(text: str) -> list[str]:
     return [c[1:] for c in _CUT.split(whole)]
 
 
-def groups_of(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> list[tuple[list[int], list[int]]]:
-    """The ids between offsets where tokens of both end; both cover the same number of bytes."""
-    out, i, j, first_i, first_j, end_a, end_b = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b:
-            end_a += int(size_a[a[i]])
-            i += 1
-        else:
-            end_b += int(size_b[b[j]])
-            j += 1
-        if end_a == end_b:
-            out.append((a[first_i:i], b[first_j:j]))
-            first_i, first_j = i, j
-    return out
-
-
 def links_of(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> list[tuple[int, int]]:
     """The pairs of a group whose byte ranges overlap: each token meets the next one of the other side."""
     out, i, j, end_a, end_b = [], 0, 0, int(size_a[a[0]]), int(size_b[b[0]])
@@ -127,19 +111,41 @@ class Pair:
         #: No piece goes on with a blank after something else; otherwise texts are not cut.
         self.cuts = not any(re.search("[^▁]▁", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
 
-    def encode(self, cells: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both for a blank and each text; None where their bytes differ from it."""
+    def encode(self, cells: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of either side for a blank and each text, and whether both give back its bytes."""
         wholes = [" " + c for c in cells]
-        out: list = []
-        both = zip(self.a.encode_batch(wholes, add_special_tokens=False), self.b.encode(cells, num_threads=1), wholes, strict=True)
-        for a, b, whole in both:
-            ids = a.ids
-            if whole == " ":
-                b = [self.blank]  # the library gives nothing for nothing
-            raw = whole.encode()
-            same = b"".join([self.bytes_a[i] for i in ids]) == raw == b"".join([self.bytes_b[i] for i in b])
-            out.append((ids, b) if same else None)
-        return out
+        a = [e.ids for e in self.a.encode_batch_fast(wholes, add_special_tokens=False)]
+        # the library gives nothing for nothing
+        b = [ids or [self.blank] for ids in self.b.encode(cells, num_threads=1)]
+        raw = [w.encode() for w in wholes]
+        joined = b"".join(raw)
+        sizes = np.array([*map(len, raw)], np.int64)
+        good = np.ones(len(cells), bool)
+        for ids, pieces, size in ((a, self.bytes_a, self.size_a), (b, self.bytes_b, self.size_b)):
+            flat = [*chain.from_iterable(ids)]
+            ends = np.cumsum([*map(len, ids)])
+            good &= np.diff(np.append(0, np.cumsum(size[flat]))[ends], prepend=0) == sizes
+            if not good.all() or b"".join([pieces[i] for i in flat]) != joined:
+                good &= [b"".join([pieces[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
+        return a, b, good.tolist()
+
+
+class Growing:
+    """Whole numbers that are added to, with room to spare."""
+
+    def __init__(self):
+        self.n, self._held = 0, np.zeros(1 << 12, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self._held):
+            self._held = np.append(self._held[: self.n], np.zeros(2 * end - self.n, np.int64))
+        self._held[self.n : end] = values
+        self.n = end
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._held[: self.n]
 
 
 class Dictionary:
@@ -151,47 +157,69 @@ class Dictionary:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: dict[bytes, int] = {}
+        # of each cell: ids of A, ids of B, groups, where its groups begin among all
+        self.n_a, self.n_b, self.n_groups, self.first, self.held = (Growing() for _ in range(5))
+        self.numbers_of: dict[int | bytes, int] = {}
         self.keys: list[bytes] = []
-        self.strings: list[str] = []  # of each cell
-        self.counts: list[tuple[int, int, int]] = []  # ids of A, ids of B, groups
-        self.held: list[list[int]] = []  # group numbers of each cell
-
-    def add(self, cell: str, ids: tuple[list[int], list[int]] | None) -> int:
-        """Number of a new cell; -1 if it has no tokens."""
-        at = -1
-        if ids is not None:
-            a, b = ids
-            found = groups_of(a, b, self.pair.size_a, self.pair.size_b)
-            numbers = []
-            for x, y in found:
-                key = group_key(x, y)
-                number = self.groups.setdefault(key, len(self.keys))
-                if number == len(self.keys):
-                    self.keys.append(key)
-                numbers.append(number)
-            at = len(self.strings)
-            self.strings.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found]))
-            self.counts.append((len(a), len(b), len(found)))
-            self.held.append(numbers)
-        self.known[cell] = at
-        return at
+        self.strings: list[str] = []  # of each group
+
+    def _group(self, name: int | bytes, a: list[int], b: list[int]) -> int:
+        number = self.numbers_of.setdefault(name, len(self.keys))
+        if number == len(self.keys):
+            self.keys.append(group_key(a, b))
+            self.strings.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+        return number
+
+    def learn(self, cells: list[str]) -> None:
+        """Number new cells; -1 for those without tokens. Groups lie between offsets where ids of both end."""
+        ids_a, ids_b, good = self.pair.encode(cells)
+        for cell, fine in zip(cells, good, strict=True):
+            if not fine:
+                self.known[cell] = -1
+        kept = [i for i, fine in enumerate(good) if fine]
+        if not kept:
+            return
+        a, b = (np.array([*chain.from_iterable([ids[i] for i in kept])], np.int64) for ids in (ids_a, ids_b))
+        n_a, n_b = (np.array([len(ids[i]) for i in kept], np.int64) for ids in (ids_a, ids_b))
+        ends_a, ends_b = np.cumsum(self.pair.size_a[a]), np.cumsum(self.pair.size_b[b])
+        cuts, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        owner = np.searchsorted(ends_a[np.cumsum(n_a) - 1], cuts)
+        count_a, count_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        single = (count_a == 1) & (count_b == 1)
+        groups = np.empty(len(cuts), np.int64)
+        names, back = np.unique(a[last_a[single]] << 32 | b[last_b[single]], return_inverse=True)
+        groups[single] = np.array([self._group(x, [x >> 32], [x & 0xFFFFFFFF]) for x in names.tolist()], np.int64)[back]
+        for g in np.flatnonzero(~single).tolist():
+            x, y = a[last_a[g] + 1 - count_a[g] : last_a[g] + 1], b[last_b[g] + 1 - count_b[g] : last_b[g] + 1]
+            groups[g] = self._group(x.tobytes() + b"|" + y.tobytes(), x.tolist(), y.tolist())
+        per_cell = np.bincount(owner, minlength=len(kept))
+        begin = self.held.n + np.cumsum(per_cell) - per_cell
+        self.known.update(zip([cells[i] for i in kept], range(self.n_a.n, self.n_a.n + len(kept)), strict=True))
+        for column, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, per_cell), (self.first, begin), (self.held, groups)):
+            column.add(values)
+
+    def groups(self, cells: np.ndarray) -> np.ndarray:
+        """The groups of these cells, one after another."""
+        sizes = self.n_groups.values[cells]
+        ends = np.cumsum(sizes)
+        return self.held.values[np.repeat(self.first.values[cells] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
 
     def numbers(self, texts: list[str | None]) -> list[list[int]]:
         """The cells of each text by number; none for a text without tokens."""
         split = [[] if not t else cells_of(t) if self.pair.cuts else [t] for t in texts]
         known = self.known
-        new = [c for c in dict.fromkeys(chain.from_iterable(split)) if c not in known]
-        for cell, ids in zip(new, self.pair.encode(new) if new else [], strict=True):
-            self.add(cell, ids)
+        new = {c for cells in split for c in cells if c not in known}
+        if new:
+            self.learn([*new])
         out = []
         for text, cells in zip(texts, split, strict=True):
             mine = [known[c] for c in cells]
             if -1 in mine:
                 # no cell of its own may be at fault, but all together: the whole text decides
-                at = known.get(text)
-                mine = [self.add(text, self.pair.encode([text])[0]) if at is None else at]
-            out.append([] if -1 in mine else mine)
+                if text not in known:
+                    self.learn([text])
+                mine = [] if known[text] < 0 else [known[text]]
+            out.append(mine)
         return out
 
 
@@ -221,29 +249,27 @@ class Chunk:
 
     def __init__(self, words: Dictionary):
         self.words = words
-        self.cell_at = np.full(0, -1, np.int64)
-        self.uses = np.zeros(0, np.int64)
-        self.cells: list[int] = []
-        self.bytes = 0
+        self.place, self.uses, self.cells = Growing(), Growing(), Growing()
+        self.chars = 0
 
     def local(self, numbers: np.ndarray) -> np.ndarray:
-        more = len(self.words.strings) - len(self.cell_at)
+        more = self.words.n_a.n - self.place.n
         if more > 0:
-            self.cell_at = np.append(self.cell_at, np.full(more, -1, np.int64))
-            self.uses = np.append(self.uses, np.zeros(more, np.int64))
-        new = np.unique(numbers[self.cell_at[numbers] < 0])
-        self.cell_at[new] = len(self.cells) + np.arange(len(new))
-        self.cells += new.tolist()
-        self.uses += np.bincount(numbers, minlength=len(self.uses))
-        return self.cell_at[numbers]
+            self.place.add(np.full(more, -1, np.int64))
+            self.uses.add(np.zeros(more, np.int64))
+        distinct, times = np.unique(numbers, return_counts=True)
+        self.uses.values[distinct] += times
+        new = distinct[self.place.values[distinct] < 0]
+        self.place.values[new] = self.cells.n + np.arange(len(new))
+        self.cells.add(new)
+        return self.place.values[numbers]
 
     def close(self) -> tuple[list[bytes], np.ndarray, bytes]:
         """Keys of its groups, how often each occurs, and the groups of each cell (sizes, then numbers)."""
-        held = [self.words.held[c] for c in self.cells]
-        sizes = np.array([*map(len, held)], np.int64)
-        groups, local = np.unique(np.array([*chain.from_iterable(held)], np.int64), return_inverse=True)
-        uses = np.repeat(self.uses[np.array(self.cells, np.int64)], sizes) if self.cells else np.zeros(0, np.int64)
-        often = np.bincount(local, weights=uses, minlength=len(groups)).astype(np.int64)
+        cells = self.cells.values
+        sizes = self.words.n_groups.values[cells]
+        groups, local = np.unique(self.words.groups(cells), return_inverse=True)
+        often = np.bincount(local, weights=np.repeat(self.uses.values[cells], sizes), minlength=len(groups)).astype(np.int64)
         return [self.words.keys[g] for g in groups.tolist()], often, _packed(np.concatenate(([len(sizes)], sizes, local)))
 
 
@@ -269,20 +295,18 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str, text: str, groups: bool
                 chunk, row_type = Chunk(words), batch.schema.field(0).type
             found = words.numbers(texts)
             sizes = np.array([*map(len, found)], np.int64)
-            flat = chunk.local(np.array([*chain.from_iterable(found)], np.int64))
-            ends = np.cumsum(sizes)
-            each = np.zeros((len(flat) + 1, 3), np.int64)
-            if len(flat):
-                np.cumsum(np.array(words.counts, np.int64)[np.array(chunk.cells, np.int64)[flat]], axis=0, out=each[1:])
-            totals = each[ends] - each[ends - sizes]
-            strings = [";".join([words.strings[i] for i in cells]) for cells in found]
+            flat, ends = np.array([*chain.from_iterable(found)], np.int64), np.cumsum(sizes)
+            local = chunk.local(flat)
+            totals = [np.diff(np.append(0, np.cumsum(column.values[flat]))[ends], prepend=0) for column in (words.n_a, words.n_b, words.n_groups)]
+            names_of, last = [words.strings[g] for g in words.groups(flat).tolist()], np.cumsum(totals[2])
+            strings = [";".join(names_of[e - n : e]) for e, n in zip(last.tolist(), totals[2].tolist(), strict=True)]
             told = strings if groups else [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in strings]
-            packed = [_packed(flat[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            columns = [batch.column(0), pa.array(np.full(len(batch), part + seq)), *[pa.array(np.ascontiguousarray(totals[:, k])) for k in range(3)]]
+            packed = [_packed(local[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            columns = [batch.column(0), pa.array(np.full(len(batch), part + seq)), *map(pa.array, totals)]
             empty = [pa.nulls(len(batch), pa.list_(pa.binary())), pa.nulls(len(batch), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(told, pa.string()), pa.array(packed, pa.binary()), *empty], names=names)
-            chunk.bytes += sum(len(t) for t in texts if t)
-            if chunk.bytes >= CHUNK_BYTES:
+            chunk.chars += sum(len(t) for t in texts if t)
+            if chunk.chars >= CHUNK_CHARS:
                 yield closing()
                 chunk, seq = None, seq + 1
         if chunk is not None:
