@@ -45,7 +45,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Newton's method ends when every source is within this share of its target, or half a word.
 TOLERANCE, MOST_STEPS = 1e-9, 100
-SHARD_ROWS = 50_000
+SHARD_ROWS = 1_000
 RANGES = 64
 _EXACT = "decimal(38,9)"
 
