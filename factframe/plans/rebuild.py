@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factframe.operators import ingest as I
+from factframe.operators.chains import chains
 from factframe.operators.provenance import diff
 from factframe.plans.ingest import _FINANCIAL
 from factframe.registry import ORACLE_SQL, query
@@ -123,15 +124,33 @@ _LINKS_SQL = "j AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderkey //
 @query(f"""WITH RECURSIVE {_LINKS_SQL}, c AS (SELECT id AS newest, id, supersedes, 0 AS depth FROM n WHERE id NOT IN (SELECT supersedes FROM n WHERE supersedes IS NOT NULL)
   UNION ALL SELECT c.newest, n.id, n.supersedes, c.depth + 1 FROM c JOIN n ON n.id = c.supersedes) SELECT newest, id, CAST(depth AS INTEGER) AS depth FROM c""")
 def judgment_chains(spark, sf_dir):
-    """From every judgment that nothing supersedes back along its links, which may branch: each round joins the ends reached so far with their links, so rounds are as many as the longest chain is long."""
+    """From every judgment that nothing supersedes back along its links, which may meet."""
     orders = table(spark, sf_dir, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), F.floor(F.col("o_orderkey") / 2).alias("supersedes"))
     other = orders.select(F.col("id").alias("supersedes"), (F.col("subject") % 3).alias("_s"))
     known = orders.withColumn("_s", F.col("subject") % 3).join(other, ["supersedes", "_s"]).select("id", "supersedes")
-    links = orders.select("id").join(known, "id", "left")
-    links.createOrReplaceTempView("judgment_links")
-    return spark.sql("""WITH RECURSIVE c(newest, id, supersedes, depth) MAX RECURSION LEVEL 200 AS (
-      SELECT l.id, l.id, l.supersedes, 0 FROM judgment_links l LEFT ANTI JOIN judgment_links s ON s.supersedes = l.id
-      UNION ALL SELECT c.newest, l.id, l.supersedes, c.depth + 1 FROM c JOIN judgment_links l ON l.id = c.supersedes) SELECT newest, id, depth FROM c""")
+    return chains(orders.select("id").join(known, "id", "left")).select("newest", "id", F.col("depth").cast("int").alias("depth"))
+
+
+_CYCLES_SQL = """
+WITH f AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER k AS n, min(o_orderkey) OVER k AS oldest, max(o_orderkey) OVER k AS newest
+  FROM orders WINDOW k AS (PARTITION BY o_custkey)),
+h AS (SELECT *, max(CASE WHEN i = (n + 1) // 2 THEN id END) OVER (PARTITION BY c) AS middle FROM f)
+SELECT CASE WHEN c % 10 = 0 AND id <= middle THEN oldest ELSE newest END AS newest, id,
+  CAST(CASE WHEN c % 10 <> 0 THEN n - i WHEN id > middle THEN n - i WHEN i = 1 THEN 0 ELSE (n + 1) // 2 - i + 1 END AS BIGINT) AS depth,
+  CASE WHEN c % 10 = 0 THEN 'cycle' WHEN c % 10 = 1 THEN 'dangling' ELSE 'root' END AS ends, CASE WHEN c % 10 = 0 THEN oldest END AS cycle
+FROM h"""
+
+
+@query(_CYCLES_SQL)
+def judgment_cycles(spark, sf_dir):
+    """Each customer's orders supersede the ones before; of some the oldest supersedes the middle one, or one that isn't there."""
+    of = Window.partitionBy("c").orderBy("id")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"))
+    placed = orders.select("id", "c", F.row_number().over(of).alias("i"), F.lag("id").over(of).alias("before"))
+    middle = placed.groupBy("c").agg(F.count("*").alias("n")).select("c", F.floor((F.col("n") + 1) / 2).alias("i"))
+    back = placed.join(middle, ["c", "i"]).select("c", F.col("id").alias("middle"))
+    oldest = F.when(F.col("c") % 10 == 0, F.col("middle")).when(F.col("c") % 10 == 1, -F.col("id") - 1)
+    return chains(placed.join(back, "c").select("id", F.when(F.col("i") == 1, oldest).otherwise(F.col("before")).alias("supersedes")))
 
 
 @query(f"""WITH {_LINKS_SQL} SELECT j.id, CASE WHEN j.id % 11 = 0 THEN 'duplicate' WHEN n.supersedes IS NULL AND j.supersedes > 0 THEN 'dangling' ELSE 'appended' END AS outcome, EXISTS (SELECT 1 FROM n s WHERE s.supersedes = j.id) AS locked FROM j JOIN n USING (id)""")
