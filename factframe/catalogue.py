@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factframe.plans import claims, evaluation, events, filings, ingest, matching, passages, provenance, rebuild, scalars, series, text, trees  # noqa: F401  (they register queries)
+from factframe.plans import claims, evaluation, events, filings, ingest, matching, passages, provenance, rebuild, scalars, series, stores, text, trees  # noqa: F401  (they register queries)
 from factframe.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
