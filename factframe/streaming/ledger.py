@@ -26,9 +26,10 @@ EVENTS = T.StructType(
 )
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
     """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(EVENTS).parquet(folder)
+    reader = spark.readStream.schema(EVENTS)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(folder)
 
 
 def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
