@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factframe.functions.text import keywords, numbers, tokens
+from factframe.operators.storage import bounded, written
 
 WINDOW, STRIDE = 900, 450
 
@@ -50,7 +51,8 @@ def candidates(passages: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """Passages with at least two word hits or a number hit for a question, with their score.
 
     An inverted join on terms: a passage is split into tokens once, and only
-    tokens that some question asks for are kept; hits are summed map-side.
+    tokens that some question asks for are kept. Where passages come of
+    documents dealt by doc_id, hits are summed without another shuffle.
     """
     found = passages.select("doc_id", "start", F.explode(F.array_distinct(tokens(F.col("passage")))).alias("term"))
     hits = found.join(terms, "term").groupBy(key, "doc_id", "start").agg(F.count_if(F.col("weight") == 1).alias("n_words"), F.count_if(F.col("weight") == 2).alias("n_numbers"))
@@ -129,16 +131,100 @@ def plans(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
     return planned.select(key, "intent", "periods", F.when(broad, 10).when(narrow, 3).otherwise(5).alias("top_k"), rules.alias("rules"))
 
 
-def boosted(found: DataFrame, plan: DataFrame, docs: DataFrame, periods: DataFrame, key: str, prefer_recent: bool = False, prefer_numeric: bool = False) -> DataFrame:
-    """Each term of a candidate's total: score * 100, kind of document, period named, recency and number.
+#: How many of a question's newest documents a preference for recent ones reaches: beyond them it adds nothing.
+RECENT, RECENT_BOOST, RECENT_STEP = 10, 30, 3
+WINDOW_BOOST, PERIOD_BOOST, NUMERIC_BOOST = 25, 40, 20
 
-    docs: doc_id, kind, and recency (rank by date, newest 0) where recent ones are preferred. periods: of named_periods().
+
+def recency(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """key, doc_id, recency: the place, from 0, of a question's newest documents, undated ones last, by doc_id where dates are equal.
+
+    Only the first RECENT of a question are kept; the window's limit holds
+    within map tasks, so no more than that leaves one.
+    """
+    mine = found.select(key, "doc_id").distinct().join(docs.select("doc_id", "date"), "doc_id")
+    order = Window.partitionBy(key).orderBy(F.col("date").desc_nulls_last(), "doc_id")
+    placed = mine.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= RECENT)
+    return placed.select(key, "doc_id", (F.col("_r") - 1).alias("recency"))
+
+
+def boosted(found: DataFrame, plan: DataFrame, docs: DataFrame, periods: DataFrame, key: str) -> DataFrame:
+    """Each term of a candidate's total: score * 100, kind of document, date window, period named, recency and number.
+
+    docs: doc_id, kind, and date where a plan asks for it. periods: of
+    named_periods(). plan: key, intent, periods, and optionally prefer_recent,
+    prefer_numeric (booleans), window_start and window_end (dates, open where null).
     """
     weights = F.lit(0)
     for name, kinds in PREFERRED.items():
         weights = F.when(F.col("intent") == name, F.coalesce(F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("kind")], F.lit(0))).otherwise(weights)
+    wishes = [c for c in ("prefer_recent", "prefer_numeric", "window_start", "window_end") if c in plan.columns]
     wanted = F.transform("_wanted", F.lower)
-    both = found.join(plan.select(key, "intent", F.col("periods").alias("_wanted")), key).join(docs, "doc_id").join(periods, ["doc_id", "start"], "left")
-    out = both.withColumn("doc_type", weights).withColumn("period", F.when(F.exists(wanted, lambda w: F.exists("periods", lambda p: p.contains(w))), 40).otherwise(0)).drop("periods")
-    out = out.withColumn("recency", F.greatest(F.lit(0), 30 - 3 * F.col("recency")) if prefer_recent else F.lit(0)).withColumn("numeric", F.when(F.lit(prefer_numeric) & (F.col("n_numbers") > 0), 20).otherwise(0))
-    return out.withColumn("total", F.col("score") * 100 + F.col("doc_type") + F.col("period") + F.col("recency") + F.col("numeric")).drop("_wanted", "intent")
+    both = found.join(plan.select(key, "intent", F.col("periods").alias("_wanted"), *wishes), key).join(docs, "doc_id").join(periods, ["doc_id", "start"], "left")
+    out = both.withColumn("doc_type", weights).withColumn("period", F.when(F.exists(wanted, lambda w: F.exists("periods", lambda p: p.contains(w))), PERIOD_BOOST).otherwise(0)).drop("periods")
+    ends = [c for c in ("window_start", "window_end") if c in wishes]
+    inside = F.col("date").isNotNull() if ends else F.lit(False)
+    if ends:
+        inside = inside & F.coalesce(*ends).isNotNull()
+        for c in ends:
+            inside = inside & (F.col(c).isNull() | ((F.col("date") >= F.col(c)) if c == "window_start" else (F.col("date") <= F.col(c))))
+    out = out.withColumn("window", F.when(inside, WINDOW_BOOST).otherwise(0))
+    numeric = F.col("prefer_numeric") & (F.col("n_numbers") > 0) if "prefer_numeric" in wishes else F.lit(False)
+    out = out.withColumn("numeric", F.when(numeric, NUMERIC_BOOST).otherwise(0))
+    if "prefer_recent" in wishes:
+        asking = plan.where("prefer_recent").select(key)
+        newest = recency(found.join(asking, key, "left_semi"), docs, key).withColumnRenamed("recency", "_place")
+        out = out.join(newest, [key, "doc_id"], "left").withColumn("recency", F.coalesce(RECENT_BOOST - RECENT_STEP * F.col("_place"), F.lit(0))).drop("_place")
+    else:
+        out = out.withColumn("recency", F.lit(0))
+    total = F.col("score") * 100 + F.col("doc_type") + F.col("window") + F.col("period") + F.col("recency") + F.col("numeric")
+    return out.withColumn("total", total).drop("_wanted", "intent", *wishes)
+
+
+#: One document in so many is scored in full to bound what a question's k-th passage reaches.
+PROBED = 8
+
+
+def bounded_candidates(passages: DataFrame, terms: DataFrame, key: str, k: int) -> DataFrame:
+    """The candidates that can be among a question's first k, and maybe some more, with their scores.
+
+    Each term has an upper bound, its weight. The rarest half of a question's
+    terms picks k documents, and one document in PROBED is scored too; the k-th
+    largest of their best passages' scores is one that the k-th passage chosen
+    reaches, because each document's best passage is always chosen. The commonest terms
+    whose weights together stay below it can't carry a passage there alone: only
+    passages with one of the other, essential, terms are built, of these only
+    those that could reach the bound with all the common terms, and only they are
+    scored in full. Ties at the bound are kept.
+    """
+    vocabulary = bounded(terms.select("term").distinct())
+    kept = F.array_distinct(tokens(F.col("passage")))
+    asked = written(passages.select("doc_id", "start", F.explode(kept).alias("term")).join(vocabulary, "term"), "postings")
+    often = asked.groupBy("term").agg(F.count("*").alias("_n"))
+    # terms of a question by rarity; a question's terms are few
+    rare = Window.partitionBy(key).orderBy(F.coalesce("_n", F.lit(0)), "term", "weight")
+    ordered = terms.join(bounded(often), "term", "left")
+    ordered = ordered.withColumn("_i", F.row_number().over(rare)).withColumn("_of", F.count("*").over(Window.partitionBy(key)))
+    ordered = written(ordered.withColumn("_rest", F.sum("weight").over(rare.rowsBetween(0, Window.unboundedFollowing))).drop("_n"), "terms")
+    first = asked.join(bounded(ordered.where("2 * _i <= _of + 1").select("term", key, "weight")), "term")
+    best = first.groupBy(key, "doc_id", "start").agg(F.sum("weight").alias("_s")).groupBy(key, "doc_id").agg(F.max("_s").alias("_s"))
+    placed = best.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_s")))).where(F.col("_p") <= k)
+    # full scores of these and of one document in PROBED: what the k-th passage chosen reaches at least
+    few = written(placed, "first").select(key, "doc_id").join(asked, "doc_id").join(terms, [key, "term"])
+    probed = asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(PROBED)) == 0).join(bounded(terms), "term")
+    sums = few.select(key, "doc_id", "start", "term", "weight").unionByName(probed.select(key, "doc_id", "start", "term", "weight"))
+    best = sums.distinct().groupBy(key, "doc_id", "start").agg(F.sum("weight").alias("_s")).groupBy(key, "doc_id").agg(F.max("_s").alias("_s"))
+    ranked = best.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_s")))).where(F.col("_p") <= k)
+    reach = ranked.where(F.col("_p") == k).select(key, F.col("_s").alias("_reach"))
+    # essential: this term and all commoner ones together could reach the bound
+    split = written(ordered.join(reach, key, "left").withColumn("_reach", F.coalesce("_reach", F.lit(0))).withColumn("_essential", F.col("_rest") >= F.col("_reach")), "essential")
+    common = split.groupBy(key).agg(F.sum(F.when(~F.col("_essential"), F.col("weight")).otherwise(0)).alias("_common"), F.max("_reach").alias("_reach"))
+    some = asked.join(bounded(split.where("_essential").select("term", key, "weight")), "term").groupBy(key, "doc_id", "start").agg(F.count_if(F.col("weight") == 1).alias("_w"), F.count_if(F.col("weight") == 2).alias("_d"))
+    able = some.join(bounded(common), key).where("_w + 2 * _d + _common >= _reach").select(key, "doc_id", "start", "_w", "_d", "_common")
+    whole = written(able, "able")
+    # what the common terms add, for those left
+    more = whole.where("_common > 0").join(split.where("not _essential").select(key, "term", "weight"), key).join(asked, ["doc_id", "start", "term"], "left_semi")
+    added = more.groupBy(key, "doc_id", "start").agg(F.count_if(F.col("weight") == 1).alias("_mw"), F.count_if(F.col("weight") == 2).alias("_md"))
+    full = whole.join(added, [key, "doc_id", "start"], "left").select(key, "doc_id", "start", (F.col("_w") + F.coalesce("_mw", F.lit(0))).alias("n_words"), (F.col("_d") + F.coalesce("_md", F.lit(0))).alias("n_numbers"))
+    scored = full.where("n_words >= 2 or n_numbers >= 1").withColumn("score", F.col("n_words") + 2 * F.col("n_numbers"))
+    return scored.join(bounded(common.select(key, "_reach")), key).where("score >= _reach").drop("_reach")

@@ -24,9 +24,25 @@ c AS (SELECT item_id, doc_id, start, count(*) FILTER (weight = 1) AS n_words, co
   HAVING count(*) FILTER (weight = 1) >= 2 OR count(*) FILTER (weight = 2) >= 1)"""
 
 
+_PREFERRED_SQL = "CASE " + " ".join(f"WHEN intent = '{i}' AND kind = '{k}' THEN {w}" for i, ks in R.PREFERRED.items() for k, w in ks.items()) + " ELSE 0 END"
+_CUES_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{c.replace(chr(39), chr(39) * 2)}')" for c in cues) + f" THEN '{n}'" for n, cues in R.INTENTS.items()) + " ELSE 'general' END"
+
+
+_YEAR_SQL = "CASE WHEN length({0}) = 2 THEN '20' || {0} ELSE {0} END"
+_DOC_KINDS = ("financial_results", "annual_report", "investor_presentation", "earnings_transcript", "brsr", "board_outcome", "regulatory_filing")
+# the plans of the questions, and the candidates with the terms of kind and period
+_BOOSTED_SQL = rf"""pl AS (SELECT item_id, text, {_CUES_SQL} AS intent, regexp_extract_all(upper(text), '{R.QUARTER}', 1) AS qn, regexp_extract_all(upper(text), '{R.QUARTER}', 2) AS qy, regexp_extract_all(regexp_replace(upper(text), '{R.QUARTER}', ' ', 'g'), '{R.YEAR}', 1) AS ys FROM benchmark),
+p AS (SELECT item_id, intent, list_transform(list_zip(qn, qy), lambda z: 'q' || z[1] || 'fy' || {_YEAR_SQL.format('z[2]')}) || list_transform(ys, lambda y: 'fy' || {_YEAR_SQL.format('y')}) AS periods,
+  CASE WHEN list_has_any(regexp_split_to_array(lower(text), '\s+'), {list(R.BROADEN)}) THEN 10 WHEN intent = 'financial_metric' AND len({_NUMBERS_SQL.format('text')}) > 0 AND len({_KEYWORDS_SQL.format('text')}) <= 3 THEN 3 ELSE 5 END AS top_k FROM pl),
+k AS (SELECT c.*, intent, p.periods, list_extract({list(_DOC_KINDS)}, CAST(doc_id % {len(_DOC_KINDS)} AS INTEGER) + 1) AS kind, lower(regexp_replace(passage, '\s+', '', 'g')) AS squeezed FROM c JOIN p USING (item_id) JOIN w USING (doc_id, start)),
+x AS (SELECT item_id, doc_id, start, n_words, n_numbers, n_words + 2 * n_numbers AS score, {_PREFERRED_SQL} AS doc_type, CASE WHEN len(list_filter(periods, lambda y: contains(squeezed, y))) > 0 THEN 40 ELSE 0 END AS period FROM k)"""
+
+
 def _candidates(spark, sf_dir):
     terms = R.question_terms(table(spark, sf_dir, "benchmark"), "item_id")
-    return R.candidates(R.windows(table(spark, sf_dir, "documents").select("doc_id", "text")), terms, "item_id")
+    # dealt by document first: hits, best passages and overlaps are all counted within one
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return R.candidates(R.windows(docs), terms, "item_id")
 
 
 @query(f"WITH {_WINDOWS_SQL} SELECT doc_id, start, length(passage) AS n_chars, md5(passage) AS digest FROM w")
@@ -40,41 +56,75 @@ def passage_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
-@query()
+def _chosen_sql(source: str, order: str, k: int, per_document: int) -> str:
+    """The greedy fold of each (question, document) over its ranked passages, and the k best of a question."""
+    return f"""o AS (SELECT item_id, doc_id, list([{{'r': -{order}, 's': start}}] ORDER BY {order} DESC, start) AS l FROM {source} GROUP BY ALL),
+g AS (SELECT item_id, doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(acc) < {per_document} AND len(list_filter(acc, lambda c: abs(c.s - x[1].s) < {R.WINDOW})) = 0 THEN acc || x ELSE acc END)) AS c FROM o),
+z AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY c.r, doc_id, c.s) AS place, doc_id, c.s AS start, -c.r AS {order} FROM g QUALIFY place <= {k})"""
+
+
+_TOPK_SQL = f"""WITH {_WINDOWS_SQL}, {_TERMS_SQL}, s AS (SELECT *, n_words + 2 * n_numbers AS score FROM c), {_chosen_sql("s", "score", 5, 5)}
+SELECT item_id, place, doc_id, start, score FROM z"""
+
+
+@query(_TOPK_SQL)
 def passage_topk(spark, sf_dir):
     return R.overlap_free(_candidates(spark, sf_dir), "item_id", 5)
 
 
-_DOC_KINDS = ("financial_results", "annual_report", "investor_presentation", "earnings_transcript", "brsr", "board_outcome", "regulatory_filing")
+@query(_TOPK_SQL)
+def passage_topk_bounded(spark, sf_dir):
+    """The same passages, of which only those are built that bounds of terms and documents leave able to be chosen."""
+    terms = R.question_terms(table(spark, sf_dir, "benchmark"), "item_id")
+    passages = R.windows(table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id"))
+    return R.overlap_free(R.bounded_candidates(passages, terms, "item_id", 5), "item_id", 5)
 
 
-def _planned(spark, sf_dir, baseline: bool = False):
+def _planned(spark, sf_dir, baseline: bool = False, date=None, wishes=None):
     """Ranked candidates of every question under its plan, with each term of the total; the baseline is a plan without preferences."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*[F.lit(k) for k in _DOC_KINDS]), (F.col("doc_id") % len(_DOC_KINDS)).cast("int")).alias("kind"))
     plan = R.plans(table(spark, sf_dir, "benchmark"), "item_id")
     if baseline:
         plan = plan.withColumn("intent", F.lit("general")).withColumn("periods", F.array().cast("array<string>")).withColumn("top_k", F.lit(5))
+    if wishes:
+        plan, docs = plan.withColumns(wishes), docs.withColumn("date", date)
     periods = R.named_periods(R.windows(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return R.boosted(_candidates(spark, sf_dir), plan, docs, periods, "item_id"), plan
 
 
-@query()
+@query(f"""WITH {_WINDOWS_SQL}, {_TERMS_SQL}, {_BOOSTED_SQL}, s AS (SELECT *, 100 * score + doc_type + period AS total FROM x), {_chosen_sql("s", "total", 10, 10)}
+SELECT item_id, place, doc_id, start, total FROM z JOIN p USING (item_id) WHERE place <= top_k""")
 def passage_topk_planned(spark, sf_dir):
     ranked, plan = _planned(spark, sf_dir)
     return R.overlap_free(ranked, "item_id", 10, order="total", limits=plan)
 
 
-@query()
+_FIVE_SQL = """v AS (SELECT *, item_id % 2 = 0 AS recent, item_id % 3 = 0 AS numeric, CASE WHEN item_id % 4 = 1 THEN DATE '2020-06-01' END AS a, CASE WHEN item_id % 4 IN (1, 2) THEN DATE '2021-12-31' END AS b,
+  CASE WHEN doc_id % 13 > 0 THEN DATE '2020-01-01' + CAST(doc_id * 7 % 1000 AS INTEGER) END AS date FROM x),
+n AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY date DESC NULLS LAST, doc_id) - 1 AS place FROM (SELECT DISTINCT item_id, doc_id, date FROM v WHERE recent) QUALIFY place < 10),
+s AS (SELECT v.*, 100 * score + doc_type + period + CASE WHEN date IS NOT NULL AND coalesce(a, b) IS NOT NULL AND (a IS NULL OR date >= a) AND (b IS NULL OR date <= b) THEN 25 ELSE 0 END
+  + coalesce(30 - 3 * n.place, 0) + CASE WHEN numeric AND n_numbers > 0 THEN 20 ELSE 0 END AS total FROM v LEFT JOIN n USING (item_id, doc_id))"""
+
+
+@query(f"""WITH {_WINDOWS_SQL}, {_TERMS_SQL}, {_BOOSTED_SQL}, {_FIVE_SQL}, {_chosen_sql("s", "total", 10, 10)}
+SELECT item_id, place, doc_id, start, total FROM z JOIN p USING (item_id) WHERE place <= top_k""")
+def passage_topk_five_terms(spark, sf_dir):
+    """All five terms of the total: kind, date window, period, recency among a question's documents, and numbers, by what each question asks for."""
+    dated = F.when(F.col("doc_id") % 13 > 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") * 7 % 1000).cast("int")))
+    day = lambda when, text: F.when(when, F.lit(text).cast("date"))
+    i = F.col("item_id")
+    wishes = {"prefer_recent": i % 2 == 0, "prefer_numeric": i % 3 == 0, "window_start": day(i % 4 == 1, "2020-06-01"), "window_end": day((i % 4).isin(1, 2), "2021-12-31")}
+    ranked, plan = _planned(spark, sf_dir, date=dated, wishes=wishes)
+    return R.overlap_free(ranked, "item_id", 10, order="total", limits=plan)
+
+
+@query(f"""WITH {_WINDOWS_SQL}, {_TERMS_SQL}, s AS (SELECT *, 100 * (n_words + 2 * n_numbers) AS total FROM c), {_chosen_sql("s", "total", 5, 10)} SELECT item_id, place, doc_id, start, total FROM z""")
 def passage_topk_baseline(spark, sf_dir):
     """The plan without preferences; a test holds it against unplanned retrieval."""
     ranked, plan = _planned(spark, sf_dir, baseline=True)
     return R.overlap_free(ranked, "item_id", 10, order="total", limits=plan)
 
 
-_PREFERRED_SQL = "CASE " + " ".join(f"WHEN intent = '{i}' AND kind = '{k}' THEN {w}" for i, ks in R.PREFERRED.items() for k, w in ks.items()) + " ELSE 0 END"
-_CUES_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{c.replace(chr(39), chr(39) * 2)}')" for c in cues) + f" THEN '{n}'" for n, cues in R.INTENTS.items()) + " ELSE 'general' END"
-
-
 @query(f"""WITH {_WINDOWS_SQL}, {_TERMS_SQL}, p AS (SELECT item_id, {_CUES_SQL} AS intent FROM benchmark), k AS (SELECT c.*, intent, list_extract({list(_DOC_KINDS)}, CAST(doc_id % {len(_DOC_KINDS)} AS INTEGER) + 1) AS kind FROM c JOIN p USING (item_id))
 SELECT item_id, count(*) AS candidates, CAST(sum({_PREFERRED_SQL}) AS BIGINT) AS boost, round(sum({_PREFERRED_SQL}) / sum(100 * (n_words + 2 * n_numbers) + {_PREFERRED_SQL}), 3) AS boost_share, count(DISTINCT kind) AS n_kinds FROM k GROUP BY item_id""")
 def retrieval_aggregate(spark, sf_dir):
@@ -96,7 +146,6 @@ _QUESTIONS = (
     "What guidance was given for FY 26?", "Which auditor signed?", "Revenue margin in 2024?", "Was anything else reported?",
 )
 _ASKED_SQL = "a AS (SELECT item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, '{t}')" for i, t in enumerate(_QUESTIONS)) + ") v(item_id, text))"
-_YEAR_SQL = "CASE WHEN length({0}) = 2 THEN '20' || {0} ELSE {0} END"
 
 
 @query(rf"""WITH {_ASKED_SQL}, p AS (SELECT item_id, text, {_CUES_SQL} AS intent, regexp_extract_all(upper(text), '{R.QUARTER}', 1) AS qn, regexp_extract_all(upper(text), '{R.QUARTER}', 2) AS qy, regexp_extract_all(regexp_replace(upper(text), '{R.QUARTER}', ' ', 'g'), '{R.YEAR}', 1) AS ys FROM a),

@@ -129,14 +129,15 @@ def test_plan_without_preferences_is_unplanned_retrieval(spark, sf_dir):
 
 
 def test_boosts(spark):
-    docs = spark.createDataFrame([(1, "annual_report", 0), (2, "brsr", 12)], "doc_id long, kind string, recency int")
+    docs = spark.createDataFrame([(1, "annual_report", "2024-05-01"), (2, "brsr", None)], "doc_id long, kind string, date string").withColumn("date", F.col("date").cast("date"))
     body = spark.createDataFrame([(1, "risk factor litigation in Q3 FY2024"), (2, "risk and litigation 24.2 in q4 fy 2024")], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "What litigation risk was in Q3 FY24?")], "item_id long, text string")
     plan = R.plans(asked, "item_id")
     assert plan.first().asDict() == {"item_id": 7, "intent": "risk", "periods": ["Q3FY2024"], "top_k": 5, "rules": ["intent_keyword_match", "doc_type_boost_from_intent", "period_extraction", "top_k_default"]}
     found = R.candidates(R.windows(body), R.question_terms(asked, "item_id"), "item_id")
-    got = {r.doc_id: (r.doc_type, r.period, r.recency, r.numeric, r.total) for r in R.boosted(found, plan, docs, R.named_periods(R.windows(body)), "item_id", prefer_recent=True, prefer_numeric=True).collect()}
-    assert got == {1: (60, 40, 30, 20, 550), 2: (25, 0, 0, 0, 225)}  # the 3 of the quarter is a number hit
+    wishing = plan.withColumn("prefer_recent", F.lit(True)).withColumn("prefer_numeric", F.lit(True))
+    got = {r.doc_id: (r.doc_type, r.period, r.recency, r.numeric, r.total) for r in R.boosted(found, wishing, docs, R.named_periods(R.windows(body)), "item_id").collect()}
+    assert got == {1: (60, 40, 30, 20, 550), 2: (25, 0, 27, 0, 252)}  # the 3 of the quarter is a number hit
 
 
 def test_running_budget_of_one_source_in_shards(spark, tmp_path):
