@@ -13,11 +13,15 @@ the mass that discounting sets free, and nothing is cut off. The strength S
 (the Pitman-Yor form of the model) makes rare contexts lean on continuation
 counts.
 
-Texts are compared by length-normalised log-likelihoods: each word's log ratio
-of the two models counts with what it has beyond a level, the sum is divided by
-the number of words, and a logistic curve that rises with this one number gives
-the score. S, the level and the curve are those that explain the training rows
-best that the counts left out.
+Texts are compared by length-normalised log-likelihoods. A toxic text is mostly
+ordinary words, so under the toxic hypothesis each word comes of the toxic model
+at a rate r and else of the ordinary one,
+    log p_toxic(text) = sum log((1 - r) p_ordinary(w | v) + r p_toxic(w | v)),
+and the evidence is log p_toxic(text) - log p_ordinary(text), every word with its
+sign, divided by the number of words. A logistic curve that rises with this one
+number gives the score. S, r and the curve are those that explain the training
+rows best that the counts left out; S is at most 100,000, so that frequent pairs
+count beside their words.
 
 Defined results: a null or empty text scores as the curve does at zero evidence;
 if either class has no training row every score is the share of label 1 among
@@ -41,11 +45,9 @@ from factframe.llm.hashing import Tokens, chunks, pair
 
 #: Documented bound: about so many labelled documents of each class are learned from.
 PER_CLASS = 4_000
-#: Strengths and levels tried.
-STRENGTHS = (1e2, 1e4, 1e6)
-LEVELS = (2.0, 3.0, 4.0, 5.0, 6.0)
-#: A word's log ratio counts within these bounds.
-MOST = 9.0
+#: Strengths and rates of toxic words tried.
+STRENGTHS = (1e3, 1e4, 1e5)
+RATES = (1e-3, 1e-2, 3e-2)
 #: Words added to a text's length, so that a few words are no certain evidence.
 LENGTH_PRIOR = 20
 
@@ -86,7 +88,7 @@ class Model:
     share: float = 0.0
     curve: tuple[float, float] | None = None  # intercept and slope
     strength: float = STRENGTHS[-1]
-    level: float = LEVELS[0]
+    rate: float = RATES[0]
 
     def log_p(self, tokens: Tokens, strength: float) -> np.ndarray:
         """(tokens, 2): log p_c(w | v) for the ordinary and the toxic class."""
@@ -97,15 +99,15 @@ class Model:
         return np.log((n + (strength + self.context_free[context]) * p) / (self.context_n[context] + strength))
 
     def evidence(self, texts: list[str | None], choices: list[tuple[float, float]] | None = None) -> np.ndarray:
-        """(texts, choices) for each (strength, level): log of the length-normalised log ratio beyond the level."""
+        """(texts, choices) for each (strength, rate): the length-normalised difference of the two log-likelihoods."""
         tokens, columns, ratios = Tokens(texts), [], {}
         length = np.diff(tokens.per_doc()) + LENGTH_PRIOR
-        for strength, level in choices or [(self.strength, self.level)]:
+        for strength, rate in choices or [(self.strength, self.rate)]:
             if strength not in ratios:
                 both = self.log_p(tokens, strength)
-                ratios[strength] = np.clip(both[:, 1] - both[:, 0], -MOST, MOST)
-            beyond = np.bincount(tokens.doc, weights=np.maximum(ratios[strength] - level, 0), minlength=len(texts))
-            columns.append(np.log(beyond / length + 1e-3))
+                ratios[strength] = np.exp(both[:, 1] - both[:, 0])
+            difference = np.log1p(rate * (ratios[strength] - 1))
+            columns.append(np.bincount(tokens.doc, weights=difference, minlength=len(texts)) / length)
         return np.stack(columns, axis=1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     sizes = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     sample = docs.select("doc_id", "text").join(bounded(label_sample(rows, per_class)), "doc_id")
-    sample = written(sample.select("text", F.col("label").cast("int").alias("label"), (unit_hash(F.lit("part"), F.col("doc_id")) < 0.7).alias("counted")), "toxic-sample")
+    sample = written(sample.select("text", F.col("label").cast("int").alias("label"), (unit_hash(F.lit("part"), F.col("doc_id")) < 0.85).alias("counted")), "toxic-sample")
     pairs = written(bigram_counts(sample.where("counted")), "toxic-counts")
     words = pairs.groupBy("word").agg(F.count_if(F.expr("n0 > 0")).alias("k0"), F.count_if(F.expr("n1 > 0")).alias("k1"), F.count_if(F.expr("n0 > 0 and n1 > 0")).alias("k"))
     before = pairs.groupBy("context").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.expr("n0 > 0")).alias("t0"), F.count_if(F.expr("n1 > 0")).alias("t1"))
@@ -184,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if not (sizes.get(0) and sizes.get(1)):
         return model
 
-    shared_model, choices = docs.sparkSession.sparkContext.broadcast(model), list(product(STRENGTHS, LEVELS))
+    shared_model, choices = docs.sparkSession.sparkContext.broadcast(model), list(product(STRENGTHS, RATES))
     names = ["label", *(f"f{i}" for i in range(len(choices)))]
 
     def measure(batches):
@@ -199,13 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     # classes are drawn apart: their rows weigh as the classes do among all training rows
     weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
     least = np.inf
-    for (strength, level), name in zip(choices, names[1:], strict=True):
+    for (strength, rate), name in zip(choices, names[1:], strict=True):
         x = rest[name].to_numpy()
         curve = logistic(x[:, None], y, weight)
         z = np.clip(curve[0] + curve[1] * x, -60, 60)
         loss = float((weight * np.log1p(np.exp(np.where(y == 1, -z, z)))).sum())
         if curve[1] > 0 and loss < least:
-            least, model.curve, model.strength, model.level = loss, (float(curve[0]), float(curve[1])), strength, level
+            least, model.curve, model.strength, model.rate = loss, (float(curve[0]), float(curve[1])), strength, rate
     return model
 
 

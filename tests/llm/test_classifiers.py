@@ -1,5 +1,6 @@
 """Toxicity, language identification and importance resampling."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factframe.llm import ecoc, kneser_ney, resample
+from factframe.llm import ecoc, hashing, kneser_ney, resample
 from factframe.llm.common import fold
 from factframe.llm.hashing import Tokens
 
@@ -104,6 +105,37 @@ def test_kneser_ney_probabilities_equal_brute_force(spark, monkeypatch):
             for c in (0, 1):
                 assert abs(np.exp(got[i, c]) - conditional(c, v, w, 100.0)) < 1e-6
 
+    # the whole score: both signs of every word's difference, divided by the length
+    model.curve, model.strength, model.rate = (-0.3, 90.0), 500.0, 0.02
+    texts = ["w1 w2 w3", "w11 w0", "nowhere w1 seen", "", None, *(r[1] for r in rows)]
+    signs = set()
+    for text, score in zip(texts, model.scores(texts).tolist(), strict=True):
+        t, summed = (text or "").split(), 0.0
+        for v, w in zip([None, *t], t):
+            ordinary, toxic = (conditional(c, v, w, 500.0) for c in (0, 1))
+            part = math.log(0.98 * ordinary + 0.02 * toxic) - math.log(ordinary)
+            signs.add(part > 0)
+            summed += part
+        assert score == pytest.approx(1 / (1 + math.exp(0.3 - 90.0 * summed / (len(t) + kneser_ney.LENGTH_PRIOR))), abs=1e-5)
+    assert signs == {True, False}
+
+
+def test_a_frequent_pair_counts_beside_its_words():
+    """At the largest strength too: the same words with another pair get another score."""
+
+    def model(pair_toxic):
+        hashes = Tokens(["so long"]).hash
+        key = np.array([hashing.pair(hashes[:1], hashes[1:])[0]], np.uint64).view(np.int64)
+        word = hashes.view(np.int64)
+        pairs = {"key": key, "n0": np.array([900]), "n1": np.array([pair_toxic])}
+        words = {"word": word, "k0": np.array([40, 60]), "k1": np.array([40, 60]), "k": np.array([30, 50])}
+        before = {"context": word[:1], "n0": np.array([60_000]), "n1": np.array([60_000]), "t0": np.array([500]), "t1": np.array([500])}
+        found = kneser_ney.estimate(pairs, words, before)
+        return found.evidence(["so long"], [(max(kneser_ney.STRENGTHS), 0.01)])[0, 0]
+
+    assert model(30_000) > model(900) > model(2)
+    assert model(30_000) - model(900) > 0.0002
+
 
 def test_toxicity_of_conflicting_labels_and_repeated_rows(spark, toy):
     """The largest label of an id counts, whatever the order; null ids and labels count for nothing."""
