@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factframe.operators import events as E
+from factframe.operators.asof import asof_before
 from factframe.operators import series as S
 from factframe.registry import query
 from factframe.sources.tables import LINES_SQL, fact_lines, money, quarter_end, table
@@ -33,6 +34,22 @@ def asof_strictly_before(spark, sf_dir):
     return S.asof_before(actions, risks, ["user_id"], "ts", "risk_ts", ["risk_ts", "risk_id", "risk_value"])
 
 
+# half of all events are one user's
+_HALF_SQL = "h AS (SELECT event_id, ts, event_type, value, CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS user_id FROM events)"
+
+
+@query(f"""WITH {_HALF_SQL}, a AS (SELECT event_id, user_id, ts, value FROM h WHERE event_type IN ('purchase', 'click')), r AS (SELECT user_id, ts, max(event_id) AS risk_id, max_by(value, event_id) AS risk_value FROM h WHERE event_type = 'error' GROUP BY ALL)
+SELECT a.event_id, a.user_id, a.ts, a.value, r.ts AS risk_ts, r.risk_id, r.risk_value FROM a ASOF LEFT JOIN r ON a.user_id = r.user_id AND a.ts > r.ts""")
+def asof_of_a_hot_user(spark, sf_dir):
+    """As-of association where one user has half of all events: its rows are spread over ranges of time."""
+    user = F.when(F.col("event_id") % 2 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", user.alias("user_id"))
+    actions = events.where("event_type in ('purchase', 'click')").select("event_id", "user_id", "ts", "value")
+    risk = F.struct(F.col("ts").alias("risk_ts"), F.col("event_id").alias("risk_id"), F.col("value").alias("risk_value"))
+    found = asof_before(actions, events.where("event_type = 'error'"), ["user_id"], "ts", risk, ["event_id"], name="risk")
+    return found.select("event_id", "user_id", "ts", "value", "risk.risk_ts", "risk.risk_id", "risk.risk_value")
+
+
 _LEDGER_SQL = """l AS (
   SELECT 'rating' AS section, ts AS happened_at, 'rating ' || CAST(user_id AS VARCHAR) AS label, event_id AS evidence_id, value AS amount FROM events WHERE event_type = 'view'
   UNION ALL SELECT 'dividend', ts, 'dividend ' || CAST(user_id AS VARCHAR), event_id, value FROM events WHERE event_type = 'purchase'

@@ -1,11 +1,14 @@
-"""Extraction held against expectations with wildcards."""
+"""Extraction held against expectations with wildcards, and pairs of similar sets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factframe.functions.text import keywords
 from factframe.operators.matching import match_quality
+from factframe.operators.similarity import similar_sets
+from factframe.plans.text import _KEYWORDS_SQL
 from factframe.registry import query
 from factframe.sources.tables import table
 
@@ -53,3 +56,21 @@ def wildcard_match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = {"quarter": F.col("l_orderkey") % 5, "flag": F.col("l_linenumber") % 3, "status": F.col("l_partkey") % 7}
     expected = lines.where("l_quantity > 5").withColumns({c: F.when(rest != 0, F.col(c)) for c, rest in open_.items()})
     return match_quality(expected, found, ["company_id"], FIELDS, ORDER)
+
+
+_SIMILAR_SQL = """o AS (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM t x JOIN t y ON x.w = y.w AND x.k < y.k GROUP BY ALL),
+n AS (SELECT k, count(*) AS n FROM t GROUP BY k)
+SELECT a, b, shared, shared / (x.n + y.n - shared) AS jaccard FROM o JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE shared / (x.n + y.n - shared) > {}"""
+
+
+@query(f"WITH t AS (SELECT item_id AS k, unnest(list_distinct({_KEYWORDS_SQL.format('text')})) AS w FROM benchmark), {_SIMILAR_SQL.format(0.1)}")
+def similar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of similar wording, by the rarest words of each."""
+    return similar_sets(table(spark, sf_dir, "benchmark").select("item_id", keywords(F.col("text")).alias("ws")), "item_id", "ws", 0.1)
+
+
+@query(f"WITH t AS (SELECT DISTINCT l_orderkey AS k, l_partkey // 5 AS w FROM lineitem), {_SIMILAR_SQL.format(0.3)}")
+def similar_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of similar groups of parts."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.floor(F.col("l_partkey") / 5).alias("part"))
+    return similar_sets(lines.groupBy("order").agg(F.collect_set("part").alias("parts")), "order", "parts", 0.3)
