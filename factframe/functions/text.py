@@ -29,7 +29,7 @@ def name_tokens(name: Column) -> Column:
     return F.filter(plain, lambda t: ~t.isin("", *HONORIFICS))
 
 
-#: A word, with one apostrophe inside, or a number.
+# Fixed value: a word, with one apostrophe inside, or a number.
 TOKEN = r"[a-z]+(?:'[a-z]+)?|[0-9]+(?:\.[0-9]+)?"
 
 
@@ -71,7 +71,7 @@ OCR_REPAIRS = (
     (r"(?<!\d)(\d+)\.(\d{3})\.(\d{2})(?!\d)", "$1,$2.$3"),
     (r"(?<!\d)(\d+)\.(\d{3}) (\d{2})(?!\d)", "$1,$2.$3"),
 )
-#: A number in parentheses, a dash that stands alone, or a grouped number.
+# Fixed value: a number in parentheses, a dash that stands alone, or a grouped number.
 NUMBER = r"\([\d,]+(?:\.\d+)?\)|(?<!\w)-(?!\w)|[\d,]+(?:\.\d+)?"
 
 
@@ -86,25 +86,6 @@ def number_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
 
 
-def first_values(text: Column, n: int = 6, window: int = 1500) -> Column:
-    """Up to n numbers from a text's first lines that hold nothing else, as a table's row does: a line with words ends them once they have begun.
-
-    The rule is defined on the first `window` characters after a label.
-    """
-    lines = F.split(fix_ocr_numbers(F.substring(text, 1, window)), "\n")
-    start = F.struct(F.lit(False).alias("on"), F.lit(False).alias("over"), F.array().cast("array<double>").alias("values"))
-
-    def step(state, line):
-        found, blank = number_tokens(line), F.trim(line) == ""
-        pure = (F.size(found) > 0) & (F.trim(F.regexp_replace(F.regexp_replace(line, NUMBER, ""), r"[|\[\]_]+", "")) == "")
-        values = F.filter(F.transform(found, parse_number), lambda v: v.isNotNull())
-        ended = state["over"] | (state["on"] & ~pure & ~blank)
-        taken = F.when(pure & ~ended, F.concat(state["values"], values)).otherwise(state["values"])
-        return F.struct((state["on"] | pure).alias("on"), ended.alias("over"), taken.alias("values"))
-
-    return F.slice(F.aggregate(lines, start, step)["values"], 1, n)
-
-
 # Characters beyond ASCII that financial text may hold.
 SAFE = "₹–—‘’“”…\u00a0"
 #: Marks stripped from both ends of a word before it is looked at.
@@ -150,7 +131,7 @@ def high_confidence_risk(text: Column, recurrence: Column) -> Column:
 
 # Cues of forward guidance, with a number within 80 characters.
 GUIDANCE = r"(?i)\b((?:target(?:ing)?|guidance|aspir\w+|stated\s+range|aiming\s+to\s+achieve|intend(?:ing)?\s+to\s+increase)[^.\n]{0,80}?\d[^.\n]{0,40})"
-#: A number or range with a unit, as targets are stated.
+# Fixed value: a number or range with a unit, as targets are stated.
 TARGET = r"(?i)(?:<\s*)?\d[\d,]*(?:\.\d+)?(?:\s*-\s*\d[\d,]*(?:\.\d+)?)?\s*(?:%|x\b|mtpa|tco2e?|crores?|cr\b)"
 
 

@@ -1,85 +1,14 @@
-"""Queries of extractors over short invented filings; their oracles are the answers worked out by hand."""
+"""Queries of what filings are written in: shares or percent, local times, a bank's form of accounts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factframe.functions import dates as D
-from factframe.functions import filings as L
 from factframe.registry import query
-from factframe.sources import samples
 from factframe.sources.tables import table
 
 
-def _texts(spark, texts) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-
-
-@query("""SELECT * FROM (VALUES (0, 'final', CAST(12.5 AS DOUBLE), '2024-07-18', '2024-08-02'), (0, 'special', 3, '2024-07-18', '2024-08-02'), (1, 'interim', 7.25, '2023-08-09', NULL)) v(id, dividend_type, per_share, record_date, payment_date)""")
-def extract_dividends(spark, sf_dir):
-    text, dates = F.col("text"), L.dividend_dates(F.col("text"))
-    return _texts(spark, samples.DIVIDENDS).select("id", F.explode(L.dividends(text)).alias("_d"), dates.alias("_w")).select("id", "_d.*", "_w.*")
-
-
-@query("""SELECT * FROM (VALUES (0, '2024-06-03', 12034567), (1, '2022-03-09', 5000), (2, NULL, 40500), (3, NULL, NULL)) v(id, record_date, shares_bought)""")
-def extract_buybacks(spark, sf_dir):
-    return _texts(spark, samples.BUYBACKS).select("id", L.buyback(F.col("text")).alias("_b")).select("id", "_b.*")
-
-
-@query("""SELECT * FROM (VALUES (0, 'Northlight Systems Private Limited', 'cash', CAST(65.5 AS DOUBLE), 'usd_million', CAST(80 AS DOUBLE), '2025-03-31'), (1, 'Bluewater Foods Limited', 'share_swap', 1.25, 'usd_billion', 100, NULL), (2, NULL, NULL, NULL, NULL, NULL, NULL))
-v(id, target_name, consideration, enterprise_value, unit, stake_pct, expected_completion)""")
-def extract_acquisitions(spark, sf_dir):
-    return _texts(spark, samples.ACQUISITIONS).select("id", L.acquisition(F.col("text")).alias("_a")).select("id", "_a.*")
-
-
-_CUT_SQL = r"(?is)^(.*?)(Annexure\s*[-–]?\s*{}\b\s*\n.*)$"
-
-
-@query(f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"({i}, {chr(39)}{t.replace(chr(39), chr(39) * 2)}{chr(39)})" for i, t in enumerate(samples.ACQUISITIONS))}) v(id, text)),
-r AS (SELECT id, CASE WHEN regexp_matches(text, '{_CUT_SQL.format('A')}') THEN regexp_extract(text, '{_CUT_SQL.format('A')}', 1) ELSE text END AS cover, regexp_extract(text, '{_CUT_SQL.format('A')}', 2) AS rest FROM t)
-SELECT id, md5(cover) AS cover, md5(CASE WHEN regexp_matches(rest, '{_CUT_SQL.format('B')}') THEN regexp_extract(rest, '{_CUT_SQL.format('B')}', 1) ELSE rest END) AS a, md5(regexp_extract(rest, '{_CUT_SQL.format('B')}', 2)) AS b FROM r""")
-def split_annexures(spark, sf_dir):
-    parts = L.annexures(F.col("text"))
-    return _texts(spark, samples.ACQUISITIONS).select("id", *[F.md5(parts[p]).alias(p) for p in ("cover", "a", "b")])
-
-
-@query("""SELECT * FROM (VALUES (0, 'CRISIL', 'Long-term Bank Facilities', 'CRISIL AA+ (Stable)', 'stable', CAST(1250.5 AS DOUBLE), 'reaffirmed'), (0, 'CRISIL', 'Commercial Paper', 'CRISIL A1+', NULL, 300, 'downgraded'), (0, 'CRISIL', 'Term Loan', '[ICRA] A-', 'negative', 75, 'downgraded'),
-(1, NULL, 'Letter of Credit', NULL, NULL, 10, 'assigned')) v(id, agency, instrument, rating, outlook, amount, action)""")
-def extract_ratings(spark, sf_dir):
-    text = F.col("text")
-    rows = _texts(spark, samples.RATINGS).select("id", L.first_of(text, L.AGENCIES).alias("agency"), F.explode(L.rating_lines(F.split(text, "\n"))).alias("_r"))
-    return rows.select("id", "agency", "_r.*")
-
-
-@query("""SELECT * FROM (VALUES (0, CAST(98.7654 AS DOUBLE), CAST(1.2346 AS DOUBLE)), (1, 99.5, 0.5), (2, NULL, NULL), (3, NULL, NULL)) v(id, pct_for, pct_against)""")
-def extract_votes(spark, sf_dir):
-    return _texts(spark, samples.VOTES).select("id", L.vote_shares(F.col("text")).alias("_v")).select("id", "_v.*")
-
-
-@query("""SELECT * FROM (VALUES (0, 1, 'Adoption of accounts for the year', 'ordinary', 'passed'), (0, 2, 'Appointment with a special allowance', 'special', 'not_passed')) v(id, number, title, resolution_type, outcome)""")
-def extract_resolutions(spark, sf_dir):
-    return _texts(spark, samples.MEETINGS).select("id", F.explode(L.resolutions(F.col("text"))).alias("_r")).select("id", "_r.*")
-
-
-# Classes of public holders by their axis, tested in this order.
-_HOLDERS = (("mutual_fund", "MutualFund"), ("insurance", "InsuranceCompanies"), ("fpi", "ForeignPortfolio"), ("other_institution", "^OtherInstitutions$"), ("other_non_institution", "^OtherNonInstitutions$"), ("individual_hni", "Individual.*InExcessOfRsTwoLakh|InExcessOfRsTwoLakh.*Individual"))
-
-
-@query("""SELECT * FROM (VALUES (0, 'MutualFunds', 'mutual_fund', CAST(4.12 AS DOUBLE)), (0, 'ForeignPortfolioInvestors', 'fpi', 11.85), (0, 'PromoterGroup', NULL, 71.77), (1, 'InsuranceCompanies', 'insurance', 5.5), (1, 'OthersIndianShareholders', NULL, 1.0),
-(1, 'IndividualHoldingInExcessOfRsTwoLakh', 'individual_hni', 0.9)) v(id, axis, holder, share)""")
-def extract_holdings(spark, sf_dir):
-    """Tagged percentages by context, the last of a context counts; a document is in percent if any value is above 1.5, else in shares of one."""
-    each = r'<Pct contextRef="([^"]*)">([^<]*)</Pct>'
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(each), F.lit(1)).alias("context"), F.regexp_extract_all("text", F.lit(each), F.lit(2)).alias("value"))
-    tagged = _texts(spark, samples.HOLDINGS).select("id", F.posexplode(pairs).alias("_at", "_p"))
-    facts = tagged.groupBy("id", F.col("_p.context").alias("context")).agg(F.max_by("_p.value", "_at").cast("double").alias("value"))
-    scale = facts.groupBy("id").agg(F.when(F.max("value") > 1.5, 1.0).otherwise(100.0).alias("_scale"))
-    axis = F.regexp_replace(F.regexp_replace("context", "^D_", ""), r"_Context\d+$", "")
-    kind = F.when(~(F.col("axis").contains("Promoter") | (F.col("axis") == "OthersIndianShareholders")), F.coalesce(*[F.when(F.col("axis").rlike(p), F.lit(n)) for n, p in _HOLDERS]))
-    return facts.join(scale, "id").select("id", axis.alias("axis"), F.round(F.col("value") * F.col("_scale"), 4).alias("share")).withColumn("holder", kind)
-
-
 @query("""WITH p AS (SELECT l_orderkey AS evidence_id, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 2 = 0 THEN l_discount * 100 ELSE l_discount END AS v FROM lineitem)
 SELECT evidence_id, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN max(v) OVER (PARTITION BY evidence_id) > 1.5 THEN v ELSE v * 100 END, 4) AS pct FROM p""")
 def percent_scale(spark, sf_dir):
@@ -90,14 +19,6 @@ def percent_scale(spark, sf_dir):
     return rows.join(most, "evidence_id").select("evidence_id", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.when(F.col("_most") > 1.5, F.col("v")).otherwise(F.col("v") * 100), 4).alias("pct"))
 
 
-_DATES = ("on March 5, 2024 the", "November 25 2023", "12 March 2024", "Smarch 1, 2020 or May 2, 2020", "", "dated december 31, 1999.")
-
-
-@query("""SELECT * FROM (VALUES (0, '2024-03-05'), (1, '2023-11-25'), (2, NULL), (3, NULL), (4, NULL), (5, '1999-12-31')) v(id, day)""")
-def written_dates(spark, sf_dir):
-    return _texts(spark, _DATES).select("id", D.written_date(F.col("text")).alias("day"))
-
-
 @query("""WITH t AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 3 = 0 THEN '.123' ELSE '' END AS raw, ts FROM events)
 SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE date_trunc('second', ts) - INTERVAL 330 MINUTE END AS at, CASE WHEN CAST(ts AS DATE) < make_date(year(ts), 3, 31) THEN make_date(year(ts) - 1, 3, 31) ELSE make_date(year(ts), 3, 31) END AS year_end FROM t""")
 def utc_times(spark, sf_dir):
@@ -107,17 +28,6 @@ def utc_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", D.utc_time(F.when(n % 7 == 0, "soon").otherwise(raw)).alias("at"), D.fiscal_year_end(F.to_date("ts")).alias("year_end"))
 
 
-_LINES = ("Steel", "  ", "Total segment", "SEGMENT REVENUE", "Power & Grid", "BANKING", "Eliminations", "IT Services", "reconciling items", "A1 UNIT")
-
-
-@query("""SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, false), (4, true), (5, false), (6, false), (7, true), (8, false), (9, true)) v(id, candidate)""")
-def segment_candidates(spark, sf_dir):
-    """Lines that may name a segment: no heading or total, and not all capitals."""
-    line = F.trim("text")
-    heading = line.rlike(r"(?i)^(?:Total|Less|Add|Unallocable|Eliminat|Reconcil|Corporate|SEGMENT|Revenue|Result|Note|Refer)")
-    return _texts(spark, _LINES).select("id", ((line != "") & ~heading & ~line.rlike(r"^[A-Z ]+$")).alias("candidate"))
-
-
 _BANK = (r"(?i)Interest\s+Earned|Net\s+Interest\s+Income", r"\b(?:Bank|BANK|Banking|BANKING)\b")
 
 
@@ -129,57 +39,3 @@ def banking_filings(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(cover, "text").alias("text"))
     head = F.substring("text", 1, 15000)
     return docs.select("doc_id", (~F.lower(head).contains("revenue from operations") & (head.rlike(_BANK[0]) | F.substring("text", 1, 2000).rlike(_BANK[1]))).alias("banking"))
-
-
-@query("""SELECT * FROM (VALUES (0, 'annual', '2025-03-31', 'financial_revenue', CAST(4600.75 AS DOUBLE)), (0, 'annual', '2025-03-31', 'financial_other_income', 290), (0, 'annual', '2025-03-31', 'financial_finance_cost', 45),
-(1, 'quarterly', '2024-09-30', 'financial_revenue', 900), (1, 'quarterly', '2024-09-30', 'financial_profit_before_tax', 0), (1, 'quarterly', '2024-09-30', 'financial_trade_receivables', 310)) v(id, period_type, period, kind, value)""")
-def extract_results(spark, sf_dir):
-    filed = _texts(spark, samples.RESULTS).withColumn("_p", L.filing_period(F.col("text")))
-    return filed.select("id", "_p.*", F.explode(L.result_rows(F.col("text"), F.col("_p.period_type"))).alias("_r")).select("id", "period_type", "period", "_r.*")
-
-
-@query("""SELECT * FROM (VALUES (0, '2025-03-31', 'esg_ghg_scope1', CAST(12345.5 AS DOUBLE)), (0, '2025-03-31', 'esg_ghg_scope2', 188000), (1, '2024-03-31', 'esg_ghg_scope1', 77)) v(id, period, kind, value)""")
-def extract_sustainability(spark, sf_dir):
-    filed = F.lit("2026-06-01").cast("date")
-    return _texts(spark, samples.SUSTAINABILITY).select("id", L.report_year_end(F.col("text"), filed).alias("period"), F.explode(L.sustainability(F.col("text"))).alias("_r")).select("id", "period", "_r.*")
-
-
-@query("""SELECT * FROM (VALUES (0, ['Currency swings', 'Cyber attack on plants', 'Loss of key staff'], NULL, NULL), (1, [], CAST(1012.5 AS DOUBLE), CAST(12.6 AS DOUBLE))) v(id, risks, csr_spend, attrition)""")
-def extract_annual_reports(spark, sf_dir):
-    return _texts(spark, samples.ANNUALS).select("id", L.annual_report(F.col("text")).alias("_a")).select("id", "_a.*")
-
-
-@query("""SELECT * FROM (VALUES (0, '2025-03-31', 'annual', 'Our vision is to lead the market for safe water', ['Grow exports', 'Expand retail network']), (1, '2023-06-30', 'quarterly', NULL, []), (2, NULL, NULL, NULL, [])) v(id, period, period_type, aspiration, priorities)""")
-def extract_decks(spark, sf_dir):
-    return _texts(spark, samples.DECKS).select("id", L.deck(F.col("text")).alias("_d")).select("id", "_d.*")
-
-
-@query("""SELECT * FROM (VALUES (0, 'FY23', '10.5%'), (0, 'FY24', '11%'), (0, 'FY25', '12.25%'), (1, 'FY23', '4%'), (1, 'FY24', '5%')) v(id, year, value)""")
-def chart_values(spark, sf_dir):
-    chart = F.substr(F.col("text"), F.greatest(F.lit(1), F.locate("FY", F.col("text"))))
-    return _texts(spark, samples.DECKS).select("id", F.explode(L.year_values(chart)).alias("_p")).select("id", "_p.*")
-
-
-@query("""SELECT * FROM (VALUES (0, 'fundraise', 'QIP', NULL, CAST(3000 AS DOUBLE)), (0, 'fundraise', 'rights_issue', NULL, 3000), (0, 'appointment', 'Maya Lindqvist', 'Chief Financial Officer', NULL), (0, 'resignation', 'Otto Brandt', 'Independent Director', NULL), (1, 'reappointment', 'Maya Lindqvist', NULL, NULL)) v(id, topic, item, role, amount)""")
-def extract_board_outcomes(spark, sf_dir):
-    """A board's decisions, topic by topic, in one shape."""
-    text, none = F.col("text"), F.lit(None)
-    letters = _texts(spark, samples.BOARD)
-    funds = letters.select("id", F.explode(L.fundraises(text)).alias("_f")).select("id", F.lit("fundraise").alias("topic"), F.col("_f.fundraise_type").alias("item"), none.cast("string").alias("role"), "_f.amount")
-    people = letters.select("id", F.explode(L.office_changes(text)).alias("_c")).select("id", F.col("_c.change_type").alias("topic"), F.col("_c.name").alias("item"), "_c.role", none.cast("double").alias("amount"))
-    return funds.unionByName(people)
-
-
-@query("""SELECT * FROM (VALUES (2, CAST(4000000 AS DOUBLE), CAST(3275 AS DOUBLE), CAST(1310 AS DOUBLE))) v(id, shares_offered, price_per_share, amount)""")
-def extract_buyback_terms(spark, sf_dir):
-    return _texts(spark, samples.BOARD).select("id", L.buyback_terms(F.col("text")).alias("_b")).select("id", "_b.*").where("amount is not null")
-
-
-@query("""SELECT * FROM (VALUES ('annual_report', 'supported', 2), ('board_outcome', 'supported', 3), ('brsr', 'supported', 3), ('financial_results', 'supported', 3), ('investor_presentation', 'supported', 3), ('letter', 'no analyzer', 1)) v(kind, status, n)""")
-def dispatch_by_kind(spark, sf_dir):
-    """Documents to the extractor of their kind; a kind without one is an error row, not a lost document."""
-    kinds = {"financial_results": samples.RESULTS, "brsr": samples.SUSTAINABILITY, "annual_report": samples.ANNUALS, "investor_presentation": samples.DECKS, "board_outcome": samples.BOARD, "letter": ("Dear all",)}
-    docs = spark.createDataFrame([(k, t) for k, ts in kinds.items() for t in ts], "kind string, text string")
-    t, k = F.col("text"), F.col("kind")
-    facts = F.when(k == "financial_results", F.to_json(L.result_rows(t, L.filing_period(t)["period_type"]))).when(k == "brsr", F.to_json(L.sustainability(t))).when(k == "annual_report", F.to_json(L.annual_report(t))).when(k == "investor_presentation", F.to_json(L.deck(t))).when(k == "board_outcome", F.to_json(L.office_changes(t)))
-    return docs.select("kind", facts.alias("facts")).groupBy("kind", F.when(F.col("facts").isNull(), "no analyzer").otherwise("supported").alias("status")).agg(F.count("*").alias("n"))

@@ -36,14 +36,14 @@ _VERSIONS_SQL = "v(name, version) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for
 _AFFECTS_SQL = f"""{_VERSIONS_SQL}, digests AS (SELECT name AS kind, sha256(name || '|{VERSIONS['ontology']}|{VERSIONS['parser']}|{VERSIONS['shared_parser']}|' || version) AS digest FROM v WHERE name IN ({', '.join(f"'{k}'" for k in ANALYZERS)}))"""
 
 
-@query(f"WITH {_AFFECTS_SQL} SELECT kind, digest, (SELECT sha256(string_agg(name || '=' || version, '|' ORDER BY name)) FROM v) AS build FROM digests")
-def build_digests(spark, sf_dir):
-    """Each kind's digest and the build's, from the table of versions."""
-    rows = spark.createDataFrame(_VERSION_ROWS, "name string, version string")
-    whole = rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "version"))), lambda r: F.concat(r["name"], F.lit("="), r["version"])), "|").cast("binary"), 256).alias("build"))
-    parts = F.concat_ws("|", "name", F.lit(VERSIONS["ontology"]), F.lit(VERSIONS["parser"]), F.lit(VERSIONS["shared_parser"]), "version")
-    kinds = rows.where(F.col("name").isin(*ANALYZERS)).select(F.col("name").alias("kind"), F.sha2(parts.cast("binary"), 256).alias("digest"))
-    return kinds.join(F.broadcast(whole), F.col("build").isNotNull())  # one row
+@query("""WITH v AS (SELECT user_id, event_type AS name, '1.' || count(*) AS version FROM events GROUP BY ALL)
+SELECT user_id, sha256(string_agg(name || '=' || version, '|' ORDER BY name)) AS build, count(*) AS n_parts FROM v GROUP BY user_id""")
+def build_fingerprints(spark, sf_dir):
+    """Each user's build: a digest of what it is made of and the version of each part, by name."""
+    parts = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("name")).agg(F.concat(F.lit("1."), F.count("*").cast("string")).alias("version"))
+    listed = F.array_sort(F.collect_list(F.struct("name", "version")))
+    text = F.array_join(F.transform(listed, lambda r: F.concat(r["name"], F.lit("="), r["version"])), "|")
+    return parts.groupBy("user_id").agg(F.sha2(text.cast("binary"), 256).alias("build"), F.count("*").alias("n_parts"))
 
 
 def _stored(spark, sf_dir):

@@ -24,31 +24,33 @@ def slugs_and_cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"), S.safe_cell(F.concat("p_name", F.lit("\n | "), "p_type")).alias("cell"))
 
 
-_ROLES = ("Chief Executive, ", "Director with effect from May 1", "Managing Director of the Company, subject to approval", "Member w.e.f. June", "Auditor, subject to consent")
+_TAILS = (", ", " with effect from May 1", " of the Company, subject to approval", " w.e.f. June", ", subject to consent")
 
 
-@query("SELECT * FROM (VALUES (0, 'Chief Executive'), (1, 'Director'), (2, 'Managing Director'), (3, 'Member'), (4, 'Auditor')) v(id, role)")
-def clean_roles(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(_ROLES)), "id int, raw string").select("id", S.clean_role(F.col("raw")).alias("role"))
+@query("SELECT c_custkey AS id, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Director' AS role FROM customer")
+def roles_cleaned(spark, sf_dir):
+    """Roles without what follows them."""
+    tail = F.get(F.array(*[F.lit(t) for t in _TAILS]), (F.col("c_custkey") % len(_TAILS)).cast("int"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), S.clean_role(F.concat(F.initcap("c_mktsegment"), F.lit(" Director"), tail)).alias("role"))
 
 
-_SCORES = ("3", "9", "-2", "four", None, "5")
-
-
-@query("SELECT * FROM (VALUES (0, 3, 'low'), (1, 5, 'low'), (2, 1, 'low'), (3, 1, 'low'), (4, 1, 'low'), (5, 5, 'low')) v(id, score, confidence) UNION ALL SELECT * FROM (VALUES (6, 1, 'high'), (7, 1, 'medium')) w")
-def clamped_scores(spark, sf_dir):
-    """Scores within 1 to 5, and confidence among three words, else low."""
-    given = spark.createDataFrame([*enumerate(_SCORES), (6, "high"), (7, "medium")], "id int, raw string")
+@query("""SELECT event_id AS id, CASE WHEN event_id % 4 < 2 THEN greatest(1, least(5, CAST(trunc(value) - 30 AS INTEGER))) ELSE 1 END AS score, CASE WHEN event_id % 4 = 2 THEN ['low', 'medium', 'high'][1 + user_id % 3] ELSE 'low' END AS confidence FROM events""")
+def scores_clamped(spark, sf_dir):
+    """Scores within 1 to 5, and confidence among three words, else low: replies hold one, the other, or neither."""
+    n = F.col("event_id")
+    words = F.get(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("user_id") % 3).cast("int"))
+    raw = F.when(n % 4 < 2, (F.col("value").cast("int") - 30).cast("string")).when(n % 4 == 2, words).otherwise("unsure")
+    given = table(spark, sf_dir, "events").select(n.alias("id"), raw.alias("raw"))
     known = F.coalesce(F.when(F.col("raw").isin("high", "medium", "low"), F.col("raw")), F.lit("low"))
     return given.select("id", S.clamp(F.col("raw")).alias("score"), known.alias("confidence"))
 
 
-_REPLIES = ('{"a": 1}', '```json\n{"a": 2}\n```', 'Sure! {"a": 3} Hope it helps.', "no object", '{"a": ', "[1, 2]", None)
-
-
-@query("SELECT * FROM (VALUES (0, '1'), (1, '2'), (2, '3'), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) v(id, a)")
-def lenient_replies(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(_REPLIES)), "id int, raw string").select("id", F.get_json_object(S.lenient_json(F.col("raw")), "$.a").alias("a"))
+@query("SELECT event_id AS id, CASE WHEN event_id % 6 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events")
+def replies_parsed(spark, sf_dir):
+    """The object in a reply, bare, fenced or amid words; cut ones, lists and prose have none."""
+    n, props = F.col("event_id") % 6, F.col("props")
+    raw = F.when(n == 0, props).when(n == 1, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(n == 2, F.concat(F.lit("Sure! "), props, F.lit(" Hope it helps."))).when(n == 3, F.substring(props, 1, 6)).when(n == 4, "[1, 2]").otherwise("no object")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get_json_object(S.lenient_json(raw), "$.k").alias("k"))
 
 
 @query("""SELECT user_id, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'build ' || left(md5(CAST(user_id AS VARCHAR)), 8) || ' · ' || CAST(count(*) AS VARCHAR) || ' assertions' || CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN ' · ' || CAST(count(*) FILTER (event_type = 'view') AS VARCHAR) || ' documents' ELSE '' END

@@ -173,21 +173,6 @@ def ocr_number_fix(spark, sf_dir):
     return tokens.withColumn("value", X.parse_number(F.col("token")))
 
 
-_ROWS = (
-    ("Revenue from operations\n 2,37,983 1,20,000.50 (340)\n - 5\nOther income\n 77", 24),
-    ("Note\n\n(4) Items kept apart\n31,260.78] | 30,271.55\n7\n\n8\nSUM - ITEMS 9", 4),
-    ("Label 12 apart\nno number", 0),
-    ("a\n1 2 3 4 5 6 7 8", 1),
-)
-
-
-@query("""SELECT * FROM (VALUES (0, [237983.0, 120000.5, -340.0, 0.0, 5.0]), (1, [31260.78, 30271.55, 7.0, 8.0]), (2, CAST([] AS DOUBLE[])), (3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])) v(id, found)""")
-def values_after_label(spark, sf_dir):
-    """The first six numbers of the rows of figures that follow a label; the oracle is the answers worked out by hand."""
-    rows = spark.createDataFrame([(i, t, at) for i, (t, at) in enumerate(_ROWS)], "id int, text string, at int")
-    return rows.select("id", X.first_values(F.substr(F.col("text"), F.col("at") + 1)).alias("found"))
-
-
 _SUBJECTS = (
     "Sub: Schedule of investor calls\n", "Sub - Submission of presentation\n", "SUB: Note on related party transactions of the half year\n", "Sub: note uncler Regu1ation 23 ( 9 )\n",
     "Sub: Intimation regarding the Annual Report\n", "Sub: Intimation under Regulation 30\n", "", "Sub:\n",

@@ -29,13 +29,13 @@ def test_zero_prior_has_no_change(spark):
 
 
 def test_streaks_and_nearest_year(spark):
-    fpi = [11.24, 10.59, 10.28, 10.01, 9.66]
-    quarters = [day(d) for d in ("2025-03-31", "2025-06-30", "2025-09-30", "2025-12-31", "2026-03-31")]
+    fpi = [31.5, 29.0, 27.75, 26.5, 22.0]
+    quarters = [day(d) for d in ("2018-06-30", "2018-09-30", "2018-12-31", "2019-03-31", "2019-06-30")]
     df = spark.createDataFrame([("fpi", q, v) for q, v in zip(quarters, fpi)], "kind string, period date, v double")
     found = series.streaks(df, "v", ["kind"]).collect()
-    assert [(r.direction, r.first_period) for r in found] == [("falling", day("2025-12-31"))]
+    assert [(r.direction, r.first_period) for r in found] == [("falling", day("2019-03-31"))]
     near = series.yoy_nearest(df, "v", ["kind"]).collect()
-    assert [(r.period, r.prior_period) for r in near] == [(day("2026-03-31"), day("2025-03-31"))]
+    assert [(r.period, r.prior_period) for r in near] == [(day("2019-06-30"), day("2018-06-30"))]
 
 
 def test_asof_is_strict(spark):
