@@ -8,9 +8,10 @@ with the partition) is looked up among all shingles of every document, and pairs
 with enough of the sketch present become candidates. Candidates are verified by
 exact shingle containment. Everything is DataFrame operations.
 
-Documents' shingles are never shuffled before they are looked up: items are cut
-into slices small enough to broadcast, and every slice is looked up in a pass
-over the documents. One benchmark takes one pass.
+Documents' shingles are never shuffled before they are looked up: the items'
+shingles are cut into slices small enough to broadcast, each counted first, and
+every slice is looked up in a pass over the documents. One benchmark takes one
+pass. Items of equal texts are looked up once.
 
 A shingle is five consecutive words (letters, digits and underscores, case
 folded); an item of fewer words is one shingle of all its words and is looked
@@ -77,14 +78,14 @@ def sketches(shingles: DataFrame) -> DataFrame:
 
 
 def _sliced(table: DataFrame) -> list[DataFrame]:
-    """The table in slices of about SLICE_ROWS rows, whole items each, to broadcast one at a time."""
+    """The table in slices of about SLICE_ROWS rows by hash of the shingle, so a long item spreads over them like many short ones."""
     n = -(-table.count() // SLICE_ROWS) or 1
-    return [table if n == 1 else table.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [table if n == 1 else table.where(F.pmod(F.xxhash64(F.lit("slice"), "shingle"), F.lit(n)) == i) for i in range(n)]
 
 
 def _looked_up(docs: DataFrame, lengths: list[int], table: DataFrame) -> DataFrame:
-    """Shingles of documents joined with the table's rows of the same shingle, slice by slice."""
-    found = [_document_shingles(docs, lengths).join(F.broadcast(part), "shingle") for part in _sliced(table)]
+    """Shingles of documents joined with the table's rows of the same shingle, slice by slice; a slice that is larger than planned, of a shingle that very many items share, is joined by a shuffle."""
+    found = [_document_shingles(docs, lengths).join(bounded(part, 2 * SLICE_ROWS), "shingle") for part in _sliced(table)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -97,7 +98,13 @@ def _document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, containment: every pair whose document holds at least that share of the item's shingles."""
     docs = docs.select("doc_id", "text")
-    whole = written(item_shingles(items), "item-shingles")
+    # items of equal texts are looked for once, under the least of their ids
+    held_text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    told = items.where("item_id is not null").groupBy("item_id").agg(F.array_sort(F.collect_set(held_text)).alias("_texts"))
+    named = written(told.groupBy("_texts").agg(F.min("item_id").alias("rep"), F.count("*").alias("_n")), "item-texts")
+    members = told.join(bounded(named.where("_n > 1").select("_texts", "rep")), "_texts").select("item_id", "rep")
+    once = items.join(bounded(named.select(F.col("rep").alias("item_id"))), "item_id", "left_semi")
+    whole = written(item_shingles(once), "item-shingles")
     lengths = sorted(r["k"] for r in whole.select("k").distinct().collect()) or [SHINGLE]
     least = written(sketches(whole), "item-sketches")
 
@@ -112,7 +119,9 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     held = found.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("held"))
     same = held["doc_id"].eqNullSafe(candidates["doc_id"]) & (held["item_id"] == candidates["item_id"])
     share = F.col("held") / F.col("size")
-    return held.join(candidates, same).where(share >= containment).select(held["doc_id"], held["item_id"], share.alias("containment"))
+    contained = held.join(candidates, same).where(share >= containment).select(held["doc_id"], held["item_id"].alias("rep"), share.alias("containment"))
+    every = contained.join(bounded(members), "rep", "left")
+    return every.select("doc_id", F.coalesce("item_id", "rep").alias("item_id"), "containment")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -7,7 +7,10 @@ returns its captures as a run sorted by URL key, timestamp and id.
 
 Index: splitters from a sample of SPLITTERS captures a range cut every run into
 ranges; the pieces of a range, still sorted, meet in one task and a loser tree
-merges them. Ranges are cut by the full key, so a URL with very many captures
+merges them. Beyond COARSE ranges the sample is cut in two levels: a bounded part
+of it gives COARSE ranges, and tasks find the splitters inside each of them, so
+the driver sorts SPLITTERS * COARSE captures at most and gets one splitter for
+each RANGE_ROWS captures. Ranges are cut by the full key, so a URL with very many captures
 spans several of them; range after range is one global order.
 
 Reading: records are fetched by offset and parsed; the digest of a response is
@@ -43,7 +46,7 @@ ARCHIVE_BYTES = 32 << 20
 RUN_ROWS = 20_000
 RANGE_ROWS = 50_000
 #: Captures sampled for each range.
-SPLITTERS = 20
+SPLITTERS, COARSE = 20, 1_024
 _KEYS = ["url_key", "timestamp", "page_id"]
 _CAPTURE = "url_key string, timestamp string, page_id long, file string, offset long, length long"
 
@@ -101,6 +104,11 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+def order_key(url_key: str, timestamp: str, page_id: int | None) -> tuple:
+    """The index's order; captures without an id come before those with one."""
+    return url_key, timestamp, page_id is not None, page_id or 0
+
+
 def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Append _response: the id that a row's payload is stored under, null for rows that are responses themselves."""
     rows = pages.withColumn("_digest", F.unhex(F.sha1(F.coalesce(F.col("payload"), F.lit("").cast("binary")))))
@@ -120,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 
         def run():
             out.close()
-            held.sort(key=lambda c: (c[0], c[1], -1 if c[2] is None else c[2]))
+            held.sort(key=lambda c: order_key(*c[:3]))
             columns = list(zip(*held, strict=True))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*_KEYS, "file", "offset", "length"])
@@ -183,16 +191,47 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
         tree[0] = best
 
 
+def _quantiles(keys: list[tuple], parts: int) -> list[tuple]:
+    """Different keys that cut the sorted ones into so many parts."""
+    keys = sorted(keys)
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+
+
+def range_splitters(captures: DataFrame, ranges: int, n: int) -> list[tuple]:
+    """Keys that cut the captures into about equal ranges, from a sample."""
+    if ranges <= 1:
+        return []
+    of = lambda share: captures.where(unit_hash("file", "offset") < min(1.0, share / max(1, n))).select(*_KEYS)
+    coarse = min(ranges, COARSE)
+    outer = _quantiles([order_key(*r) for r in of(SPLITTERS * coarse).collect()], coarse)
+    if ranges <= COARSE:
+        return outer
+    shared, each = captures.sparkSession.sparkContext.broadcast(outer), -(-ranges // coarse)
+
+    def place(batches: Iterator[pa.RecordBatch]):
+        from bisect import bisect_right
+
+        for batch in batches:
+            where = [bisect_right(shared.value, order_key(*(r[c] for c in _KEYS))) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *batch.columns], names=["coarse", *_KEYS])
+
+    def inside(table: pa.Table) -> pa.Table:
+        found = _quantiles([order_key(*(r[c] for c in _KEYS)) for r in table.to_pylist()], each)
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        ids = [i if there else None for there, i in zip(columns[2], columns[3], strict=True)]
+        return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(ids, pa.int64())], names=_KEYS)
+
+    shape = "url_key string, timestamp string, page_id long"
+    placed = of(SPLITTERS * ranges).mapInArrow(place, f"coarse int, {shape}")
+    inner = [order_key(*r) for r in placed.groupBy("coarse").applyInArrow(inside, shape).collect()]
+    return sorted({*outer, *inner})
+
+
 def merge_index(captures: DataFrame) -> DataFrame:
     """range, position and the capture: globally ordered by url_key, timestamp, page_id over (range, position)."""
     n = captures.count()
-    ranges = -(-n // RANGE_ROWS)
-    drawn = unit_hash("file", "offset") < min(1.0, SPLITTERS * ranges / max(1, n))
-    sample = captures.where(drawn).select(*_KEYS).collect() if ranges > 1 else []
-    ordered = sorted((r[0], r[1], -1 if r[2] is None else r[2]) for r in sample)
-    splitters = sorted({ordered[len(ordered) * i // ranges] for i in range(1, ranges)}) if ordered else []
-    shared = captures.sparkSession.sparkContext.broadcast(splitters)
-    key = lambda r: (r["url_key"], r["timestamp"], -1 if r["page_id"] is None else r["page_id"])
+    shared = captures.sparkSession.sparkContext.broadcast(range_splitters(captures, -(-n // RANGE_ROWS), n))
+    key = lambda r: order_key(r["url_key"], r["timestamp"], r["page_id"])
     piece = pa.list_(pa.struct([(c, pa.string()) for c in _KEYS[:2]] + [("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]):
@@ -214,10 +253,10 @@ def merge_index(captures: DataFrame) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         runs = [[(*key(r), r["file"], r["offset"], r["length"]) for r in p] for p in table.column("piece").to_pylist()]
         rows = list(loser_tree_merge(runs))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         number = table.column("range")[0].as_py() if len(table) else 0
-        ids = [None if i == -1 else i for i in columns[2]]
-        return pa.table([pa.array([number] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(ids, pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int64())], names=["range", "position", *_KEYS, "file", "offset", "length"])
+        ids = [i if there else None for there, i in zip(columns[2], columns[3], strict=True)]
+        return pa.table([pa.array([number] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(ids, pa.int64()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.int64()), pa.array(columns[6], pa.int64())], names=["range", "position", *_KEYS, "file", "offset", "length"])
 
     pieces = captures.mapInArrow(cut, f"range int, piece array<struct<{_CAPTURE.replace(' ', ':').replace(',:', ',')}>>")
     return pieces.groupBy("range").applyInArrow(merge, f"range int, position int, {_CAPTURE}")

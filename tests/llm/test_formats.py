@@ -89,6 +89,20 @@ def test_index_over_several_ranges(spark, monkeypatch):
     assert len({r.range for r in merged}) > 3
 
 
+def test_index_with_splitters_of_two_levels_and_odd_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    monkeypatch.setattr(warc, "COARSE", 4)
+    ids = lambda i: None if i % 9 == 0 else -1 if i % 9 == 1 else i
+    rows = [(f"k{i % 7}", f"{i * 7919 % 50:014d}", ids(i), f"f{i % 5}", i, 1) for i in range(900)]
+    by_file = spark.createDataFrame(rows, warc._CAPTURE).repartition(5, "file").sortWithinPartitions("file", "url_key", "timestamp", F.col("page_id").asc_nulls_first())
+    merged = warc.merge_index(by_file).orderBy("range", "position").collect()
+    assert [(r.url_key, r.timestamp, r.page_id) for r in merged] == sorted((r[:3] for r in rows), key=lambda r: warc.order_key(*r))
+    sizes = {}
+    for r in merged:
+        sizes[r.range] = sizes.get(r.range, 0) + 1
+    assert len(sizes) > 20 and max(sizes.values()) < 120
+
+
 def samples(pixels):
     return np.ascontiguousarray(pixels.view(np.uint8).reshape(*pixels.shape, 4)[:, :, 2::-1]).tobytes()
 

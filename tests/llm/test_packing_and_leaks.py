@@ -220,3 +220,13 @@ def test_queries_return_contract_columns(spark, sf_dir):
     }
     for name, columns in want.items():
         assert columns <= set(QUERIES[name](spark, sf_dir).columns), name
+
+
+def test_equal_and_long_items_in_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_ROWS", 50)
+    long = " ".join(f"l{i}" for i in range(900))
+    same = "one two three four five six seven eight"
+    items = spark.createDataFrame([(1, long), (2, same), (3, same), (4, same.upper()), (5, same), (5, long), (6, "x y"), (7, None), (None, same)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "so " + same + " then"), (11, "a " + long), (12, "nothing x y here"), (13, " ".join(f"l{i}" for i in range(400)))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["containment"], 3) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(10, 2): 1.0, (10, 3): 1.0, (10, 4): 1.0, (11, 1): 1.0, (11, 5): round(896 / 900, 3), (12, 6): 1.0}
