@@ -26,9 +26,10 @@ def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     before = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     paragraphs = docs.where(F.col(text).isNotNull()).select("doc_id", F.posexplode(parts).alias("_i", "_p"), before.alias("_b")).select("doc_id", F.get("_b", F.col("_i")).alias("_start"), "_p").where(F.col("_p") != "")
     cuts = F.when(F.length("_p") <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("_p") - 1, F.lit(STRIDE)))
-    sliced = paragraphs.select("doc_id", "_start", "_p", F.explode(cuts).alias("_cut"))
-    passage = F.when(F.length("_p") <= WINDOW, F.col("_p")).otherwise(F.substring(F.col("_p"), F.col("_cut") + 1, F.lit(WINDOW)))
-    return sliced.select("doc_id", (F.col("_start") + F.col("_cut")).cast("long").alias("start"), passage.alias("passage")).where(F.col("passage").rlike(r"\S"))
+    # slices are cut before they are exploded: a long paragraph is not copied once for each
+    slices = F.transform(cuts, lambda c: F.struct(c.alias("cut"), F.substring(F.col("_p"), c + 1, F.lit(WINDOW)).alias("text")))
+    sliced = paragraphs.select("doc_id", "_start", F.explode(slices).alias("_s"))
+    return sliced.select("doc_id", (F.col("_start") + F.col("_s.cut")).cast("long").alias("start"), F.col("_s.text").alias("passage")).where(F.col("passage").rlike(r"\S"))
 
 
 def question_terms(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
