@@ -39,12 +39,12 @@ def tokens(text: Column) -> Column:
 
 
 def keywords_of(words: Column) -> Column:
-    """Of tokens the distinct words of three letters or more that are not stop words."""
-    return F.filter(F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS])), lambda t: t.rlike("^[a-z].."))
+    """Of tokens the distinct words of three letters or more that are not stop words; a token begins with a letter or a digit, and digits come first."""
+    return F.filter(F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS])), lambda t: (t >= "a") & (F.length(t) >= 3))
 
 
 def numbers_of(words: Column) -> Column:
-    return F.filter(F.array_distinct(words), lambda t: t.rlike("^[0-9]"))
+    return F.filter(F.array_distinct(words), lambda t: t < "a")
 
 
 def keywords(text: Column) -> Column:
