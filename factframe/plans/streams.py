@@ -11,10 +11,16 @@ from factframe.operators.storage import fresh_folder
 from factframe.registry import query
 from factframe.sources.tables import table
 from factframe.streaming.ledger import EVENTS, read_events
-from factframe.streaming.stateful import ANSWER, attributed, keep_streaks
+from factframe.streaming.stateful import ANSWER, attributed, keep_streaks, settings
 
 #: Batches that the events arrive in, and how late an event may be: the data span about a month.
 BATCHES, LATE = 4, "60 days"
+#: Parts of the state for so many events each, at least LEAST_PARTS.
+PART_EVENTS, LEAST_PARTS = 1_000_000, 8
+
+
+def parts_of(events: DataFrame) -> int:
+    return max(LEAST_PARTS, -(-events.count() // PART_EVENTS))
 
 
 def arriving(events: DataFrame, name: str) -> str:
@@ -34,9 +40,10 @@ t AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type <> before) AS t
 SELECT user_id, n, transitions, rises, falls, CASE WHEN last = n THEN streak ELSE 0 END AS streak, coalesce(longest, 0) AS longest FROM t LEFT JOIN m USING (user_id)""")
 def streamed_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions of types and streaks of values by user, from a stream whose batches hold events of all times."""
-    source = arriving(table(spark, sf_dir, "events"), "arriving")
+    events = table(spark, sf_dir, "events")
+    source = arriving(events, "arriving")
     store = KeyedTable(spark, fresh_folder(spark, "streaks"), ANSWER, ["user_id"], version="n", buckets=16)
-    keep_streaks(source, store, fresh_folder(spark, "stream-state"), LATE)
+    keep_streaks(source, store, fresh_folder(spark, "stream-state"), LATE, partitions=parts_of(events))
     return store.read()
 
 
@@ -49,6 +56,7 @@ def streamed_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks, purchases = (arriving(events.where(F.col("event_type") == kind), kind) for kind in ("click", "purchase"))
     pairs = attributed(read_events(spark, clicks, 1), read_events(spark, purchases, 1), LATE, "6 hours")
     folder = fresh_folder(spark, "attributed")
-    pairs.writeStream.format("parquet").option("path", folder).option("checkpointLocation", fresh_folder(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    with settings(spark, partitions=str(parts_of(events))):
+        pairs.writeStream.format("parquet").option("path", folder).option("checkpointLocation", fresh_folder(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
     shape = T.StructType([T.StructField(c, T.LongType()) for c in ("user_id", "left_id", "right_id")] + [T.StructField(c, T.TimestampType()) for c in ("left_ts", "right_ts")])
     return spark.read.schema(shape).parquet(folder)

@@ -10,9 +10,10 @@ replace the keys' rows in a table; other keys' files stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -93,18 +94,30 @@ def streaks(events: DataFrame, late: str) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Streaks(), outputStructType=ANSWER, outputMode="Update", timeMode="EventTime")
 
 
-def keep_streaks(source: str, table: KeyedTable, checkpoint: str, late: str, files_a_batch: int = 1) -> list[int]:
-    """Read what is in the folder `source`, some files a batch, and keep the answers in `table`; returns the buckets written by each batch."""
-    spark = table.spark
-    name, before, written = "spark.sql.streaming.stateStore.providerClass", None, []
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, _PROVIDER)
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings that a stream is started under, by the last part of their names; the session has its own again afterwards."""
+    names = {"providerClass": "spark.sql.streaming.stateStore.providerClass", "partitions": "spark.sql.shuffle.partitions"}
+    before = {names[k]: spark.conf.get(names[k], None) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(names[k], v)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def keep_streaks(source: str, table: KeyedTable, checkpoint: str, late: str, files_a_batch: int = 1, partitions: int = 200) -> list[int]:
+    """Read what is in the folder `source`, some files a batch, and keep the answers in `table`; returns the buckets written by each batch.
+
+    `partitions` is how many parts the state has, as long as the checkpoint lives.
+    """
+    spark, written = table.spark, []
+    with settings(spark, providerClass=_PROVIDER, partitions=str(partitions)):
         answers = streaks(read_events(spark, source, files_a_batch), late)
         query = answers.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
         query.foreachBatch(lambda batch, number: written.append(table.replace(batch))).start().awaitTermination()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return written
 
 

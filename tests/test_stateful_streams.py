@@ -51,7 +51,7 @@ def test_any_order_of_arrival(spark, sf_dir, tmp_path, late, shuffled):
         part = rows[i * n : (i + 1) * n] + rows[i * n : i * n + 3]  # some rows come twice
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(f"{source}")
     store = KeyedTable(spark, f"file://{tmp_path}/out", stateful.ANSWER, ["user_id"], version="n", buckets=32)
-    written = stateful.keep_streaks(str(source), store, f"file://{tmp_path}/state", late)
+    written = stateful.keep_streaks(str(source), store, f"file://{tmp_path}/state", late, partitions=4)
     assert len(written) >= 4
     assert sorted(map(tuple, store.read().collect())) == answers(rows)
 
@@ -61,9 +61,9 @@ def test_only_touched_keys_are_written(spark, tmp_path):
     event = lambda i, user, day: (i, __import__("datetime").datetime(2024, 1, day), user, "a", float(i), None)
     spark.createDataFrame([event(i, i, 1) for i in range(60)], EVENTS).coalesce(1).write.parquet(str(source))
     store = KeyedTable(spark, f"file://{tmp_path}/out", stateful.ANSWER, ["user_id"], version="n", buckets=32)
-    first = stateful.keep_streaks(str(source), store, f"file://{tmp_path}/state", "1 day")
+    first = stateful.keep_streaks(str(source), store, f"file://{tmp_path}/state", "1 day", partitions=4)
     spark.createDataFrame([event(99, 5, 2)], EVENTS).coalesce(1).write.mode("append").parquet(str(source))
-    second = stateful.keep_streaks(str(source), store, f"file://{tmp_path}/state", "1 day")
+    second = stateful.keep_streaks(str(source), store, f"file://{tmp_path}/state", "1 day", partitions=4)
     assert max(first) > 10 and sum(second) == 1
     assert [tuple(r) for r in store.lookup(5).collect()] == [(5, 2, 0, 1, 0, 1, 1)]
 
