@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factframe.operators.keyed import KeyedTable
 from factframe.operators.storage import fresh_folder
 from factframe.registry import query
+from factframe.sources.filings import KIND_SQL, document_kind
 from factframe.sources.tables import money, table
 
 
@@ -53,3 +56,35 @@ def profiles_saved_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in range(3):
         store.replace(profile(orders.where(F.pmod(F.datediff("run", F.lit("1970-01-01")), F.lit(3)) == part), 2))
     return store.read().drop("version")
+
+
+@query(f"""WITH e AS (SELECT o_orderkey AS evidence_id, {KIND_SQL} AS kind, CAST(o_orderdate AS DATE) AS source_date FROM orders)
+SELECT evidence_id, CASE WHEN evidence_id % 7 = 0 THEN 'corrected' ELSE kind END AS kind, source_date FROM e WHERE evidence_id IN (5, 7, 14, 777)""")
+def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's entries of a few ids, after some were added again: each lookup reads one bucket, and an unknown id has no entry."""
+    orders = table(spark, sf_dir, "orders")
+    entries = orders.select(F.col("o_orderkey").alias("evidence_id"), document_kind(F.col("o_orderpriority")).alias("kind"), F.to_date("o_orderdate").alias("source_date"), F.lit(1).alias("version"))
+    catalog = KeyedTable(spark, fresh_folder(spark, "catalog"), entries.schema, ["evidence_id"])
+    catalog.replace(entries)
+    catalog.replace(entries.where("evidence_id % 7 = 0").withColumn("kind", F.lit("corrected")).withColumn("version", F.lit(2)))
+    return reduce(DataFrame.unionByName, [catalog.lookup(i) for i in (5, 7, 14, 777, -1)]).drop("version")
+
+
+@query("SELECT doc_id AS evidence_id FROM documents WHERE doc_id % 17 <> 0 AND coalesce(n_chars, 0) > 0 AND text IS NOT NULL AND doc_id % 3 = 2")
+def usable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were parsed without error, hold text, and were parsed by the present version."""
+    parsed = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("evidence_id"),
+        F.when((F.col("doc_id") % 17 != 0) & F.col("text").isNotNull(), "ok").otherwise("failed").alias("status"),
+        F.coalesce("n_chars", F.lit(0)).alias("char_count"),
+        (F.col("doc_id") % 3).alias("parser_version"),
+    )
+    return parsed.where("status = 'ok' and char_count > 0 and parser_version = 2").select("evidence_id")
+
+
+@query("SELECT doc_id AS evidence_id, n_chars, md5(coalesce(text, '')) AS digest FROM documents WHERE doc_id IN (SELECT event_id // 3 FROM events WHERE event_type = 'click')")
+def documents_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a list of ids, which repeats some and names some that are not there."""
+    asked = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.floor(F.col("event_id") / 3).alias("evidence_id"))
+    held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    return held.join(asked, "evidence_id", "left_semi")
