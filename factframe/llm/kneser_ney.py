@@ -27,6 +27,9 @@ Defined results: a null or empty text scores as the curve does at zero evidence;
 if either class has no training row every score is the share of label 1 among
 the training rows; repeated rows count each time; of differing labels of one
 doc_id the largest counts; labels other than 0 and 1 and null ids are left out.
+About PER_CLASS labelled rows and CHARS_PER_CLASS characters of each class are
+learned from, whatever the number and length of the documents; every document is
+scored whole.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ from factframe.llm.hashing import Tokens, chunks, pair
 
 #: Documented bound: about so many labelled documents of each class are learned from.
 PER_CLASS = 4_000
+#: And of these about so many characters of each class: pairs that reach the driver are bounded whatever the documents' length.
+CHARS_PER_CLASS = 60_000_000
 #: Strengths and rates of toxic words tried.
 STRENGTHS = (1e3, 1e4, 1e5)
 RATES = (1e-3, 1e-2, 3e-2)
@@ -178,6 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     sample = docs.select("doc_id", "text").join(bounded(label_sample(rows, per_class)), "doc_id")
     sample = written(sample.select("text", F.col("label").cast("int").alias("label"), (unit_hash(F.lit("part"), F.col("doc_id")) < 0.85).alias("counted")), "toxic-sample")
+    # long texts: each class keeps a share of its rows by a hash of their text
+    held = {r["label"]: r["chars"] or 0 for r in sample.groupBy("label").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    for value, chars in held.items():
+        if chars > CHARS_PER_CLASS:
+            sample = sample.where((F.col("label") != value) | (unit_hash(F.lit("chars"), F.col("text")) < CHARS_PER_CLASS / chars))
     pairs = written(bigram_counts(sample.where("counted")), "toxic-counts")
     words = pairs.groupBy("word").agg(F.count_if(F.expr("n0 > 0")).alias("k0"), F.count_if(F.expr("n1 > 0")).alias("k1"), F.count_if(F.expr("n0 > 0 and n1 > 0")).alias("k"))
     before = pairs.groupBy("context").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.expr("n0 > 0")).alias("t0"), F.count_if(F.expr("n1 > 0")).alias("t1"))

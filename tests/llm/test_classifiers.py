@@ -59,6 +59,16 @@ def test_toxicity_learns_from_all_rows_below_the_bound(toy, monkeypatch):
     assert got[0] > 2 * got[1]
 
 
+def test_toxicity_learns_from_a_bounded_number_of_characters(toy, monkeypatch):
+    docs, labels = toy
+    monkeypatch.setattr(kneser_ney, "CHARS_PER_CLASS", 20_000)
+    small = kneser_ney.fit(docs, labels)
+    monkeypatch.setattr(kneser_ney, "CHARS_PER_CLASS", 10**9)
+    assert 0 < len(small.pairs) < len(kneser_ney.fit(docs, labels).pairs)
+    scored = kneser_ney.with_toxicity(docs, small).join(labels, "doc_id").where(fold("doc_id") == 0).select("toxic_score", "toxic").collect()
+    assert sum((r.toxic_score >= 0.5) == (r.toxic == 1) for r in scored) > 0.9 * len(scored)
+
+
 def test_toxicity_never_learns_from_held_out_labels(toy):
     """Turning every label of fold 0 changes no score."""
     docs, labels = toy
