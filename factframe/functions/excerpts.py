@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The width of an excerpt, how far back a heading may stand and its length; how labels of half years and of years are written, and how near before a value.
 AROUND, LOOKBACK, LONGEST_HEADING = 240, 500, 80
+HALF_YEAR = r"(?i)^\s*H([12])\s*FY(\d{2})"
+YEAR, REACH = r"(?i)FY\s?(\d{2,4})\b", 60
 
 
 def snippet(text: Column, offset: Column, length: int = 120) -> Column:
@@ -35,14 +38,13 @@ def _full_year(year: Column) -> Column:
 
 def half_year_end(label: Column) -> Column:
     """'H1 FY26' is 30 September 2025, 'H2 FY23' 31 March 2023; null if it is no such label."""
-    rule = r"(?i)^\s*H([12])\s*FY(\d{2})"
-    half, year = F.regexp_extract(label, rule, 1), F.regexp_extract(label, rule, 2)
+    half, year = F.regexp_extract(label, HALF_YEAR, 1), F.regexp_extract(label, HALF_YEAR, 2)
     return F.when(half == "1", F.make_date(1999 + F.nullif(year, F.lit("")).cast("int"), F.lit(9), F.lit(30))).when(half == "2", F.make_date(2000 + F.nullif(year, F.lit("")).cast("int"), F.lit(3), F.lit(31)))
 
 
-def nearest_year_end(text: Column, offset: Column, fallback: Column, reach: int = 60) -> Column:
+def nearest_year_end(text: Column, offset: Column, fallback: Column, reach: int = REACH) -> Column:
     """31 March of the last fiscal year that is named in the 60 characters before a 0-based offset; else the fallback."""
     begin = F.greatest(F.lit(0), offset - reach)
-    years = F.regexp_extract_all(F.substring(text, begin + 1, offset - begin), F.lit(r"(?i)FY\s?(\d{2,4})\b"), F.lit(1))
+    years = F.regexp_extract_all(F.substring(text, begin + 1, offset - begin), F.lit(YEAR), F.lit(1))
     last = F.get(years, F.size(years) - 1)
     return F.coalesce(F.make_date(_full_year(last), F.lit(3), F.lit(31)), fallback)

@@ -132,7 +132,7 @@ def plans(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
     return planned.select(key, "intent", "periods", F.when(broad, 10).when(narrow, 3).otherwise(5).alias("top_k"), rules.alias("rules"))
 
 
-#: How many of a question's newest documents a preference for recent ones reaches: beyond them it adds nothing.
+# What each term of a total adds; a preference for recent documents reaches a question's first RECENT, beyond which it adds nothing.
 RECENT, RECENT_BOOST, RECENT_STEP = 10, 30, 3
 WINDOW_BOOST, PERIOD_BOOST, NUMERIC_BOOST = 25, 40, 20
 
