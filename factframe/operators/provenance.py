@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +24,18 @@ def version_key(version: Column) -> Column:
     return F.transform(F.split(version, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
 
 
+#: Sums of a digest are taken modulo this, so that they stay whole numbers of 64 bits over any number of rows.
+DIGEST_MODULUS = 2**63
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """One row that is equal for equal multisets of rows, in any order and partitioning: the count, and sums of two parts of each row's MD5."""
+    """One row that is equal for equal multisets of rows, in any order and partitioning: the count, and sums of two parts of each row's MD5.
+
+    The sums are exact decimals, of which the remainder by DIGEST_MODULUS is kept.
+    """
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)])
-    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(F.md5(text), at, 12), 16, 10).cast("long")), F.lit(0))
+    number = lambda at: F.conv(F.substring(F.md5(text), at, 12), 16, 10).cast("decimal(15,0)")
+    part = lambda at: F.coalesce((F.sum(number(at)) % F.lit(Decimal(DIGEST_MODULUS))).cast("long"), F.lit(0))
     return df.agg(F.count("*").alias("n"), part(1).alias("head"), part(13).alias("middle"))
 
 

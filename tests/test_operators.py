@@ -1,6 +1,7 @@
 """Literal fixtures: expected answers written out by hand."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 
@@ -123,3 +124,11 @@ def test_diff(spark):
 def test_versions(spark):
     df = spark.createDataFrame([("1.10",), ("1.9.rc",), ("1.9",)], "v string").orderBy(provenance.version_key(F.col("v")))
     assert [r.v for r in df.collect()] == ["1.9", "1.9.rc", "1.10"]
+
+
+def test_digest_of_more_rows_than_a_long_can_sum(spark):
+    n = 100_000
+    got = provenance.digest(spark.range(n).select(F.col("id").alias("k"))).first()
+    hashes = [hashlib.md5(str(k).encode()).hexdigest() for k in range(n)]
+    sums = [sum(int(h[at : at + 12], 16) for h in hashes) for at in (0, 12)]
+    assert min(sums) >= 2**63 and tuple(got) == (n, *(x % 2**63 for x in sums))
