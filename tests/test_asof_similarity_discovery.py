@@ -69,6 +69,25 @@ def test_prefixes_meet_far_fewer_pairs_than_all_common_members(spark):
     assert met * 10 < plain
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.7])
+def test_wide_and_small_sets_meet(spark, threshold):
+    """Sets on both sides of the size up to which members are carried along."""
+    draw = random.Random(9)
+    base = list(range(90))
+    sets = {i: set(base[: draw.randint(40, 90)]) - {draw.randrange(90) for _ in range(draw.randint(0, 20))} for i in range(60)}
+    frame = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, words array<int>")
+    got = {(r["a"], r["b"]): r["shared"] for r in similar_sets(frame, "id", "words", threshold).collect()}
+    assert got == {(a, b): len(x & y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) > threshold}
+    assert min(map(len, sets.values())) < 64 < max(map(len, sets.values()))
+
+
+def test_a_pair_is_not_shuffled_to_its_sets(spark):
+    """Two sets are counted where they meet: one join finds pairs, and no exchange of pairs follows it."""
+    frame = spark.createDataFrame([(i, [i % 7, i % 5 + 10]) for i in range(50)], "id long, words array<int>")
+    plan = similar_sets(frame, "id", "words", 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
 def test_unreadable_empty_and_stale_files_are_named(spark, tmp_path):
     folder = tmp_path / "all companies"
     rows = spark.createDataFrame([(i, f"c{i}", 1 + (i >= 10)) for i in range(40)], "id long, name string, schema_version int")
