@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 DAY = "day"
 _ONE = datetime.timedelta(days=1)
+#: Rows that are decoded at once, and bytes of a column that are read at once.
+BATCH_ROWS, READ_BYTES = 32_768, 1 << 20
 
 
 def _dataset(path: str) -> ds.Dataset:
@@ -104,15 +107,23 @@ class DatedReader(DataSourceReader):
 
     def read(self, partition: Window) -> Iterator[pa.RecordBatch]:
         data = _dataset(self.path)
-        kind, column = data.schema.field(self.date).type, ds.field(self.date)
-        if partition.first is None:
-            wanted = column.is_null()
-        else:
-            edges = [datetime.datetime.combine(d, datetime.time()) for d in (partition.first, partition.last + _ONE)]
-            wanted = (column >= pa.scalar(edges[0]).cast(kind)) & (column < pa.scalar(edges[1]).cast(kind))
-        for batch in data.to_batches(filter=wanted, batch_size=8_192, use_threads=False):
-            if len(batch):
-                yield batch.append_column(DAY, pc.cast(batch.column(batch.schema.get_field_index(self.date)), pa.date32(), safe=False))
+        kind = data.schema.field(self.date).type
+        edges = None if partition.first is None else [pa.scalar(datetime.datetime.combine(d, datetime.time())).cast(kind) for d in (partition.first, partition.last + _ONE)]
+        wanted = ds.field(self.date).is_null() if edges is None else (ds.field(self.date) >= edges[0]) & (ds.field(self.date) < edges[1])
+        for fragment in data.get_fragments():
+            # only row groups that may hold the window; of these a batch at a time, without reading ahead
+            groups = [g.id for part in fragment.split_by_row_group(wanted) for g in part.row_groups]
+            if not groups:
+                continue
+            with fragment.filesystem.open_input_file(fragment.path) as source:
+                file = pq.ParquetFile(source, pre_buffer=False, buffer_size=READ_BYTES)
+                for batch in file.iter_batches(batch_size=BATCH_ROWS, row_groups=groups, use_threads=False):
+                    when = batch.column(batch.schema.get_field_index(self.date)).cast(kind) if self.date in batch.schema.names else pa.nulls(len(batch), kind)
+                    rows = batch.filter(pc.is_null(when) if edges is None else pc.and_(pc.greater_equal(when, edges[0]), pc.less(when, edges[1])))
+                    if len(rows):
+                        held = [rows.column(f.name).cast(f.type) if f.name in rows.schema.names else pa.nulls(len(rows), f.type) for f in data.schema]
+                        day = held[data.schema.get_field_index(self.date)]
+                        yield pa.RecordBatch.from_arrays([*held, pc.cast(day, pa.date32(), safe=False)], names=[*data.schema.names, DAY])
 
 
 def read_dated(spark: SparkSession, path: str, date: str, days: int = 30, newest: str | None = None, where: Column | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringContains
@@ -69,3 +72,18 @@ def test_tables_without_dates(spark, tmp_path):
     for name, rows in (("empty", []), ("nulls", [(1, None), (2, None)])):
         spark.createDataFrame(rows, "id long, at date").write.parquet(f"{tmp_path}/{name}")
         assert read_dated(spark, f"{tmp_path}/{name}", "at").count() == len(rows)
+
+
+def test_a_window_is_read_a_batch_at_a_time(tmp_path):
+    """One row group of 2,000,000 rows: what is held at once is some batches, not the group."""
+    n = 2_000_000
+    at = pa.array(np.datetime64("2020-01-01", "us") + np.arange(n) % 1000 * np.timedelta64(1, "D"))
+    pq.write_table(pa.table({"id": np.arange(n), "at": at, "note": np.random.default_rng(1).random(n), "more": np.random.default_rng(2).random(n)}), tmp_path / "one.parquet", row_group_size=n)
+    reader = DatedReader({"path": str(tmp_path / "one.parquet"), "date": "at", "days": "500"})
+    windows = reader.partitions()
+    rows, before, most = 0, pa.total_allocated_bytes(), 0
+    for window in windows:
+        for batch in reader.read(window):
+            rows, most = rows + len(batch), max(most, pa.total_allocated_bytes() - before)
+    assert rows == n and len(windows) == 3
+    assert most < 30_000_000  # the group is 64 MB
