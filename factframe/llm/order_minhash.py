@@ -239,20 +239,33 @@ def links_within_buckets(members: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node that links reach. Labels spread to neighbours and then jump to their label's label."""
+    """node, label: the least node that links reach.
+
+    In a round every node takes the least node of itself and its neighbours,
+    pointers are followed to their ends, and the links that are left are those
+    between different ends: a round meets each of its links twice, and the next
+    one has fewer.
+    """
     scratch = Scratch(links.sparkSession)
-    both = scratch.written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "links")
-    labels = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"))
-    while True:
-        labels = scratch.written(labels, "labels")
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        if spread.where("old != label").isEmpty():
-            found = written(labels, "components")
-            scratch.clear()
-            return found
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = spread.join(jump, "label").select("node", F.least("label", "far").alias("label"))
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).where("low != high").distinct()
+    left, labels = scratch.written(ordered(links, "a", "b"), "links"), None
+    while labels is None or not left.isEmpty():
+        ends = left.select(F.col("high").alias("node"), F.col("low").alias("end")).union(left.select("low", "low")).groupBy("node").agg(F.min("end").alias("end"))
+        ends, moved = scratch.written(ends, "ends"), True
+        while moved:
+            further = ends.select(F.col("node").alias("end"), F.col("end").alias("_far"))
+            jumped = scratch.written(ends.join(further, "end").select("node", F.col("_far").alias("end"), (F.col("end") != F.col("_far")).alias("moved")), "ends")
+            ends, moved = jumped.select("node", "end"), not jumped.where("moved").isEmpty()
+        low, high = (ends.select(F.col("node").alias(c), F.col("end").alias(f"_{c}")) for c in ("low", "high"))
+        left = scratch.written(ordered(left.join(low, "low").join(high, "high"), "_low", "_high"), "links")
+        if labels is None:
+            labels = ends.select("node", F.col("end").alias("label"))
+        else:
+            now = labels.join(ends.select(F.col("node").alias("label"), "end"), "label", "left")
+            labels = scratch.written(now.select("node", F.coalesce("end", "label").alias("label")), "labels")
+    found = written(labels, "components")
+    scratch.clear()
+    return found
 
 
 def classes(docs: DataFrame) -> DataFrame | None:
@@ -282,7 +295,8 @@ def classes(docs: DataFrame) -> DataFrame | None:
     mixed = now.groupBy("band", "key").agg(F.ceil(F.sum("n") / BLOCK_WORDS).alias("blocks"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("band", "key", "blocks")
     inside = scratch.written(now.join(mixed, ["band", "key"]).select("band", "key", "node", "n", "label", "blocks"), "inside")
     more = scratch.written(links_within_buckets(inside.join(everyone.select("node", "tuples"), "node").join(words, "node")), "bucket-links")
-    labels = labels if more.isEmpty() else components(links.union(more))
+    # a class found before is a star of its label, so its links are not met again
+    labels = labels if more.isEmpty() else components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(more))
     scratch.clear()
     return labels
 

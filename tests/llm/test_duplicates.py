@@ -1,5 +1,6 @@
 """Order MinHash against brute force, and its parts."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -221,3 +222,32 @@ def test_repeated_and_null_ids_with_other_texts(spark):
     rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (7, "red green blue black white grey"), (7, "cat dog cow hen pig goat"), (7, "cat dog cow hen pig goat")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.text for r in O.keep_one_of_each(df).collect()) == sorted(set(t for _, t in rows))
+
+
+def joined_rows(spark, since):
+    """Rows that joins of the executions after `since` have put out."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), 0
+    for i in range(since, store.executionsCount()):
+        made = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(made), store.planGraph(made).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    rows += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return rows
+
+
+def test_components_meet_each_link_a_few_times(spark):
+    """Dense groups beside a long path: rounds that the path needs do not meet the groups' links again."""
+    name, rng = lambda i: hashlib.md5(str(i).encode()).digest(), random.Random(5)
+    dense = [(g * 1000 + i, g * 1000 + j) for g in range(1, 4) for i in range(40) for j in range(i)]
+    path = [(i, i + 1) for i in range(300)]
+    links = [(name(a), name(b)) for a, b in dense + path]
+    rng.shuffle(links)
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    found = {r["node"]: r["label"] for r in O.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    rows = joined_rows(spark, since)
+    for group in [range(301), *(range(g * 1000, g * 1000 + 40) for g in range(1, 4))]:
+        assert {bytes(found[name(i)]) for i in group} == {min(map(name, group))}
+    assert len(found) == 421
+    assert 2 * len(links) <= rows <= 4 * len(links)
