@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +28,39 @@ def resolve_persons(mentions: DataFrame) -> DataFrame:
     Greedy in order of mention: a name joins the only entity that it fits, else
     founds one; a more specific name becomes canonical. Names fit only with the
     same surname and the same initials of all given names, so each such block is
-    resolved by itself and blocks are spread over the cluster. Within a block the
-    order of mention decides, so a block is one group: it holds the mentions of
-    one surname with one set of initials.
+    resolved by itself and blocks are spread over the cluster. Blocks come sorted
+    and one after another, many in a task, as most names have a block of their
+    own. Within a block the order of mention decides, so a task holds one block at
+    a time: the mentions of one surname with one set of initials.
     """
+    shape = "mention_id long, name string, entity_id long, canonical string"
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, entities, told = None, [], []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*[(m, n, e["id"], e["name"]) for m, n, e in rows], strict=True) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string()) * 2, strict=True)], names=["mention_id", "name", "entity_id", "canonical"])
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        entities: list[dict] = []
-        out = []
-        for row in pdf.sort_values("mention_id").itertuples(index=False):
-            tokens = list(row.tokens)
-            fits = [e for e in entities if compatible(tokens, e["tokens"])]
-            if len(fits) == 1:
-                entity = fits[0]
-                if _specific(tokens) > _specific(entity["tokens"]):
-                    entity["tokens"], entity["name"] = tokens, row.name
-            else:
-                entity = {"id": row.mention_id, "tokens": tokens, "name": row.name}
-                entities.append(entity)
-            out.append((row.mention_id, row.name, entity))
-        return pd.DataFrame([(m, n, e["id"], e["name"]) for m, n, e in out], columns=["mention_id", "name", "entity_id", "canonical"])
+        for batch in batches:
+            done: list[tuple] = []
+            for surname, initials, mention_id, name, tokens in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if (surname, initials) != block:
+                    done += told
+                    block, entities, told = (surname, initials), [], []
+                fits = [e for e in entities if compatible(tokens, e["tokens"])]
+                if len(fits) == 1:
+                    entity = fits[0]
+                    if _specific(tokens) > _specific(entity["tokens"]):
+                        entity["tokens"], entity["name"] = tokens, name
+                else:
+                    entity = {"id": mention_id, "tokens": tokens, "name": name}
+                    entities.append(entity)
+                told.append((mention_id, name, entity))
+            yield batch_of(done)
+        yield batch_of(told)
 
     tokened = mentions.select("mention_id", "name", name_tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0)
     initials = F.array_join(F.transform(F.slice("tokens", 1, F.size("tokens") - 1), lambda t: F.left(t, F.lit(1))), " ")
-    blocks = tokened.withColumn("_surname", F.element_at("tokens", -1)).withColumn("_initials", initials)
-    return blocks.groupBy("_surname", "_initials").applyInPandas(lambda pdf: block(pdf[["mention_id", "name", "tokens"]]), "mention_id long, name string, entity_id long, canonical string")
+    blocks = tokened.select(F.element_at("tokens", -1).alias("_surname"), initials.alias("_initials"), F.col("mention_id").cast("long").alias("mention_id"), "name", "tokens")
+    return blocks.repartition("_surname", "_initials").sortWithinPartitions("_surname", "_initials", F.col("mention_id").asc_nulls_last()).mapInArrow(resolve, shape)

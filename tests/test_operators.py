@@ -53,6 +53,22 @@ def test_names(spark):
     assert got[0][0] == got[1][0] == got[2][0] == got[3][0] == 0 and got[1][1] == "Tora B Lund" and got[4][0] == 4
 
 
+def test_blocks_of_names_share_a_task(spark):
+    """Blocks that span batches resolve as in one, and no block is a Python group of its own."""
+    names = [f"{given} Name{i}" for given in ("Tora", "T", "Max", "M") for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(names)), "mention_id long, name string")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "3")
+    try:
+        found = entities.resolve_persons(df)
+        got = {r.mention_id: (r.entity_id, r.canonical) for r in found.collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert got == {i: (i // 80 * 80 + i % 40, names[i // 80 * 80 + i % 40]) for i in range(160)}
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().toString()) and "FlatMapGroups" not in plan
+
+
 def test_two_full_names_stay_apart(spark):
     df = spark.createDataFrame(list(enumerate(["Tora B Lund", "Tim B Lund", "T B Lund"])), "mention_id long, name string")
     assert spark_set(entities.resolve_persons(df), "entity_id") == {0, 1, 2}
