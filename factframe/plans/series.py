@@ -60,8 +60,8 @@ def compare_last_n(spark, sf_dir):
 
 @query(f"""WITH {FACTS_SQL} SELECT company_id, period, total_debt, cash, cash - total_debt AS net_cash,
 CASE WHEN cash - total_debt > 0 THEN 'net cash' WHEN cash - total_debt < 0 THEN 'net debt' WHEN cash - total_debt = 0 THEN 'balanced' END AS label FROM f""")
-def leverage(spark, sf_dir):
-    wide = snapshots(spark, sf_dir).select("company_id", "period", "total_debt", "cash", derived()["net_cash"].alias("net_cash"))
+def leverage(spark, sf_dir, totals=None):
+    wide = snapshots(spark, sf_dir, totals=totals).select("company_id", "period", "total_debt", "cash", derived()["net_cash"].alias("net_cash"))
     n = F.col("net_cash")
     return wide.withColumn("label", F.when(n > 0, "net cash").when(n < 0, "net debt").when(n == 0, "balanced"))
 
@@ -187,8 +187,8 @@ g AS (SELECT *, CASE WHEN prior = 0 THEN 0.0 ELSE (current - prior) / abs(prior)
 k AS (SELECT company_id, metric, period, current, prior, abs(magnitude) AS magnitude, CASE WHEN abs(magnitude) < 2 THEN 'stable' WHEN (magnitude > 0) <> low_is_good THEN 'improving' ELSE 'deteriorating' END AS direction FROM g)"""
 
 
-def _moves(spark, sf_dir):
-    two = S.last_two(long_facts(snapshots(spark, sf_dir)), "value", ["company_id", "metric"])
+def _moves(spark, sf_dir, totals=None):
+    two = S.last_two(long_facts(snapshots(spark, sf_dir, totals=totals)), "value", ["company_id", "metric"])
     signed = F.when(F.col("prior") == 0, 0.0).otherwise((F.col("current") - F.col("prior")) / F.abs("prior") * 100)
     low = F.col("metric").isin("finance_cost", "total_tax", "total_debt")
     direction = F.when(F.abs("_m") < 2, "stable").when((F.col("_m") > 0) != low, "improving").otherwise("deteriorating")
@@ -196,21 +196,21 @@ def _moves(spark, sf_dir):
 
 
 @query(f"WITH {_TWO_SQL} SELECT * FROM k")
-def metric_moves(spark, sf_dir):
-    return _moves(spark, sf_dir)
+def metric_moves(spark, sf_dir, totals=None):
+    return _moves(spark, sf_dir, totals)
 
 
 @query(f"WITH {_TWO_SQL} SELECT company_id, metric, direction, magnitude, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY company_id, direction ORDER BY magnitude DESC, metric) AS n FROM k) WHERE n <= 2")
-def top_movers(spark, sf_dir):
+def top_movers(spark, sf_dir, totals=None):
     place = F.row_number().over(Window.partitionBy("company_id", "direction").orderBy(F.col("magnitude").desc(), "metric"))
-    return _moves(spark, sf_dir).withColumn("place", place).where("place <= 2").select("company_id", "metric", "direction", "magnitude", "place")
+    return _moves(spark, sf_dir, totals).withColumn("place", place).where("place <= 2").select("company_id", "metric", "direction", "magnitude", "place")
 
 
 @query(f"""WITH {FACTS_SQL}, r AS (SELECT company_id, period, cash - total_debt AS v, row_number() OVER (PARTITION BY company_id ORDER BY period DESC) AS n FROM f WHERE cash - total_debt IS NOT NULL),
 t AS (SELECT company_id, max(v) FILTER (n = 1) AS current, max(v) FILTER (n = 2) AS prior, max(period) FILTER (n = 1) AS period FROM r WHERE n <= 2 GROUP BY ALL HAVING count(*) = 2)
 SELECT *, CASE WHEN current > prior THEN 'strengthening' WHEN current < prior THEN 'weakening' ELSE 'unchanged' END AS verdict FROM t""")
-def net_cash_trajectory(spark, sf_dir):
-    wide = snapshots(spark, sf_dir).select("company_id", "period", derived()["net_cash"].alias("net_cash"))
+def net_cash_trajectory(spark, sf_dir, totals=None):
+    wide = snapshots(spark, sf_dir, totals=totals).select("company_id", "period", derived()["net_cash"].alias("net_cash"))
     two = S.last_two(wide, "net_cash", COMPANY)
     return two.withColumn("verdict", F.when(F.col("current") > F.col("prior"), "strengthening").when(F.col("current") < F.col("prior"), "weakening").otherwise("unchanged"))
 
@@ -218,8 +218,8 @@ def net_cash_trajectory(spark, sf_dir):
 @query(f"""WITH {FACTS_SQL}, v AS (SELECT company_id, (revenue - total_tax) / nullif(revenue, 0) * 100 AS margin FROM f)
 SELECT company_id, count(margin) AS n, min(margin) AS low, max(margin) AS high, max(margin) - min(margin) AS spread,
 CASE WHEN max(margin) - min(margin) < 3 THEN 'stable' WHEN max(margin) - min(margin) < 8 THEN 'moderately variable' ELSE 'wide' END AS band FROM v WHERE margin IS NOT NULL GROUP BY company_id HAVING count(*) >= 2""")
-def margin_stability(spark, sf_dir):
-    wide = snapshots(spark, sf_dir).select("company_id", derived()["ebit_margin_pct"].alias("margin")).where("margin is not null")
+def margin_stability(spark, sf_dir, totals=None):
+    wide = snapshots(spark, sf_dir, totals=totals).select("company_id", derived()["ebit_margin_pct"].alias("margin")).where("margin is not null")
     spread = wide.groupBy("company_id").agg(F.count("margin").alias("n"), F.min("margin").alias("low"), F.max("margin").alias("high")).where("n >= 2").withColumn("spread", F.col("high") - F.col("low"))
     return spread.withColumn("band", F.when(F.col("spread") < 3, "stable").when(F.col("spread") < 8, "moderately variable").otherwise("wide"))
 
@@ -228,8 +228,11 @@ def margin_stability(spark, sf_dir):
 p AS (SELECT *, lag(revenue) OVER (PARTITION BY company_id ORDER BY fy) AS prior FROM y)
 SELECT company_id, count(*) AS n, count(*) FILTER (revenue > prior) AS n_up, round((pow(max_by(revenue, fy) / min_by(revenue, fy), 1.0 / (max(fy) - min(fy))) - 1) * 100, 4) AS cagr_pct
 FROM p GROUP BY company_id HAVING count(*) >= 3""")
-def growth_cagr(spark, sf_dir):
-    yearly = fact_lines(spark, sf_dir).groupBy("company_id", F.year("source_date").alias("fy")).agg(F.sum("net").cast("double").alias("revenue"))
+def growth_cagr(spark, sf_dir, totals=None):
+    # a quarter's end is in the year of its lines, and its total is exact
+    day, net = ("source_date", "net") if totals is None else ("period", "revenue")
+    source = fact_lines(spark, sf_dir) if totals is None else totals
+    yearly = source.groupBy("company_id", F.year(day).alias("fy")).agg(F.sum(net).cast("double").alias("revenue"))
     grown = yearly.withColumn("_prior", S.previous("revenue", COMPANY, "fy"))
     out = grown.groupBy("company_id").agg(F.count("*").alias("n"), F.count_if(F.col("revenue") > F.col("_prior")).alias("n_up"), F.max_by("revenue", "fy").alias("_last"), F.min_by("revenue", "fy").alias("_first"), (F.max("fy") - F.min("fy")).alias("_years")).where("n >= 3")
     return out.select("company_id", "n", "n_up", F.round((F.pow(F.col("_last") / F.col("_first"), F.lit(1.0) / F.col("_years")) - 1) * 100, 4).alias("cagr_pct"))

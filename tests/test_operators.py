@@ -148,3 +148,11 @@ def test_digest_of_more_rows_than_a_long_can_sum(spark):
     hashes = [hashlib.md5(str(k).encode()).hexdigest() for k in range(n)]
     sums = [sum(int(h[at : at + 12], 16) for h in hashes) for at in (0, 12)]
     assert min(sums) >= 2**63 and tuple(got) == (n, *(x % 2**63 for x in sums))
+
+
+def test_parts_of_a_report_share_their_totals(spark, sf_dir):
+    """Lines are read for the totals, which are written, and once more for segments."""
+    from factframe.plans.evaluation import report_sections
+
+    plan = report_sections(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
