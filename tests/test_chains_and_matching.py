@@ -85,6 +85,23 @@ def test_greedy_matches_equal_a_plain_loop(spark):
     assert len({r["fact"] for r in rows}) == claimed == len({r["expectation"] for r in rows})
 
 
+def test_rounds_share_one_shuffle_and_large_scopes_go_by_shards(spark, monkeypatch):
+    from factframe.operators import matching
+
+    draw = random.Random(11)
+    company = lambda: draw.choice(["a"] * 8 + ["b", "c", None])
+    some = lambda n: [(company(), draw.choice([1, 2, None]), draw.choice([7, 8, None]), i) for i in range(n)]
+    expected, found = (spark.createDataFrame(some(n), "company string, x long, y long, place long").coalesce(1) for n in (300, 220))
+    cut = []
+    monkeypatch.setattr(matching, "written", lambda df, name: cut.append(name) or df.localCheckpoint())
+    match = lambda within: sorted(map(tuple, matching.greedy_matches(expected, found, ["company"], ["x", "y"], ["place"], width=17, within=within).collect()))
+    small = match(10_000)
+    assert len(cut) <= 1 and len(small) > 100
+    mixed, large = match(150), match(0)
+    assert small == mixed == large
+    assert {r[0] for r in small} == {"a", "b", "c"}
+
+
 def test_row_numbers_by_shards(spark):
     rows = [("k", i, i % 3) for i in range(500)] + [(None, i, 0) for i in range(40)] + [("m", 5, 1)]
     got = numbered(spark.createDataFrame(rows, "key string, place long, rest long").repartition(5), ["key"], ["place"], width=13).collect()
