@@ -17,12 +17,18 @@ from factframe.streaming.stateful import ANSWER, attributed, keep_streaks, setti
 BATCHES, LATE = 4, "60 days"
 #: Parts of the state for so many events each, at least LEAST_PARTS.
 PART_EVENTS, LEAST_PARTS = 1_000_000, 8
+#: Users are dealt into groups of so many events, whose state is read and written at once.
+GROUP_EVENTS = 5_000
 
 
 def parts_of(events: DataFrame) -> int:
     return max(LEAST_PARTS, -(-events.count() // PART_EVENTS))
 
 
+def groups_of(events: DataFrame, parts: int) -> int:
+    return max(4 * parts, -(-events.count() // GROUP_EVENTS))
+
+
 def arriving(events: DataFrame, name: str) -> str:
     """A folder of files, one a batch, with events of all times in each."""
     folder = fresh_folder(events.sparkSession, name)
@@ -43,7 +49,8 @@ def streamed_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     source = arriving(events, "arriving")
     store = KeyedTable(spark, fresh_folder(spark, "streaks"), ANSWER, ["user_id"], version="n", buckets=16)
-    keep_streaks(source, store, fresh_folder(spark, "stream-state"), LATE, partitions=parts_of(events))
+    parts = parts_of(events)
+    keep_streaks(source, store, fresh_folder(spark, "stream-state"), LATE, partitions=parts, groups=groups_of(events, parts))
     return store.read()
 
 

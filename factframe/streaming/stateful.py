@@ -2,9 +2,11 @@
 
 The state of a key is a fold over its rows in event time. Rows that the
 watermark has not passed wait in a list; when it passes them, a timer folds them
-into one value and the list forgets them. Each batch gives the present answer of
-the keys that it touched, with the number of rows seen as its version, and these
-replace the keys' rows in a table; other keys' files stay as they are.
+into one value and the list forgets them. Keys are dealt into groups that share a
+list and a timer, as a call of the state costs much more than a row. Each batch
+gives the present answer of the keys that it touched, with the number of rows
+seen as its version, and these replace the keys' rows in a table; other keys'
+files stay as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from factframe.streaming.ledger import read_events
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _LONG = ("n", "transitions", "rises", "falls", "streak", "longest")
+#: Rows in one entry of a state's list.
+CHUNK = 1_000
 ANSWER = T.StructType([T.StructField("user_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in _LONG)])
 
 
@@ -43,55 +47,76 @@ def folded(state: tuple | None, rows: list[tuple]) -> tuple | None:
     return state
 
 
+def by_user(rows: list[tuple]) -> dict[int, list[tuple]]:
+    """Rows (user, ts, event_id, type, value) as rows for folded(), by user."""
+    mine: dict[int, list[tuple]] = {}
+    for user, *row in rows:
+        mine.setdefault(user, []).append(tuple(row))
+    return mine
+
+
+def chunks(rows: list[tuple]) -> list[tuple]:
+    """Rows as columns of CHUNK rows each: a list of the state costs by its entries."""
+    return [tuple([*column] for column in zip(*rows[i : i + CHUNK], strict=True)) for i in range(0, len(rows), CHUNK)]
+
+
 class Streaks(StatefulProcessor):
-    """Transitions between types and streaks of values, by key."""
+    """Transitions between types and streaks of values by user; a key of the state is a group of users."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.done = handle.getValueState("done", T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("way", T.LongType()), *(T.StructField(c, T.LongType()) for c in _LONG)]))
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("ms", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value", T.DoubleType())]))
+        user = T.StructType([T.StructField("user_id", T.LongType())])
+        self.done = handle.getMapState("done", user, T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("way", T.LongType()), *(T.StructField(c, T.LongType()) for c in _LONG)]))
+        columns = {"user_id": T.LongType(), "us": T.LongType(), "event_id": T.LongType(), "kind": T.StringType(), "value": T.DoubleType()}
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(c, T.ArrayType(kind)) for c, kind in columns.items()]))
 
-    def _state(self) -> tuple | None:
-        return tuple(self.done.get()) if self.done.exists() else None
+    def _states(self) -> dict[int, tuple]:
+        return {user[0]: tuple(state) for user, state in self.done.iterator()} if self.done.exists() else {}
 
     def _rows(self) -> list[tuple]:
-        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        return [row for chunk in self.waiting.get() for row in zip(*chunk, strict=True)] if self.waiting.exists() else []
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self._rows()
-        known = {r[1] for r in held}
+        known = {(r[0], r[2]) for r in held}
         new = {}
         for part in rows:
-            for us, event_id, kind, value in zip(part["us"], part["event_id"], part["event_type"], part["value"], strict=True):
-                if event_id not in known:
-                    new[int(event_id)] = (int(us), int(event_id), kind, None if pd.isna(value) else float(value))
+            for user, us, event_id, kind, value in zip(*(part[c].tolist() for c in ("user_id", "us", "event_id", "event_type", "value")), strict=True):
+                user = None if pd.isna(user) else int(user)
+                if (user, event_id) not in known:
+                    new[user, event_id] = (user, int(us), int(event_id), kind, None if pd.isna(value) else float(value))
         if new:
-            self.waiting.appendList([*new.values()])
-            self.handle.registerTimer(min(r[0] for r in new.values()) // 1000)
-        state = folded(self._state(), held + [*new.values()])
-        if state is not None:
-            yield pd.DataFrame([(key[0], *state[3:])], columns=ANSWER.names)
+            self.waiting.appendList(chunks([*new.values()]))
+            self.handle.registerTimer(min(r[1] for r in new.values()) // 1000)
+        touched, states = by_user([*new.values()]), self._states()
+        waited = by_user([r for r in held if r[0] in touched])
+        answers = [(user, *folded(states.get(user), waited.get(user, []) + mine)[3:]) for user, mine in touched.items()]
+        if answers:
+            yield pd.DataFrame(answers, columns=ANSWER.names)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         held = self._rows()
-        old, young = [r for r in held if r[0] // 1000 <= passed], [r for r in held if r[0] // 1000 > passed]
+        old, young = [r for r in held if r[1] // 1000 <= passed], [r for r in held if r[1] // 1000 > passed]
         if old:
-            self.done.update(folded(self._state(), old))
+            states = self._states()
+            for user, mine in by_user(old).items():
+                self.done.updateValue((user,), folded(states.get(user), mine))
             self.waiting.clear()
             if young:
-                self.waiting.put(young)
-                self.handle.registerTimer(min(r[0] for r in young) // 1000)
+                self.waiting.put(chunks(young))
+                self.handle.registerTimer(min(r[1] for r in young) // 1000)
         yield pd.DataFrame(columns=ANSWER.names).astype({c: "int64" for c in ANSWER.names})
 
     def close(self) -> None:
         pass
 
 
-def streaks(events: DataFrame, late: str) -> DataFrame:
-    """The present answer of every key that a batch touches; rows may come as late as `late`."""
-    rows = events.withWatermark("ts", late).select("ts", "user_id", F.unix_micros("ts").alias("us"), "event_id", "event_type", "value")
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Streaks(), outputStructType=ANSWER, outputMode="Update", timeMode="EventTime")
+def streaks(events: DataFrame, late: str, groups: int) -> DataFrame:
+    """The present answer of every user that a batch touches; rows may come as late as `late`."""
+    group = F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("_group")
+    rows = events.withWatermark("ts", late).select("ts", group, "user_id", F.unix_micros("ts").alias("us"), "event_id", "event_type", "value")
+    return rows.groupBy("_group").transformWithStateInPandas(statefulProcessor=Streaks(), outputStructType=ANSWER, outputMode="Update", timeMode="EventTime")
 
 
 @contextmanager
@@ -108,14 +133,15 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def keep_streaks(source: str, table: KeyedTable, checkpoint: str, late: str, files_a_batch: int = 1, partitions: int = 200) -> list[int]:
+def keep_streaks(source: str, table: KeyedTable, checkpoint: str, late: str, files_a_batch: int = 1, partitions: int = 200, groups: int = 800) -> list[int]:
     """Read what is in the folder `source`, some files a batch, and keep the answers in `table`; returns the buckets written by each batch.
 
-    `partitions` is how many parts the state has, as long as the checkpoint lives.
+    `partitions` is how many parts the state has, `groups` how many groups users are
+    dealt into, both as long as the checkpoint lives.
     """
     spark, written = table.spark, []
     with settings(spark, providerClass=_PROVIDER, partitions=str(partitions)):
-        answers = streaks(read_events(spark, source, files_a_batch), late)
+        answers = streaks(read_events(spark, source, files_a_batch), late, groups)
         query = answers.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
         query.foreachBatch(lambda batch, number: written.append(table.replace(batch))).start().awaitTermination()
     return written

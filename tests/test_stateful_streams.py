@@ -68,6 +68,28 @@ def test_only_touched_keys_are_written(spark, tmp_path):
     assert [tuple(r) for r in store.lookup(5).collect()] == [(5, 2, 0, 1, 0, 1, 1)]
 
 
+@pytest.mark.parametrize("groups", [1, 7])
+def test_users_share_calls_of_the_state(spark, sf_dir, tmp_path, monkeypatch, groups):
+    """No more calls a batch than groups, and lists of few entries, with the answers of each user's rows alone."""
+    monkeypatch.setattr(stateful, "CHUNK", 64)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENTS.names).collect()]
+    rows.sort(key=lambda r: r[1])
+    source, n = tmp_path / "in", -(-len(rows) // 3)
+    for i in range(3):
+        spark.createDataFrame(rows[i * n : (i + 1) * n], EVENTS).coalesce(1).write.mode("append").parquet(f"{source}")
+    store = KeyedTable(spark, f"file://{tmp_path}/out", stateful.ANSWER, ["user_id"], version="n", buckets=4)
+    stateful.keep_streaks(str(source), store, f"file://{tmp_path}/state", "3 days", partitions=4, groups=groups)
+    assert sorted(map(tuple, store.read().collect())) == answers(rows)
+    keys = spark.read.format("statestore").option("path", f"file://{tmp_path}/state").option("stateVarName", "waiting").load()
+    assert keys.select("key").distinct().count() <= groups < len({r[2] for r in rows})
+
+
+def test_entries_of_a_list_hold_many_rows():
+    rows = [(u, u * 10, u, "a" if u % 2 else None, None if u % 3 else 1.5) for u in range(2_500)]
+    packed = stateful.chunks(rows)
+    assert len(packed) == 3 and [row for chunk in packed for row in zip(*chunk)] == rows
+
+
 def test_joined_streams(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENTS.names)
     for kind in ("view", "error"):
