@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOCUMENT = ["evidence_id", "company_id", "doc_kind", "source_date"]
@@ -53,36 +53,48 @@ def financial_documents(facts: DataFrame) -> DataFrame:
     its report; a transcript's is the scope of its revenue, a presentation's is
     stated for each period, an annual report's is annual.
     """
-    results = F.col("doc_kind") == "financial_results"
-    spoken = (F.col("doc_kind") == "call_transcript") & (F.col("kind") == "financial_revenue")
-    rows = numeric(facts, "financial_").where((F.col("doc_kind") != "other") & ~(spoken & (F.col("unit") != "CRORE_INR")))
-    rows = rows.withColumn("basis", F.when(results, basis_of(F.col("section"))).otherwise("consolidated")).where("basis is not null")
-    values = last_of_document(rows, ["period", "basis", "kind"], ["value", "scope"])
-    revenue = values.where(F.col("kind") == "financial_revenue").select("evidence_id", "period", "basis", F.col("scope").alias("_spoken"))
-    stated = facts.where(F.col("kind") == "report_period_type")
-    report = stated.groupBy("evidence_id").agg(F.min_by("scope", "seq").alias("_report"))
-    by_period = stated.where("period is not null").groupBy("evidence_id", "period").agg(F.max_by("scope", "seq").alias("_stated"))
-    out = values.join(report, "evidence_id", "left").join(by_period, ["evidence_id", "period"], "left").join(revenue, ["evidence_id", "period", "basis"], "left")
+    results, revenue, stated = F.col("doc_kind") == "financial_results", F.col("kind") == "financial_revenue", F.col("kind") == "report_period_type"
+    spoken = (F.col("doc_kind") == "call_transcript") & revenue
+    numbers = F.col("kind").startswith("financial_") & F.col("value").isNotNull() & F.col("period").isNotNull()
+    fits = numbers & (F.col("doc_kind") != "other") & ~(spoken & (F.col("unit") != "CRORE_INR")) & F.col("basis").isNotNull()
+    rows = facts.withColumn("basis", F.when(results, basis_of(F.col("section"))).otherwise("consolidated")).withColumn("_fits", F.coalesce(fits, F.lit(False))).where(stated | F.col("_fits"))
+    # the widest window comes first, so facts that lie by document stay where they are
+    by = lambda *keys: Window.partitionBy("evidence_id", *keys)
+    rows = rows.withColumn("_report", F.min_by("scope", F.when(stated, F.col("seq"))).over(by()))
+    rows = rows.withColumn("_stated", F.max_by("scope", F.when(stated, F.col("seq"))).over(by("period")))
+    rows = rows.withColumn("_spoken", F.max_by("scope", F.when(F.col("_fits") & revenue, F.col("seq"))).over(by("period", "basis")))
+    out = last_of_document(rows.where("_fits"), ["period", "basis", "kind"], ["value", "scope", "_report", "_stated", "_spoken"])
     kind = F.col("doc_kind")
     period_type = F.when(kind == "annual_report", "annual").when(kind == "investor_presentation", F.coalesce("_stated", F.lit("annual"))).when(kind == "call_transcript", F.coalesce("_spoken", "_report", F.lit("quarterly"))).otherwise(F.coalesce("_report", F.lit("quarterly")))
     return out.withColumn("period_type", period_type).drop("_report", "_stated", "_spoken")
 
 
-def financial_profile(facts: DataFrame) -> DataFrame:
-    """company_id, period, basis, period_type, metric, value, sources: the merged snapshots.
+def financial_snapshots(values: DataFrame, source: str = "evidence_id") -> DataFrame:
+    """company_id, period, basis, period_type, metrics (kind, value), sources: one row a snapshot, of financial_documents().
 
     Results overwrite, the latest last; annual reports fill gaps, then
     transcripts and presentations do. The document that comes first in that
     order gives a snapshot its period type, and a transcript's revenue of
     another scope does not attach to it, although the transcript stays a source.
+    Values are shuffled once, by snapshot; `source` is what stands for a document.
     """
-    values, key = financial_documents(facts), ["company_id", "period", "basis"]
-    supplement = F.col("doc_kind").isin(*SUPPLEMENTARY)
-    made = values.groupBy(*key).agg(F.min_by("period_type", F.struct(F.when(supplement, 1).otherwise(0), "source_date", "evidence_id")).alias("_type"), F.array_sort(F.collect_set("evidence_id")).alias("_sources"))
-    both = values.join(made, key)
-    other_scope = (F.col("doc_kind") == "call_transcript") & (F.col("kind") == "financial_revenue") & (F.col("scope") != F.col("_type"))
-    out = merged(both.where(~other_scope), [*key, "_type", "_sources", "kind"], F.col("doc_kind") == "financial_results", ~supplement)
-    return out.select(*key, F.col("_type").alias("period_type"), F.col("kind").alias("metric"), "value", F.size("_sources").cast("long").alias("n_sources"))
+    key, supplement = ["company_id", "period", "basis"], F.col("doc_kind").isin(*SUPPLEMENTARY)
+    order = F.struct(F.when(supplement, 1).otherwise(0), "source_date", "evidence_id")
+    typed = values.withColumn("_type", F.min_by("period_type", order).over(Window.partitionBy(*key)))
+    attached = ~((F.col("doc_kind") == "call_transcript") & (F.col("kind") == "financial_revenue") & (F.col("scope") != F.col("_type")))
+    results = F.col("doc_kind") == "financial_results"
+    latest = F.max_by("value", F.when(results, F.struct("source_date", "evidence_id")))
+    earliest = F.min_by("value", F.when(~results & attached, order))
+    each = typed.groupBy(*key, "_type", "kind").agg(F.coalesce(latest, earliest).alias("value"), F.collect_set(source).alias("_sources"))
+    metrics = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("kind", "value")))
+    return each.groupBy(*key, F.col("_type").alias("period_type")).agg(metrics.alias("metrics"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("sources"))
+
+
+def financial_profile(facts: DataFrame) -> DataFrame:
+    """company_id, period, basis, period_type, metric, value, n_sources: the merged snapshots, one row a metric."""
+    made = financial_snapshots(financial_documents(facts))
+    out = made.select("company_id", "period", "basis", "period_type", F.explode("metrics").alias("_m"), F.size("sources").cast("long").alias("n_sources"))
+    return out.select("company_id", "period", "basis", "period_type", F.col("_m.kind").alias("metric"), "_m.value", "n_sources")
 
 
 def rows_by_section(facts: DataFrame, section: Column, fields: dict[str, tuple[str, str]], needed: str) -> DataFrame:

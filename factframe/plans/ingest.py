@@ -62,9 +62,9 @@ _ESG = ("esg_csr_spend", "esg_headcount", "esg_attrition")
 c AS (SELECT company_id, period, kind, count(*) AS n_sources FROM v GROUP BY ALL)
 SELECT company_id, period, kind AS metric, value, n_sources FROM v JOIN c USING (company_id, period, kind)
 QUALIFY row_number() OVER (PARTITION BY company_id, period, kind ORDER BY NOT over, CASE WHEN over THEN -epoch(source_date) END, CASE WHEN over THEN -evidence_id END, doc_kind = 'call_transcript', source_date, evidence_id) = 1""")
-def ingest_esg_profile(spark, sf_dir):
+def ingest_esg_profile(spark, sf_dir, filed=None):
     """Sustainability reports (here the first kind of document) overwrite; of annual reports only CSR spending does; all else fills gaps."""
-    rows = I.numeric(facts(spark, sf_dir, _ESG), "esg_").where(F.col("doc_kind").isin("financial_results", "annual_report", "call_transcript"))
+    rows = I.numeric(facts(spark, sf_dir, _ESG, filed), "esg_").where(F.col("doc_kind").isin("financial_results", "annual_report", "call_transcript"))
     values = I.last_of_document(rows, ["period", "kind"], ["value"])
     over = (F.col("doc_kind") == "financial_results") | ((F.col("doc_kind") == "annual_report") & (F.col("kind") == "esg_csr_spend"))
     out = I.merged(values, ["company_id", "period", "kind"], over, F.col("doc_kind") != "call_transcript")
@@ -88,9 +88,9 @@ _STRATEGY = ("strategy_guidance", "strategy_priority", "strategy_aspiration", "s
 
 @query(f"""WITH {facts_sql(_STRATEGY)} SELECT company_id, source_date, replace(kind, 'strategy_', '') AS kind, CASE WHEN kind = 'strategy_csat' THEN NULL ELSE text END AS text, CASE WHEN kind = 'strategy_csat' THEN value END AS score, evidence_id, seq FROM facts
 WHERE (doc_kind = 'investor_presentation' AND (kind <> 'strategy_csat' OR (value IS NOT NULL AND period IS NOT NULL))) OR (doc_kind = 'call_transcript' AND kind = 'strategy_guidance')""")
-def ingest_strategy(spark, sf_dir):
+def ingest_strategy(spark, sf_dir, filed=None):
     """Statements of presentations, guidance of transcripts, and satisfaction scores, which need a number and a period."""
-    rows, score = facts(spark, sf_dir, _STRATEGY), F.col("kind") == "strategy_csat"
+    rows, score = facts(spark, sf_dir, _STRATEGY, filed), F.col("kind") == "strategy_csat"
     deck = (F.col("doc_kind") == "investor_presentation") & (~score | (F.col("value").isNotNull() & F.col("period").isNotNull()))
     call = (F.col("doc_kind") == "call_transcript") & (F.col("kind") == "strategy_guidance")
     return rows.where(deck | call).select("company_id", "source_date", F.replace("kind", F.lit("strategy_"), F.lit("")).alias("kind"), F.when(~score, F.col("text")).alias("text"), F.when(score, F.col("value")).alias("score"), "evidence_id", "seq")
@@ -132,11 +132,11 @@ _AGM = ("resolution_title", "resolution_type", "vote_pct_for", "resolution_outco
 @query(f"""WITH {facts_sql(_AGM)}, f AS (SELECT evidence_id, company_id, source_date, char_offset AS number, kind, text, value FROM facts QUALIFY row_number() OVER (PARTITION BY evidence_id, char_offset, kind ORDER BY seq) = 1)
 SELECT evidence_id, company_id, source_date, 'resolution_' || CAST(number AS VARCHAR) AS section, max(text) FILTER (kind = 'resolution_title') AS title, coalesce(max(text) FILTER (kind = 'resolution_type'), '') AS resolution_type,
 max(text) FILTER (kind = 'resolution_outcome') AS outcome, max(value) FILTER (kind = 'vote_pct_for') AS pct_for FROM f GROUP BY ALL HAVING count(*) FILTER (kind = 'resolution_title') > 0""")
-def ingest_resolutions(spark, sf_dir):
+def ingest_resolutions(spark, sf_dir, filed=None):
     """Resolutions of a meeting, assembled by section; one without a title is left out."""
     section = F.concat(F.lit("resolution_"), F.col("char_offset").cast("string"))
     fields = {"title": ("resolution_title", "text"), "_type": ("resolution_type", "text"), "outcome": ("resolution_outcome", "text"), "pct_for": ("vote_pct_for", "value")}
-    out = I.rows_by_section(facts(spark, sf_dir, _AGM), section, fields, "title")
+    out = I.rows_by_section(facts(spark, sf_dir, _AGM, filed), section, fields, "title")
     return out.select("evidence_id", "company_id", "source_date", "section", "title", F.coalesce("_type", F.lit("")).alias("resolution_type"), "outcome", "pct_for")
 
 
@@ -213,9 +213,9 @@ m AS (SELECT evidence_id, value AS amount FROM o WHERE kind = 'fundraise_amount'
 SELECT 'buyback' AS event, evidence_id, company_id, source_date, CASE WHEN bought IS NOT NULL THEN 'extinguishment' WHEN offered IS NOT NULL THEN 'announcement' WHEN records > 0 THEN 'schedule' ELSE 'unknown' END AS item, amount FROM d WHERE n_buyback > 0
 UNION ALL SELECT DISTINCT 'fundraise', f.evidence_id, company_id, source_date, text, amount FROM f LEFT JOIN m USING (evidence_id) WHERE kind = 'fundraise_type'
 UNION ALL SELECT 'acquisition', f.evidence_id, company_id, source_date, text, stake FROM f LEFT JOIN k USING (evidence_id) WHERE kind = 'acquisition_target'""")
-def ingest_capital_events(spark, sf_dir):
+def ingest_capital_events(spark, sf_dir, filed=None):
     """Buybacks, fundraises and acquisitions of a document: what is stated once for the document is repeated on each of its targets."""
-    rows, key = facts(spark, sf_dir, _CAPITAL), ["evidence_id", "company_id", "source_date"]
+    rows, key = facts(spark, sf_dir, _CAPITAL, filed), ["evidence_id", "company_id", "source_date"]
     first = lambda kind: F.min_by("value", F.when(F.col("kind") == kind, F.col("seq")))
     whole = rows.groupBy(*key).agg(first("buyback_bought").alias("_b"), first("buyback_offered").alias("_o"), F.count_if(F.col("kind") == "buyback_record").alias("_r"), first("buyback_amount").alias("_amount"), F.count_if(F.col("kind").startswith("buyback")).alias("_n"))
     step = F.when(F.col("_b").isNotNull(), "extinguishment").when(F.col("_o").isNotNull(), "announcement").when(F.col("_r") > 0, "schedule").otherwise("unknown")

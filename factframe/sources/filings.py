@@ -22,22 +22,23 @@ def document_kind(priority: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[priority], F.lit("other"))
 
 
+def _document() -> list[Column]:
+    day = F.col("o_orderdate")
+    return [F.col("o_custkey").alias("company_id"), document_kind(F.col("o_orderpriority")).alias("doc_kind"), day.cast("date").alias("source_date"), quarter_end(day).alias("quarter")]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """evidence_id, company_id, doc_kind, source_date, quarter."""
-    day = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("evidence_id"),
-        F.col("o_custkey").alias("company_id"),
-        document_kind(F.col("o_orderpriority")).alias("doc_kind"),
-        day.cast("date").alias("source_date"),
-        quarter_end(day).alias("quarter"),
-    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("evidence_id"), *_document())
+
 
+def facts(spark: SparkSession, sf_dir: str, kinds: Sequence[str], filed: DataFrame | None = None) -> DataFrame:
+    """evidence_id, company_id, doc_kind, source_date, seq, kind, value (null if the fact is text), text, unit, section, period, scope, char_offset.
 
-def facts(spark: SparkSession, sf_dir: str, kinds: Sequence[str]) -> DataFrame:
-    """evidence_id, company_id, doc_kind, source_date, seq, kind, value (null if the fact is text), text, unit, section, period, scope, char_offset."""
+    Where filed_lines() have been made, they are read from there.
+    """
     pick = lambda names, by: F.get(F.array(*[F.lit(n) for n in names]), by)
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = (table(spark, sf_dir, "lineitem") if filed is None else filed).select(
         F.col("l_orderkey").alias("evidence_id"),
         (F.col("l_linenumber") * F.lit(10**17) + F.col("l_partkey") * F.lit(10**9) + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("seq"),
         pick(kinds, (F.col("l_partkey") % len(kinds)).cast("int")).alias("kind"),
@@ -48,8 +49,9 @@ def facts(spark: SparkSession, sf_dir: str, kinds: Sequence[str]) -> DataFrame:
         (F.col("l_tax") < 0.075).alias("_dated"),
         F.when(F.col("l_quantity") > 25, "annual").otherwise("quarterly").alias("scope"),
         (F.col("l_quantity").cast("long") % 4).alias("char_offset"),
+        *([] if filed is None else _document()),
     )
-    joined = lines.join(documents(spark, sf_dir), "evidence_id")
+    joined = lines.join(documents(spark, sf_dir), "evidence_id") if filed is None else lines
     return joined.withColumn("period", F.when(F.col("_dated"), F.col("quarter"))).drop("_dated", "quarter")
 
 
