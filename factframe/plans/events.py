@@ -72,8 +72,12 @@ def event_ledger_union(spark, sf_dir):
 
 
 @query(f"WITH {_LEDGER_SQL} SELECT CAST(happened_at AS DATE) AS day, section, label, min(happened_at) AS first_at, list_sort(list_distinct(list(evidence_id))) AS evidence_ids, count(*) AS n FROM l GROUP BY ALL")
-def event_merge_by_day(spark, sf_dir):
-    return E.merge_by_day(_ledger(spark, sf_dir), ["section", "label"], "happened_at", "evidence_id")
+def event_merge_by_day(spark, sf_dir, days=None):
+    """One event for each day, section and label; where `days` is given, of the last days only, which are cut off before they are merged."""
+    ledger = _ledger(spark, sf_dir)
+    if days is not None:
+        ledger = E.trailing(ledger.withColumn("_day", F.to_date("happened_at")), "_day", days).drop("_day")
+    return E.merge_by_day(ledger, ["section", "label"], "happened_at", "evidence_id")
 
 
 @query(f"WITH {_LEDGER_SQL} SELECT CAST(happened_at AS DATE) AS day, section, label, evidence_id FROM l WHERE CAST(happened_at AS DATE) >= (SELECT CAST(max(happened_at) AS DATE) - 10 FROM l)")

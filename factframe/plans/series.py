@@ -241,9 +241,11 @@ def growth_cagr(spark, sf_dir, totals=None):
 @query(f"""WITH {LINES_SQL}, s AS (SELECT company_id, period, p_type AS segment, CAST(sum(net) AS DOUBLE) AS revenue FROM lines JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 l AS (SELECT * FROM s QUALIFY period = max(period) OVER (PARTITION BY company_id))
 SELECT company_id, max(period) AS period, count(*) AS n_segments, max_by(segment, (revenue, segment)) AS largest, max(revenue) / CAST(sum(CAST(revenue AS DECIMAL(28,4))) AS DOUBLE) * 100 AS share_pct FROM l GROUP BY company_id""")
-def segment_concentration(spark, sf_dir):
+def segment_concentration(spark, sf_dir, lines=None):
+    """Of each company's newest period; `lines` may hold that period's lines only."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("segment"))
-    by = fact_lines(spark, sf_dir).join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("company_id", "period", "segment").agg(F.sum("net").cast("double").alias("revenue"))
+    lines = fact_lines(spark, sf_dir) if lines is None else lines
+    by = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("company_id", "period", "segment").agg(F.sum("net").cast("double").alias("revenue"))
     newest = by.withColumn("_max", F.max("period").over(Window.partitionBy("company_id"))).where("period = _max")
     return newest.groupBy("company_id").agg(F.max("period").alias("period"), F.count("*").alias("n_segments"), F.max_by("segment", F.struct("revenue", "segment")).alias("largest"), (F.max("revenue") / F.sum(F.col("revenue").cast("decimal(28,4)")).cast("double") * 100).alias("share_pct"))
 

@@ -3,7 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factframe.plans.claims import hydrated_claims
+from factframe.operators.events import trailing
+from factframe.plans.claims import hydrated_claims, section_credibility
+from factframe.plans.events import event_merge_by_day
+from factframe.plans.report import assembled_report
+from factframe.plans.series import segment_concentration
 from factframe.sources import tables
 
 
@@ -32,3 +36,27 @@ def test_spans_of_claims_are_not_shuffled(spark, sf_dir, small_buckets):
     assert "lineitem.parquet" not in plan
     assert sum("hashpartitioning(company_id" in line for line in shuffles) == 1
     assert not any("claim" in line for line in shuffles)
+
+
+def test_a_report_joins_lines_once(spark, sf_dir, small_buckets):
+    """No section scans the line items for itself, but for the companies that they name; a section's rows are not sorted before they are placed."""
+    plan = assembled_report(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation [" in line and "l_orderkey" in line for line in plan) == 2
+    assert not any("Sort [" in line for line in plan)
+
+
+def test_parts_of_a_report_say_the_same_of_filed_lines(spark, sf_dir, small_buckets):
+    filed = tables.filed_lines(spark, sf_dir)
+    totals = tables.quarter_totals(spark, sf_dir, filed)
+    same = lambda a, b: a.select(*b.columns).exceptAll(b).count() == b.exceptAll(a.select(*b.columns)).count() == 0
+    assert same(totals, tables.quarter_totals(spark, sf_dir))
+    assert same(segment_concentration(spark, sf_dir, tables.newest_lines(spark, sf_dir, totals, filed)), segment_concentration(spark, sf_dir))
+    assert same(section_credibility(spark, sf_dir, filed), section_credibility(spark, sf_dir))
+    assert same(event_merge_by_day(spark, sf_dir, days=10), trailing(event_merge_by_day(spark, sf_dir), "day", 10))
+
+
+def test_totals_deal_lines_once(spark, sf_dir, small_buckets, monkeypatch):
+    made = []
+    monkeypatch.setattr(tables, "written", lambda frame, _: made.append(frame) or frame)
+    tables.quarter_totals(spark, sf_dir, tables.filed_lines(spark, sf_dir))
+    assert physical(made[0]).count("Exchange") == 1
