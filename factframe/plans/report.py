@@ -121,8 +121,8 @@ def _placed(lines: DataFrame) -> DataFrame:
 s AS (SELECT company_id, section_seq, '## ' || section || chr(10) || string_agg('- ' || text, chr(10) ORDER BY place) AS part FROM r GROUP BY company_id, section_seq, section)
 SELECT company_id, count(*) AS n_sections, string_agg(part, chr(10) || chr(10) ORDER BY section_seq) AS markdown FROM s GROUP BY company_id""")
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each company's report as one text; a section without lines is left out."""
-    lines = assembled_report(spark, sf_dir)
+    """Each company's report as one text, made where its lines are dealt to; a section without lines is left out."""
+    lines = _placed(_all_lines(spark, sf_dir).repartition("company_id"))
     each = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), "text").alias("line"))))
     parts = lines.groupBy("company_id", "section_seq", "section").agg(F.array_join(each["line"], "\n").alias("_lines"))
     part = F.struct("section_seq", F.concat(F.lit("## "), "section", F.lit("\n"), "_lines").alias("part"))

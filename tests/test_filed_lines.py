@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from factframe.operators.events import trailing
 from factframe.plans.claims import hydrated_claims, section_credibility
 from factframe.plans.events import event_merge_by_day
-from factframe.plans.report import assembled_report
+from factframe.plans.report import assembled_report, report_markdown
 from factframe.plans.series import segment_concentration
 from factframe.sources import tables
 
@@ -45,6 +45,12 @@ def test_a_report_joins_lines_once(spark, sf_dir, small_buckets):
     assert not any("Sort [" in line for line in plan)
 
 
+def test_a_company_is_dealt_once_for_its_text(spark, sf_dir, small_buckets):
+    plan = physical(report_markdown(spark, sf_dir))
+    above = plan[: plan.index("Union")]
+    assert above.count("Exchange") == 1 and "hashpartitioning(company_id" in above
+
+
 def test_parts_of_a_report_say_the_same_of_filed_lines(spark, sf_dir, small_buckets):
     filed = tables.filed_lines(spark, sf_dir)
     totals = tables.quarter_totals(spark, sf_dir, filed)
