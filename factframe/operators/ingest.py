@@ -63,7 +63,7 @@ def financial_documents(facts: DataFrame) -> DataFrame:
     rows = rows.withColumn("_report", F.min_by("scope", F.when(stated, F.col("seq"))).over(by()))
     rows = rows.withColumn("_stated", F.max_by("scope", F.when(stated, F.col("seq"))).over(by("period")))
     rows = rows.withColumn("_spoken", F.max_by("scope", F.when(F.col("_fits") & revenue, F.col("seq"))).over(by("period", "basis")))
-    out = last_of_document(rows.where("_fits"), ["period", "basis", "kind"], ["value", "scope", "_report", "_stated", "_spoken"])
+    out = last_of_document(rows.where("_fits"), ["period", "basis", "kind", "_report", "_stated", "_spoken"], ["value", "scope"])
     kind = F.col("doc_kind")
     period_type = F.when(kind == "annual_report", "annual").when(kind == "investor_presentation", F.coalesce("_stated", F.lit("annual"))).when(kind == "call_transcript", F.coalesce("_spoken", "_report", F.lit("quarterly"))).otherwise(F.coalesce("_report", F.lit("quarterly")))
     return out.withColumn("period_type", period_type).drop("_report", "_stated", "_spoken")
@@ -80,13 +80,13 @@ def financial_snapshots(values: DataFrame, source: str = "evidence_id") -> DataF
     """
     key, supplement = ["company_id", "period", "basis"], F.col("doc_kind").isin(*SUPPLEMENTARY)
     order = F.struct(F.when(supplement, 1).otherwise(0), "source_date", "evidence_id")
-    typed = values.withColumn("_type", F.min_by("period_type", order).over(Window.partitionBy(*key)))
+    typed = values.where(F.col("company_id").isNotNull()).withColumn("_type", F.min_by("period_type", order).over(Window.partitionBy(*key)))
     attached = ~((F.col("doc_kind") == "call_transcript") & (F.col("kind") == "financial_revenue") & (F.col("scope") != F.col("_type")))
     results = F.col("doc_kind") == "financial_results"
     latest = F.max_by("value", F.when(results, F.struct("source_date", "evidence_id")))
     earliest = F.min_by("value", F.when(~results & attached, order))
-    each = typed.groupBy(*key, "_type", "kind").agg(F.coalesce(latest, earliest).alias("value"), F.collect_set(source).alias("_sources"))
-    metrics = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("kind", "value")))
+    each = typed.groupBy(*key, "_type", "kind").agg(F.coalesce(latest, earliest).alias("value"), F.count_if(attached).alias("_n"), F.collect_set(source).alias("_sources"))
+    metrics = F.collect_list(F.when(F.col("_n") > 0, F.struct("kind", "value")))
     return each.groupBy(*key, F.col("_type").alias("period_type")).agg(metrics.alias("metrics"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("sources"))
 
 

@@ -1,8 +1,12 @@
 """Lines are joined with their documents once; what follows by document is not shuffled again."""
 
+import os
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from factframe.catalogue import ORACLE_SQL, QUERIES
 from factframe.operators.events import trailing
 from factframe.plans.claims import hydrated_claims, section_credibility
 from factframe.plans.events import event_merge_by_day
@@ -66,3 +70,36 @@ def test_totals_deal_lines_once(spark, sf_dir, small_buckets, monkeypatch):
     monkeypatch.setattr(tables, "written", lambda frame, _: made.append(frame) or frame)
     tables.quarter_totals(spark, sf_dir, tables.filed_lines(spark, sf_dir))
     assert physical(made[0]).count("Exchange") == 1
+
+
+@pytest.fixture
+def odd_dir(spark, sf_dir, tmp_path):
+    """Some orders have no customer, some lines no supplier."""
+    for name in os.listdir(sf_dir):
+        if name not in ("orders.parquet", "lineitem.parquet"):
+            os.symlink(f"{sf_dir}/{name}", tmp_path / name)
+    unless = lambda column, by: F.when(F.col(by) % 3 != 0, F.col(column))
+    spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_custkey", unless("o_custkey", "o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_suppkey", unless("l_suppkey", "l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_segments_of_lines_without_a_company(spark, odd_dir, small_buckets):
+    filed = tables.filed_lines(spark, odd_dir)
+    got = segment_concentration(spark, odd_dir, tables.newest_lines(spark, odd_dir, tables.quarter_totals(spark, odd_dir, filed), filed))
+    want = segment_concentration(spark, odd_dir)
+    assert want.where("company_id is null").count() == 1
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_snapshots_without_a_company_are_left_out(spark, odd_dir, sf_dir, small_buckets):
+    """As the SQL does, which joins snapshots by company; lines keep their suppliers here."""
+    os.rename(f"{odd_dir}/lineitem.parquet", f"{odd_dir}/lines_without_suppliers")
+    os.symlink(f"{sf_dir}/lineitem.parquet", f"{odd_dir}/lineitem.parquet")
+    duck = duckdb.connect()
+    for name, files in (("orders", "orders.parquet/*.parquet"), ("lineitem", "lineitem.parquet"), ("documents", "documents.parquet")):
+        duck.execute(f"create view {name} as select * from '{odd_dir}/{files}'")
+    names = ["company_id", "claim", "evidence_id", "excerpt"]
+    want = duck.execute(f"select {', '.join(names)} from ({ORACLE_SQL['hydrated_claims']})").fetchall()
+    got = [tuple(r) for r in QUERIES["hydrated_claims"](spark, odd_dir).select(*names).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(r[0] is None for r in got)
